@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm.langid import identify
+from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
 from attestry.llm.url_filter import judge_urls
 
@@ -14,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", F.col("mix_copy").cast("long").alias("copy_no"), F.round("mix_rate", 6).alias("rate"), F.col("mix_order").alias("shuffle_key"))
@@ -24,9 +30,18 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
+    return identify(docs, learn).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_url_rules": op6_url_rules,
+    "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
 
 ORACLES = {
