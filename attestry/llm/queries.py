@@ -1,11 +1,18 @@
 """The queries of this subpackage, and their SQL where SQL can say the same. Each reads its whole tables."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm.decontaminate import contamination
 from attestry.llm.langid import identify
+from attestry.llm.licenses import scan_licenses
 from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
+from attestry.llm.quality import judge_quality
+from attestry.llm.shared import shared_path
+from attestry.llm.token_ledger import TokenLedger, counted
+from attestry.llm.token_shards import read_documents, write_shards
 from attestry.llm.url_filter import judge_urls
 
 #: Fixed values of the contract: host, path, verdict.
@@ -16,10 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-shards")
+    write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, path)
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those of low quality are counted again without their repeated lines; toxic ones are deleted; and the second batch is sent once more."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = TokenLedger(spark, shared_path(spark, "token-ledger"))
+    low = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    revised = counted(low.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n")), "revise")
+    deleted = counted(docs.join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.lit("")), "delete")
+    ledger.commit("1-load", counted(docs, "insert"))
+    ledger.commit("2-clean", revised)
+    ledger.commit("3-takedown", deleted)
+    ledger.commit("2-clean", revised)
+    return ledger.totals()
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", F.col("mix_copy").cast("long").alias("copy_no"), F.round("mix_rate", 6).alias("rate"), F.col("mix_order").alias("shuffle_key"))
@@ -30,6 +61,22 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = F.filter("spans", lambda s: s["phrase"])
+    starts = F.transform(places, lambda s: s["start_word"])
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(places).alias("base_labels"), joined(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["standing"])), F.lit(0.0)).alias("score"), "spans",
+    )
+
+
+def op9_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "band_low", "band_high")
+
+
 def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
@@ -38,13 +85,28 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_wavelet_shards": op1_wavelet_shards,
+    "op2_token_rollup": op2_token_rollup,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op4_pigeonhole_matches": op4_pigeonhole_matches,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_url_rules": op6_url_rules,
+    "op7_license_rules": op7_license_rules,
+    "op9_ngram_perplexity": op9_ngram_perplexity,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
 
 ORACLES = {
+    "op2_token_rollup": r"""
+WITH low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+now AS (
+  SELECT d.source, d.lang, coalesce(CASE WHEN l.doc_id IS NULL THEN d.text ELSE array_to_string(list_distinct(string_split(d.text, chr(10))), chr(10)) END, '') AS text
+  FROM documents d LEFT JOIN low l ON d.doc_id = l.doc_id WHERE d.doc_id NOT IN (SELECT doc_id FROM gone)),
+counts AS (
+  SELECT source, lang, 'ws@1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM now
+  UNION ALL SELECT source, lang, 'alnum@2', len(regexp_extract_all(text, '[0-9A-Za-z]+|[^\x00-\x7F]+')) FROM now)
+SELECT source, lang, tokenizer, count(*) AS docs, sum(n)::BIGINT AS tokens FROM counts GROUP BY source, lang, tokenizer
+""",
     "op5_poisson_mix": """
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY source),
 rates AS (
