@@ -11,6 +11,7 @@ from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
 from attestry.llm.quality import judge_quality
 from attestry.llm.shared import shared_path
+from attestry.llm.surrogates import replace_pii
 from attestry.llm.token_ledger import TokenLedger, counted
 from attestry.llm.token_shards import read_documents, write_shards
 from attestry.llm.url_filter import judge_urls
@@ -18,6 +19,9 @@ from attestry.llm.url_filter import judge_urls
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+#: The key of this query's surrogates; a real corpus needs a secret one.
+SURROGATE_KEY = b"key of the example query"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,6 +76,11 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, SURROGATE_KEY).select("doc_id", "text", F.size(F.coalesce("pii", F.array())).cast("long").alias("n_entities"), F.col("pii.kind").alias("kinds"))
+
+
 def op9_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "band_low", "band_high")
@@ -92,6 +101,7 @@ QUERIES = {
     "op5_poisson_mix": op5_poisson_mix,
     "op6_url_rules": op6_url_rules,
     "op7_license_rules": op7_license_rules,
+    "op8_surrogates": op8_surrogates,
     "op9_ngram_perplexity": op9_ngram_perplexity,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
