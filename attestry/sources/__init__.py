@@ -1,0 +1,52 @@
+"""Readers and writers."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; one of this machine only where spark.checkpoint.dir is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(ledger_id, pos, line) of files with a JSON record a line; the file's name is the ledger. Position is the line's, so a file is read whole."""
+    files = spark.read.text(path, wholetext=True).withColumn("f", F.col("_metadata.file_name"))
+    lines = files.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("ledger_id"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("p", "line"))
+    return lines.select("ledger_id", (F.col("p") + 1).alias("pos"), "line")
+
+
+def read_audit_log(lines: DataFrame) -> DataFrame:
+    """Lines `AUDIT {json}` as (ts, event, route, client, outcome); other lines are passed over."""
+    body = F.regexp_extract("value", r"AUDIT (\{.*\})\s*$", 1)
+    return lines.filter(F.col("value").contains("AUDIT {")).select(F.from_json(body, "ts STRING, event STRING, route STRING, client STRING, outcome STRING").alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
+def sniff(content: Column) -> Column:
+    """The type of a file by its first bytes; null for any other than these four."""
+    head = lambda n: F.hex(F.substring(content, 1, n))
+    return F.when(head(8) == "89504E470D0A1A0A", "image/png").when(head(3) == "FFD8FF", "image/jpeg").when(head(4) == "00010000", "font/ttf").when(head(4) == "4F54544F", "font/otf")
+
+
+def scan_assets(spark: SparkSession, path: str) -> DataFrame:
+    """(id, mime, sha256, size) of files by content, never by name or declared type."""
+    sha = F.sha2("content", 256)
+    return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("ast_"), F.substring(sha, 1, 16)).alias("id"), sniff(F.col("content")).alias("mime"), sha.alias("sha256"), F.col("length").alias("size"))
+
+
+def png_facts(content: Column, most_pixels: int = 40_000_000) -> Column:
+    """(width, height, code) from the header alone: refused by pixel count before anything is decoded."""
+    n = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    code = F.when(sniff(content) != "image/png", "NOT_PNG").when((n(17) == 0) | (n(21) == 0), "EMPTY").when(n(17) * n(21) > most_pixels, "TOO_MANY_PIXELS")
+    return F.struct(n(17).alias("width"), n(21).alias("height"), code.alias("code"))
+
+
+def write_conformance_report(rollup: DataFrame, path: str) -> None:
+    rollup.write.mode("overwrite").parquet(path)
