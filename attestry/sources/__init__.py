@@ -44,7 +44,7 @@ def scan_assets(spark: SparkSession, path: str) -> DataFrame:
 def png_facts(content: Column, most_pixels: int = 40_000_000) -> Column:
     """(width, height, code) from the header alone: refused by pixel count before anything is decoded."""
     n = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-    code = F.when(sniff(content) != "image/png", "NOT_PNG").when((n(17) == 0) | (n(21) == 0), "EMPTY").when(n(17) * n(21) > most_pixels, "TOO_MANY_PIXELS")
+    code = F.when(~F.coalesce(sniff(content) == "image/png", F.lit(False)), "NOT_PNG").when((n(17) == 0) | (n(21) == 0), "EMPTY").when(n(17) * n(21) > most_pixels, "TOO_MANY_PIXELS")
     return F.struct(n(17).alias("width"), n(21).alias("height"), code.alias("code"))
 
 

@@ -1,0 +1,115 @@
+"""The stateful operators as streams. Event time and a watermark bound the state; within the watermark results are those of the batch form."""
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from attestry.sources import shared_path
+
+
+def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows that a stream gives for the input that is there now: it is written to a table in the shared folder and ended."""
+    spark = stream.sparkSession
+    path, seen = shared_path(spark, "stream-out"), shared_path(spark, "stream-checkpoint")
+    if mode == "append":
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", seen).outputMode("append").trigger(availableNow=True).start()
+    else:
+        save = lambda df, _: df.write.mode("overwrite").parquet(path)
+        q = stream.writeStream.foreachBatch(save).option("checkpointLocation", seen).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, idle_ms: int) -> DataFrame:
+    """Hits (key, hit_id, ts, ms) with allowed: the state of a key is its accepted times, `limit` at most, and goes after idle_ms of event time."""
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ms", "hit_id"])
+        allowed = []
+        for t in rows["ms"].tolist():
+            kept = [k for k in kept if k >= t - window_ms]
+            allowed.append(len(kept) < limit)
+            if allowed[-1]:
+                kept.append(t)
+        state.update((kept,))
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame({"key": rows["key"], "hit_id": rows["hit_id"], "ms": rows["ms"], "allowed": allowed})
+
+    return hits.withWatermark("ts", "1 hour").groupBy("key").applyInPandasWithState(
+        step, "key long, hit_id long, ms long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def session_ttl_stream(touches: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(session_id, start, end, touches): a session closes after `gap` without a touch."""
+    g = touches.withWatermark("ts", "1 hour").groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("touches"))
+    return g.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "touches")
+
+
+def single_use_token_stream(events: DataFrame, ttl_ms: int = 120_000) -> DataFrame:
+    """Takes (token, event_id) with taken: the first take within ttl of a put succeeds; later or expired ones are gone."""
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        put = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        out = []
+        for i, t, kind in zip(rows["event_id"].tolist(), rows["ms"].tolist(), rows["kind"].tolist()):
+            if kind == "put":
+                put = t
+            else:
+                out.append((key[0], i, put is not None and t <= put + ttl_ms))
+                put = None
+        state.update((put,))
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + ttl_ms + 1)
+        yield pd.DataFrame(out, columns=["token", "event_id", "taken"])
+
+    return events.withWatermark("ts", "1 hour").groupBy("token").applyInPandasWithState(
+        step, "token long, event_id long, taken boolean", "put long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def op_log_stream(ops: DataFrame, missing: str = "removeNode") -> DataFrame:
+    """Operations (session_id, event_id, ms, op, target) with version and accepted: versions in commit order; an operation on a node that was removed is refused and gets none."""
+
+    def step(key, batches, state: GroupState):
+        version, gone = (state.get[0], set(state.get[1])) if state.exists else (0, set())
+        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        out = []
+        for i, op, target in zip(rows["event_id"].tolist(), rows["op"].tolist(), rows["target"].tolist()):
+            ok = op == "addNode" or target not in gone
+            if ok:
+                version += 1
+                (gone.add if op == missing else gone.discard if op == "addNode" else lambda _: None)(target)
+            out.append((key[0], i, version if ok else None, ok))
+        state.update((version, sorted(gone)))
+        yield pd.DataFrame({"session_id": [o[0] for o in out], "event_id": [o[1] for o in out], "version": pd.array([o[2] for o in out], "Int64"), "accepted": [o[3] for o in out]})
+
+    return ops.groupBy("session_id").applyInPandasWithState(
+        step, "session_id long, event_id long, version long, accepted boolean", "version long, gone array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def ledger_append_stream(records: DataFrame, write, name: str) -> DataFrame:
+    """Micro-batches handed to write(df, batch_id) once: a batch is written under its id, so one that is sent again overwrites itself."""
+    spark, path = records.sparkSession, shared_path(records.sparkSession, name)
+
+    def save(df: DataFrame, batch: int) -> None:
+        write(df, batch).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    q = records.writeStream.foreachBatch(save).option("checkpointLocation", shared_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(path)
+
+
+def presence(events: DataFrame) -> DataFrame:
+    """(session_id, client_id, kind): the last of join and leave of each client."""
+    return events.groupBy("session_id", "client_id").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"))
