@@ -1,0 +1,147 @@
+"""Small cases of the rules that depend on order, unknowns and bounds."""
+
+import hashlib
+import hmac as h
+
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from attestry.functions import scalars as C
+from attestry.operators import edits, layout, ledger, trust
+from attestry.operators import policy as P
+from attestry.sources import html as page
+
+KEY = "a key of 16 chars"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_hmac_is_the_standard_one(spark):
+    got = spark.createDataFrame([("é x",)], "m string").select(C.hmac_sha256(F.col("m"), KEY)).first()[0]
+    assert got == h.digest(KEY.encode(), "é x".encode(), hashlib.sha256).hex()
+    with pytest.raises(ValueError):
+        C.hmac_sha256(F.lit("x"), "short")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 8, 255, 256, 257, 300])
+def test_merkle_root_and_proofs(spark, n):
+    def root(x):
+        if len(x) < 2:
+            return x[0] if x else hashlib.sha256(b"").digest()
+        k = 1 << (len(x) - 1).bit_length() - 1
+        return hashlib.sha256(b"\1" + root(x[:k]) + root(x[k:])).digest()
+
+    leaves = [hashlib.sha256(b"\0" + str(i).encode()).digest() for i in range(n)]
+    df = spark.createDataFrame([(i, x.hex()) for i, x in enumerate(leaves)], "leaf_index long, hash string")
+    want = root(leaves).hex()
+    assert ledger.merkle_root(df).first()[0] == want
+    if 0 < n < 10:
+        checked = ledger.verify_inclusion(ledger.inclusion_proofs(df), F.lit(want)).collect()
+        assert len(checked) == n and all(r["included"] for r in checked)
+
+
+def _ledger(spark):
+    r = [("L", i, hashlib.sha256(str(i).encode()).hexdigest(), f"D{i}", "s", "i", "B-B", "PASSED") for i in range(1, 5)]
+    r.append(("L", 5, "not a digest", "D5", "s", "i", "B-B", "PASSED"))
+    df = spark.createDataFrame(r, "ledger_id string, seq int, document_hash string, doc_no string, signer string, issuer string, level string, indication string")
+    return ledger.ledger_lines(ledger.append_ledger(df, KEY)).collect()
+
+
+@pytest.mark.parametrize(("change", "key", "broken", "valid"), [(None, KEY, None, 4), ("edit", KEY, 1, 0), ("drop", KEY, 2, 1), ("garbage", KEY, 2, 1), (None, "another key of 16", 1, 0)])
+def test_tampered_ledgers(spark, change, key, broken, valid):
+    lines = [(r["ledger_id"], r["pos"], r["line"]) for r in _ledger(spark)]
+    assert len(lines) == 4
+    if change == "edit":
+        lines[0] = ("L", 1, lines[0][2].replace('"B-B"', '"B-T"'))
+    if change == "drop":
+        lines = [lines[0], ("L", 2, lines[2][2]), ("L", 3, lines[3][2])]
+    if change == "garbage":
+        lines[1] = ("L", 2, "no json")
+    got = ledger.ledger_status(ledger.verify_ledger(spark.createDataFrame(lines, "ledger_id string, pos int, line string"), key)).first()
+    assert (got["broken_at"], got["records"]) == (broken, valid)
+
+
+def test_denied_hits_are_not_recorded(spark):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 1, 2, 3, 1001])] + [(2, 9, 3)], "key long, hit_id long, ms long")
+    got = {r["hit_id"]: (r["allowed"], r["retry_ms"]) for r in edits.sliding_rate_limit(df, 3, 1000).collect()}
+    assert got == {0: (True, None), 1: (True, None), 2: (True, None), 3: (False, 997), 4: (True, None), 9: (True, None)}
+
+
+def test_path_length_counts_from_two_below(spark):
+    step = lambda chain, depth, path_len: (chain, depth, depth > 0, depth > 0, path_len, False, True)
+    data = [step("a", 0, None), step("a", 1, None), step("a", 2, 0), step("b", 0, None), step("b", 1, 0)]
+    df = spark.createDataFrame(data, "chain_id string, depth int, is_ca boolean, key_cert_sign boolean, path_len int, self_issued boolean, digital_signature boolean")
+    assert rows(trust.path_rules(df)) == [("a", 2, "path_length")]
+
+
+def test_cascade_continues_and_returns(spark):
+    df = spark.createDataFrame([(1, True, True, False), (2, True, False, False), (3, True, True, True), (4, False, False, False), (5, None, None, None)], "id int, eight boolean, twelve boolean, five boolean")
+    got = trust.verdict(df, {5: F.col("five"), 8: F.col("eight"), 12: F.col("twelve")}).collect()
+    assert [r["sub_indication"] for r in sorted(got)] == ["OUT_OF_BOUNDS_NO_POE", "NO_CERTIFICATE_CHAIN_FOUND", "HASH_FAILURE", None, None]
+
+
+@pytest.mark.parametrize(("reason", "proof", "revoked", "invalid", "safe"), [
+    ("superseded", 1, 2, None, True), ("superseded", 2, 2, None, False), ("superseded", 1, 3, 1, False), ("keyCompromise", 1, 2, None, False), (None, None, 2, None, False), (None, 1, None, None, False)])
+def test_proof_before_revocation(spark, reason, proof, revoked, invalid, safe):
+    df = spark.createDataFrame([(reason, proof, revoked, invalid)], "reason string, p int, r int, i int")
+    assert df.select(trust.protected(F.col("p"), F.col("r"), F.col("i"), F.col("reason"))).first()[0] is safe
+
+
+@pytest.mark.parametrize(("address", "safe"), [
+    ("8.8.8.8", True), ("127.0.0.1", False), ("169.254.169.254", False), ("256.1.1.1", False), ("1.2.3", False), ("::1", False), ("::", False), ("::ffff:127.0.0.1", False), ("::ffff:8.8.8.8", True),
+    ("2001:4860::8888", True), ("fe80::1", False), ("fd00::1", False), ("ff02::1", False), ("2002:7f00:1::", False), ("64:ff9b::10.0.0.1", False), ("1::2::3", False), ("x", False), ("100.64.0.1", False), ("172.32.0.1", True)])
+def test_addresses(spark, address, safe):
+    assert spark.createDataFrame([(address,)], "a string").select(P.address_safe(F.col("a"))).first()[0] is safe
+
+
+@pytest.mark.parametrize(("path", "code"), [("a/b.png", None), ("../x", "OUTSIDE"), ("%252e%252e/x", "OUTSIDE"), ("a+b%2Bc.png", None), ("C:\\x", "ABSOLUTE"), ("//h/x", "ABSOLUTE"), ("data:x", "IS_DATA"), (None, "EMPTY"), ("file:///x", "SCHEME"), ("ftp://h/x", "REMOTE"), ("a%00", "NUL")])
+def test_paths(spark, path, code):
+    assert spark.createDataFrame([(path,)], "p string").select(P.asset_path_verdict(F.col("p"))).first()[0] == code
+
+
+@pytest.mark.parametrize(("lines", "paragraphs"), [
+    ([(100, 11), (115, 11), (130, 11)], 1), ([(100, 11), (115, 11), (160, 11)], 2), ([(100, 11), (115, 11), (123, 11)], 2), ([(100, 20), (125, 11)], 2), ([(100, 11), (99, 11)], 1)])
+def test_paragraphs(spark, lines, paragraphs):
+    df = spark.createDataFrame([(1, 0, k, 50.0, 200.0, float(b), float(s), "a", "t") for k, (b, s) in enumerate(lines)], "doc_id long, page int, ord long, x double, right double, baseline double, font_size double, style_key string, text string")
+    got = layout.group_paragraphs(df)
+    assert got.agg(F.max("run")).first()[0] == (2 if lines[0][0] > lines[1][0] else paragraphs)
+
+
+def test_summary_of_a_paragraph(spark):
+    df = spark.createDataFrame([(1, 0, k, 50.0, 200.0 - k, 100.0 + 15 * k, 10.0, "a", f"t{k}") for k in range(3)], "doc_id long, page int, ord long, x double, right double, baseline double, font_size double, style_key string, text string")
+    r = layout.paragraph_summary(layout.group_paragraphs(df)).first()
+    assert (r["lines"], r["align"], r["line_height"], r["text"]) == (3, "left", 1.5, "t0 t1 t2")
+
+
+def test_runs_are_held_against_their_first_piece(spark):
+    piece = lambda k, x, base, text: (1, 0, k, x, x + 10, base, 10.0, text)
+    df = spark.createDataFrame([piece(0, 0.0, 100.0, "a"), piece(1, 10.5, 101.5, "b"), piece(2, 23.0, 103.0, "c"), piece(3, 100.0, 103.0, "d")], "doc_id long, page int, ord long, x double, right double, baseline double, font_size double, text string")
+    assert [r["text"] for r in layout.merge_runs(df).orderBy("run").collect()] == ["ab", "c", "d"]
+
+
+def test_chunks_hold_all_words(spark):
+    got = layout.pack_chunks(spark.createDataFrame([(1, "aa bb cccccccc d"), (2, None), (3, "")], "doc_id long, text string"), 5).collect()
+    assert [r["text"] for r in got] == ["aa bb", "ccccc", "ccc d"]
+
+
+def test_html_scan():
+    got = page.nodes('<!doctype html><p>a<p class="x y" id=q>b &amp; &copy; &zzz;<br/><ul><li>1<li>2</ul></x><!-- n --><script>if (a<b) "</p>"</script>c < d')
+    tags = [(n[5], n[1], n[7]) for n in got]
+    assert ("p", 0, None) in tags and ("#text", 3, "b & © &zzz;") in tags and ("#text", 0, "c ") in tags
+    assert [n[6] for n in got if n[5] == "p"][1] == {"class": "x y", "id": "q"}
+    assert sum(n[5] == "li" for n in got) == 2 and any(n[7] == 'if (a<b) "</p>"' for n in got)
+    assert page.nodes(None)[0][5] == "#document" and all(n[2] < n[3] for n in got)
+
+
+def test_unknown_stays_unknown(spark):
+    x = spark.createDataFrame([("s", "c", False, None, None)], "sig_id string, cert_id string, is_root boolean, status string, chain_complete boolean")
+    assert trust.revocation_complete(x).first()["complete"] is None
+
+
+def test_conflicts_need_a_common_key(spark):
+    op = lambda v, base, client, keys, kind="updateNode": Row(session_id=1, version=v, base_version=base, client_id=client, op=kind, target="n", patch_keys=keys)
+    df = spark.createDataFrame([op(1, 0, "a", "x"), op(2, 0, "b", "y"), op(3, 0, "b", "x,z"), op(4, 3, "a", "z"), op(5, 0, "a", "q", "removeNode")])
+    assert rows(edits.op_conflicts(df)) == [(1, 3, 1), (1, 5, 2)]
