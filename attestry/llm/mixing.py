@@ -47,10 +47,9 @@ def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.
     if weights is None:
         weight = F.pow(F.col("size").cast("double"), F.lit(float(alpha)))
     else:
-        weight = F.lit(float(weights.get(None, 0.0)))
+        weight = F.lit(0.0)
         for k, v in weights.items():
-            if k is not None:
-                weight = F.when(F.col("mix_source") == k, F.lit(float(v))).otherwise(weight)
+            weight = F.when(F.col("mix_source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(weight)
     sizes = sizes.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(0.0))
     total, weighed = sizes.agg(F.sum("size"), F.sum("weight")).first()
     rate = F.when(F.col("size") > 0, F.lit(epochs * (total or 0)) * F.col("weight") / F.lit(weighed or 1.0) / F.col("size")).otherwise(F.lit(float(epochs)))
