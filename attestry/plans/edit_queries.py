@@ -9,7 +9,8 @@ from attestry.plans.registry import query
 
 OPS = """SELECT *, greatest(0, version - 1 - lag_versions) AS base_version FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS version FROM fx_ops)"""
 MS = "(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) // 1000)"
-_MS = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000).cast("long")
+def _ms():
+    return F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000).cast("long")
 
 
 def ops(spark, sf):
@@ -35,7 +36,7 @@ r AS (SELECT *, CASE WHEN coalesce(k = lag(k) OVER w AND ms - lag(ms) OVER w <=
 b AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ms, event_id) AS burst FROM r)
 SELECT session_id, burst::BIGINT AS burst, any_value(k) AS key, count(*) AS edits, min(ms)::BIGINT AS first_ms, max(ms)::BIGINT AS last_ms FROM b GROUP BY session_id, burst""")
 def merge_edit_bursts(spark, sf):
-    e = view(spark, sf, "fx_ops").select("session_id", "event_id", F.floor(_MS / 100000).cast("long").alias("ms"), F.when(F.col("op") != "removeNode", F.col("op")).alias("merge_key"))
+    e = view(spark, sf, "fx_ops").select("session_id", "event_id", F.floor(_ms() / 100000).cast("long").alias("ms"), F.when(F.col("op") != "removeNode", F.col("op")).alias("merge_key"))
     return E.merge_edit_bursts(e)
 
 
@@ -66,7 +67,7 @@ def patch_merge(spark, sf):
 
 
 def hits(spark, sf):
-    return view(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("hit_id"), _MS.alias("ms"))
+    return view(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("hit_id"), _ms().alias("ms"))
 
 
 LIMIT, WINDOW = 3, 86_400_000

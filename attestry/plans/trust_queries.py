@@ -8,7 +8,8 @@ from attestry.plans.fixtures import view
 from attestry.plans.registry import query
 
 AT = "1997-06-01"
-_AT = F.lit(AT).cast("timestamp")
+def _at():
+    return F.lit(AT).cast("timestamp")
 _FAMILY = """CASE {x} WHEN lower({d}) LIKE '%sha512%' THEN 'sha512' WHEN lower({d}) LIKE '%sha384%' THEN 'sha384' WHEN lower({d}) LIKE '%sha256%' THEN 'sha256' WHEN lower({d}) LIKE '%sha224%' THEN 'sha224'
  WHEN lower({d}) LIKE '%sha1%' THEN 'sha1' WHEN lower({d}) LIKE '%md5%' THEN 'md5' END""".replace("{x} ", "")
 FAMILY = lambda d: _FAMILY.replace("{d}", d)
@@ -62,7 +63,7 @@ FROM (SELECT c.cert_id, l.crl_id, c.issuer, l.crl_number, l.base_number, e.reaso
 
 
 def crl_rows(spark, sf, delta=False):
-    return T.crl_status(view(spark, sf, "fx_certs"), view(spark, sf, "fx_crls"), view(spark, sf, "fx_crl_entries"), _AT, delta=delta)
+    return T.crl_status(view(spark, sf, "fx_certs"), view(spark, sf, "fx_crls"), view(spark, sf, "fx_crl_entries"), _at(), delta=delta)
 
 
 _CRL_COLUMNS = "cert_id, crl_id, status, reason, strftime(revocation_date, '%Y-%m-%d') AS revoked_on, strftime(invalidity_date, '%Y-%m-%d') AS invalid_on, partial, code"
@@ -96,7 +97,7 @@ SELECT cert_id, response_id, CASE WHEN code IS NULL THEN status END AS status, c
 def ocsp_rows(spark, sf):
     certs = view(spark, sf, "fx_certs")
     issuers = certs.filter("is_ca OR subject LIKE 'CN=ca-%'").select("subject").distinct().withColumn("key", F.concat(F.lit("key-"), F.substring("subject", 4, 99)))
-    return T.ocsp_match(certs, issuers, view(spark, sf, "fx_ocsp"), _AT)
+    return T.ocsp_match(certs, issuers, view(spark, sf, "fx_ocsp"), _at())
 
 
 @query("j6_ocsp_match", OCSP)
@@ -216,8 +217,8 @@ def crl_in_scope(spark, sf):
 SELECT 'crl' AS kind, crl_id AS id, CASE WHEN this_update - INTERVAL 365 DAY > TIMESTAMP '{AT}' THEN 'not_yet' WHEN next_update IS NULL THEN 'no_next_update' WHEN next_update + INTERVAL 365 DAY < TIMESTAMP '{AT}' THEN 'expired' ELSE 'ok' END AS fresh FROM fx_crls
 UNION ALL SELECT 'ocsp', response_id, CASE WHEN this_update - INTERVAL 5 MINUTE > TIMESTAMP '{AT}' THEN 'not_yet' WHEN next_update IS NULL THEN CASE WHEN this_update + INTERVAL 100 DAY < TIMESTAMP '{AT}' THEN 'too_old' ELSE 'ok' END WHEN next_update + INTERVAL 5 MINUTE < TIMESTAMP '{AT}' THEN 'expired' ELSE 'ok' END FROM fx_ocsp""")
 def freshness_window(spark, sf):
-    crls = T.freshness_window(view(spark, sf, "fx_crls"), _AT, "365 days").select(F.lit("crl").alias("kind"), F.col("crl_id").cast("long").alias("id"), "fresh")
-    return crls.union(T.freshness_window(view(spark, sf, "fx_ocsp"), _AT, max_age="100 days").select(F.lit("ocsp"), F.col("response_id").cast("long"), "fresh"))
+    crls = T.freshness_window(view(spark, sf, "fx_crls"), _at(), "365 days").select(F.lit("crl").alias("kind"), F.col("crl_id").cast("long").alias("id"), "fresh")
+    return crls.union(T.freshness_window(view(spark, sf, "fx_ocsp"), _at(), max_age="100 days").select(F.lit("ocsp"), F.col("response_id").cast("long"), "fresh"))
 
 
 STAMPS = "SELECT *, CASE WHEN NOT imprint_ok THEN 'HASH_FAILURE' WHEN sig_ok IS NULL THEN 'UNKNOWN' WHEN NOT sig_ok THEN 'SIG_CRYPTO_FAILURE' WHEN NOT eku_ok THEN 'EKU_FAILURE' WHEN NOT trusted THEN 'NO_CERTIFICATE_CHAIN_FOUND' ELSE 'VALID' END AS verdict FROM fx_timestamps"
