@@ -7,7 +7,7 @@ Bands of coordinates propose pairs, and every link is confirmed on the full shin
 Work on large groups stays in proportion to their size. Texts with equal words are collapsed first. Each bucket's
 members are then confirmed against its smallest member only, which joins most groups at once; what remains are buckets
 that still hold several components, and there members outside the largest component meet the others across components,
-pairs being kept only if sizes and a 160-bit sketch allow the threshold. Nothing is capped: a pair that shares a bucket
+pairs being kept only if sizes and a 320-bit sketch allow the threshold. Nothing is capped: a pair that shares a bucket
 and is not yet connected is always confirmed or refuted on full sets.
 """
 
@@ -21,10 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut, small
+from attestry.llm.shared import cut
 
-WORDS, ROWS, BANDS = 5, 5, 32
-COORDS = ROWS * BANDS
+#: Bands use the first ROWS * BANDS coordinates, the sketch has a bit of each.
+WORDS, ROWS, BANDS, COORDS = 5, 6, 40, 320
+LONGS = COORDS // 64
+#: Standard deviations by which a sketch must miss the threshold to rule a pair out.
+SIGMAS = 5
 #: Texts that one task holds a leader's set against, at most; more are dealt to several tasks.
 FOLLOWERS = 500
 #: Elements that one sweep over all coordinates works on; they stay in the CPU's cache.
@@ -93,13 +96,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bands_and_sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set: a 64-bit key a band, and one bit a coordinate in three 64-bit numbers."""
-    s = sig.astype(np.uint64).reshape(BANDS, ROWS, -1)
+    """For each set: a 64-bit key a band, and one bit a coordinate."""
+    s = sig[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS, -1)
     keys = np.repeat(mix64(np.arange(1, BANDS + 1, dtype=np.uint64))[:, None], s.shape[2], 1)
     for j in range(ROWS):
         keys = mix64(keys * _WEIGHT + s[:, j])
     bits = ((sig ^ (sig >> np.uint32(16))) & np.uint32(1)).astype(np.uint8)
-    bits = np.concatenate([bits, np.zeros((192 - COORDS, bits.shape[1]), np.uint8)])
     return keys.T.view(np.int64), np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64)
 
 
@@ -162,9 +164,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     leaders = lots.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("salt"), F.lit(False).alias("follows"))
     followers = pairs.join(cut(lots.filter("lots > 1"), "dedup-lots"), "a", "left").select(
         F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.coalesce("lots", F.lit(1))).cast("int").alias("salt"), F.lit(True).alias("follows"))
-    needs = small(cut(leaders.unionByName(followers), "dedup-needs"))
+    needs = cut(leaders.unionByName(followers), "dedup-needs")
     return (
-        texts.join(needs, "id").select("a", "salt", "follows", "id", "text")
+        texts.join(needs.hint("merge"), "id").select("a", "salt", "follows", "id", "text")
         .repartition("a", "salt").sortWithinPartitions("a", "salt", "follows")
         .mapInPandas(_confirm(percent, size), "a long, b long").distinct()
     )
@@ -194,10 +196,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """False only for pairs that the sizes rule out, or whose sketches differ by 6.5 standard deviations more than at the threshold."""
+    """False only for pairs that the sizes rule out, or whose sketches differ by SIGMAS standard deviations more than at the threshold."""
     p = (1 - percent / 100) / 2
-    most = int(COORDS * p + 6.5 * (COORDS * p * (1 - p)) ** 0.5) + 1
-    differ = sum((F.bit_count(F.col(f"{a}.bits")[j].bitwiseXOR(F.col(f"{b}.bits")[j])) for j in range(3)), F.lit(0))
+    most = int(COORDS * p + SIGMAS * (COORDS * p * (1 - p)) ** 0.5) + 1
+    differ = sum((F.bit_count(F.col(f"{a}.bits")[j].bitwiseXOR(F.col(f"{b}.bits")[j])) for j in range(LONGS)), F.lit(0))
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
     return sizes & (differ <= most)
 
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     is the one shingle. Repeated rows each keep their row; rows that share a doc_id count as one document. A null doc_id
     gives a null component, is linked with nothing and is kept. Other columns are not read. No documents: no rows.
 
-    A pair at 0.85 shares no band with probability 7e-9, one at 0.80 with 3e-6.
+    A pair at 0.85 shares no band with probability 6e-9, one at 0.80 with 5e-6; a sketch rules out a pair at the threshold with 3e-7.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     feats = cut(texts.mapInArrow(_features(size), "id long, fp binary, n long, bands array<long>, bits array<long>"), "dedup-features")
@@ -231,10 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     links = cut(confirmed(first, texts, percent, size), "dedup-links")
     comps = cut(components(links), "dedup-components")
 
-    members = cut(shared.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "dedup-members")
+    info = sizes.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "bits")
+    members = cut(shared.select("key", "id").join(info, "id"), "dedup-members")
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = cut(counts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"), "dedup-mixed")
-    rest = cut(members.join(mixed, "key").join(sizes, "id").select("key", "id", "comp", "main", "n", "bits"), "dedup-rest")
+    rest = cut(members.join(mixed, "key"), "dedup-rest")
     x = rest.filter("comp <> main").select("key", F.struct("id", "comp", "n", "bits").alias("x"))
     y = rest.select("key", F.struct("id", "comp", "main", "n", "bits").alias("y"))
     across = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
