@@ -11,6 +11,7 @@ pairs being kept only if sizes and a 320-bit sketch allow the threshold. Nothing
 and is not yet connected is always confirmed or refuted on full sets.
 """
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from attestry.llm.shared import cut
 
-#: Bands use the first ROWS * BANDS coordinates, the sketch has a bit of each.
-WORDS, ROWS, BANDS, COORDS = 5, 6, 40, 320
+#: Bands of ROWS coordinates each, as many as MISS asks for; the sketch has a bit of every coordinate.
+WORDS, ROWS, COORDS = 5, 6, 320
+#: Probability that a pair just at the threshold shares no band.
+MISS = 1e-6
 LONGS = COORDS // 64
 #: Standard deviations by which a sketch must miss the threshold to rule a pair out.
 SIGMAS = 5
@@ -95,17 +98,22 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands_and_sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(percent: int) -> int:
+    """The fewest bands with which a pair at the threshold is missed with probability MISS at most; as many as there are coordinates for, beyond that."""
+    return min(COORDS // ROWS, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)))
+
+
+def bands_and_sketch(sig: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """For each set: a 64-bit key a band, and one bit a coordinate."""
-    s = sig[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS, -1)
-    keys = np.repeat(mix64(np.arange(1, BANDS + 1, dtype=np.uint64))[:, None], s.shape[2], 1)
+    s = sig[: bands * ROWS].astype(np.uint64).reshape(bands, ROWS, -1)
+    keys = np.repeat(mix64(np.arange(1, bands + 1, dtype=np.uint64))[:, None], s.shape[2], 1)
     for j in range(ROWS):
         keys = mix64(keys * _WEIGHT + s[:, j])
     bits = ((sig ^ (sig >> np.uint32(16))) & np.uint32(1)).astype(np.uint8)
     return keys.T.view(np.int64), np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64)
 
 
-def _features(size: int):
+def _features(size: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, todo, total = 0, [], 0
@@ -114,17 +122,17 @@ def _features(size: int):
                 todo.append((xxhash.xxh3_128_digest(w.tobytes()), shingles(w, size)))
                 total += len(todo[-1][1])
                 if total >= SWEEP:
-                    yield _rows(batch.column("id").slice(done, len(todo)), todo)
+                    yield _rows(batch.column("id").slice(done, len(todo)), todo, n_bands)
                     done, todo, total = done + len(todo), [], 0
             if todo:
-                yield _rows(batch.column("id").slice(done, len(todo)), todo)
+                yield _rows(batch.column("id").slice(done, len(todo)), todo, n_bands)
 
     return run
 
 
-def _rows(ids: pa.Array, todo: list) -> pa.RecordBatch:
+def _rows(ids: pa.Array, todo: list, n_bands: int) -> pa.RecordBatch:
     full = [j for j, x in enumerate(todo) if len(x[1])]
-    keys, sketch = bands_and_sketch(signatures([todo[j][1] for j in full])) if full else ([], [])
+    keys, sketch = bands_and_sketch(signatures([todo[j][1] for j in full]), n_bands) if full else ([], [])
     bands, bits = [None] * len(todo), [None] * len(todo)
     for j, k, b in zip(full, keys, sketch):
         bands[j], bits[j] = k, b
@@ -213,10 +221,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     is the one shingle. Repeated rows each keep their row; rows that share a doc_id count as one document. A null doc_id
     gives a null component, is linked with nothing and is kept. Other columns are not read. No documents: no rows.
 
-    A pair at 0.85 shares no band with probability 6e-9, one at 0.80 with 5e-6; a sketch rules out a pair at the threshold with 3e-7.
+    A pair just at the threshold shares no band with probability 1e-6 at most, and is ruled out by its sketch with 3e-7; above it both fall fast.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    feats = cut(texts.mapInArrow(_features(size), "id long, fp binary, n long, bands array<long>, bits array<long>"), "dedup-features")
+    feats = cut(texts.mapInArrow(_features(size, bands_for(percent)), "id long, fp binary, n long, bands array<long>, bits array<long>"), "dedup-features")
     full = feats.filter("n > 0 AND id IS NOT NULL")
     reps = cut(full.groupBy("fp").agg(F.min("id").alias("rep")), "dedup-copies")
     texts_once = full.join(reps, "fp").filter("id = rep").dropDuplicates(["id", "fp"])
