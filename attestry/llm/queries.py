@@ -37,9 +37,9 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; those of low quality are counted again without their repeated lines; toxic ones are deleted; and the second batch is sent once more."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = TokenLedger(spark, shared_path(spark, "token-ledger"))
-    low = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    revised = counted(low.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n")), "revise")
-    deleted = counted(docs.join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.lit("")), "delete")
+    once = docs.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    revised = counted(once, "revise").join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")  # counts are joined, not texts
+    deleted = counted(docs.withColumn("text", F.lit("")), "delete").join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     ledger.commit("1-load", counted(docs, "insert"))
     ledger.commit("2-clean", revised)
     ledger.commit("3-takedown", deleted)

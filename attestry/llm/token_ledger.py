@@ -8,7 +8,7 @@ rows, so a batch costs what it changes and never a recount. A batch that is comm
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import path_exists
+from attestry.llm.shared import cut, path_exists
 
 KEY = ["doc_id", "tokenizer"]
 DIMS = ["source", "lang", "tokenizer"]
@@ -83,10 +83,10 @@ class TokenLedger:
         rows = changes.filter(F.col("op").isin("insert", "revise", "delete") & F.col("doc_id").isNotNull() & F.col("tokenizer").isNotNull())
         order = F.col(ordered_by) if ordered_by else F.lit(0)
         n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0))
-        last = (
+        last = cut(
             rows.groupBy(*KEY)
             .agg(F.max(F.struct(order.alias("o"), (F.col("op") == "delete").alias("d"), n.alias("n"), "source", "lang")).alias("x"))
-            .select(*KEY, "x.d", F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.n").alias("n"))
+            .select(*KEY, "x.d", F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.n").alias("n")), "ledger-batch"
         )
         held = self._read("signed", _SIGNED)
         live = held.groupBy(*KEY, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs > 0")
