@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: The code points of white space, and what may follow an apostrophe at a piece's start.
 _SPACES = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -89,19 +89,30 @@ class Bpe:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
+        self.pieces, self.older = {}, {}
+
     def _forget(self) -> None:
-        self.chunks, self.pieces = _Chunks(self._learn), {}
+        self.chunks = _Chunks(self._learn)
         self.ends, self.ids = array("q", [0]), array("I")
 
     def _piece(self, piece: str) -> list[int]:
+        """Ids of a piece. Pieces that are not asked for between two fillings of the table are forgotten."""
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_byte_letters()))]
+            ids = self.older.get(piece)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_byte_letters()))])
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces, self.older = {}, self.pieces
             self.pieces[piece] = ids
         return ids
 
     def _learn(self, chunk: str) -> int:
         """The row of a new chunk; -1 if it can't be looked at alone."""
+        if chunk.isalpha():
+            self.ids.extend(self._piece(" " + chunk))
+            self.ends.append(len(self.ids))
+            return len(self.ends) - 2
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return -1
         if not chunk.isascii() and any(_classes()[ord(c)] == _UNKNOWN for c in chunk):
@@ -116,7 +127,7 @@ class Bpe:
         text = text or ""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if len(self.chunks) > REMEMBERED:
             self._forget()
         first, *rest = text.split(" ")
         rows = np.fromiter(map(self.chunks.__getitem__, rest), np.int64, len(rest))

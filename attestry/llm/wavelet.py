@@ -26,7 +26,7 @@ def pack(doc_ids: list, tokens: list[np.ndarray], end_id: int) -> bytes:
         ids = ids.astype(np.uint16)
     planes = []
     for level in reversed(range(levels)):
-        bit = (ids >> ids.dtype.type(level)) & ids.dtype.type(1) > 0
+        bit = ids & ids.dtype.type(1 << level) != 0
         packed = np.packbits(bit, bitorder="little")
         planes.append(np.pad(packed, (0, -len(packed) % 8)).tobytes())
         ids = np.concatenate([ids[~bit], ids[bit]])
