@@ -93,7 +93,7 @@ def heading_skips_levels(spark, sf):
     return H.heading_skips(spark.sql(_LEVELS, events=view(spark, sf, "events")))
 
 
-@query("u3_remote_references")
+@query("u3_remote_references", "SELECT DISTINCT page_id, unnest([url, url || '?bg', url || '?css']) AS url FROM pages WHERE regexp_matches(url, '^https?://')")
 def remote_references(spark, sf):
     """Pages load nothing from elsewhere, so their own URL is put in front of each as an image and a style."""
     p = view(spark, sf, "pages")
@@ -107,7 +107,8 @@ def role_statistics(spark, sf):
     return H.role_statistics(nodes(spark, sf)).filter("role IN ('P', 'Link', 'LI', 'H1')")
 
 
-@query("a20_structure_checks")
+@query("a20_structure_checks", """
+SELECT page_id, 'TABLE_WITHOUT_ROWS' AS rule, 'error' AS severity FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'TABLE_WITHOUT_HEADERS', 'warning' FROM pages WHERE page_id % 3 < 2""")
 def structure_checks(spark, sf):
     """Every page gets a table: without rows, without headers or whole, by what its text begins with."""
     p = view(spark, sf, "pages")
@@ -124,15 +125,19 @@ def faulty(spark, sf):
     return html_nodes(view(spark, sf, "pages").withColumn("html", F.replace(html, F.lit("</article>"), F.concat(more, F.lit("</article>")))))
 
 
-@query("page_quality", """
+_QUALITY = """
 SELECT page_id, 'NO_LANGUAGE' AS rule, 'error' AS severity FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'NO_TITLE', 'error' FROM pages WHERE page_id % 5 = 0
 UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'NO_ALTERNATIVE' WHEN 1 THEN 'SILENT_LINK' ELSE 'NO_SCOPE' END, CASE page_id % 3 WHEN 0 THEN 'error' ELSE 'warning' END FROM pages WHERE html LIKE '%</article>%'
-UNION ALL SELECT page_id, 'HEADING_SKIP', 'error' FROM pages WHERE page_id % 3 = 2 AND html LIKE '%</article>%'""")
+UNION ALL SELECT page_id, 'HEADING_SKIP', 'error' FROM pages WHERE page_id % 3 = 2 AND html LIKE '%</article>%'"""
+
+
+@query("page_quality", _QUALITY)
 def page_quality(spark, sf):
     return H.page_quality(faulty(spark, sf)).select("page_id", "rule", "severity")
 
 
-@query("page_quality_rollup")
+@query("page_quality_rollup", f"""
+SELECT page_id AS document, rule AS profile, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'error') = 0 AS conforms FROM ({_QUALITY}) GROUP BY ROLLUP (page_id, rule)""")
 def page_quality_rollup(spark, sf):
     return G.conformance_rollup(H.page_quality(faulty(spark, sf)).select(F.col("page_id").alias("document"), F.col("rule").alias("profile"), "severity"))
 
