@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestry.sources import cut
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two revisions (doc_id, page, digest, box) to (doc_id, page_count_changed, content_changed, box_changed); pages beyond the shorter revision only change the count, and a null digest leaves content undecided."""
@@ -48,7 +50,7 @@ def field_inventory(fields: DataFrame, levels: int = 32) -> DataFrame:
     out = tier
     for depth in range(1, levels):
         up = tier.select(F.col("field_id").alias("parent_id"), F.col("name").alias("p_name"), F.col("kind").alias("p_kind"), F.col("flags").alias("p_flags"))
-        tier = fields.join(up, "parent_id").select(*row(F.concat_ws(".", "p_name", "part"), F.coalesce("kind", "p_kind"), F.coalesce("flags", "p_flags"), depth))
+        tier = cut(fields.join(up, "parent_id").select(*row(F.concat_ws(".", "p_name", "part"), F.coalesce("kind", "p_kind"), F.coalesce("flags", "p_flags"), depth)), "field-tier")
         if tier.isEmpty():
             break
         out = out.unionByName(tier)
@@ -63,7 +65,7 @@ def inherited_property(nodes: DataFrame, levels: int = 64) -> DataFrame:
     for distance in range(1, levels + 1):
         ready = live.filter("value IS NOT NULL OR at IS NULL").select("node_id", "value", "distance")
         done = ready if done is None else done.unionByName(ready)
-        live = live.filter("value IS NULL AND at IS NOT NULL").join(up, "at").select("node_id", F.col("next").alias("at"), F.col("up_value").alias("value"), F.lit(distance).alias("distance"))
+        live = cut(live.filter("value IS NULL AND at IS NOT NULL").join(up, "at").select("node_id", F.col("next").alias("at"), F.col("up_value").alias("value"), F.lit(distance).alias("distance")), "inherited")
         if live.isEmpty():
             break
     return done.select("node_id", "value", F.when(F.col("value").isNotNull(), F.col("distance")).alias("distance"))

@@ -16,6 +16,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that later rounds of a loop neither compute it again nor depend on the executors that made it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(ledger_id, pos, line) of files with a JSON record a line; the file's name is the ledger. Position is the line's, so a file is read whole."""
     files = spark.read.text(path, wholetext=True).withColumn("f", F.col("_metadata.file_name"))
