@@ -10,7 +10,7 @@ from attestry.llm.licenses import scan_licenses
 from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
 from attestry.llm.quality import judge_quality
-from attestry.llm.shared import shared_path
+from attestry.llm.shared import cut, shared_path
 from attestry.llm.surrogates import replace_pii
 from attestry.llm.token_ledger import TokenLedger, counted
 from attestry.llm.token_shards import read_documents, write_shards
@@ -38,7 +38,8 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = TokenLedger(spark, shared_path(spark, "token-ledger"))
     once = docs.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    revised = counted(once, "revise").join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")  # counts are joined, not texts
+    again = cut(counted(once, "revise"), "recounted")  # written before the join, which would otherwise be pushed below the counts and move texts
+    revised = again.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     deleted = counted(docs.withColumn("text", F.lit("")), "delete").join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     ledger.commit("1-load", counted(docs, "insert"))
     ledger.commit("2-clean", revised)
