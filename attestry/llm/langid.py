@@ -70,7 +70,7 @@ class _Vectors:
     """Vectors of the triples met so far, by row; forgets all when full."""
 
     def __init__(self, dims: int) -> None:
-        self.dims, self.rows, self.table = dims, {}, np.empty((256, dims), np.float32)
+        self.dims, self.rows, self.table = dims, {}, np.empty((256, dims), np.int8)
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of count times vector."""
@@ -85,7 +85,7 @@ class _Vectors:
                     if n >= len(self.table):
                         self.table = np.concatenate([self.table, np.empty_like(self.table)])
                     self.table[n] = triple_vector(k, self.dims)
-            total += counts[i : i + 4096].astype(np.float32) @ self.table[[self.rows[k] for k in part]]
+            total += counts[i : i + 4096].astype(np.float32) @ self.table[[self.rows[k] for k in part]].astype(np.float32)
         return total
 
 

@@ -54,7 +54,7 @@ class _Words(dict):
     """64-bit hashes of words; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
