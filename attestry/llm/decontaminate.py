@@ -1,8 +1,8 @@
 """Benchmark passages in documents, found within an edit distance (operator 4).
 
 An item of m characters may differ from a passage by k edits. Cut into k + 1 pieces, at least one of these must occur
-unchanged: all pieces are looked for at once, and around each hit Myers' bit-parallel recurrence gives the distance of
-the item to the best passage.
+unchanged, and next to it the neighbouring pieces with no more edits than there are of these: all pieces are looked for at
+once, and around each hit with such neighbours Myers' bit-parallel recurrence gives the distance of the item to the best passage.
 """
 
 from collections.abc import Iterator
@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of an item's characters that may be edited; a piece has at least this many characters.
-ERROR_RATE, LEAST_PIECE = 0.1, 12
+#: Share of an item's characters that may be edited.
+ERROR_RATE = 0.1
 #: Characters of items that are broadcast at once; a larger benchmark is searched in as many rounds as it takes.
 BLOCK_CHARS = 16 << 20
-#: Characters that an item must have; shorter ones are no evidence.
+#: Items of fewer characters must stand in a text as they are, and between word borders.
 LEAST_ITEM = 32
 
 
@@ -26,8 +26,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, rate: float = ERROR_RATE) -> int:
-    """Edits allowed: a share of the length, but never so many that pieces fall below LEAST_PIECE."""
-    return max(0, min(int(rate * len(item)), len(item) // LEAST_PIECE - 1))
+    """Edits allowed: a share of the length; none in short items."""
+    return min(int(rate * len(item)), len(item) - 1) if len(item) >= LEAST_ITEM else 0
 
 
 def split(item: str, k: int) -> list[tuple[int, str]]:
@@ -36,6 +36,28 @@ def split(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def beside(item: str, k: int, i: int) -> tuple[int, int, int, tuple[str, ...]] | None:
+    """(start, end, edits, parts) of what is cut off together with piece i when the k + 1 pieces are halved again and again.
+
+    Of a passage within k edits one half always has fewer edits than pieces, and so on down to one piece without any. So what
+    is beside that piece has as many edits as pieces at most, and of one part more than these one stands there unchanged.
+    """
+    lo, hi, last = 0, k + 1, None
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        last = (mid, hi) if i < mid else (lo, mid)
+        lo, hi = (lo, mid) if i < mid else (mid, hi)
+    if last is None:
+        return None
+    a, b = (len(item) * x // (k + 1) for x in last)
+    return a, b, last[1] - last[0], tuple(part for _, part in split(item[a:b], last[1] - last[0]))
+
+
+def bordered(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends inside a word."""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum() or b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
 def myers(masks: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] | None:
     """(distance, end) of the best passage of text within k edits of a pattern of m characters; the first of equals.
 
@@ -67,10 +89,10 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = [(i, s, budget(s, rate)) for i, s in items]
         self.pieces = ahocorasick.Automaton()
-        found: dict[str, list[tuple[int, int]]] = {}
+        found: dict[str, list[tuple]] = {}
         for n, (_, s, k) in enumerate(self.items):
-            for offset, piece in split(s, k):
-                found.setdefault(piece, []).append((n, offset))
+            for i, (offset, piece) in enumerate(split(s, k)):
+                found.setdefault(piece, []).append((n, offset, beside(s, k, i)))
         for piece, uses in found.items():
             self.pieces.add_word(piece, (len(piece), tuple(uses)))
         if found:
@@ -89,13 +111,20 @@ class Matcher:
         windows: dict[int, list[tuple[int, int]]] = {}
         if len(self.pieces):
             for end, (size, uses) in self.pieces.iter(text):
-                for n, offset in uses:
+                for n, offset, near in uses:
                     _, s, k = self.items[n]
                     at = end + 1 - size - offset
+                    if near is not None:
+                        a, b, edits, parts = near
+                        there = text[at + a : at + b + edits] if a > offset else text[max(0, at + a - edits) : max(0, at + b)]
+                        if not any(part in there for part in parts):
+                            continue
+                    elif len(s) < LEAST_ITEM and not bordered(text, at, end + 1):
+                        continue
                     windows.setdefault(n, []).append((max(0, at - k), min(len(text), at + len(s) + k)))
         for n, spans in windows.items():
             item, s, k = self.items[n]
-            exact = text.find(s)
+            exact = text.find(s) if k else spans[0][0]
             best = (0, max(0, exact - k), exact + len(s)) if exact >= 0 else None
             for a, b in merged(spans) if best is None else ():
                 got = myers(self._masks(n), len(s), text[a:b], k)
@@ -119,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """(doc_id, item_id, distance, match_end, item_chars): a row for each document and benchmark item that it holds within the budget.
 
     Texts are compared in lower case with white space as single blanks; match_end counts characters of that form. Items
-    that are null or shorter than LEAST_ITEM then are no evidence and match nothing; items of equal text are reported for each
+    that are null or blank match nothing, and those shorter than LEAST_ITEM only themselves, between word borders; items of equal text are reported for each
     item_id. Null and empty documents hold nothing; repeated rows are each reported. No documents or no items: no rows.
 
     Documents are only read: no shuffle. The benchmark is broadcast in blocks of BLOCK_CHARS characters at most (one item alone may be
@@ -131,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     texts, out = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")), None
     for b in range(blocks):
         rows = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        block = docs.sparkSession.sparkContext.broadcast([(r["i"], s) for r in rows.distinct().toLocalIterator() if len(s := normal(r["t"])) >= LEAST_ITEM])
+        block = docs.sparkSession.sparkContext.broadcast([(r["i"], s) for r in rows.distinct().toLocalIterator() if (s := normal(r["t"]))])
         found = texts.mapInArrow(_searcher(block, rate), "doc_id long, item_id long, distance int, match_end long, item_chars int")
         out = found if out is None else out.unionByName(found)
     return out
@@ -162,7 +191,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
     at = docs.columns.index(text)
     for b in range(blocks):
         rows = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        block = docs.sparkSession.sparkContext.broadcast([(n, s) for n, r in enumerate(rows.distinct().toLocalIterator()) if len(s := normal(r["t"])) >= LEAST_ITEM])
+        block = docs.sparkSession.sparkContext.broadcast([(n, s) for n, r in enumerate(rows.distinct().toLocalIterator()) if (s := normal(r["t"]))])
         docs = docs.mapInArrow(_keeper(block, rate, at), docs.schema)
     return docs
 
