@@ -15,9 +15,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+from attestry.llm.shared import cut, small
 
 DIMS = 1024
+#: A text must reach SLACK times the cosine that all but LOW of its language's learning texts of as many triples reach, and NOISE standard
+#: deviations of unrelated vectors. Classes of fewer than CLASS_ROWS learning texts take in those of fewer triples, then those
+#: of more, whose cosines are scaled: while most triples of a text differ, its cosine grows with the root of their number.
+LOW, SLACK, NOISE, CLASS_ROWS = 0.05, 0.5, 3.0, 100
 #: Code points that are looked at together, and triples whose vectors a worker remembers.
 SEGMENT, REMEMBERED = 1 << 20, 1 << 15
 UNDETERMINED = "und"
@@ -111,8 +117,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from out()
 
 
-def prototypes(labelled: DataFrame, lang: str = "lang", text: str = "text", dims: int = DIMS) -> dict[str, np.ndarray]:
-    """Unit vectors by language, from all rows with text and language.
+def bundles(labelled: DataFrame, lang: str = "lang", text: str = "text", dims: int = DIMS) -> dict[str, np.ndarray]:
+    """Sums of vectors by language, from all rows with text and language.
 
     Triples are counted by Spark. Each language's counts are bundled in 16 lots, so what reaches the driver is 16 vectors
     a language, whatever the number of texts.
@@ -128,7 +134,12 @@ def prototypes(labelled: DataFrame, lang: str = "lang", text: str = "text", dims
     found: dict[str, np.ndarray] = {}
     for row in sorted(lots.collect()):
         found[row["lang"]] = found.get(row["lang"], 0) + np.array(row["v"])
-    return {k: v / n for k, v in sorted(found.items()) if (n := np.linalg.norm(v)) > 0}
+    return {k: v for k, v in sorted(found.items()) if v.any()}
+
+
+def prototypes(labelled: DataFrame, lang: str = "lang", text: str = "text", dims: int = DIMS) -> dict[str, np.ndarray]:
+    """The bundles as unit vectors."""
+    return {k: v / np.linalg.norm(v) for k, v in bundles(labelled, lang, text, dims).items()}
 
 
 def predict(docs: DataFrame, found: dict[str, np.ndarray], text: str = "text", dims: int = DIMS) -> DataFrame:
@@ -162,3 +173,75 @@ def predict(docs: DataFrame, found: dict[str, np.ndarray], text: str = "text", d
 def identify(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", dims: int = DIMS) -> DataFrame:
     """predict() with prototypes of those rows of docs for which `learn` holds."""
     return predict(docs, prototypes(docs.filter(learn), lang, text, dims), text, dims)
+
+
+def known(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", dims: int = DIMS) -> DataFrame:
+    """docs without texts that have no letter or are in none of the languages learned from the rows for which `learn` holds.
+
+    The bound is the language's own, by the number of distinct triples (in powers of two), so that short texts and texts of
+    repeated words are held against their like. Learning texts are compared with their language's bundle without themselves.
+    All rows are judged once and written to the shared folder; the driver sees counts by language, class and cosine in hundredths.
+    """
+    columns, floor = docs.columns, NOISE / dims**0.5
+    docs = docs.withColumn("__learn", F.coalesce(learn, F.lit(False)))
+    sums = bundles(docs.filter("__learn"), lang, text, dims)
+    judged = cut(_judge(docs, sums, lang, text, dims), "language-judged")
+    counts = judged.filter("__own IS NOT NULL").groupBy(F.col(lang).alias("l"), "__class", F.floor(F.col("__own") * 100).alias("c")).count().collect()
+    least = _bounds([(r["l"], r["__class"], r["c"] / 100, r["count"]) for r in counts], floor)
+    bounds = docs.sparkSession.createDataFrame(least, "__pred string, __class int, __least double")
+    held = judged.filter(F.col("__pred").isNotNull()).join(small(bounds), ["__pred", "__class"], "left")
+    return held.filter(F.col("__score") >= F.coalesce("__least", F.lit(floor))).select(*columns)
+
+
+def _bounds(counts: list[tuple[str, int, float, int]], floor: float) -> list[tuple[str, int, float]]:
+    """(language, class, least cosine) for the classes 0 to 31, from (language, class, cosine, rows)."""
+    found: dict[str, dict[int, list[tuple[float, int]]]] = {}
+    for lang, size, cosine, n in counts:
+        found.setdefault(lang, {}).setdefault(size, []).append((cosine, n))
+    out = []
+    for lang, classes in sorted(found.items()):
+        for size in range(32):
+            rows: list[tuple[float, int]] = []
+            for near in [*range(size, -1, -1), *range(size + 1, 32)]:
+                if sum(n for _, n in rows) >= CLASS_ROWS:
+                    break
+                rows += [(c * min(1.0, 2 ** ((size - near) / 2)), n) for c, n in classes.get(near, [])]
+            rows.sort()
+            below = np.cumsum([n for _, n in rows])
+            out.append((lang, size, max(floor, SLACK * rows[int(np.searchsorted(below, LOW * below[-1], "right"))][0])))
+    return out
+
+
+def _judge(docs: DataFrame, sums: dict[str, np.ndarray], lang: str, text: str, dims: int) -> DataFrame:
+    """docs with __pred (null without letters), __score, __class and, for learning rows, __own: the cosine with the rest of their language."""
+    langs, norms = list(sums), {k: float(np.linalg.norm(v)) for k, v in sums.items()}
+    matrix = np.array([v / norms[k] for k, v in sums.items()]) if sums else np.zeros((0, dims))
+    at, of, learns = (docs.columns.index(c) for c in (text, lang, "__learn"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = _Vectors(dims)
+        for batch in batches:
+            out: list[tuple] = []
+            for s, label, learned in zip(*(batch.column(i).to_pylist() for i in (at, of, learns))):
+                v, kinds = np.zeros(dims), 0
+                for keys in triples(s):
+                    unique, counts = np.unique(keys, return_counts=True)
+                    v += vectors.bundle(unique, counts)
+                    kinds = max(kinds, len(unique))
+                n = float(np.linalg.norm(v))
+                if not langs or n == 0:
+                    out.append((None, None, None, None))
+                    continue
+                cos, own = matrix @ v / n, None
+                if learned and label in norms:
+                    dot = cos[langs.index(label)] * norms[label]  # with the unit vector of the text
+                    rest = norms[label] ** 2 - 2 * dot * n + n * n
+                    own = float((dot - n) / rest**0.5) if rest > 1e-6 * n * n else None
+                out.append((langs[int(cos.argmax())], float(cos.max()), kinds.bit_length() - 1, own))
+            cols = list(zip(*out)) or [[]] * 4
+            kind = (pa.string(), pa.float64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(cols, kind))], names)
+
+    new = [("__pred", StringType()), ("__score", DoubleType()), ("__class", IntegerType()), ("__own", DoubleType())]
+    names = [*docs.columns, *(c for c, _ in new)]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, k) for c, k in new)]))

@@ -5,21 +5,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.decontaminate import decontaminated
-from attestry.llm.langid import UNDETERMINED, identify
+from attestry.llm.langid import known
 from attestry.llm.minhash import deduplicated
 from attestry.llm.mixing import mix
 from attestry.llm.shared import shared_path
 from attestry.llm.token_shards import read_documents, write_shards
 
-#: Documents whose best cosine is below this are in none of the known languages.
-LEAST_COSINE = 0.05
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those like no known language. Prototypes come from the rows whose crc32(doc_id) mod 4 is not 2. A null lang teaches nothing; a null text goes."""
+    """Rejects documents without letters and those less like their nearest language than its learning texts of that size. Prototypes come from the rows whose crc32(doc_id) mod 4 is not 2. A null lang teaches nothing; a null text goes."""
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
-    judged = identify(docs.drop("lang_pred", "score"), learn)
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    return known(docs, learn)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
