@@ -1,28 +1,32 @@
-"""Byte-level BPE of whole texts with the tokenizers library, each distinct piece being encoded once.
+"""Byte-level BPE of whole texts with the tokenizers library, each distinct piece being encoded once a segment.
 
-The tokenizer first cuts a text into pieces (words with their space, numbers, punctuation, white space), and a piece's
-ids depend on nothing else. Pieces are cut here by array operations, the library encodes those not met before, and
-ids are gathered from a table. Texts that hold a special token's string, or code points that this Python's Unicode
-tables don't know, are given to the library as a whole.
+A byte-level tokenizer first cuts a text into pieces (words with their space, numbers, punctuation, white space), and a
+piece's ids depend on nothing else. Where a vocabulary file asks for just this, many texts are cut at once by array
+operations, Arrow numbers the distinct pieces, the library's model encodes these, and ids are gathered by number. Any
+other file's texts, and texts that hold an added token's string or code points that this Python's Unicode tables don't
+know, are given to the library as a whole.
 """
 
+import json
 import unicodedata
-from array import array
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers.
-REMEMBERED = 1 << 18
+#: Characters that are cut at once, and pieces (some 40 bytes each) that a worker remembers from one segment to the next.
+SEGMENT, REMEMBERED = 6 << 20, 1 << 20
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: The code points of white space, and what may follow an apostrophe at a piece's start.
 _SPACES = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 _AFTER_APOSTROPHE = ("s", "t", "re", "ve", "m", "ll", "d")
-#: The same rules as `pieces`, for short strings.
-_S = "".join(map(chr, _SPACES))
-_PIECE = regex.compile(rf"'(?:{'|'.join(_AFTER_APOSTROPHE)})| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: What a vocabulary file must say for pieces to be cut here.
+_PRE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "byte_fallback": False, "ignore_merges": False}
 
 
 @cache
@@ -36,27 +40,27 @@ def _classes() -> np.ndarray:
     return out
 
 
-def pieces(text: str) -> list[str] | None:
-    """The text cut into pieces; None if it holds an unknown code point."""
-    if not text:
-        return []
-    a = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    kind = _classes()[a]
-    if (kind == _UNKNOWN).any():
-        return None
+def cuts(a: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where pieces begin in code points of the given classes; a text begins at each of `begins`."""
     start = np.ones(len(a), bool)
     start[1:] = kind[1:] != kind[:-1]
+    first = np.zeros(len(a) + 1, bool)
+    first[begins] = True
+    first[-1] = True
     space = kind == _SPACE
-    last = space[:-1] & ~space[1:]  # the last of a run of white space stands apart, or goes with what follows if it is a blank
-    start[:-1] |= last
-    start[1:][last & (a[:-1] == 32)] = False
-    for i in np.flatnonzero(a == 39).tolist():
-        if start[i] and (s := next((x for x in _AFTER_APOSTROPHE if text.startswith(x, i + 1)), None)):
-            start[i + 1] = False
-            if (end := i + 1 + len(s)) < len(a):
-                start[end] = True
-    cuts = np.flatnonzero(start).tolist()
-    return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])]
+    last = space & ~np.append(space[1:], False) & ~first[1:]  # the last of a run of white space before other text stands apart,
+    start |= last | first[:-1]
+    after = np.flatnonzero(last & (a == 32)) + 1  # or, if it is a blank, goes with what follows
+    start[after] = False
+    quote = np.flatnonzero((a == 39) & start)
+    for word in _AFTER_APOSTROPHE:
+        at = quote[quote + len(word) < len(a)]
+        for j, c in enumerate(word, 1):
+            at = at[(a[at + j] == ord(c)) & ~first[at + j]]
+        start[at + 1] = False
+        end = at + 1 + len(word)
+        start[end[end < len(a)]] = True
+    return np.flatnonzero(start)
 
 
 @cache
@@ -67,87 +71,105 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Chunks(dict):
-    """Rows of chunks, a chunk being what stands between two blanks, with the blank before it."""
-
-    def __init__(self, learn) -> None:
-        self.learn = learn
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = row = self.learn(chunk)
-        return row
-
-
 class Bpe:
-    """A text is split at blanks. A blank between characters that are not white space always starts a piece, so each
-    chunk is cut into pieces and encoded when it is first met; a text with other white space next to a blank is cut as a whole.
-    """
-
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        pre, model = said["pre_tokenizer"] or {}, said["model"]
+        self.byte_level = said["normalizer"] is None and all(pre.get(k, v) == v for k, v in _PRE.items()) and bool(pre)
+        self.byte_level &= all((model.get(k, v) or v) == v for k, v in _MODEL.items())
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
-
-        self.pieces, self.older = {}, {}
-
-    def _forget(self) -> None:
-        self.chunks = _Chunks(self._learn)
-        self.ends, self.ids = array("q", [0]), array("I")
-
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of a piece. Pieces that are not asked for between two fillings of the table are forgotten."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.older.get(piece)
-            if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_byte_letters()))])
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces, self.older = {}, self.pieces
-            self.pieces[piece] = ids
-        return ids
-
-    def _learn(self, chunk: str) -> int:
-        """The row of a new chunk; -1 if it can't be looked at alone."""
-        if chunk.isalpha():
-            self.ids.extend(self._piece(" " + chunk))
-            self.ends.append(len(self.ids))
-            return len(self.ends) - 2
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return -1
-        if not chunk.isascii() and any(_classes()[ord(c)] == _UNKNOWN for c in chunk):
-            return -1
-        for piece in _PIECE.findall(" " + chunk):
-            self.ids.extend(self._piece(piece))
-        self.ends.append(len(self.ids))
-        return len(self.ends) - 2
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.starts = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and where in them the ids of each of some distinct pieces start and end. Where too many are known, only these are kept."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        row = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy()
+        new = pieces.filter(pa.array(row < 0))
+        if len(new):
+            letters, tokenize = _byte_letters(), self.model.tokenize
+            each = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] for p in new.to_pylist()]
+            row = row.copy()
+            row[row < 0] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum()))])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        return self.ids, self.starts[row], self.starts[row + 1]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids as uint32; none for a null or an empty text."""
-        text = text or ""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.chunks) > REMEMBERED:
-            self._forget()
-        first, *rest = text.split(" ")
-        rows = np.fromiter(map(self.chunks.__getitem__, rest), np.int64, len(rest))
-        head = pieces(first) if first and not first[-1].isspace() else None
-        if (rest or not first) and head is None or len(rows) and rows.min() < 0:
-            cut = pieces(text)
-            if cut is None:
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            return np.array([i for p in cut for i in self._piece(p)], np.uint32)
-        if head is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        start = [i for p in head for i in self._piece(p)]
-        ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32)
-        at = ends[rows]
-        size = ends[rows + 1] - at
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts) -> Iterator[np.ndarray]:
+        """Ids of each text as uint32; none for a null or an empty one."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= SEGMENT:
+                yield from self._segment(held)
+                held, size = [], 0
+        yield from self._segment(held)
+
+    def _segment(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if sum(map(len, texts)) < 2 * SEGMENT:
+            yield from self._encode(texts)
+            return
+        for text in texts:  # a blank between other characters always begins a piece: long texts are cut there
+            parts, at = [], 0
+            while len(text) - at > 2 * SEGMENT:
+                cut = text.find(" ", at + SEGMENT)
+                while cut >= 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
+                    cut = text.find(" ", cut + 1)
+                if cut < 0 or any(s in text for s in self.added):
+                    break
+                parts.append(text[at:cut])
+                at = cut
+            parts.append(text[at:])
+            yield np.concatenate([ids for part in parts for ids in self._encode([part])])
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        own = [self.byte_level and not any(s in t for s in self.added) for t in texts]
+        joined = "".join(t for t, ok in zip(texts, own) if ok)
+        a = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = _classes()[a]
+        ends = np.cumsum([len(t) if ok else 0 for t, ok in zip(texts, own)])
+        begins = np.r_[0, ends[:-1]] if len(ends) else ends
+        for at in np.unique(np.searchsorted(ends, np.flatnonzero(kind == _UNKNOWN), "right")).tolist():
+            own[at] = False
+        ids, bounds = self._gather(joined, a, kind, begins, ends) if len(a) else (np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
+        for n, (text, ok) in enumerate(zip(texts, own)):
+            yield ids[bounds[n] : bounds[n + 1]] if ok else self._whole(text)
+
+    def _gather(self, joined: str, a: np.ndarray, kind: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a segment, and where each text's begin."""
+        at = cuts(a, kind, begins[begins < len(a)])
+        raw = joined.encode()
+        if len(raw) == len(a):
+            places = at
+        else:
+            width = np.ones(len(a), np.uint8)
+            for limit in (0x80, 0x800, 0x10000):
+                width += a >= limit
+            places = (np.cumsum(width, dtype=np.int64) - width)[at]
+        offsets = np.append(places, len(raw)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        number = found.indices.to_numpy()
+        flat, first, after = self._pieces(found.dictionary)
+        size = (after - first)[number]
         last = np.cumsum(size)
-        out = np.empty(len(start) + (int(last[-1]) if len(last) else 0), np.uint32)
-        out[: len(start)] = start
-        out[len(start) :] = ids[np.repeat(at - last + size, size) + np.arange(len(out) - len(start))]
-        return out
+        ids = flat[np.repeat(first[number] - last + size, size) + np.arange(int(last[-1]))]
+        before = np.r_[0, last]
+        return ids, np.r_[before[np.searchsorted(at, begins)], last[-1]]
 
 
 @cache

@@ -34,8 +34,7 @@ def bpe_tokens(path: str):
 
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
-        encode = bpe(path).encode
-        return pd.Series([len(encode(s)) for s in text.array], dtype="int64")
+        return pd.Series([len(ids) for ids in bpe(path).encode_all(text.array)], dtype="int64")
 
     return count
 

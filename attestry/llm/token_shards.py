@@ -28,7 +28,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = bpe(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encoder, part, seq = bpe(tokenizer), TaskContext.get().partitionId(), 0
         ids, tokens, size = [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -37,9 +37,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
                  "n_tokens": pa.array([size], pa.int64()), "file": pa.array([pack(ids, tokens, end_id)], pa.binary())})
 
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, own in zip(batch.column(0).to_pylist(), encoder.encode_all(x.as_py() for x in batch.column(1))):
                 ids.append(i)
-                tokens.append(np.append(encode(s), np.uint32(end_id)))
+                tokens.append(np.append(own, np.uint32(end_id)))
                 size += len(tokens[-1])
                 if size >= shard_tokens:
                     yield shard()
@@ -65,7 +65,10 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
-    """One row a document, decoded from the shards: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32; with their ids if asked for."""
+    """One row a document, decoded from the shards: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32, n_end_ids; with their ids if asked for.
+
+    n_end_ids is how often the end id stands in the document, its own end included, from ranks in the planes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,15 +80,16 @@ def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFra
                     "part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "doc_id": pa.array(shard.doc_ids, pa.int64()),
                     "inside": pa.array([a for a, _ in spans], pa.int64()), "n_tokens": pa.array([b - a for a, b in spans], pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(tokens[a:b]) for a, b in spans], pa.int64()),
+                    "n_end_ids": pa.array(shard.counts(shard.end_id, np.array([0, *ends])), pa.int64()),
                 }
                 if ids:
                     out["ids"] = pa.array([tokens[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
+    schema = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long, n_end_ids long" + ", ids array<int>" * ids
     docs = spark.read.parquet(path).select("part", "seq", "file").mapInArrow(run, schema)
     joined = docs.join(small(shard_starts(spark, path)), ["part", "seq"])
-    return joined.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
+    return joined.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids", *["ids"] * ids)
 
 
 def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:

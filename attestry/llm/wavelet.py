@@ -4,18 +4,21 @@ Level by level, from the highest bit of an id down, the shard keeps the plane of
 order, and then puts ids with bit 0 before those with bit 1, both in order. Ranks in the planes lead from a position
 to its id (access) and from an id to its number (count), selects from an id to its places (occurrences).
 
-File: "WMX1", then little-endian: levels u16, end id u32, tokens u64, documents u64, the lengths of the sections u64 each;
-then the sections, zstd-compressed each: doc ids i64, a null flag a document u8, tokens a document u64, and the planes from the
-highest bit, padded to 64-bit words. A level is only decompressed when it is used.
+File: "WMX2", then little-endian: levels u16, end id u32, tokens u64, documents u64, block length in bits u32, and the lengths of
+the sections u64 each. Sections: doc ids i64, a null flag a document u8, tokens a document u64, zstd-compressed each; then for each level
+its index (ones before each block and all ones, u64; where each block begins and the last ends, u64) and its blocks, each
+compressed by itself. So a rank is one number of the index and the bits of one block, and nothing else is decompressed.
 """
 
 import struct
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import zstandard
 
-MAGIC, HEAD = b"WMX1", "<4sHIQQ"
+MAGIC, HEAD = b"WMX2", "<4sHIQQI"
+#: Bits of a plane that are compressed together.
+BLOCK = 1 << 15
 
 
 def pack(doc_ids: list, tokens: list[np.ndarray], end_id: int) -> bytes:
@@ -24,62 +27,86 @@ def pack(doc_ids: list, tokens: list[np.ndarray], end_id: int) -> bytes:
     levels = max(1, int(ids.max(initial=1)).bit_length())
     if levels <= 16:
         ids = ids.astype(np.uint16)
-    planes = []
-    for level in reversed(range(levels)):
-        bit = ids & ids.dtype.type(1 << level) != 0
-        packed = np.packbits(bit, bitorder="little")
-        planes.append(np.pad(packed, (0, -len(packed) % 8)).tobytes())
-        ids = np.concatenate([ids[~bit], ids[bit]])
     squeeze = zstandard.ZstdCompressor(level=3).compress
     sections = [
-        np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(),
-        np.array([len(t) for t in tokens], "<u8").tobytes(), *planes,
+        squeeze(np.array([x or 0 for x in doc_ids], "<i8").tobytes()), squeeze(np.array([x is None for x in doc_ids], np.uint8).tobytes()),
+        squeeze(np.array([len(t) for t in tokens], "<u8").tobytes()),
     ]
-    packed_sections = [squeeze(s) for s in sections]
-    head = struct.pack(HEAD, MAGIC, levels, end_id, len(ids), len(doc_ids))
-    return b"".join([head, struct.pack(f"<{len(sections)}Q", *map(len, packed_sections)), *packed_sections])
+    for level in reversed(range(levels)):
+        bit = ids & ids.dtype.type(1 << level) != 0
+        blocks = [squeeze(np.packbits(bit[i : i + BLOCK], bitorder="little").tobytes()) for i in range(0, len(bit), BLOCK)]
+        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else []
+        sections.append(np.concatenate([[0], np.cumsum(ones), [0], np.cumsum([len(b) for b in blocks])]).astype("<u8").tobytes())
+        sections.append(b"".join(blocks))
+        ids = np.concatenate([ids[~bit], ids[bit]])
+    head = struct.pack(HEAD, MAGIC, levels, end_id, len(ids), len(doc_ids), BLOCK)
+    return b"".join([head, struct.pack(f"<{len(sections)}Q", *map(len, sections)), *sections])
 
 
 class _Plane:
-    """One bit a position, with ranks and selects."""
+    """One bit a position, with ranks and selects; a block is decompressed when it is asked for."""
 
-    def __init__(self, raw: bytes, n: int) -> None:
-        self.words = np.frombuffer(raw, "<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
-        self.ones = int(self.before[-1])
+    def __init__(self, index: bytes, blocks: memoryview, n: int, size: int) -> None:
+        self.ones_before, self.begins = np.split(np.frombuffer(index, "<u8").astype(np.int64), 2)
+        self.blocks, self.n, self.size = blocks, n, size
+        self.ones = int(self.ones_before[-1])
         self.zeros = n - self.ones
-        self.raw, self.n = raw, n
+        self.block = lru_cache(maxsize=2)(self._block)
+
+    def _block(self, j: int) -> np.ndarray:
+        raw = zstandard.ZstdDecompressor().decompress(self.blocks[self.begins[j] : self.begins[j + 1]])
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=min(self.size, self.n - j * self.size), bitorder="little")
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self.raw, np.uint8), count=self.n, bitorder="little").view(bool)
+        return np.concatenate([np.empty(0, np.uint8), *map(self._block, range(len(self.begins) - 1))]).view(bool)
+
+    def _by_block(self, at: np.ndarray):
+        """(block, which of the positions lie in it)."""
+        of = at // self.size
+        order = np.argsort(of, kind="stable")
+        blocks, first = np.unique(of[order], return_index=True)
+        return zip(blocks.tolist(), np.split(order, first[1:]))
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+        out = np.zeros(len(at), bool)
+        for j, own in self._by_block(at):
+            out[own] = self.block(j)[at[own] - j * self.size]
+        return out
 
     def rank1(self, at: np.ndarray) -> np.ndarray:
-        """Ones before each position."""
-        word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        part = self.words[np.minimum(word, len(self.words) - 1)] if len(self.words) else np.zeros_like(low)
-        return self.before[word] + np.where(at & 63, np.bitwise_count(part & low), 0)
+        """Ones before each position, which may be the end."""
+        out = np.full(len(at), self.ones, np.int64)
+        for j, own in self._by_block(at):
+            if j * self.size >= self.n:
+                continue
+            out[own] = self.ones_before[j]
+            inside = at[own] - j * self.size
+            if inside.any():
+                out[own] += np.r_[0, np.cumsum(self.block(j), dtype=np.int64)][inside]
+        return out
 
     def select(self, k: np.ndarray, bit: bool) -> np.ndarray:
         """Positions of the k-th (from 0) one or zero."""
-        before = self.before if bit else (np.arange(len(self.before)) << 6) - self.before
-        word = np.searchsorted(before, k, "right") - 1
-        bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == bit
-        return (word << 6) + (np.cumsum(bits, axis=1) > (k - before[word])[:, None]).argmax(axis=1)
+        starts = np.arange(len(self.ones_before)) * self.size
+        starts[-1] = self.n
+        before = self.ones_before if bit else starts - self.ones_before
+        out = np.empty(len(k), np.int64)
+        of = np.searchsorted(before, k, "right") - 1
+        for j in np.unique(of).tolist():
+            own = of == j
+            out[own] = j * self.size + np.flatnonzero(self.block(j) == bit)[k[own] - before[j]]
+        return out
 
 
 class Shard:
     def __init__(self, raw: bytes) -> None:
-        magic, self.levels, self.end_id, self.n, self.n_docs = struct.unpack_from(HEAD, raw)
+        magic, self.levels, self.end_id, self.n, self.n_docs, self.block = struct.unpack_from(HEAD, raw)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        at = struct.calcsize(HEAD)
-        sizes = struct.unpack_from(f"<{3 + self.levels}Q", raw, at)
-        ends = np.cumsum([at + 8 * len(sizes), *sizes]).tolist()
-        self._sections = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        at, count = struct.calcsize(HEAD), 3 + 2 * self.levels
+        sizes = struct.unpack_from(f"<{count}Q", raw, at)
+        ends = np.cumsum([at + 8 * count, *sizes]).tolist()
+        self._sections = [memoryview(raw)[a:b] for a, b in zip(ends, ends[1:])]
         self._planes: dict[int, _Plane] = {}
 
     def __len__(self) -> int:
@@ -90,7 +117,7 @@ class Shard:
 
     def _plane(self, k: int) -> _Plane:
         if k not in self._planes:
-            self._planes[k] = _Plane(self._section(3 + k), self.n)
+            self._planes[k] = _Plane(self._sections[3 + 2 * k], self._sections[4 + 2 * k], self.n, self.block)
         return self._planes[k]
 
     @cached_property
@@ -112,24 +139,26 @@ class Shard:
             at = np.where(bit, plane.zeros + ones, at - ones)
         return out
 
-    def _range(self, token: int, start: int, end: int) -> tuple[int, int]:
-        """Where the occurrences of token among positions start to end lie in the last order."""
+    def narrowed(self, token: int, at: np.ndarray) -> np.ndarray:
+        """For each position, where in the last order the occurrences of token from there on begin."""
         if token < 0 or token >> self.levels:
-            return 0, 0
-        at = np.array([start, end], np.int64)
+            return np.zeros(len(at), np.int64)
         for k in range(self.levels):
             plane = self._plane(k)
             ones = plane.rank1(at)
             at = plane.zeros + ones if token >> (self.levels - 1 - k) & 1 else at - ones
-        return int(at[0]), int(at[1])
+        return at
+
+    def counts(self, token: int, bounds: np.ndarray) -> np.ndarray:
+        """How often token stands between each position of bounds and the next."""
+        return np.diff(self.narrowed(token, np.asarray(bounds, np.int64)))
 
     def count(self, token: int, start: int = 0, end: int | None = None) -> int:
-        a, b = self._range(token, start, self.n if end is None else end)
-        return b - a
+        return int(self.counts(token, np.array([start, self.n if end is None else end]))[0])
 
     def occurrences(self, token: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """All positions of a token from start to end, ascending."""
-        at = np.arange(*self._range(token, start, self.n if end is None else end), dtype=np.int64)
+        at = np.arange(*self.narrowed(token, np.array([start, self.n if end is None else end], np.int64)), dtype=np.int64)
         for k in reversed(range(self.levels)):
             plane, bit = self._plane(k), bool(token >> (self.levels - 1 - k) & 1)
             if len(at):
@@ -140,7 +169,7 @@ class Shard:
         """All ids, by undoing the levels from the last."""
         ids = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for k in reversed(range(self.levels)):
-            bit = _Plane(self._section(3 + k), self.n).bits()
+            bit = self._plane(k).bits()
             zeros = self.n - int(np.count_nonzero(bit))
             back = np.empty_like(ids)
             back[~bit] = ids[:zeros]

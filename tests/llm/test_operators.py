@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestry.llm import decontaminate, langid, licenses, minhash, mixing, quality, surrogates, token_ledger, token_shards, url_filter
+from attestry.llm import bpe, decontaminate, langid, licenses, minhash, mixing, quality, surrogates, token_ledger, token_shards, url_filter, wavelet
 from attestry.llm.bpe import Bpe
 from attestry.llm.shared import shared_path
 from attestry.llm.wavelet import Shard, pack
@@ -67,8 +67,26 @@ ENCODER = Bpe(BPE)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 70000), max_size=40), max_size=8))
-def test_wavelet_shard_answers_like_a_list(docs):
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("'’ strevmld \n\tA9é²<|>_"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6), st.sampled_from([3, 20, 1 << 20]))
+def test_texts_encoded_together_are_encoded_alone(texts, segment):
+    old, bpe.SEGMENT = bpe.SEGMENT, segment
+    try:
+        assert [x.tolist() for x in ENCODER.encode_all(texts)] == [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        bpe.SEGMENT = old
+
+
+def test_another_vocabulary_file_goes_through_the_library():
+    other = Bpe(public_tokenizers.path("word_bpe_49k.json"))
+    assert ENCODER.byte_level and not other.byte_level
+    for text in ("Don't  STOP <|endoftext|> now", "", "漢字 x\n\ny"):
+        assert other.encode(text).tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 70000), max_size=40), max_size=8), st.sampled_from([8, 64, 1 << 15]))
+def test_wavelet_shard_answers_like_a_list(docs, block):
+    wavelet.BLOCK = block
     ids = [np.array(d, np.uint32) for d in docs]
     flat = [x for d in docs for x in d]
     shard = Shard(pack([None if k == 1 else k for k in range(len(docs))], ids, 2))
@@ -101,6 +119,11 @@ def test_shards_round_trip(spark, docs, empty):
     flat = Counter(x for r in got for x in r["ids"])
     assert {r["token"]: r["n"] for r in token_shards.token_counts(spark, path, [2, 11, 60000]).collect()} == {2: flat[2], 11: flat[11], 60000: 0}
     assert token_shards.token_occurrences(spark, path, 2).count() == len(got)
+    assert all(r["n_end_ids"] == list(r["ids"]).count(2) for r in got)
+    odd = docs.withColumns({"part": F.lit("x"), "ids": F.lit(1), "start": F.lit(1), "file": F.lit(1)})
+    other = shared_path(spark, "t")
+    token_shards.write_shards(odd, other, BPE)
+    assert [r["ids_crc32"] for r in token_shards.read_documents(spark, other).orderBy("start").collect()] == [r["ids_crc32"] for r in got]
     none = shared_path(spark, "t")
     token_shards.write_shards(empty, none, BPE)
     assert token_shards.read_documents(spark, none).count() == 0
