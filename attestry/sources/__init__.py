@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; one of this machine only where spark.checkpoint.dir is unset, as in tests."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a local session gets a folder of this machine, and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -23,6 +25,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by cut() that nothing will read any more, such as those of a loop's earlier rounds."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that a lookup side may have before it is no longer broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows; else as it is, for a join that Spark shuffles and splits where it is skewed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(ledger_id, pos, line) of files with a JSON record a line; the file's name is the ledger. Position is the line's, so a file is read whole."""
     files = spark.read.text(path, wholetext=True).withColumn("f", F.col("_metadata.file_name"))
