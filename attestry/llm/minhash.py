@@ -4,11 +4,12 @@ Signatures: a 64-bit hash of each distinct five-word shingle goes through a firs
 minimum over the set of a second permutation, circularly shifted by k. So two permutations give all coordinates.
 Bands of coordinates propose pairs, and every link is confirmed on the full shingle sets.
 
-Work on large groups stays in proportion to their size. Texts with equal words are collapsed first. Each bucket's
-members are then confirmed against its smallest member only, which joins most groups at once; what remains are buckets
-that still hold several components, and there members outside the largest component meet the others across components,
-pairs being kept only if sizes and a 320-bit sketch allow the threshold. Nothing is capped: a pair that shares a bucket
-and is not yet connected is always confirmed or refuted on full sets.
+Texts with equal words are collapsed first. Each bucket's members are then confirmed against its smallest member only,
+which joins most groups at once; what remains are buckets that still hold several components, and there members outside
+the largest component meet the others across components. Pairs are made rows only if sizes and parities allow the
+threshold: a set's parities say for each of some 4 n places whether an odd number of its hashes fall there, and two sets
+differ in as many elements, at least, as in parities. So no pair is ruled out that could be a link, nearly all others
+are, and what is left is confirmed or refuted on full sets. Nothing is capped.
 """
 
 import math
@@ -16,23 +17,21 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut
+from attestry.llm.shared import cut, discard, strings, tidy
 
-#: Bands of ROWS coordinates each, as many as MISS asks for; the sketch has a bit of every coordinate.
+#: Bands have at most ROWS coordinates each, and fewer where that would take more than COORDS of them.
 WORDS, ROWS, COORDS = 5, 6, 320
 #: Probability that a pair just at the threshold shares no band.
 MISS = 1e-6
-LONGS = COORDS // 64
-#: Standard deviations by which a sketch must miss the threshold to rule a pair out.
-SIGMAS = 5
+#: Parities for each element of a set, rounded up to a power of two; all are folded to HEAD for a first look.
+PARITIES, HEAD = 4, 256
 #: Texts that one task holds a leader's set against, at most; more are dealt to several tasks.
-FOLLOWERS = 500
+FOLLOWERS = 50
 #: Elements that one sweep over all coordinates works on; they stay in the CPU's cache.
 SWEEP = 1 << 16
 
@@ -80,13 +79,21 @@ def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return np.unique(mix64(h))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """(rows a band, bands) with which a pair at the threshold shares no band with probability MISS at most."""
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-min(percent / 100, 1 - 1e-9) ** rows))
+        if rows * bands <= COORDS or rows == 1:
+            return rows, bands
+
+
+def signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     """(coordinate, set) minima; no set may be empty."""
     ends = np.cumsum([len(s) for s in sets])
     first = (mix64(np.concatenate(sets) ^ _SHORT) >> np.uint64(32)).astype(np.uint32)  # the first permutation, to a 32-bit circle
     starts = np.r_[0, ends[:-1]]
-    out, v, t = np.empty((COORDS, len(sets)), np.uint32), np.empty_like(first), np.empty_like(first)
-    for k in range(COORDS):
+    out, v, t = np.empty((coords, len(sets)), np.uint32), np.empty_like(first), np.empty_like(first)
+    for k in range(coords):
         np.subtract(first, np.uint32(k), out=v)  # shifted along the circle
         np.right_shift(v, np.uint32(16), out=t)
         np.bitwise_xor(v, t, out=v)
@@ -98,58 +105,62 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands_for(percent: int) -> int:
-    """The fewest bands with which a pair at the threshold is missed with probability MISS at most; as many as there are coordinates for, beyond that."""
-    return min(COORDS // ROWS, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)))
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """For each set, a 64-bit key a band."""
+    s = sig.astype(np.uint64).reshape(-1, rows, sig.shape[1])
+    keys = np.repeat(mix64(np.arange(1, len(s) + 1, dtype=np.uint64))[:, None], s.shape[2], 1)
+    for j in range(rows):
+        keys = mix64(keys * _WEIGHT + s[:, j])
+    return keys.T.view(np.int64)
 
 
-def bands_and_sketch(sig: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set: a 64-bit key a band, and one bit a coordinate."""
-    s = sig[: bands * ROWS].astype(np.uint64).reshape(bands, ROWS, -1)
-    keys = np.repeat(mix64(np.arange(1, bands + 1, dtype=np.uint64))[:, None], s.shape[2], 1)
-    for j in range(ROWS):
-        keys = mix64(keys * _WEIGHT + s[:, j])
-    bits = ((sig ^ (sig >> np.uint32(16))) & np.uint32(1)).astype(np.uint8)
-    return keys.T.view(np.int64), np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64)
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes fall on each place, 64 places a number. Halves put together by XOR are the parities of half as many places."""
+    places = max(HEAD, 1 << (PARITIES * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _features(size: int, n_bands: int):
+def _features(size: int, percent: int):
+    rows, bands = banding(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, todo, total = 0, [], 0
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 w = word_hashes(text)
                 todo.append((xxhash.xxh3_128_digest(w.tobytes()), shingles(w, size)))
                 total += len(todo[-1][1])
                 if total >= SWEEP:
-                    yield _rows(batch.column("id").slice(done, len(todo)), todo, n_bands)
+                    yield _rows(batch.column("id").slice(done, len(todo)), todo, rows, bands)
                     done, todo, total = done + len(todo), [], 0
             if todo:
-                yield _rows(batch.column("id").slice(done, len(todo)), todo, n_bands)
+                yield _rows(batch.column("id").slice(done, len(todo)), todo, rows, bands)
 
-    return run
+    return tidy(run, _words.clear)
 
 
-def _rows(ids: pa.Array, todo: list, n_bands: int) -> pa.RecordBatch:
+def _rows(ids: pa.Array, todo: list, rows: int, bands: int) -> pa.RecordBatch:
     full = [j for j, x in enumerate(todo) if len(x[1])]
-    keys, sketch = bands_and_sketch(signatures([todo[j][1] for j in full]), n_bands) if full else ([], [])
-    bands, bits = [None] * len(todo), [None] * len(todo)
-    for j, k, b in zip(full, keys, sketch):
-        bands[j], bits[j] = k, b
+    keys = band_keys(signatures([todo[j][1] for j in full], rows * bands), rows) if full else ()
+    own, odd, head = ([None] * len(todo) for _ in range(3))
+    for j, k in zip(full, keys):
+        own[j], odd[j] = k, parities(todo[j][1])
+        head[j] = np.bitwise_xor.reduce(odd[j].reshape(-1, HEAD // 64))
     longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([x[0] for x in todo], pa.binary()), pa.array([len(x[1]) for x in todo], pa.int64()), pa.array(bands, longs), pa.array(bits, longs)],
-        ["id", "fp", "n", "bands", "bits"])
+        [ids, pa.array([x[0] for x in todo], pa.binary()), pa.array([len(x[1]) for x in todo], pa.int64()), *(pa.array(c, longs) for c in (own, head, odd))],
+        ["id", "fp", "n", "bands", "head", "odd"])
 
 
 def _confirm(percent: int, size: int):
     """Rows sorted so that a leader comes before those that are held against it; a leader's set is kept until the next one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, lead = None, np.empty(0, np.uint64)
-        for pdf in batches:
+        for batch in batches:
             a, b = [], []
-            for g, salt, follows, i, text in zip(pdf["a"].array, pdf["salt"].array, pdf["follows"].array, pdf["id"].array, pdf["text"].array):
+            for g, salt, follows, i, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "follows", "id")), strings(batch.column("text"))):
                 own = shingles(word_hashes(text), size)
                 if not follows:
                     group, lead = (g, salt), own
@@ -160,10 +171,9 @@ def _confirm(percent: int, size: int):
                     if 100 * both >= percent * (len(own) + len(lead) - both):
                         a.append(g)
                         b.append(i)
-            if a:
-                yield pd.DataFrame({"a": a, "b": b})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+    return tidy(run, _words.clear)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -176,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return (
         texts.join(needs.hint("merge"), "id").select("a", "salt", "follows", "id", "text")
         .repartition("a", "salt").sortWithinPartitions("a", "salt", "follows")
-        .mapInPandas(_confirm(percent, size), "a long, b long").distinct()
+        .mapInArrow(_confirm(percent, size), "a long, b long").distinct()
     )
 
 
@@ -196,20 +206,30 @@ def components(edges: DataFrame) -> DataFrame:
         rank = cut(both.groupBy("u").agg(F.count("*").alias("n")).select("u", F.struct("n", F.xxhash64("u", F.lit(turn)).alias("h"), F.col("u").alias("v")).alias("rank")), "dedup-rank")
         around = both.join(rank.select(F.col("u").alias("v"), "rank"), "v").groupBy("u").agg(F.max("rank").alias("best"))
         move = cut(around.join(rank, "u").select("u", F.greatest("best", "rank")["v"].alias("to")), "dedup-move")
-        edges = cut(
+        last, edges = [edges, at, rank, move], cut(
             edges.join(move.toDF("a", "a2"), "a").join(move.toDF("b", "b2"), "b").filter("a2 <> b2")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "dedup-edges")
         at = cut(at.join(move.toDF("at", "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at")), "dedup-at")
+        discard(*last)
     raise RuntimeError("edges are left after 64 rounds")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """False only for pairs that the sizes rule out, or whose sketches differ by SIGMAS standard deviations more than at the threshold."""
-    p = (1 - percent / 100) / 2
-    most = int(COORDS * p + SIGMAS * (COORDS * p * (1 - p)) ** 0.5) + 1
-    differ = sum((F.bit_count(F.col(f"{a}.bits")[j].bitwiseXOR(F.col(f"{b}.bits")[j])) for j in range(LONGS)), F.lit(0))
-    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return sizes & (differ <= most)
+    """False only for pairs that sizes or parities rule out: sets that differ in d of all s elements of both are linked if d (100 + percent) <= s (100 - percent)."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    near = lambda d: d * (100 + percent) <= (n + m) * (100 - percent)
+    head = sum((F.bit_count(F.col(f"{a}.head")[j].bitwiseXOR(F.col(f"{b}.head")[j])) for j in range(HEAD // 64)), F.lit(0))
+    x, y = F.col(f"{a}.odd"), F.col(f"{b}.odd")
+
+    def folded(c: Column) -> Column:
+        half = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda d, i: d + i)
+    whole = (
+        F.when(F.size(x) == F.size(y), apart(x, y)).when(F.size(x) == 2 * F.size(y), apart(folded(x), y)).when(2 * F.size(x) == F.size(y), apart(x, folded(y))).otherwise(0)
+    )
+    return F.when((100 * F.least(n, m) < percent * F.greatest(n, m)) | ~near(head), False).otherwise(near(whole))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,33 +241,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     is the one shingle. Repeated rows each keep their row; rows that share a doc_id count as one document. A null doc_id
     gives a null component, is linked with nothing and is kept. Other columns are not read. No documents: no rows.
 
-    A pair just at the threshold shares no band with probability 1e-6 at most, and is ruled out by its sketch with 3e-7; above it both fall fast.
+    A pair just at the threshold shares no band with probability 1e-6 at most, for any percent, and one above it less.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    feats = cut(texts.mapInArrow(_features(size, bands_for(percent)), "id long, fp binary, n long, bands array<long>, bits array<long>"), "dedup-features")
+    feats = cut(texts.mapInArrow(_features(size, percent), "id long, fp binary, n long, bands array<long>, head array<long>, odd array<long>"), "dedup-features")
     full = feats.filter("n > 0 AND id IS NOT NULL")
     reps = cut(full.groupBy("fp").agg(F.min("id").alias("rep")), "dedup-copies")
     texts_once = full.join(reps, "fp").filter("id = rep").dropDuplicates(["id", "fp"])
     rows = texts_once.select("id", F.explode("bands").alias("key"))
     heads = cut(rows.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("key", "head"), "dedup-buckets")
     shared = cut(rows.join(heads, "key"), "dedup-members")  # members of buckets of more than one text
-    sizes = cut(full.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "bits"), "dedup-sketches")
+    sizes = cut(full.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "head", "odd"), "dedup-parities")
 
     def allowed(pairs: DataFrame) -> DataFrame:
-        one, two = (sizes.select(F.col("id").alias(c), F.struct("n", "bits").alias(f"of_{c}")) for c in "ab")
+        one, two = (sizes.select(F.col("id").alias(c), F.struct("n", "head", "odd").alias(f"of_{c}")) for c in "ab")
         return pairs.join(one, "a").join(two, "b").filter(_may_link("of_a", "of_b", percent)).select("a", "b").distinct()
 
     first = cut(allowed(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "dedup-pairs")
     links = cut(confirmed(first, texts, percent, size), "dedup-links")
     comps = cut(components(links), "dedup-components")
 
-    info = sizes.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "bits")
+    info = sizes.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     members = cut(shared.select("key", "id").join(info, "id"), "dedup-members")
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = cut(counts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"), "dedup-mixed")
-    rest = cut(members.join(mixed, "key"), "dedup-rest")
-    x = rest.filter("comp <> main").select("key", F.struct("id", "comp", "n", "bits").alias("x"))
-    y = rest.select("key", F.struct("id", "comp", "main", "n", "bits").alias("y"))
+    rest = cut(members.join(mixed, "key").join(sizes, "id"), "dedup-rest")
+    x = rest.filter("comp <> main").select("key", F.struct("id", "comp", "n", "head", "odd").alias("x"))
+    y = rest.select("key", F.struct("id", "comp", "main", "n", "head", "odd").alias("y"))
     across = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("x.comp") != F.col("y.comp")) & across & _may_link("x", "y", percent))
     second = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")

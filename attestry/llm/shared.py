@@ -1,40 +1,39 @@
-"""Where intermediate tables go, and the few column helpers that several operators use."""
+"""Where intermediate tables go, and the few helpers that several operators use."""
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that a lookup side may have before it is no longer broadcast.
-BROADCAST_ROWS = 20_000
+from attestry.sources import BROADCAST_ROWS, cut, discard, shared_path, small  # noqa: F401
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a folder of this machine is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+def strings(column: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow column one by one, so that a batch isn't held twice."""
+    return (x.as_py() for x in column)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lost executors don't take it along, and no later job computes it again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tidy(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """run, a function of batches, that at a task's end calls `forget` and gives freed memory back: workers are reused by tasks of other stages."""
 
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows; else as it is, for a join that Spark shuffles and splits where it is skewed."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return tidied
 
 
 def ascii_lower(text: Column) -> Column:

@@ -171,7 +171,7 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("percent", [50, 70, 80, 85])
 def test_components_are_brute_force(spark, docs, percent):
     rows = [r for r in corpus() if r[0] is not None]
     sets = {i: shingle_set(t) for i, t, *_ in rows}
@@ -199,6 +199,48 @@ def test_components_are_brute_force(spark, docs, percent):
     assert sorted(k for k in kept if k is not None) == sorted({find(i) for i in sets}) and kept.count(None) == 2
 
 
+@pytest.mark.parametrize("percent", [1, 30, 50, 70, 80, 85, 99, 100])
+def test_a_pair_at_the_threshold_is_hardly_missed(percent):
+    rows, bands = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS and 1 <= rows <= minhash.ROWS
+
+
+def test_parities_never_rule_out_a_link(spark):
+    """Sets of many sizes, similarities around the threshold: what the expression refuses is no link."""
+    r, sets = random.Random(4), []
+    for n in (1, 5, 60, 64, 65, 130, 500):
+        base = [r.getrandbits(64) for _ in range(n)]
+        for share in (0, 0.02, 0.05, 0.08, 0.1, 0.2):
+            sets.append(np.unique(np.array([x for x in base if r.random() >= share] + [r.getrandbits(64) for _ in range(int(share * n))] or base, np.uint64)))
+    rows = [(i, len(s), np.bitwise_xor.reduce((odd := minhash.parities(s)).reshape(-1, minhash.HEAD // 64)).tolist(), odd.tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id int, n long, head array<long>, odd array<long>")
+    x, y = (df.select(F.col("id").alias(f"{c}_id"), F.struct("n", "head", "odd").alias(c)) for c in "xy")
+    got = x.crossJoin(y).select("x_id", "y_id", minhash._may_link("x", "y", 85).alias("may")).collect()
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(both := np.intersect1d(a, b)) >= 85 * (len(a) + len(b) - len(both))}
+    may = {(g["x_id"], g["y_id"]) for g in got if g["may"]}
+    assert linked <= may and len(may) < 2 * len(linked) < len(got)
+
+
+def test_a_group_of_near_copies_that_hardly_link(spark):
+    base = prose(77, 200)
+    texts = [edited(base, i, 0.012 + 0.0001 * (i % 60)) for i in range(150)]
+    sets = [shingle_set(t) for t in texts]
+    to = list(range(150))
+
+    def find(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for a in range(150):
+        for b in range(a + 1, 150):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                to[y] = x
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, component int"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(150)} and 3 < len({find(i) for i in range(150)}) < 147
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicated(empty).columns == empty.columns
 
