@@ -1,15 +1,16 @@
 """URL rules found by hashes of host suffixes and path prefixes (operator 6, native).
 
 Every URL is cut into host and path, and expanded into the expressions (host suffix, path prefix) that a rule
-could name. Suffixes are taken at the label counts and prefixes at the lengths that occur among the rules: no
-other expression can equal a rule's, so the expansion is exact and short however long the URL is. Expressions
+could name. Suffixes are taken at the label counts that occur among the rules, and for each of them prefixes at the lengths that
+occur with it: no other expression can equal a rule's, so the expansion is exact and short however long the URL is, and the
+plan is the same for five rules and five millions. Expressions
 meet the rules by the first 8 hex digits of their SHA-256; the full digest confirms, and the longest rule wins.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import ascii_lower, cut, small
+from attestry.llm.shared import ascii_lower, cut, fresh, join_split, small
 
 PREFIX = 8
 
@@ -49,33 +50,30 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Repeated pages each keep their row. No rules or no pages: nothing fits, or no rows.
 
     Distinct (host, path) pairs are judged, so that a URL that holds a third of all rows is expanded once; the
-    page's other columns take part only in the last join. Rules are broadcast while they are few (`small`), and
-    joined by shuffle beyond that.
+    page's other columns take part only in the last join, where pairs that hold very many pages are broadcast (`join_split`). Rules are
+    broadcast while they are few (`small`), and joined by shuffle beyond that.
     """
     known = cut(prepared(rules), "url-rules")
-    pairs = [(r[0], r[1]) for r in known.select("r_labels", "r_cut").distinct().collect()]  # at most labels x lengths of a URL
+    shapes = known.groupBy("r_labels").agg(F.collect_set("r_cut").alias("r_cuts"))  # a row a label count, with lengths of paths: bounded by what a URL can be
     host, path = url_parts(F.col(url))
     parts = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    if not pairs:
-        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    labels = F.size(F.split("host", r"\."))
-    expressions = F.array_compact(F.array(*[
-        F.when((labels >= n) & (F.char_length("path") >= k), F.struct(F.substring_index("host", ".", -n).alias("h"), F.substring(F.col("path"), 1, k).alias("p")))
-        for n, k in sorted(pairs)
-    ]))
+    pairs = parts.filter(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("rows"))
     asked = (
-        parts.filter(F.col("host") != "").select("host", "path").distinct()
-        .select("host", "path", F.explode(expressions).alias("e"))
-        .select("host", "path", digest(F.col("e.h"), F.col("e.p")).alias("digest"))
+        pairs.select("host", "path", "rows", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
+        .join(F.broadcast(shapes), F.col("labels") == F.col("r_labels"))
+        .select("host", "path", "rows", F.expr("substring_index(host, '.', -labels)").alias("h"), F.explode(F.filter("r_cuts", lambda k: k <= F.char_length("path"))).alias("k"))
+        .select("host", "path", "rows", digest(F.col("h"), F.substring(F.col("path"), F.lit(1), F.col("k"))).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX))
     )
-    best = (
+    b_host, b_path, b_rows, b_best = fresh(parts, "b_host", "b_path", "b_rows", "b_best")
+    best = cut(
         asked.join(small(known), (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.char_length("r_rule").alias("n"), F.char_length("r_host").alias("h"), "r_block", "r_rule")).alias("best"))
-        .select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
+        .agg(F.max("rows").alias(b_rows), F.max(F.struct(F.char_length("r_rule").alias("n"), F.char_length("r_host").alias("h"), "r_block", "r_rule")).alias(b_best))
+        .withColumnsRenamed({"host": b_host, "path": b_path}), "url-best"
     )
-    return parts.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
-        *[F.col(c) for c in parts.columns], F.col("best.r_rule").alias("rule"),
-        F.when(F.col("best").isNull(), default).when(F.col("best.r_block"), "block").otherwise("allow").alias("verdict"),
+    judged = join_split(parts, best, (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), b_rows, "left")
+    return judged.select(
+        *[F.col(c) for c in parts.columns], F.col(f"{b_best}.r_rule").alias("rule"),
+        F.when(F.col(b_best).isNull(), default).when(F.col(f"{b_best}.r_block"), "block").otherwise("allow").alias("verdict"),
     )
