@@ -10,17 +10,17 @@ from attestry.llm.licenses import scan_licenses
 from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
 from attestry.llm.quality import judge_quality
-from attestry.llm.shared import cut, shared_path
+from attestry.llm.shared import cut, shared_path, small
 from attestry.llm.surrogates import replace_pii
-from attestry.llm.token_ledger import TokenLedger, counted
+from attestry.llm.token_ledger import TOKENIZERS, TokenLedger, bpe_tokens, counted, deleted
 from attestry.llm.token_shards import read_documents, write_shards
 from attestry.llm.url_filter import judge_urls
 
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: The key of this query's surrogates; a real corpus needs a secret one.
-SURROGATE_KEY = b"key of the example query"
+#: The setting that holds the key of surrogates, and the key of a session without it, as in tests.
+SURROGATE_KEY = "spark.attestry.surrogate.key", "not a secret"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +33,33 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
-def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted; those of low quality are counted again without their repeated lines; toxic ones are deleted; and the second batch is sent once more."""
+#: Ids of documents that are broadcast, 8 bytes each; more are joined by shuffle.
+ID_ROWS = 500_000
+
+
+def _rollup(spark: SparkSession, sf_dir: str, tokenizers: dict) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = TokenLedger(spark, shared_path(spark, "token-ledger"))
-    once = docs.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    again = cut(counted(once, "revise"), "recounted")  # written before the join, which would otherwise be pushed below the counts and move texts
-    revised = again.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    deleted = counted(docs.withColumn("text", F.lit("")), "delete").join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    ledger.commit("1-load", counted(docs, "insert"))
+    labelled = lambda which: small(labels.filter(which).select("doc_id").distinct(), ID_ROWS)
+    once = docs.join(labelled("quality = 0"), "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    revised = cut(counted(once, "revise", tokenizers), "recounted")
+    ledger.commit("1-load", counted(docs, "insert", tokenizers))
     ledger.commit("2-clean", revised)
-    ledger.commit("3-takedown", deleted)
+    ledger.commit("3-takedown", deleted(docs.join(labelled("toxic = 1"), "doc_id", "left_semi"), tokenizers))
     ledger.commit("2-clean", revised)
     return ledger.totals()
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those of low quality are counted again without their repeated lines; toxic ones are deleted; and the second batch is sent once more."""
+    return _rollup(spark, sf_dir, {**TOKENIZERS, "byte_bpe_50k@1": bpe_tokens(public_tokenizers.path("byte_bpe_50k.json"))})
+
+
+def sql_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with the tokenizers that SQL can express."""
+    return _rollup(spark, sf_dir, TOKENIZERS)
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -79,7 +91,7 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs, SURROGATE_KEY).select("doc_id", "text", F.size(F.coalesce("pii", F.array())).cast("long").alias("n_entities"), F.col("pii.kind").alias("kinds"))
+    return replace_pii(docs, spark.conf.get(*SURROGATE_KEY).encode()).select("doc_id", "text", F.size(F.coalesce("pii", F.array())).cast("long").alias("n_entities"), F.col("pii.kind").alias("kinds"))
 
 
 def op9_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +109,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op2_token_rollup": op2_token_rollup,
+    "sql_token_rollup": sql_token_rollup,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op4_pigeonhole_matches": op4_pigeonhole_matches,
     "op5_poisson_mix": op5_poisson_mix,
@@ -108,7 +121,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_token_rollup": r"""
+    "sql_token_rollup": r"""
 WITH low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
 now AS (
   SELECT d.source, d.lang, coalesce(CASE WHEN l.doc_id IS NULL THEN d.text ELSE array_to_string(list_distinct(string_split(d.text, chr(10))), chr(10)) END, '') AS text

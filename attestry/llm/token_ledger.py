@@ -1,18 +1,21 @@
 """Token totals kept up by signed changes (operator 2).
 
 A batch of inserts, deletes and revised counts becomes signed rows: what a document counted so far goes out with a
-minus, what it counts now comes in with a plus. Totals by source, language and tokenizer version are sums of signed
-rows, so a batch costs what it changes and never a recount. A batch that is committed already is not applied again.
+minus, what it counts now comes in with a plus, and the sums of these are added to the totals by source, language and
+tokenizer version. What each document counts is kept in buckets by a hash of its id; a batch reads and writes the buckets
+of its own documents and no others, so it costs what it changes and neither a recount nor the history. A batch that
+is committed already is not applied again.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut, path_exists
+from attestry.llm.shared import cut, discard, path_exists, strings
 
 KEY = ["doc_id", "tokenizer"]
 DIMS = ["source", "lang", "tokenizer"]
-_SIGNED = "doc_id long, tokenizer string, source string, lang string, docs long, tokens long"
+_HELD = "doc_id long, tokenizer string, source string, lang string, tokens long"
 _TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -27,14 +30,12 @@ def piece_tokens(text: Column) -> Column:
 
 
 def bpe_tokens(path: str):
-    """A counter for the vocabulary file at `path`, as a Pandas UDF."""
-    import pandas as pd
-
+    """A counter for the vocabulary file at `path`, as an Arrow UDF."""
     from attestry.llm.bpe import bpe
 
-    @F.pandas_udf("long")
-    def count(text: pd.Series) -> pd.Series:
-        return pd.Series([len(ids) for ids in bpe(path).encode_all(text.array)], dtype="int64")
+    @F.arrow_udf("long")
+    def count(text: pa.Array) -> pa.Array:
+        return pa.array([len(ids) for ids in bpe(path).encode_all(strings(text))], pa.int64())
 
     return count
 
@@ -49,21 +50,32 @@ def counted(docs: DataFrame, op: str, tokenizers: dict | None = None, doc_id: st
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(op).alias("op"), "source", "lang", F.inline(F.array(*pairs)))
 
 
+def deleted(docs: DataFrame, tokenizers: dict | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """Changes that delete documents; their texts are not read."""
+    names = F.array(*map(F.lit, tokenizers or TOKENIZERS))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit("delete").alias("op"), "source", "lang", F.explode(names).alias("tokenizer"), F.lit(0).cast("long").alias("n_tokens"))
+
+
 class TokenLedger:
-    """Totals under a folder that driver and executors share. One writer at a time."""
+    """Totals under a folder that driver and executors share. One writer at a time.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    commits/N-batch is the table (bucket, folder) of where each bucket's rows stand after that commit, and totals/N-batch its totals.
+    The driver sees names of commits and that table, which has a row a bucket.
+    """
 
-    def _batches(self, kind: str) -> list[str]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _commits(self) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        return [n for n in names if path_exists(self.spark, f"{self.path}/totals/{n}/_SUCCESS")]
+        return [n for n in names if path_exists(self.spark, f"{self.path}/commits/{n}/_SUCCESS")]
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{n}" for n in self._batches(kind)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _state(self, folders: dict[int, str], buckets: list[int]) -> DataFrame:
+        paths = [f"{self.path}/state/{folders[b]}/bucket={b}" for b in buckets if b in folders]
+        there = [p for p in paths if path_exists(self.spark, p)]
+        return self.spark.read.schema(_HELD).parquet(*there) if there else self.spark.createDataFrame([], _HELD)
 
     def commit(self, batch: str, changes: DataFrame, ordered_by: str | None = None) -> bool:
         """Applies changes (doc_id, op, source, lang, tokenizer, n_tokens); False if that batch was committed before.
@@ -74,29 +86,44 @@ class TokenLedger:
         repeated rows) being settled by a delete before others, and then the larger count. Null source, language and count are groups of
         their own and 0. An empty batch is committed too.
 
-        First the signed rows are written, then their sums, whose _SUCCESS marks the commit: a batch that broke off
-        before that is not seen by any reader, and is written again when it is sent again.
+        Buckets and totals are written first, the table of buckets last, and its _SUCCESS marks the commit: of a batch that broke
+        off before that no reader sees anything, and it is written again when it is sent again.
         """
-        if path_exists(self.spark, f"{self.path}/totals/{batch}/_SUCCESS"):
+        done = self._commits()
+        if any(n.partition("-")[2] == batch for n in done):
             return False
+        folders = {r["bucket"]: r["folder"] for r in self.spark.read.parquet(f"{self.path}/commits/{done[-1]}").collect()} if done else {}
+        name = f"{int(done[-1].partition('-')[0]) + 1 if done else 0:09d}-{batch}"
         rows = changes.filter(F.col("op").isin("insert", "revise", "delete") & F.col("doc_id").isNotNull() & F.col("tokenizer").isNotNull())
         order = F.col(ordered_by) if ordered_by else F.lit(0)
         n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0))
         last = cut(
             rows.groupBy(*KEY)
             .agg(F.max(F.struct(order.alias("o"), (F.col("op") == "delete").alias("d"), n.alias("n"), "source", "lang")).alias("x"))
-            .select(*KEY, "x.d", F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.n").alias("n")), "ledger-batch"
+            .select(*KEY, F.struct(F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.n").alias("tokens"), "x.d").alias("now")), "ledger-batch"
         )
-        held = self._read("signed", _SIGNED)
-        live = held.groupBy(*KEY, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs > 0")
-        minus = live.join(last.select(*KEY), KEY, "left_semi").select(*KEY, "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        plus = last.filter("NOT d").select(*KEY, "source", "lang", F.lit(1).cast("long").alias("docs"), F.col("n").alias("tokens"))
-        signed = f"{self.path}/signed/{batch}"
-        minus.unionByName(plus).write.mode("overwrite").parquet(signed)
-        sums = self.spark.read.schema(_SIGNED).parquet(signed).groupBy(*DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+        touched = [r["bucket"] for r in last.select(bucket).distinct().collect()]
+        held = self._state(folders, touched).select(*KEY, F.struct("source", "lang", "tokens").alias("was"))
+        both = cut(held.join(last, KEY, "full_outer"), "ledger-both")
+        state = both.filter("now IS NULL OR NOT now.d").withColumn("row", F.when(F.col("now").isNotNull(), F.struct("now.source", "now.lang", "now.tokens")).otherwise(F.col("was")))
+        state.select(*KEY, "row.*", bucket).repartitionByRange("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{name}")
+        signed = lambda side, sign: F.struct(F.col(f"{side}.source").alias("source"), F.col(f"{side}.lang").alias("lang"), F.lit(sign).cast("long").alias("docs"), (sign * F.col(f"{side}.tokens")).alias("tokens"))
+        pair = F.array(F.when(F.col("was").isNotNull() & F.col("now").isNotNull(), signed("was", -1)), F.when(~F.col("now.d"), signed("now", 1)))
+        delta = both.select("tokenizer", F.inline(F.filter(pair, lambda x: x.isNotNull()))).groupBy(*DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        self._summed(self._totals(done).unionByName(delta.select(*DIMS, "docs", "tokens"))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/{name}")
+        found = [(b, f) for b, f in sorted((folders | dict.fromkeys(touched, name)).items())]
+        self.spark.createDataFrame(found, "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
+        discard(last, both)
         return True
 
+    def _totals(self, done: list[str]) -> DataFrame:
+        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/totals/{done[-1]}") if done else self.spark.createDataFrame([], _TOTALS)
+
+    @staticmethod
+    def _summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs > 0")
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) after all committed batches; groups without documents are left out."""
-        return self._read("totals", _TOTALS).groupBy(*DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs > 0")
+        return self._totals(self._commits())
