@@ -11,13 +11,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from attestry.llm.shared import cut, small
+from attestry.llm.shared import cut, fresh, small, strings, tidy
 
 DIMS = 1024
 #: A text must reach SLACK times the cosine that all but LOW of its language's learning texts of as many triples reach, and NOISE standard
@@ -91,27 +90,29 @@ class _Vectors:
                     if n >= len(self.table):
                         self.table = np.concatenate([self.table, np.empty_like(self.table)])
                     self.table[n] = triple_vector(k, self.dims)
-            total += counts[i : i + 4096].astype(np.float32) @ self.table[[self.rows[k] for k in part]].astype(np.float32)
+            n = counts[i : i + 4096]
+            kind = np.float32 if int(n.sum()) < 1 << 24 else np.float64  # sums of whole numbers, exact in either
+            total += n.astype(kind) @ self.table[[self.rows[k] for k in part]].astype(kind)
         return total
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of triples a language, summed over some millions of characters at a time."""
     held: dict = {}
     size = 0
 
-    def out() -> Iterator[pd.DataFrame]:
+    def out() -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             k, c = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "k": k, "c": c.astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "k": pa.array(k, pa.int64()), "c": pa.array(c, pa.int64())})
         held.clear()
 
-    for pdf in batches:
-        for lang, text in zip(pdf["lang"].array, pdf["text"].array):
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
             for keys in triples(text):
                 held.setdefault(lang, []).append(keys)
                 size += len(keys)
-                if size >= 4 << 20:
+                if size >= 2 << 20:
                     yield from out()
                     size = 0
     yield from out()
@@ -120,20 +121,26 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def bundles(labelled: DataFrame, lang: str = "lang", text: str = "text", dims: int = DIMS) -> dict[str, np.ndarray]:
     """Sums of vectors by language, from all rows with text and language.
 
-    Triples are counted by Spark. Each language's counts are bundled in 16 lots, so what reaches the driver is 16 vectors
-    a language, whatever the number of texts.
+    Spark counts the different triples. Each task bundles those that the shuffle brought it, and the parts are summed by
+    language and dimension, so what reaches the driver is one number for each of these, whatever the texts hold.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInPandas(_count, "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
+    counts = rows.mapInArrow(tidy(_count), "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
 
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "v": [_Vectors(dims).bundle(pdf["k"].to_numpy(), pdf["c"].to_numpy())]})
-
-    lots = counts.groupBy("lang", F.pmod(F.xxhash64("k"), F.lit(16)).alias("lot")).applyInPandas(bundle, "lang string, v array<double>")
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, sums = _Vectors(dims), {}
+        for batch in batches:
+            langs, k, c = batch.column("lang").dictionary_encode(), batch.column("k").to_numpy(), batch.column("c").to_numpy()
+            for n, name in enumerate(langs.dictionary.to_pylist()):
+                own = langs.indices.to_numpy() == n
+                sums[name] = sums.get(name, 0) + vectors.bundle(k[own], c[own])
+        for name, v in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * dims, pa.string()), "d": pa.array(range(dims), pa.int32()), "v": pa.array(v.astype(np.int64), pa.int64())})
+
+    sums = counts.mapInArrow(tidy(bundle), "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v"))
     found: dict[str, np.ndarray] = {}
-    for row in sorted(lots.collect()):
-        found[row["lang"]] = found.get(row["lang"], 0) + np.array(row["v"])
+    for name, d, v in sums.collect():
+        found.setdefault(name, np.zeros(dims))[d] = v
     return {k: v for k, v in sorted(found.items()) if v.any()}
 
 
@@ -157,7 +164,7 @@ def predict(docs: DataFrame, found: dict[str, np.ndarray], text: str = "text", d
         vectors = _Vectors(dims)
         for batch in batches:
             pred, score = [], []
-            for s in batch.column(at).to_pylist():
+            for s in strings(batch.column(at)):
                 v = np.zeros(dims)
                 for keys in triples(s):
                     v += vectors.bundle(*np.unique(keys, return_counts=True))
@@ -167,7 +174,7 @@ def predict(docs: DataFrame, found: dict[str, np.ndarray], text: str = "text", d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names)
 
     names = [*docs.columns, "lang_pred", "score"]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", dims: int = DIMS) -> DataFrame:
@@ -183,14 +190,16 @@ def known(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text"
     All rows are judged once and written to the shared folder; the driver sees counts by language, class and cosine in hundredths.
     """
     columns, floor = docs.columns, NOISE / dims**0.5
-    docs = docs.withColumn("__learn", F.coalesce(learn, F.lit(False)))
-    sums = bundles(docs.filter("__learn"), lang, text, dims)
-    judged = cut(_judge(docs, sums, lang, text, dims), "language-judged")
-    counts = judged.filter("__own IS NOT NULL").groupBy(F.col(lang).alias("l"), "__class", F.floor(F.col("__own") * 100).alias("c")).count().collect()
-    least = _bounds([(r["l"], r["__class"], r["c"] / 100, r["count"]) for r in counts], floor)
-    bounds = docs.sparkSession.createDataFrame(least, "__pred string, __class int, __least double")
-    held = judged.filter(F.col("__pred").isNotNull()).join(small(bounds), ["__pred", "__class"], "left")
-    return held.filter(F.col("__score") >= F.coalesce("__least", F.lit(floor))).select(*columns)
+    names = fresh(docs, "learn", "pred", "score", "class", "own", "least")
+    learns, pred, score, size, own, bound = names
+    docs = docs.withColumn(learns, F.coalesce(learn, F.lit(False)))
+    sums = bundles(docs.filter(F.col(learns)), lang, text, dims)
+    judged = cut(_judge(docs, sums, lang, text, dims, names), "language-judged")
+    counts = judged.filter(F.col(own).isNotNull()).groupBy(F.col(lang).alias("l"), F.col(size).alias("s"), F.floor(F.col(own) * 100).alias("c")).agg(F.count("*").alias("n")).collect()
+    least = _bounds([(r["l"], r["s"], r["c"] / 100, r["n"]) for r in counts], floor)
+    bounds = docs.sparkSession.createDataFrame(least, f"{pred} string, {size} int, {bound} double")
+    held = judged.filter(F.col(pred).isNotNull()).join(small(bounds), [pred, size], "left")
+    return held.filter(F.col(score) >= F.coalesce(bound, F.lit(floor))).select(*columns)
 
 
 def _bounds(counts: list[tuple[str, int, float, int]], floor: float) -> list[tuple[str, int, float]]:
@@ -212,17 +221,17 @@ def _bounds(counts: list[tuple[str, int, float, int]], floor: float) -> list[tup
     return out
 
 
-def _judge(docs: DataFrame, sums: dict[str, np.ndarray], lang: str, text: str, dims: int) -> DataFrame:
-    """docs with __pred (null without letters), __score, __class and, for learning rows, __own: the cosine with the rest of their language."""
+def _judge(docs: DataFrame, sums: dict[str, np.ndarray], lang: str, text: str, dims: int, names: list[str]) -> DataFrame:
+    """docs with the prediction (null without letters), score, size class and, for learning rows, the cosine with the rest of their language."""
     langs, norms = list(sums), {k: float(np.linalg.norm(v)) for k, v in sums.items()}
     matrix = np.array([v / norms[k] for k, v in sums.items()]) if sums else np.zeros((0, dims))
-    at, of, learns = (docs.columns.index(c) for c in (text, lang, "__learn"))
+    at, of, learns = (docs.columns.index(c) for c in (text, lang, names[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _Vectors(dims)
         for batch in batches:
             out: list[tuple] = []
-            for s, label, learned in zip(*(batch.column(i).to_pylist() for i in (at, of, learns))):
+            for s, label, learned in zip(strings(batch.column(at)), *(batch.column(i).to_pylist() for i in (of, learns))):
                 v, kinds = np.zeros(dims), 0
                 for keys in triples(s):
                     unique, counts = np.unique(keys, return_counts=True)
@@ -240,8 +249,7 @@ def _judge(docs: DataFrame, sums: dict[str, np.ndarray], lang: str, text: str, d
                 out.append((langs[int(cos.argmax())], float(cos.max()), kinds.bit_length() - 1, own))
             cols = list(zip(*out)) or [[]] * 4
             kind = (pa.string(), pa.float64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(cols, kind))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(cols, kind))], [f.name for f in schema])
 
-    new = [("__pred", StringType()), ("__score", DoubleType()), ("__class", IntegerType()), ("__own", DoubleType())]
-    names = [*docs.columns, *(c for c, _ in new)]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, k) for c, k in new)]))
+    schema = StructType([*docs.schema.fields, *(StructField(c, k) for c, k in zip(names[1:5], (StringType(), DoubleType(), IntegerType(), DoubleType())))])
+    return docs.mapInArrow(tidy(run), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.bpe import bpe
-from attestry.llm.shared import small
+from attestry.llm.shared import small, strings, tidy
 from attestry.llm.wavelet import Shard, pack
 
 #: Tokens after which a shard is closed. A document is never divided, so a longer one makes a longer shard.
@@ -37,7 +37,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
                  "n_tokens": pa.array([size], pa.int64()), "file": pa.array([pack(ids, tokens, end_id)], pa.binary())})
 
         for batch in batches:
-            for i, own in zip(batch.column(0).to_pylist(), encoder.encode_all(x.as_py() for x in batch.column(1))):
+            for i, own in zip(batch.column(0).to_pylist(), encoder.encode_all(strings(batch.column(1)))):
                 ids.append(i)
                 tokens.append(np.append(own, np.uint32(end_id)))
                 size += len(tokens[-1])
@@ -50,7 +50,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = dealt.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary")
+    shards = dealt.mapInArrow(tidy(run), "part int, seq int, n_docs long, n_tokens long, file binary")
     shards.write.options(**_PARQUET).parquet(path)
 
 
@@ -87,7 +87,7 @@ def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFra
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long, n_end_ids long" + ", ids array<int>" * ids
-    docs = spark.read.parquet(path).select("part", "seq", "file").mapInArrow(run, schema)
+    docs = spark.read.parquet(path).select("part", "seq", "file").mapInArrow(tidy(run), schema)
     joined = docs.join(small(shard_starts(spark, path)), ["part", "seq"])
     return joined.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids", *["ids"] * ids)
 
