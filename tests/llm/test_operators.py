@@ -154,6 +154,10 @@ def test_ledger_follows_changes(spark):
         got = {(x["source"], x["lang"], x["tokenizer"]): (x["docs"], x["tokens"]) for x in ledger.totals().collect()}
         assert got == {k[:3]: (want[*k[:3], "docs"], want[*k[:3], "tokens"]) for k in want}
     assert ledger.commit("empty", change([]))
+    before = {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{ledger.path}/commits/{ledger._commits()[-1]}").collect()}
+    assert ledger.commit("one", change([(3, "insert", "a", "en", "v1", 7, 1)]))
+    after = {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{ledger.path}/commits/{ledger._commits()[-1]}").collect()}
+    assert sum(before.get(b) != f for b, f in after.items()) == 1  # no other bucket is written
 
 
 def test_counters(spark, docs):
@@ -302,7 +306,7 @@ def test_matches_are_brute_force(spark, docs, empty):
 
 
 def test_copies_follow_the_inverted_poisson(spark, docs, empty):
-    odd = docs.withColumn("mix_copy", F.lit(7))
+    odd = docs.withColumns({c: F.lit(7) for c in ("mix_copy", "mix_key", "mix_u", "mix_n", "mix_source", "mix_parts", "mix_table", "mix_rows")})
     weights = {"a": 1.0, "b": 5.0, None: 2.0}
     rates = {r["mix_source"]: r["mix_rate"] for r in mixing.source_rates(docs, weights, epochs=100.0).collect()}
     assert rates["c"] == 0 and max(rates.values()) > mixing.PART
@@ -328,6 +332,7 @@ def test_copies_follow_the_inverted_poisson(spark, docs, empty):
         want[i, text] += draw(key, rates[source]) if rates[source] else 0
     assert got == Counter({k: v for k, v in want.items() if v})
     assert mixing.mix(empty).count() == 0
+    assert all(r["mix_key"] == r["mix_table"] == r["mix_source"] == 7 for r in mixing.mix(odd).collect())
     again = mixing.mix(odd.repartition(7), weights, epochs=100.0)
     assert Counter((r["doc_id"], r["text"]) for r in again.collect()) == got
 
@@ -350,6 +355,21 @@ def test_urls(spark):
         assert (r["rule"], r["verdict"]) == cases[urls[r["page_id"]]], urls[r["page_id"]]
     assert url_filter.judge_urls(pages, rules.limit(0), default="block").filter("verdict = 'block' AND rule IS NULL").count() == len(got)
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    odd = pages.select("page_id", "url", *[F.lit(k).alias(c) for k, c in enumerate(("best", "b_host", "b_path", "b_rows", "b_best", "verdict", "prefix", "r_rule"))])
+    named = url_filter.judge_urls(odd, rules).collect()
+    assert all((r["rule"], r["verdict"]) == cases[urls[r["page_id"]]] and (r["best"], r["b_host"], r["b_best"], r["r_rule"]) == (0, 1, 4, 7) for r in named)
+
+
+def test_hot_keys_are_broadcast_and_others_shuffled(spark, monkeypatch):
+    from attestry.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(4000)] + [(None, 9), (99, 10)], "k int, v int")
+    right = spark.createDataFrame([(k, 10 * k, 1 + (5000 if k == 0 else k)) for k in range(7)], "r int, w int, n long")
+    for how in ("inner", "left"):
+        got = shared.join_split(left, right, F.col("k").eqNullSafe(F.col("r")), "n", how).select("k", "v", "w").collect()
+        want = left.join(right, F.col("k").eqNullSafe(F.col("r")), how).select("k", "v", "w").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 # 7 licences
@@ -367,6 +387,19 @@ def test_licences(spark, docs, empty):
     assert licenses.scan_licenses(docs).filter("size(spans) > 0").count() == 0
 
 
+def test_suppression_is_brute_force():
+    vocab = "spdx license identifier mit apache 2 0 gnu general public version 3 or later licensed under the bsd clause cc by nc 4 lesser only".split()
+    r = random.Random(1)
+    for _ in range(200):
+        norm = " ".join(r.choice(vocab) for _ in range(r.randrange(60)))
+        hits = [(n, m.start(), m.end()) for n, (_, _, pattern, _, _) in enumerate(licenses.rules()) for m in pattern.finditer(norm)]
+        rank = lambda h: (-licenses.rules()[h[0]][3], h[1] - h[2], h[0], h[1])
+        left = [h for h in hits if not any(o[1] <= h[1] and h[2] <= o[2] and rank(o) < rank(h) for o in hits)]
+        assert licenses.detections(norm) == sorted((a, b, licenses.rules()[n][0], licenses.rules()[n][4]) for n, a, b in left)
+    long = " ".join(["licensed under the gnu general public license version 3"] * 20_000)
+    assert len(licenses.detections(long)) == 20_000
+
+
 def test_every_rule_has_its_keyword():
     sample = {"license mit": "license mit", "spdx": "spdx license identifier mit"}
     for keyword, text in sample.items():

@@ -50,6 +50,25 @@ def test_op1(spark, docs):
         at += len(ids)
 
 
+def test_op2(spark, duck):
+    """Counted anew in plain Python; the version that SQL can express is held against SQL as well."""
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counters = {
+        "ws@1": lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)), "alnum@2": lambda t: len(re.findall(r"[0-9A-Za-z]+|[^\x00-\x7F]+", t)),
+        "byte_bpe_50k@1": lambda t: len(lib.encode(t, add_special_tokens=False).ids),
+    }
+    low = {i for i, in duck.execute("SELECT doc_id FROM labels WHERE quality = 0").fetchall()}
+    gone = {i for i, in duck.execute("SELECT doc_id FROM labels WHERE toxic = 1").fetchall()}
+    want: dict = {}
+    for i, text, source, lang in duck.execute("SELECT doc_id, text, source, lang FROM documents").fetchall():
+        text = "\n".join(dict.fromkeys((text or "").split("\n"))) if i in low else text or ""
+        for name, count in counters.items() if i not in gone else ():
+            d, n = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = (d + 1, n + count(text))
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in QUERIES["op2_token_rollup"](spark, SF).collect()}
+    assert got == want
+
+
 def test_op3(spark, docs):
     sets = {}
     for i, text, _ in docs:
