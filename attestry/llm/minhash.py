@@ -62,6 +62,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """bytes.lower() changes A-Z alone, and bytes.split() cuts at space and \\t \\n \\v \\f \\r alone: words are `[^\\x20\\x09-\\x0D]+`."""
     return np.fromiter(map(_words.__getitem__, (text or "").encode().lower().split()), np.uint64)
@@ -137,7 +141,7 @@ def _features(size: int, percent: int):
             if todo:
                 yield _rows(batch.column("id").slice(done, len(todo)), todo, rows, bands)
 
-    return tidy(run, _words.clear)
+    return tidy(run, forget)
 
 
 def _rows(ids: pa.Array, todo: list, rows: int, bands: int) -> pa.RecordBatch:
@@ -173,7 +177,7 @@ def _confirm(percent: int, size: int):
                         b.append(i)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tidy(run, _words.clear)
+    return tidy(run, forget)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
