@@ -434,12 +434,39 @@ def test_surrogates(spark, empty):
     assert len(mails) == 2 and mails[0].lower() == mails[1] and mails[0] != mails[1] and mails[1].endswith(".com")
     assert by[0]["text"][by[0]["pii"][2]["start"] : by[0]["pii"][2]["end"]] in by[7]["text"]
     cards = [surrogates._luhn("".join(c for c in by[0]["text"][s["start"] : s["end"]] if c.isdigit())) for s in by[0]["pii"] if s["kind"] == "card"]
-    assert cards == [True]
+    assert cards == [0]
     assert by[2]["text"].startswith("Mrs. ") and by[2]["text"].count(by[2]["text"].split()[2]) == 2  # one surname, two places
     assert re.search("[а-я]", by[3]["text"].split()[1].lower()) and by[4]["text"] is None and by[4]["pii"] is None and by[6]["text"] == texts[6]
     assert surrogates.replace_pii(empty, b"k").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_permutations_reach_all_and_fix_none(n):
+    out = [surrogates.permuted(x, n, b"k", "a") for x in range(n)]
+    assert sorted(out) == list(range(n)) and (n == 1 or all(a != b for a, b in enumerate(out)))
+
+
+def test_formats_stay_valid(spark):
+    """A corpus that uses a whole private network, and codes whose checksums and prefixes are known."""
+    ips = [f"192.168.{a}.{b}" for a in range(256) for b in range(0, 256, 16)]
+    codes = {"DE89 3704 0044 0532 0130 00": "iban", "GB82 WEST 1234 5698 7654 32": "iban", "+49 30 123456": "phone", "+44 20 7946 0958": "phone", "+351 21 123 4567": "phone", "(771) 555-1655": "phone"}
+    long = "x " * 200_000 + "mail a@b.com"
+    rows = [(i, t) for i, t in enumerate([*ips, *codes, "Dr. Mueller and Alice Cooper met. Cooper left; Mueller stayed.", long])]
+    got = [r["text"] for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumn("draws", F.lit(1)), b"k").orderBy("doc_id").collect()]
+    assert len(set(got[: len(ips)])) == len(ips) and all(g.startswith("192.168.") and g != o for g, o in zip(got, ips))
+    for old, new in zip(codes, got[len(ips) :]):
+        assert old != new and [c if c in "+() -" else "d" if c.isdigit() else "l" for c in old] == [c if c in "+() -" else "d" if c.isdigit() else "l" for c in new]
+        if codes[old] == "iban":
+            flat = new.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 and flat[:2] == old[:2]
+        elif old[0] == "+":
+            assert new.split()[0] == old.split()[0]
+    words = re.findall(r"\w+", got[-2])
+    assert words[0] == "Dr" and words[1] == words[8] and words[4] == words[6]
+    assert "Cooper" not in got[-2] and "Mueller" not in got[-2] and "Alice" not in got[-2]
+    assert got[-1][:400_000] == long[:400_000] and got[-1] != long
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     few = [(i, f"Herr {chr(65 + i % 26)}{'abcdefghij'[i // 26]}xx.") for i in range(120)]
     plain = surrogates.surrogate
