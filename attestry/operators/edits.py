@@ -8,20 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Fields that an operation must have.
-REQUIRED = {"addNode": ("node", "pageId"), "removeNode": ("nodeId",), "updateNode": ("nodeId", "patch"), "setMeta": ("meta",), "addPage": ("page",), "removePage": ("pageId",)}
+#: Kinds of operations with the fields that each must have, and types of nodes.
+REQUIRED = {
+    "addNode": ("node",), "removeNode": ("nodeId",), "updateNode": ("nodeId", "patch"), "reorder": ("nodeId", "to"), "addPage": (), "removePage": ("pageId",), "movePage": ("pageId", "index"),
+    "replacePage": ("pageId", "nodes"), "setPageSize": ("pageId",), "setMeta": ("meta",), "setPage": ("page",),
+}
+NODE_TYPES = ("text", "rect", "ellipse", "line", "path", "image", "qr", "signature", "group")
 HISTORY, LOG = 200, 2000
 
 
 def check_ops(raw: DataFrame) -> DataFrame:
-    """(op_id, code, missing) of JSON operations: BAD_JSON, UNKNOWN_OP, MISSING_FIELD with the fields, or null."""
-    spark = raw.sparkSession
-    spec = spark.createDataFrame([(k, list(v)) for k, v in REQUIRED.items()], "op string, required array<string>")
-    keys = raw.withColumn("m", F.from_json("json", "map<string,string>"))
-    met = keys.withColumn("op", F.try_element_at("m", F.lit("op"))).join(F.broadcast(spec), "op", "left")
-    absent = F.array_except("required", F.map_keys("m"))
-    code = F.when(F.col("m").isNull(), "BAD_JSON").when(F.col("required").isNull(), "UNKNOWN_OP").when(F.size(absent) > 0, "MISSING_FIELD")
-    return met.select("op_id", code.alias("code"), F.when(F.size(absent) > 0, F.array_join(F.array_sort(absent), ",")).alias("missing"))
+    """(op_id, code, missing) of JSON operations: BAD_JSON, UNKNOWN_OP, MISSING_FIELD with the fields that are absent or null, NODE_TYPE, or null."""
+    spec = F.create_map(*[x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    keys = raw.withColumn("m", F.from_json("json", "map<string,string>")).withColumn("required", F.try_element_at(spec, F.try_element_at("m", F.lit("op"))))
+    given = F.map_keys(F.map_filter("m", lambda _, v: v.isNotNull()))
+    absent = F.array_except("required", given)
+    kind = F.get_json_object("json", "$.node.type")
+    code = (
+        F.when(F.col("m").isNull(), "BAD_JSON").when(F.col("required").isNull(), "UNKNOWN_OP").when(F.size(absent) > 0, "MISSING_FIELD")
+        .when((F.try_element_at("m", F.lit("op")) == "addNode") & ~F.coalesce(kind.isin(*NODE_TYPES), F.lit(False)), "NODE_TYPE")
+    )
+    return keys.select("op_id", code.alias("code"), F.when(F.size(absent) > 0, F.array_join(F.array_sort(absent), ",")).alias("missing"))
 
 
 def assign_versions(ops: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Comparisons, inventories, inheritance and rollups over any evidence tables."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,8 +34,8 @@ def metadata_consistency(info: DataFrame, xmp: DataFrame) -> DataFrame:
 
 
 def best_variant(requests: DataFrame, variants: DataFrame) -> DataFrame:
-    """(request_id, ordinal): of a family's variants the one nearest in style (0, 200 or 300) and weight; the first registered wins ties, null for an unknown family."""
-    cost = F.when(F.col("style") == F.col("want_style"), 0).when(F.col("style").isin("italic", "oblique") & F.col("want_style").isin("italic", "oblique"), 200).otherwise(300) + F.abs(F.col("weight") - F.col("want_weight"))
+    """(request_id, ordinal): of a family's variants the one nearest in style (another style costs 300 where italic is wanted, else 200) and weight; the first registered wins ties, null for an unknown family."""
+    cost = F.when(F.col("style") == F.col("want_style"), 0).when(F.col("want_style") == "italic", 300).otherwise(200) + F.abs(F.col("weight") - F.col("want_weight"))
     best = requests.join(variants, "family").groupBy("request_id").agg(F.min_by("ordinal", F.struct(cost.alias("c"), F.col("ordinal"))).alias("ordinal"))
     return requests.select("request_id").join(best, "request_id", "left")
 
@@ -113,7 +113,3 @@ def character_inventory(docs: DataFrame, by: str, text: str = "text") -> DataFra
     """(by, characters, letters): characters of all texts, and how many different ones. Characters are counted within a document before they are shuffled."""
     each = docs.select(by, F.explode(F.array_distinct(F.split(text, ""))).alias("ch")).filter("ch <> ''")
     return each.groupBy(by, "ch").agg(F.count("*").alias("docs")).groupBy(by).agg(F.count("*").alias("characters"), F.sum("docs").alias("uses"))
-
-
-def url_column(c: Column) -> Column:
-    return F.regexp_extract(c, "^([a-z]+)://", 1)

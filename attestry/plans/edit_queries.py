@@ -90,14 +90,20 @@ def offered_load(spark, sf):
     return E.offered_load(hits(spark, sf), WINDOW)
 
 
-@query("s9_read_op_log", """
-SELECT event_id AS op_id, CASE WHEN event_id % 7 = 0 THEN 'BAD_JSON' WHEN event_type = 'error' THEN 'UNKNOWN_OP' WHEN event_id % 7 = 1 AND event_type IN ('click', 'view') THEN 'MISSING_FIELD' WHEN event_type = 'purchase' THEN 'MISSING_FIELD' END AS code,
-  CASE WHEN event_id % 7 = 0 OR event_type = 'error' THEN NULL WHEN event_id % 7 = 1 AND event_type IN ('click', 'view') THEN 'patch' WHEN event_type = 'purchase' THEN 'node,pageId' END AS missing FROM events""")
+#: Operations by the event's number, with what is said of each.
+_OPS = [
+    ("{ bad", "BAD_JSON", None), ('{"op":"explode"}', "UNKNOWN_OP", None), ('{"op":"updateNode","nodeId":"n"}', "MISSING_FIELD", "patch"), ('{"op":"updateNode","nodeId":null,"patch":{}}', "MISSING_FIELD", "nodeId"),
+    ('{"op":"addNode","node":{"type":"text"}}', None, None), ('{"op":"addNode","node":{"type":"circle"}}', "NODE_TYPE", None), ('{"op":"addNode"}', "MISSING_FIELD", "node"), ('{"op":"addPage"}', None, None),
+    ('{"op":"reorder","nodeId":"n"}', "MISSING_FIELD", "to"), ('{"op":"reorder","nodeId":"n","to":0}', None, None), ('{"op":"movePage"}', "MISSING_FIELD", "index,pageId"), ('{"op":"replacePage","pageId":"p"}', "MISSING_FIELD", "nodes"),
+    ('{"op":"setPageSize","pageId":"p"}', None, None), ('{"op":"setPage"}', "MISSING_FIELD", "page"), ('{"op":"setMeta","meta":{}}', None, None), ('{"op":"removePage","pageId":"p"}', None, None), ('{"op":"removeNode"}', "MISSING_FIELD", "nodeId"),
+]
+_SAID = ", ".join(f"({n}, {', '.join(repr(x) if x else 'NULL' for x in said)})" for n, (_, *said) in enumerate(_OPS))
+
+
+@query("s9_read_op_log", f"WITH said(n, code, missing) AS (VALUES {_SAID}) SELECT event_id AS op_id, code, missing FROM events JOIN said ON event_id % {len(_OPS)} = n")
 def read_op_log(spark, sf):
-    e = view(spark, sf, "events")
-    kind = F.when(F.col("event_type").isin("click", "view"), "updateNode").when(F.col("event_type") == "purchase", "addNode").when(F.col("event_type") == "error", "explode").otherwise("setMeta")
-    fields = F.struct(kind.alias("op"), F.when(F.col("event_type").isin("click", "view"), "n1").alias("nodeId"), F.when(F.col("event_type").isin("click", "view") & (F.col("event_id") % 7 != 1), "p").alias("patch"), F.when(kind == "setMeta", "m").alias("meta"))
-    return E.check_ops(e.select(F.col("event_id").alias("op_id"), F.when(F.col("event_id") % 7 == 0, "{ bad").otherwise(F.to_json(fields)).alias("json")))
+    op = F.get(F.array(*[F.lit(j) for j, *_ in _OPS]), (F.col("event_id") % len(_OPS)).cast("int"))
+    return E.check_ops(view(spark, sf, "events").select(F.col("event_id").alias("op_id"), op.alias("json")))
 
 
 @query("f14_client_key", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 't:' || substr(sha256('tok' || user_id), 1, 16) ELSE 'ip:10.0.0.' || (user_id % 256) END AS k FROM events")

@@ -23,7 +23,7 @@ SELECT 'N' || n_nationkey, 'CN=ca-' || n_nationkey, 'CN=root-' || n_regionkey, m
   n_nationkey % 13 <> 7, CASE WHEN n_nationkey % 5 = 0 THEN 0 END, n_nationkey % 11 <> 6, TRUE,
   CASE WHEN n_nationkey % 6 = 1 THEN 'ec' ELSE 'rsa' END, CASE WHEN n_nationkey % 6 = 1 THEN 384 WHEN n_nationkey % 11 = 3 THEN 1024 ELSE 2048 END,
   CASE WHEN n_nationkey % 7 = 5 THEN 'sha1' ELSE 'sha256' END, CAST('1985-01-01' AS TIMESTAMP), CASE WHEN n_nationkey % 9 = 8 THEN CAST('1997-01-01' AS TIMESTAMP) ELSE CAST('2030-01-01' AS TIMESTAMP) END,
-  n_nationkey % 10 <> 9, CASE WHEN n_nationkey % 12 = 11 THEN '2.5.29.15,1.2.3.4' ELSE '2.5.29.15,2.5.29.19' END, ''
+  n_nationkey % 10 <> 9, CASE WHEN n_nationkey % 12 = 11 THEN '2.5.29.15,1.2.3.4' WHEN n_nationkey % 12 = 10 THEN '2.5.29.16,2.5.29.18,2.5.29.46,1.3.6.1.5.5.7.1.3' ELSE '2.5.29.15,2.5.29.19' END, ''
 FROM {nation}
 UNION ALL
 SELECT 'X' || n_nationkey, 'CN=ca-' || n_nationkey, 'CN=root-' || n_regionkey, md5('old-ca-' || n_nationkey), md5('key-root-' || n_regionkey), CAST(NULL AS STRING), '0b' || lpad(CAST(n_nationkey AS STRING), 4, '0'),
@@ -46,7 +46,7 @@ UNION ALL SELECT 'other', 'CN=elsewhere', 'Z1' FROM {region} WHERE r_regionkey =
 SELECT n_nationkey * 2 AS crl_id, 'CN=ca-' || n_nationkey AS issuer, '0' || CAST(10 + n_nationkey AS STRING) AS crl_number, FALSE AS is_delta, CAST(NULL AS STRING) AS base_number,
   CAST('1995-01-01' AS TIMESTAMP) AS this_update, CASE WHEN n_nationkey % 7 = 3 THEN CAST(NULL AS TIMESTAMP) WHEN n_nationkey % 7 = 4 THEN CAST('1996-01-01' AS TIMESTAMP) ELSE CAST('2001-01-01' AS TIMESTAMP) END AS next_update,
   n_nationkey % 8 = 5 AS only_ca, FALSE AS only_user, n_nationkey % 24 = 23 AS only_attribute, n_nationkey % 6 = 2 AS indirect,
-  CASE WHEN n_nationkey % 5 = 4 THEN 'keyCompromise' ELSE '' END AS some_reasons, CASE WHEN n_nationkey % 9 = 1 THEN '1.2.3' ELSE '' END AS unknown_critical,
+  CASE WHEN n_nationkey % 5 = 4 THEN 'keyCompromise' ELSE '' END AS some_reasons, CASE WHEN n_nationkey % 9 = 1 THEN '2.5.29.28,1.2.3' WHEN n_nationkey % 9 = 2 THEN '2.5.29.20,2.5.29.27,2.5.29.55' ELSE '' END AS critical,
   n_nationkey % 16 <> 15 AS sig_ok, CASE WHEN n_nationkey % 4 = 3 THEN 'http://crl/' || n_nationkey ELSE '' END AS uris
 FROM {nation}
 UNION ALL
@@ -86,7 +86,7 @@ FROM {orders}""",
     "fx_timestamps": """
 SELECT l_orderkey AS sig_id, l_linenumber AS ts_id, l_shipdate AS gen_time, (l_orderkey + l_linenumber) % 19 <> 4 AS imprint_ok, (l_orderkey + l_linenumber) % 23 <> 6 AS eku_ok,
   CASE WHEN (l_orderkey + l_linenumber) % 29 = 8 THEN CAST(NULL AS BOOLEAN) ELSE (l_orderkey + l_linenumber) % 31 <> 9 END AS sig_ok, (l_orderkey + l_linenumber) % 17 <> 5 AS trusted
-FROM {lineitem} WHERE l_linenumber <= 2""",
+FROM {lineitem}""",
     "fx_records": """
 SELECT source AS ledger_id, CAST(row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS INT) AS seq, SHA256(text) AS document_hash, 'D-' || d.doc_id AS doc_no,
   'signer-' || lang AS signer, 'ca-' || lang AS issuer, CASE WHEN d.doc_id % 3 = 0 THEN 'B-LT' ELSE 'B-B' END AS level,
@@ -99,7 +99,7 @@ FROM {pages} WHERE page_id % 10 <> 9""",
     "fx_addresses": """
 SELECT event_id, CASE WHEN event_id % 4 = 0 THEN (event_id % 256) || '.' || (event_id * 7 % 256) || '.' || (event_id * 13 % 256) || '.' || (event_id * 29 % 300)
   WHEN event_id % 4 = 1 THEN CASE WHEN event_id % 5 = 0 THEN '10.' WHEN event_id % 5 = 1 THEN '172.16.' WHEN event_id % 5 = 2 THEN '192.168.' WHEN event_id % 5 = 3 THEN '169.254.' ELSE '8.8.' END || (event_id % 256) || '.' || (event_id % 251) || CASE WHEN event_id % 5 = 0 THEN '.1' ELSE '' END
-  ELSE CAST(event_id AS STRING) END AS address FROM {events} WHERE event_id % 4 < 3""",
+  ELSE CAST(event_id AS STRING) END AS address FROM {events}""",
     "fx_addresses6": """
 SELECT event_id, CASE CAST(event_id % 12 AS INT) WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN 'fe80::' || (event_id % 1000) WHEN 3 THEN 'fc00:1::' || (event_id % 1000) WHEN 4 THEN 'ff02::1'
   WHEN 5 THEN '::ffff:10.0.0.' || (event_id % 256) WHEN 6 THEN '::ffff:8.8.8.' || (event_id % 256) WHEN 7 THEN '2002:0a00:' || (event_id % 1000) || '::1' WHEN 8 THEN '64:ff9b::192.168.0.' || (event_id % 256)

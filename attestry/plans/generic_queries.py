@@ -55,7 +55,7 @@ _REQ = "SELECT o_orderkey AS request_id, 'brand#' || (o_custkey % 30) AS family,
 
 @query("j17_best_variant", f"""
 WITH v AS ({_VAR.replace('{part}', 'part')}), r AS ({_REQ.replace('{orders}', 'orders')})
-SELECT r.request_id, arg_min(v.ordinal, struct_pack(c := CASE WHEN style = want_style THEN 0 WHEN style IN ('italic', 'oblique') AND want_style IN ('italic', 'oblique') THEN 200 ELSE 300 END + abs(weight - want_weight), o := v.ordinal)) AS ordinal FROM r LEFT JOIN v ON r.family = v.family GROUP BY r.request_id""")
+SELECT r.request_id, arg_min(v.ordinal, struct_pack(c := CASE WHEN style = want_style THEN 0 WHEN want_style = 'italic' THEN 300 ELSE 200 END + abs(weight - want_weight), o := v.ordinal)) AS ordinal FROM r LEFT JOIN v ON r.family = v.family GROUP BY r.request_id""")
 def best_variant(spark, sf):
     v = spark.sql(_VAR, part=view(spark, sf, "part"))
     return G.best_variant(spark.sql(_REQ, orders=view(spark, sf, "orders")), v)
@@ -183,11 +183,21 @@ def normalise_digest(spark, sf):
     return view(spark, sf, "orders").select("o_orderkey", C.normalise_digest(spelling).alias("family"))
 
 
-@query("s4_s5_scan_assets", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'font/ttf' END AS mime, CASE WHEN page_id % 4 = 0 THEN 100 + page_id END AS width, CASE WHEN page_id % 4 <> 0 THEN 'NOT_PNG' WHEN (100 + page_id) * 300000 > 40000000 THEN 'TOO_MANY_PIXELS' END AS code FROM pages")
+@query("s4_s5_scan_assets", """
+WITH p AS (SELECT page_id, page_id % 4 AS k, 100 + page_id AS w, page_id % 7 AS c, CASE WHEN page_id % 3 = 0 THEN 16 ELSE 8 END AS depth, page_id % 5 = 0 AS laced FROM pages),
+d AS (SELECT *, w * 300000 AS pixels, CASE c WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 4 END AS samples FROM p),
+b AS (SELECT *, ceil(pixels * ceil(depth * samples / 8.0) * CASE WHEN laced THEN 1.5 ELSE 1 END)::BIGINT AS bytes FROM d)
+SELECT page_id, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'font/ttf' END AS mime, CASE WHEN k = 0 THEN w END AS width, CASE WHEN k = 0 THEN bytes END AS decoded,
+  CASE WHEN k <> 0 THEN 'NOT_PNG' WHEN samples IS NULL THEN 'MALFORMED' WHEN pixels > 50000000 THEN 'TOO_MANY_PIXELS' WHEN bytes > 536870912 THEN 'DECODED_TOO_LARGE' END AS code FROM b""")
 def scan_assets(spark, sf):
     """Each page's HTML behind the first bytes of a file type, as a file's content."""
-    k = F.col("page_id") % 4
-    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(F.col("page_id") + 100), 8, "0")), F.unhex(F.lpad(F.hex(F.lit(300000)), 8, "0")))
+    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
+    i = F.col("page_id")
+    size = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    header = F.concat(byte(F.when(i % 3 == 0, 16).otherwise(8)), byte(i % 7), byte(F.lit(0)), byte(F.lit(0)), byte(F.when(i % 5 == 0, 1).otherwise(0)))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), size(i + 100), size(F.lit(300000)), header)
+    k = i % 4
     content = F.concat(F.when(k == 0, png).when(k == 1, F.unhex(F.lit("FFD8FFE0"))).when(k == 2, F.unhex(F.lit("0001000000"))).otherwise(F.unhex(F.lit("25504446"))), F.encode("html", "UTF-8"))
     x = view(spark, sf, "pages").select("page_id", S.sniff(content).alias("mime"), S.png_facts(content).alias("f"))
-    return x.select("page_id", "mime", F.when(F.col("mime") == "image/png", F.col("f.width")).alias("width"), "f.code")
+    png_only = lambda c: F.when(F.col("mime") == "image/png", F.col(f"f.{c}")).alias(c)
+    return x.select("page_id", "mime", png_only("width"), png_only("decoded"), "f.code")

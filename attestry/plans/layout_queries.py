@@ -29,12 +29,13 @@ def overlap_pairs(spark, sf):
 
 
 @query("p19_rect_predicates", f"""
-WITH b AS (SELECT *, 100.0 AS fx, 150.0 AS fy, 200.0 AS fw, 250.0 AS fh FROM ({_B})) SELECT page_id, count(*) FILTER (WHERE x < fx + fw AND fx < x + width AND y < fy + fh AND fy < y + height) AS meets, count(*) FILTER (WHERE x >= fx AND y >= fy AND x + width <= fx + fw AND y + height <= fy + fh) AS inside FROM b GROUP BY page_id""")
+WITH b AS (SELECT *, 100.0 AS fx, 150.0 AS fy, 200.0 AS fw, 250.0 AS fh FROM ({_B})) SELECT page_id, count(*) FILTER (WHERE x < fx + fw AND fx < x + width AND y < fy + fh AND fy < y + height) AS meets, count(*) FILTER (WHERE x >= fx AND y >= fy AND x + width <= fx + fw AND y + height <= fy + fh) AS inside, count(*) FILTER (WHERE 150.0 BETWEEN x AND x + width AND 200.0 BETWEEN y AND y + height) AS hits FROM b GROUP BY page_id""")
 def rect_predicates(spark, sf):
     frame = L.column_box(F.lit(100.0), F.lit(150.0), F.lit(200.0), F.lit(250.0))
     own = L.column_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     return boxes(spark, sf).select("page_id", own.alias("o"), frame.alias("f")).groupBy("page_id").agg(
-        F.count_if(P.intersects(F.col("o"), F.col("f"))).alias("meets"), F.count_if(P.contains(F.col("f"), F.col("o"))).alias("inside"))
+        F.count_if(P.intersects(F.col("o"), F.col("f"))).alias("meets"), F.count_if(P.contains(F.col("f"), F.col("o"))).alias("inside"),
+        F.count_if(P.contains_point(F.col("o"), F.lit(150.0), F.lit(200.0))).alias("hits"))
 
 
 @query("a18_bounding_box", f"""

@@ -17,22 +17,30 @@ def _match(host: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(f"({host} = '{p[2:]}' OR ends_with({host}, '{p[1:]}'))" if p.startswith("*.") else f"{host} = '{p}'" for p in patterns) + ")"
 
 
-#: page urls, and every page once more as a URL of a kind that must be refused
-_URLS = """SELECT page_id, url FROM pages UNION ALL SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ftp://h' || page_id || '.example.com/x' WHEN 1 THEN 'http://u:p@h.example.com/' || page_id WHEN 2 THEN 'http://169.254.169.254/' || page_id
-  WHEN 3 THEN 'http://10.0.0.1:8080/' || page_id WHEN 4 THEN 'https://8.8.8.8/' || page_id ELSE 'no url ' || page_id END FROM pages"""
+#: URLs of a kind, with what the rules say of each: made anew for every page, which stands in {k}.
+_KINDS = [
+    ("ftp://h{k}.example.com/x", "SCHEME"), ("http://u:p@h.example.com/{k}", "CREDENTIALS"), ("http://169.254.169.254/{k}", "BLOCKED_ADDRESS"), ("http://10.0.0.1:8080/{k}", "BLOCKED_ADDRESS"),
+    ("https://8.8.8.8/{k}", None), ("no url {k}", "BAD_URL"), ("http://2130706433/{k}", "BLOCKED_ADDRESS"), ("http://0x7f.1/{k}", "BLOCKED_ADDRESS"), ("http://127.1/{k}", "BLOCKED_ADDRESS"),
+    ("http://0177.0.0.01:80/{k}", "BLOCKED_ADDRESS"), ("mailto:x{k}@example.com", "SCHEME"), ("http:\\\\10.0.0.1\\{k}", "BLOCKED_ADDRESS"), ("http://@www.example.com/{k}", None),
+    ("http://256.1.1.1/{k}", "BAD_URL"), ("http://WWW.EXAMPLE.COM:99999/{k}", "BAD_URL"), ("http://[::ffff:127.0.0.1]/{k}", "BLOCKED_ADDRESS"), ("http://[::1]:8080/{k}", "BLOCKED_ADDRESS"),
+    ("http://WWW.Example.com/{k}", None), ("http://cdn.cheap-pills.example.com/{k}", "HOST_DENIED"), ("http://8.8.4.4/{k}", "HOST_NOT_ALLOWED"),
+]
+_LISTED = ["127.0.0.1", "169.254.169.254", "::ffff:127.0.0.1", "::1"]
+_LITERALS = ", ".join(f"({n}, '{u}', {repr(c) if c else 'NULL'})" for n, (u, c) in enumerate(_KINDS))
 
 
 @query("p1_url_policy", f"""
-WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority FROM ({_URLS})),
+WITH kinds(n, shape, code) AS (VALUES {_LITERALS}),
+u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority FROM pages),
 h AS (SELECT *, lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')) AS host FROM u)
 SELECT page_id, url, CASE WHEN scheme = '' OR (scheme IN ('http', 'https') AND host = '') THEN 'BAD_URL' WHEN scheme NOT IN ('http', 'https') THEN 'SCHEME' WHEN contains(authority, '@') THEN 'CREDENTIALS' WHEN {_match('host', DENY)} THEN 'HOST_DENIED'
-  WHEN host <> '169.254.169.254' AND NOT {_match('host', ALLOW)} THEN 'HOST_NOT_ALLOWED' WHEN CASE WHEN {V4_OK('host')} THEN {_BLOCK(V4('host'))} ELSE FALSE END THEN 'BLOCKED_ADDRESS' END AS code FROM h""")
+  WHEN NOT {_match('host', ALLOW)} THEN 'HOST_NOT_ALLOWED' WHEN CASE WHEN {V4_OK('host')} THEN {_BLOCK(V4('host'))} ELSE FALSE END THEN 'BLOCKED_ADDRESS' END AS code FROM h
+UNION ALL SELECT page_id, replace(shape, '{{k}}', page_id::VARCHAR), code FROM pages JOIN kinds ON page_id % {len(_KINDS)} = n""")
 def url_policy(spark, sf):
     p = view(spark, sf, "pages")
-    k = F.col("page_id").cast("string")
-    odd = F.array(F.concat(F.lit("ftp://h"), k, F.lit(".example.com/x")), F.concat(F.lit("http://u:p@h.example.com/"), k), F.concat(F.lit("http://169.254.169.254/"), k), F.concat(F.lit("http://10.0.0.1:8080/"), k), F.concat(F.lit("https://8.8.8.8/"), k), F.concat(F.lit("no url "), k))
-    urls = p.select("page_id", "url").unionByName(p.select("page_id", F.get(odd, (F.col("page_id") % 6).cast("int")).alias("url")))
-    return urls.select("page_id", "url", P.url_policy(F.col("url"), allow=[*ALLOW, "169.254.169.254"], deny=DENY).alias("code"))
+    shape = F.get(F.array(*[F.lit(u) for u, _ in _KINDS]), (F.col("page_id") % len(_KINDS)).cast("int"))
+    urls = p.select("page_id", "url").unionByName(p.select("page_id", F.replace(shape, F.lit("{k}"), F.col("page_id").cast("string")).alias("url")))
+    return urls.select("page_id", "url", P.url_policy(F.col("url"), allow=[*ALLOW, *_LISTED], deny=DENY).alias("code"))
 
 
 @query("p2_host_matches", """
@@ -50,8 +58,13 @@ def ip_blocked(spark, sf):
     return view(spark, sf, "fx_addresses").select("event_id", "address", F.when(n.isNull(), True).otherwise(P.v4_blocked(n)).alias("blocked"))
 
 
-@query("p4_ip6_blocked", """
-SELECT event_id, address, event_id % 12 NOT IN (6, 9, 11) AS blocked FROM fx_addresses6""")
+@query("p4_ip6_blocked", f"""
+WITH d AS (SELECT event_id, address, regexp_extract(address, '([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)$', 1) AS tail FROM fx_addresses6),
+t AS (SELECT event_id, address, string_split(CASE WHEN tail = '' THEN address ELSE regexp_replace(address, '[0-9.]+$', '') || format('{{:x}}:{{:x}}', {V4('tail')} // 65536, {V4('tail')} % 65536) END, '::') AS halves FROM d),
+s AS (SELECT *, list_filter(string_split(halves[1], ':'), lambda g: g <> '') AS l, list_filter(string_split(coalesce(halves[2], ''), ':'), lambda g: g <> '') AS r FROM t),
+g AS (SELECT event_id, address, list_transform(l || list_transform(range(CASE WHEN len(halves) > 1 THEN 8 - len(l) - len(r) ELSE 0 END), lambda x: '0') || r, lambda x: ('0x' || x)::BIGINT) AS n FROM s)
+SELECT event_id, address, CASE WHEN len(n) <> 8 THEN TRUE WHEN list_sum(n[1:5]) = 0 AND n[6] = 65535 THEN {_BLOCK('n[7] * 65536 + n[8]')} WHEN list_sum(n[1:7]) = 0 AND n[8] IN (0, 1) THEN TRUE
+  WHEN n[1] & 65472 = 65152 OR n[1] & 65024 = 64512 OR n[1] & 65280 = 65280 THEN TRUE WHEN n[1] = 8194 THEN {_BLOCK('n[2] * 65536 + n[3]')} WHEN n[1] = 100 AND n[2] = 65435 THEN {_BLOCK('n[7] * 65536 + n[8]')} ELSE FALSE END AS blocked FROM g""")
 def ip6_blocked(spark, sf):
     return view(spark, sf, "fx_addresses6").select("event_id", "address", (~P.address_safe(F.col("address"))).alias("blocked"))
 
@@ -86,7 +99,10 @@ def limit_violations(spark, sf):
     return P.limit_violations(facts, spark.createDataFrame(P.LIMITS, "kind string, most long, code string, status int"))
 
 
-_ROUTE = "CASE event_type WHEN 'click' THEN '/api/render' WHEN 'view' THEN '/static/x.css' WHEN 'purchase' THEN '/api/sign' WHEN 'error' THEN '/api/verify/' || event_id ELSE '/healthz' END"
+_ROUTE = "CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN '/api/render' ELSE '/api/signature' END WHEN 'view' THEN '/static/x.css' WHEN 'purchase' THEN '/api/sign' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN '/api/pfx/' || event_id ELSE '/api/ltv-' || event_id END ELSE '/api/health' END"
+_CLASS = "CASE WHEN regexp_matches(path, '/api/(sign|pfx|ltv)([^A-Za-z0-9_]|$)') THEN 'sensitive' WHEN regexp_matches(path, '/api/health([^A-Za-z0-9_]|$)') THEN 'public' ELSE 'compute' END"
+#: Servers: without tokens and bound to the machine, to all addresses, to an unknown one; with tokens for all routes, and for sensitive ones.
+_SERVERS = [(0, "localhost", "all"), (1, "0.0.0.0", "all"), (2, None, "all"), (3, "0.0.0.0", "all"), (4, "10.0.0.9", "sensitive")]
 
 
 def _requests(spark, sf):
@@ -94,25 +110,25 @@ def _requests(spark, sf):
     return e.withColumn("route_class", P.classify_route(F.col("path")))
 
 
-@query("p8_classify_route", f"""
-SELECT route_class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(p, '^/api/(sign|verify|upgrade|keys|certificates)(/|$)') THEN 'sensitive' WHEN regexp_matches(p, '^/(healthz|static/|$)') THEN 'public' ELSE 'compute' END AS route_class FROM (SELECT {_ROUTE} AS p FROM events)) GROUP BY route_class""")
+@query("p8_classify_route", f"SELECT path, route_class, count(*) AS n FROM (SELECT regexp_replace(path, '[0-9]+', '') AS path, {_CLASS} AS route_class FROM (SELECT {_ROUTE} AS path FROM events)) GROUP BY ALL")
 def classify_route(spark, sf):
-    return _requests(spark, sf).groupBy("route_class").agg(F.count("*").alias("n"))
+    return _requests(spark, sf).groupBy(F.regexp_replace("path", "[0-9]+", "").alias("path"), "route_class").agg(F.count("*").alias("n"))
 
 
 @query("p9_access_decision", f"""
-SELECT event_id, CASE WHEN route_class = 'public' THEN 'allowed' WHEN exposed AND token IS NULL AND route_class = 'sensitive' THEN '503' WHEN token IS NULL AND NOT exposed THEN 'allowed' WHEN token IS NULL OR token NOT IN ('token-0', 'token-1', 'token-2') THEN '401'
-  WHEN route_class = 'sensitive' AND token = 'token-2' THEN '403' ELSE 'allowed' END AS decision
-FROM (SELECT event_id, event_id % 3 = 0 AS exposed, CASE WHEN event_id % 5 < 4 THEN 'token-' || (event_id % 4) END AS token, CASE event_type WHEN 'click' THEN 'compute' WHEN 'view' THEN 'public' WHEN 'purchase' THEN 'sensitive' WHEN 'error' THEN 'sensitive' ELSE 'public' END AS route_class FROM events)""")
+WITH r AS (SELECT event_id, event_id % 5 AS server_id, {_CLASS} AS route_class, CASE WHEN event_id % 7 < 4 THEN 'token-' || (event_id % 4) END AS token FROM (SELECT event_id, {_ROUTE} AS path FROM events))
+SELECT event_id, CASE WHEN route_class = 'public' THEN 'allowed' WHEN server_id < 3 THEN CASE WHEN server_id = 1 AND route_class = 'sensitive' THEN '503' ELSE 'allowed' END
+  WHEN server_id = 4 AND route_class <> 'sensitive' THEN 'allowed' WHEN coalesce(token IN ('token-0', 'token-1') AND (server_id = 3 OR token = 'token-1'), FALSE) THEN 'allowed' ELSE '401' END AS decision FROM r""")
 def access_decision(spark, sf):
-    r = _requests(spark, sf).withColumns({"token": F.expr("CASE WHEN event_id % 5 < 4 THEN 'token-' || (event_id % 4) END"), "scope": F.lit("sign")})
-    known = [(f"token-{k}", "sign,render" if k < 2 else "render") for k in range(3)]
-    tokens = spark.createDataFrame(known, "token string, scopes string").select(F.sha2("token", 256).alias("token_hash"), "scopes")
-    return P.access_decision(r, F.broadcast(tokens), F.col("event_id") % 3 == 0).select("event_id", "decision")
+    bearer = F.when(F.col("event_id") % 7 < 2, F.concat(F.lit("bearer  token-"), F.col("event_id") % 4))
+    header = F.when(F.col("event_id") % 7 < 4, F.concat(F.lit(" token-"), F.col("event_id") % 4))
+    r = _requests(spark, sf).withColumns({"server_id": (F.col("event_id") % 5).cast("int"), "token": P.presented_token(bearer, header)})
+    tokens = spark.createDataFrame([(3, "token-0"), (3, "token-1"), (4, "token-1")], "server_id int, token string").select("server_id", F.sha2("token", 256).alias("token_hash"))
+    return P.access_decision(r, spark.createDataFrame(_SERVERS, "server_id int, bound_host string, scope string"), tokens).select("event_id", "decision")
 
 
 @query("p11_byte_range_check", """
-SELECT sig_id, CASE WHEN b0 < 0 OR b1 < 0 OR b2 < 0 OR b3 < 0 THEN 'NOT_NUMBERS' ELSE concat_ws(',', CASE WHEN b0 <> 0 THEN 'NOT_FROM_START' END, CASE WHEN b1 > b2 THEN 'OVERLAP' END, CASE WHEN b2 + b3 > doc_length THEN 'PAST_END' END, CASE WHEN b1 <> contents_start OR b2 <> contents_end THEN 'GAP_MISMATCH' END) END AS faults FROM fx_signatures""")
+SELECT sig_id, CASE WHEN b0 < 0 OR b1 < 0 OR b2 < 0 OR b3 < 0 THEN 'NOT_NUMBERS' ELSE concat_ws(',', CASE WHEN b0 <> 0 THEN 'NOT_FROM_START' END, CASE WHEN b2 < b0 + b1 THEN 'OVERLAP' END, CASE WHEN b2 + b3 > doc_length THEN 'PAST_END' END, CASE WHEN b0 + b1 <> contents_start OR b2 <> contents_end THEN 'GAP_MISMATCH' END) END AS faults FROM fx_signatures""")
 def byte_range_check(spark, sf):
     c = F.col
     return view(spark, sf, "fx_signatures").select("sig_id", F.array_join(P.byte_range_check(c("b0"), c("b1"), c("b2"), c("b3"), c("doc_length"), c("contents_start"), c("contents_end")), ",").alias("faults"))
@@ -131,12 +147,12 @@ def byte_range_issues(spark, sf):
 
 
 @query("p17_paper_size", """
-WITH s(name, w, h, k) AS (VALUES ('A3', 841.89, 1190.55, 0), ('A4', 595.28, 841.89, 1), ('A5', 419.53, 595.28, 2), ('B5', 498.9, 708.66, 3), ('Letter', 612.0, 792.0, 4), ('Legal', 612.0, 1008.0, 5), ('Tabloid', 792.0, 1224.0, 6)),
-p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN b ELSE a END AS width, CASE WHEN p_size % 2 = 0 THEN a ELSE b END AS height FROM (SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN 595.0 WHEN 1 THEN 612.0 WHEN 2 THEN 420.5 WHEN 3 THEN 300.0 ELSE 842.0 END::DOUBLE AS a, CASE p_size % 5 WHEN 0 THEN 842.0 WHEN 1 THEN 792.0 + p_size WHEN 2 THEN 595.0 WHEN 3 THEN 400.0 ELSE 1190.0 END::DOUBLE AS b FROM part))
+WITH s(name, w, h, k) AS (VALUES ('A3', 841.89, 1190.55, 0), ('A4', 595.28, 841.89, 1), ('A5', 419.53, 595.28, 2), ('A6', 297.64, 419.53, 3), ('Letter', 612.0, 792.0, 4), ('Legal', 612.0, 1008.0, 5), ('Tabloid', 792.0, 1224.0, 6)),
+p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN b ELSE a END AS width, CASE WHEN p_size % 2 = 0 THEN a ELSE b END AS height FROM (SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN 595.0 WHEN 1 THEN 612.0 WHEN 2 THEN 420.5 WHEN 3 THEN 298.0 ELSE 842.0 END::DOUBLE AS a, CASE p_size % 5 WHEN 0 THEN 842.0 WHEN 1 THEN 792.0 + p_size WHEN 2 THEN 595.0 WHEN 3 THEN 420.0 - p_size % 3 * 3 ELSE 1190.0 END::DOUBLE AS b FROM part))
 SELECT p_partkey, coalesce((SELECT arg_min(name, k) FROM s WHERE abs(least(width, height) - w) <= 3 AND abs(greatest(width, height) - h) <= 3), floor(width / 72 * 25.4 + 0.5)::BIGINT || 'x' || floor(height / 72 * 25.4 + 0.5)::BIGINT || ' mm') AS label FROM p""")
 def paper_size(spark, sf):
-    a = F.expr("CAST(CASE p_size % 5 WHEN 0 THEN 595.0 WHEN 1 THEN 612.0 WHEN 2 THEN 420.5 WHEN 3 THEN 300.0 ELSE 842.0 END AS DOUBLE)")
-    b = F.expr("CAST(CASE p_size % 5 WHEN 0 THEN 842.0 WHEN 1 THEN 792.0 + p_size WHEN 2 THEN 595.0 WHEN 3 THEN 400.0 ELSE 1190.0 END AS DOUBLE)")
+    a = F.expr("CAST(CASE p_size % 5 WHEN 0 THEN 595.0 WHEN 1 THEN 612.0 WHEN 2 THEN 420.5 WHEN 3 THEN 298.0 ELSE 842.0 END AS DOUBLE)")
+    b = F.expr("CAST(CASE p_size % 5 WHEN 0 THEN 842.0 WHEN 1 THEN 792.0 + p_size WHEN 2 THEN 595.0 WHEN 3 THEN 420.0 - p_size % 3 * 3 ELSE 1190.0 END AS DOUBLE)")
     even = F.col("p_size") % 2 == 0
     return view(spark, sf, "part").select("p_partkey", P.paper_size(F.when(even, b).otherwise(a), F.when(even, a).otherwise(b)).alias("label"))
 

@@ -57,7 +57,7 @@ SELECT cert_id, crl_id, CASE WHEN code IS NOT NULL THEN NULL WHEN hit THEN 'revo
 FROM (SELECT c.cert_id, l.crl_id, c.issuer, l.crl_number, l.base_number, e.reason AS e_reason, e.revocation_date, e.invalidity_date,
     coalesce(e.reason IS NOT NULL AND e.reason <> 8 AND NOT (l.indirect AND e.entry_issuer IS NOT NULL AND e.entry_issuer <> c.issuer), FALSE) AS hit,
     NOT (l.only_attribute OR (l.only_user AND c.is_ca) OR (l.only_ca AND NOT c.is_ca)) AND l.some_reasons <> '' AS partial,
-    CASE WHEN l.unknown_critical <> '' THEN 'UNKNOWN_CRITICAL' WHEN NOT l.sig_ok THEN 'BAD_SIGNATURE' WHEN l.this_update - INTERVAL 365 DAY > TIMESTAMP '{AT}' THEN 'NOT_YET_VALID'
+    CASE WHEN len(list_filter(string_split(l.critical, ','), lambda x: x NOT IN ('', '2.5.29.20', '2.5.29.27', '2.5.29.28', '2.5.29.35', '2.5.29.46', '2.5.29.55', '1.3.6.1.5.5.7.1.1'))) > 0 THEN 'UNKNOWN_CRITICAL' WHEN NOT l.sig_ok THEN 'BAD_SIGNATURE' WHEN l.this_update - INTERVAL 365 DAY > TIMESTAMP '{AT}' THEN 'NOT_YET_VALID'
       WHEN l.next_update + INTERVAL 365 DAY < TIMESTAMP '{AT}' THEN 'EXPIRED' WHEN l.only_attribute OR (l.only_user AND c.is_ca) OR (l.only_ca AND NOT c.is_ca) THEN 'OUT_OF_SCOPE' END AS code
   FROM fx_certs c JOIN fx_crls l ON c.issuer = l.issuer AND l.is_delta = {delta} LEFT JOIN fx_crl_entries e ON e.crl_id = l.crl_id AND {SERIAL('e.serial')} = {SERIAL('c.serial')})"""
 
@@ -197,11 +197,17 @@ def path_rules(spark, sf):
     return path_rows(spark, sf)
 
 
-@query("p13_unknown_critical", """
-SELECT cert_id, coalesce(array_to_string(list_filter(string_split(critical, ','), lambda x: x NOT IN ('', '2.5.29.15', '2.5.29.19')), ','), '') AS unknown,
-  len(list_filter(string_split(critical, ','), lambda x: x NOT IN ('', '2.5.29.15', '2.5.29.19'))) = 0 AS usable FROM fx_certs""")
+_KNOWN_CERT = "'', '2.5.29.14', '2.5.29.15', '2.5.29.16', '2.5.29.17', '2.5.29.18', '2.5.29.19', '2.5.29.30', '2.5.29.31', '2.5.29.32', '2.5.29.33', '2.5.29.35', '2.5.29.36', '2.5.29.37', '2.5.29.46', '2.5.29.54', '1.3.6.1.5.5.7.1.1', '1.3.6.1.5.5.7.1.11', '1.3.6.1.5.5.7.1.3', '1.3.6.1.5.5.7.48.1.5'"
+_KNOWN_CRL = "'', '2.5.29.20', '2.5.29.27', '2.5.29.28', '2.5.29.35', '2.5.29.46', '2.5.29.55', '1.3.6.1.5.5.7.1.1'"
+_ODD = "SELECT {id} AS id, array_to_string(list_filter(string_split(critical, ','), lambda x: x NOT IN ({known})), ',') AS unknown FROM {table}"
+
+
+@query("p13_unknown_critical", f"""
+SELECT id, coalesce(unknown, '') AS unknown, coalesce(unknown, '') = '' AS usable FROM ({_ODD.format(id='cert_id', known=_KNOWN_CERT, table='fx_certs')}
+UNION ALL {_ODD.format(id="'L' || crl_id", known=_KNOWN_CRL, table='fx_crls')})""")
 def unknown_critical(spark, sf):
-    return T.unknown_critical(view(spark, sf, "fx_certs")).select("cert_id", "unknown", "usable")
+    certs, crls = T.unknown_critical(view(spark, sf, "fx_certs")), T.unknown_critical(view(spark, sf, "fx_crls"), known=T.KNOWN_CRL_EXTENSIONS)
+    return certs.select(F.col("cert_id").alias("id"), "unknown", "usable").unionByName(crls.select(F.concat(F.lit("L"), "crl_id").alias("id"), "unknown", "usable"))
 
 
 @query("p14_crl_in_scope", """
@@ -250,7 +256,7 @@ def verdict_rows(spark, sf):
     at = F.coalesce("proof", F.lit("2003-01-01").cast("timestamp"))
     broken = normalise_digest(c("sig_digest")).isin(*T.BROKEN)
     return T.verdict(x, {
-        1: (c("b0") != 0) | (c("b1") < 0) | (c("b2") < c("b1")) | (c("b2") + c("b3") > c("doc_length")) | (c("b1") != c("contents_start")) | (c("b2") != c("contents_end")),
+        1: (c("b0") != 0) | (c("b1") < 0) | (c("b2") < c("b0") + c("b1")) | (c("b2") + c("b3") > c("doc_length")) | (c("b0") + c("b1") != c("contents_start")) | (c("b2") != c("contents_end")),
         3: ~c("cms_ok"), 4: c("root").isNull(), 5: ~c("digest_ok"), 6: ~c("sig_ok"),
         7: ~c("attributes_ok") | (~c("has_signing_certificate") & c("sub_filter").like("ETSI.%")), 7.5: ~c("has_signing_certificate"),
         8: c("trusted").isNull(), 9: F.coalesce("chain_broken", F.lit(False)) | c("path_bad").isNotNull(), 10: c("weak") | broken,
@@ -272,7 +278,7 @@ FROM (SELECT y.*, CASE WHEN r1 THEN 1 WHEN NOT cms_ok THEN 3 WHEN root IS NULL T
     WHEN tail AND content_changed IS NULL THEN 15 WHEN tail AND content_changed AND coalesce(certification_p, 0) <> 1 THEN 16 WHEN tail AND content_changed THEN 16.5
     WHEN proof IS NULL AND (TIMESTAMP '2003-01-01' < nb OR TIMESTAMP '2003-01-01' > na) THEN 12 WHEN NOT trusted THEN 8 WHEN NOT has_signing_certificate THEN 7.5 ELSE 17 END AS v
   FROM (SELECT s.* EXCLUDE (digest), s.digest AS sig_digest, t.proof, k.root, k.chain_broken, k.nb, k.na, k.root IN (SELECT cert_id FROM fx_anchors) AS trusted, coalesce(a.errors > 0, FALSE) AS weak, p.chain_id IS NOT NULL AS path_bad, r.cert_id IS NOT NULL AS revoked, e.status AS evidence,
-      s.b0 <> 0 OR s.b1 < 0 OR s.b2 < s.b1 OR s.b2 + s.b3 > s.doc_length OR s.b1 <> s.contents_start OR s.b2 <> s.contents_end AS r1, s.doc_length > s.b2 + s.b3 AS tail,
+      s.b0 <> 0 OR s.b1 < 0 OR s.b2 < s.b0 + s.b1 OR s.b2 + s.b3 > s.doc_length OR s.b0 + s.b1 <> s.contents_start OR s.b2 <> s.contents_end AS r1, s.doc_length > s.b2 + s.b3 AS tail,
       coalesce(t.proof < coalesce(r.invalidity_date, r.revocation_date), FALSE) AND NOT coalesce(r.reason IN (1, 2, 10), FALSE) AS safe
     FROM fx_signatures s
     LEFT JOIN (SELECT sig_id, arg_min(gen_time, ts_id) AS proof FROM ({STAMPS}) WHERE verdict = 'VALID' GROUP BY sig_id) t ON s.sig_id = t.sig_id

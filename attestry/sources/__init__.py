@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -42,11 +43,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """df with `name`, the rows of each `by` numbered from 1 in the given order, exactly and without bringing a group to one task.
+
+    Rows are range-partitioned and numbered within their task, and what earlier tasks have of the group is added: one small row a task and group.
+    """
+    placed = cut(df.repartitionByRange(F.col(by), *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    w = W.partitionBy("__part", by).orderBy(*order)
+    before = placed.groupBy("__part", by).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    found = placed.withColumn("__at", F.row_number().over(w)).join(small(before.select(F.col("__part").alias("__p"), F.col(by).alias("__by"), "__before")), (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return found.select(*df.columns, (F.col("__at") + F.col("__before")).cast("int").alias(name))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(ledger_id, pos, line) of files with a JSON record a line; the file's name is the ledger. Position is the line's, so a file is read whole."""
-    files = spark.read.text(path, wholetext=True).withColumn("f", F.col("_metadata.file_name"))
-    lines = files.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("ledger_id"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("p", "line"))
-    return lines.select("ledger_id", (F.col("p") + 1).alias("pos"), "line")
+    """(ledger_id, pos, line) of files with a JSON record a line; the file's name is the ledger, or the folder `ledger=name` that its part files stand in.
+
+    A file is read in splits by line. Spark keeps the order of lines within a split, and splits have their offset in the file, so lines
+    are numbered by (file, offset, line in the split) without any task reading a whole ledger.
+    """
+    lines = spark.read.text(path).select(
+        F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"ledger=([^/]*)/[^/]*$", 1), F.lit("")), F.col("_metadata.file_name")), r"\.[^.]*$", "").alias("ledger_id"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    return numbered(lines, "ledger_id", [F.col("file"), F.col("at"), F.col("n")], "pos").select("ledger_id", "pos", "line")
 
 
 def read_audit_log(lines: DataFrame) -> DataFrame:
@@ -67,11 +85,26 @@ def scan_assets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("ast_"), F.substring(sha, 1, 16)).alias("id"), sniff(F.col("content")).alias("mime"), sha.alias("sha256"), F.col("length").alias("size"))
 
 
-def png_facts(content: Column, most_pixels: int = 40_000_000) -> Column:
-    """(width, height, code) from the header alone: refused by pixel count before anything is decoded."""
-    n = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-    code = F.when(~F.coalesce(sniff(content) == "image/png", F.lit(False)), "NOT_PNG").when((n(17) == 0) | (n(21) == 0), "EMPTY").when(n(17) * n(21) > most_pixels, "TOO_MANY_PIXELS")
-    return F.struct(n(17).alias("width"), n(21).alias("height"), code.alias("code"))
+#: Most pixels and decoded bytes of an image, and samples a pixel by a PNG's colour type.
+MOST_PIXELS, MOST_DECODED = 50_000_000, 512 * 1024 * 1024
+PNG_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def png_facts(content: Column, most_pixels: int = MOST_PIXELS, most_decoded: int = MOST_DECODED) -> Column:
+    """(width, height, decoded, code) from the header alone: refused by pixels, and by the bytes that it would take decoded, before anything is decoded.
+
+    A sample's bits times samples a pixel are rounded up to bytes; an interlaced image takes half as much again.
+    """
+    n = lambda at, size=4: F.conv(F.hex(F.substring(content, at, size)), 16, 10).cast("long")
+    samples = F.try_element_at(F.create_map(*[F.lit(x) for pair in PNG_SAMPLES.items() for x in pair]), n(26, 1).cast("int"))
+    width, height = n(17), n(21)
+    decoded = F.ceil(width * height * F.ceil(n(25, 1) * samples / 8) * F.when(n(29, 1) != 0, 1.5).otherwise(1.0)).cast("long")
+    code = (
+        F.when(~F.coalesce(sniff(content) == "image/png", F.lit(False)), "NOT_PNG").when(F.octet_length(content) < 33, "TRUNCATED")
+        .when((n(9) != 13) | (F.hex(F.substring(content, 13, 4)) != "49484452") | samples.isNull(), "MALFORMED").when((width == 0) | (height == 0), "EMPTY")
+        .when(width * height > most_pixels, "TOO_MANY_PIXELS").when(decoded > most_decoded, "DECODED_TOO_LARGE")
+    )
+    return F.struct(width.alias("width"), height.alias("height"), decoded.alias("decoded"), code.alias("code"))
 
 
 def write_conformance_report(rollup: DataFrame, path: str) -> None:
