@@ -4,13 +4,13 @@ import hashlib
 import hmac
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.functions.scalars import NULL_FIELD, SEPARATOR, canonical, hmac_sha256
 from attestry.operators.policy import let
+from attestry.sources import cut, small
 
 #: The fields that a MAC covers besides the MAC before it, in order.
 FIELDS = ("seq", "document_hash", "doc_no", "signer", "issuer", "level", "indication")
@@ -26,29 +26,48 @@ def record_from_report(reports: DataFrame) -> DataFrame:
         F.size(signers).alias("signature_count"), F.exists(signers, lambda s: s["timestamped"]).alias("timestamped"))
 
 
-def append_ledger(records: DataFrame, key: str) -> DataFrame:
-    """Records (ledger_id, seq, fields) with prev and mac. Rows whose document_hash is not a SHA-256 are refused.
+def append_ledger(records: DataFrame, key: str, order: str = "ord", tails: DataFrame | None = None) -> DataFrame:
+    """Records (ledger_id, order, fields) with seq, prev and mac, appended to ledgers that end with `tails` (ledger_id, seq, mac).
 
-    A chain is sequential by definition, so a ledger is one task's work; records stream through it in order and only the last MAC is held.
+    seq is the last one plus 1 and prev the last MAC; a ledger without a tail starts at 1 with an empty prev. Rows whose document_hash is not a SHA-256 are
+    refused. A chain is sequential by definition, so a ledger is one task's work; records stream through it in order and only the last MAC is held.
     """
     hmac_sha256(F.lit(""), key)  # refuses short keys
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ledger, prev = None, ""
-        for pdf in batches:
-            prevs, macs = [], []
-            for row in pdf[["ledger_id", *FIELDS]].itertuples(index=False):
-                if row.ledger_id != ledger:
-                    ledger, prev = row.ledger_id, ""
-                prevs.append(prev)
-                text = SEPARATOR.join([*(NULL_FIELD if x is None else str(x) for x in row[1:]), prev])
+    columns = [c for c in FIELDS if c != "seq"]
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, seq, prev = None, 0, ""
+        for batch in batches:
+            kept, added = [], []
+            for n, (own, tail, *fields) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if own != ledger:
+                    ledger, seq, prev = own, 0, ""
+                if tail is not None:
+                    seq, prev = tail["seq"], tail["mac"]
+                    continue
+                seq, before = seq + 1, prev
+                text = SEPARATOR.join([*(NULL_FIELD if x is None else str(x) for x in (seq, *fields)), before])
                 prev = hmac.digest(key.encode(), text.encode(), hashlib.sha256).hex()
-                macs.append(prev)
-            yield pdf.assign(prev=prevs, mac=macs)
+                kept.append(n)
+                added.append((seq, before, prev))
+            rows = batch.take(pa.array(kept, pa.int64()))
+            new = [pa.array(list(c), k) for c, k in zip(zip(*added) if added else ((), (), ()), (pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), new[0], *rows.columns[2:], *new[1:]], ["ledger_id", "seq", *columns, "prev", "mac"])
+
+    tail_type = "struct<seq:int,mac:string>"
+    rows = records.filter(F.col("document_hash").rlike("^[0-9a-f]{64}$")).select("ledger_id", F.lit(None).cast(tail_type).alias("tail"), *columns, F.col(order).alias("at"))
+    if tails is not None:
+        no = [F.lit(None).cast("string").alias(c) for c in columns]
+        last = tails.select("ledger_id", F.struct(F.col("seq").cast("int").alias("seq"), "mac").alias("tail"), *no, F.lit(None).cast(rows.schema["at"].dataType).alias("at"))
+        rows = rows.unionByName(last.join(rows.select("ledger_id"), "ledger_id", "left_semi"))
+    dealt = rows.repartition("ledger_id").sortWithinPartitions("ledger_id", F.col("tail").isNull(), "at").drop("at")
+    return dealt.mapInArrow(chain, "ledger_id string, seq int, document_hash string, doc_no string, signer string, issuer string, level string, indication string, prev string, mac string")
+
 
-    rows = records.filter(F.col("document_hash").rlike("^[0-9a-f]{64}$")).select("ledger_id", *FIELDS)
-    return rows.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq").mapInPandas(
-        chain, "ledger_id string, seq int, document_hash string, doc_no string, signer string, issuer string, level string, indication string, prev string, mac string")
+def ledger_tails(chained: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(ledger_id, seq, mac) of each ledger's last record, after the tails `before`."""
+    ends = chained.select("ledger_id", "seq", "mac") if before is None else chained.select("ledger_id", "seq", "mac").unionByName(before)
+    return ends.groupBy("ledger_id").agg(F.max_by(F.struct("seq", "mac"), "seq").alias("t")).select("ledger_id", "t.*")
 
 
 def ledger_lines(chained: DataFrame) -> DataFrame:
@@ -62,16 +81,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def verify_ledger(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with ok and broken_at: the first line position whose MAC is wrong or whose prev is not the MAC of the line before; null if all hold.
+    """Lines (positions dense from 1) with ok and broken_at: the first line position whose MAC is wrong or whose prev is not the MAC of the line before; null if all hold.
 
-    Every MAC is checked on its own, so the check is parallel where the append is not.
+    Every MAC is checked on its own, and each line meets the one before it by an equality join on ledger and position, so the check of one ledger is
+    spread over all tasks, where the append is not.
     """
-    w = W.partitionBy("ledger_id").orderBy("pos")
     x = parse_lines(lines)
+    before = x.select("ledger_id", (F.col("pos") + 1).alias("pos"), F.col("mac").alias("mac_before"))
     right = F.coalesce(hmac_sha256(canonical(*map(F.col, FIELDS), F.col("prev")), key) == F.col("mac"), F.lit(False))
-    linked = F.coalesce(F.col("prev") == F.coalesce(F.lag("mac").over(w), F.when(F.row_number().over(w) == 1, "")), F.lit(False))
-    x = x.withColumn("ok", right & linked)
-    return x.withColumn("broken_at", F.min(F.when(~F.col("ok"), F.col("pos"))).over(W.partitionBy("ledger_id")))
+    linked = F.coalesce(F.col("prev") == F.when(F.col("pos") == 1, "").otherwise(F.col("mac_before")), F.lit(False))
+    checked = cut(x.join(before, ["ledger_id", "pos"], "left").withColumn("ok", right & linked).drop("mac_before"), "ledger-checked")
+    broken = checked.filter("NOT ok").groupBy("ledger_id").agg(F.min("pos").alias("broken_at"))
+    return checked.join(small(broken), "ledger_id", "left")
 
 
 def ledger_status(verified: DataFrame) -> DataFrame:
@@ -138,13 +159,13 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
 
 
 def merkle_levels(leaves: DataFrame) -> DataFrame:
-    """(level, idx, hash) of all nodes. Each level has half the rows of the one below, so the whole costs twice the leaves."""
-    x = leaves.select(F.lit(0).alias("level"), F.col("leaf_index").alias("idx"), "hash")
+    """(level, idx, hash) of all nodes. Each level is written before the one above it is made of it, and has half its rows, so the whole costs twice the leaves."""
+    x = cut(leaves.select(F.lit(0).alias("level"), F.col("leaf_index").alias("idx"), "hash"), "merkle-level")
     top, out, k = leaves.agg(F.max("leaf_index")).first()[0] or 0, x, 0
     while top > 0:
         k, top = k + 1, top >> 1
         x = x.groupBy(F.shiftright("idx", 1).alias("i")).agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash"))).alias("r"))
-        x = x.select(F.lit(k).alias("level"), F.col("i").alias("idx"), F.when(F.col("r").isNull(), F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("hash"))
+        x = cut(x.select(F.lit(k).alias("level"), F.col("i").alias("idx"), F.when(F.col("r").isNull(), F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("hash")), "merkle-level")
         out = out.unionByName(x)
     return out
 

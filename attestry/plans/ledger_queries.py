@@ -19,7 +19,7 @@ WITH RECURSIVE recs AS MATERIALIZED (SELECT * FROM fx_records), c(ledger_id, seq
 
 
 def chained(spark, sf):
-    return L.append_ledger(view(spark, sf, "fx_records"), KEY)
+    return L.append_ledger(view(spark, sf, "fx_records"), KEY, "doc_id")
 
 
 def tampered(spark, sf):
@@ -36,20 +36,24 @@ _BROKEN = f"CASE {_K} WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 2 END"
 _POS = f"SELECT ledger_id, {_K} AS k, CASE WHEN {_K} = 2 AND seq > 2 THEN seq - 1 ELSE seq END AS pos, document_hash, doc_no, indication, {_BROKEN} AS broken FROM fx_records WHERE NOT ({_K} = 2 AND seq = 2)"
 
 
-@query("s2_append_ledger", f"{CHAIN} SELECT ledger_id, seq, prev, mac FROM c")
+_TWICE = CHAIN.replace("SELECT * FROM fx_records", "SELECT * REPLACE (row_number() OVER (PARTITION BY ledger_id ORDER BY doc_id % 3 = 1, doc_id)::INT AS seq) FROM fx_records")
+
+
+@query("s2_append_ledger", f"{_TWICE} SELECT ledger_id, seq, prev, mac FROM c")
 def append_ledger(spark, sf):
-    return chained(spark, sf).select("ledger_id", "seq", "prev", "mac")
+    """Two appends, the second one to where the first ended."""
+    r = view(spark, sf, "fx_records")
+    first = S.cut(L.append_ledger(r.filter("doc_id % 3 <> 1"), KEY, "doc_id"), "ledger")
+    return first.unionByName(L.append_ledger(r.filter("doc_id % 3 = 1"), KEY, "doc_id", L.ledger_tails(first))).select("ledger_id", "seq", "prev", "mac")
 
 
-@query("s1_read_ledger", f"SELECT ledger_id, pos::INT AS pos, k = 3 AND pos = 2 AS corrupt FROM ({_POS})")
+@query("s1_read_ledger", f"SELECT ledger_id, pos::INT AS pos, k = 3 AND pos = 2 AS corrupt, CASE WHEN NOT (k = 3 AND pos = 2) THEN doc_no END AS doc_no FROM ({_POS})")
 def read_ledger(spark, sf):
-    """Ledgers are written a file each and read back by line."""
+    """Ledgers are written as text, a folder each, and read back by line."""
     path = S.shared_path(spark, "ledgers")
     lines = tampered(spark, sf)
-    lines.repartition("ledger_id").sortWithinPartitions("ledger_id", "pos").select("ledger_id", F.col("line").alias("value")).write.partitionBy("ledger_id").text(path)
-    back = spark.read.text(path, wholetext=True)  # the folder gives the ledger
-    numbered = back.select("ledger_id", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("p", "line"))
-    return L.parse_lines(numbered.select("ledger_id", (F.col("p") + 1).alias("pos"), "line")).select("ledger_id", "pos", F.col("mac").isNull().alias("corrupt"))
+    lines.repartition("ledger_id").sortWithinPartitions("ledger_id", "pos").select(F.col("ledger_id").alias("ledger"), F.col("line").alias("value")).write.partitionBy("ledger").text(path)
+    return L.parse_lines(S.read_ledger(spark, path)).select("ledger_id", "pos", F.col("mac").isNull().alias("corrupt"), "doc_no")
 
 
 @query("s3_ledger_record_from_report", """
@@ -97,8 +101,9 @@ WITH RECURSIVE leaves AS MATERIALIZED ({_LEAVES}), t(level, idx, hash) AS (
 
 
 def leaves(spark, sf):
-    """doc_ids are dense, so the index is the id; no window over all rows is needed."""
-    return view(spark, sf, "documents").select(F.col("doc_id").alias("leaf_index"), L.leaf_hash(F.col("text")).alias("hash"))
+    """Documents numbered from 0 in the order of doc_id, without a window over all of them."""
+    d = view(spark, sf, "documents").select("doc_id", L.leaf_hash(F.col("text")).alias("hash"), F.lit(0).alias("log"))
+    return S.numbered(d, "log", [F.col("doc_id")], "n").select((F.col("n") - 1).alias("leaf_index"), "hash")
 
 
 @query("a14_merkle_root", f"{_TREE} SELECT hash AS root FROM t WHERE level = (SELECT max(level) FROM t)")
@@ -112,14 +117,17 @@ def inclusion_proof(spark, sf):
     return L.inclusion_proofs(leaves(spark, sf)).select("leaf_index", F.array_join("path", ",").alias("path"))
 
 
-@query("a16_verify_inclusion", "SELECT doc_id AS leaf_index, TRUE AS included, FALSE AS forged FROM documents")
+@query("a16_verify_inclusion", f"SELECT leaf_index, leaf_index % 5 = 0 AS included FROM ({_LEAVES})")
 def verify_inclusion(spark, sf):
-    x = leaves(spark, sf)
+    """Of every five proofs one is whole; one has another leaf, one another index, one another first sibling, one a size too small by half."""
+    x = S.cut(leaves(spark, sf), "leaves")
     root = L.merkle_root(x).first()["root"]
-    proofs = L.inclusion_proofs(x)
-    good = L.verify_inclusion(proofs, F.lit(root)).select("leaf_index", "included")
-    bad = L.verify_inclusion(proofs.withColumn("leaf", F.sha2("leaf", 256)), F.lit(root)).select("leaf_index", F.col("included").alias("forged"))
-    return good.join(bad, "leaf_index")
+    k = F.col("leaf_index") % 5
+    spoiled = L.inclusion_proofs(x).withColumn("n", F.col("leaf_index")).withColumns({
+        "leaf": F.when(k == 1, F.sha2("leaf", 256)).otherwise(F.col("leaf")), "leaf_index": F.when(k == 2, F.col("leaf_index").bitwiseXOR(F.lit(1))).otherwise(F.col("leaf_index")),
+        "path": F.when(k == 3, F.concat(F.array(F.sha2(F.lit("other"), 256)), F.slice("path", 2, 99))).otherwise(F.col("path")), "size": F.when(k == 4, F.floor(F.col("size") / 2)).otherwise(F.col("size")),
+    })
+    return L.verify_inclusion(spoiled, F.lit(root)).select(F.col("n").alias("leaf_index"), "included")
 
 
 @query("t5_entry_range", f"SELECT leaf_index, hash FROM ({_LEAVES}) WHERE leaf_index BETWEEN 10 AND 60")

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from attestry.operators import ledger as L
 from attestry.plans.edit_queries import LIMIT, WINDOW
 from attestry.plans.fixtures import view
-from attestry.plans.ledger_queries import KEY
+from attestry.plans.ledger_queries import CHAIN, KEY
 from attestry.plans.registry import ORACLES, query
 from attestry.streaming import streams as X
 
@@ -45,16 +44,15 @@ def op_log_stream(spark, sf):
     return X.drained(X.op_log_stream(o))
 
 
-@query("x5_ledger_append_stream", "SELECT 'u' || user_id AS ledger_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS seq, sha256(event_id::VARCHAR) AS document_hash FROM events")
-def ledger_append_stream(spark, sf):
-    from pyspark.sql import Window as W
+_X5 = CHAIN.replace("SELECT * FROM fx_records", "SELECT 'u' || user_id AS ledger_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS seq, sha256(event_id::VARCHAR) AS document_hash, 'E' || event_id AS doc_no, 'signer' AS signer, 'issuer' AS issuer, 'level' AS level, 'indication' AS indication FROM events")
+
 
-    def write(df, batch):
-        seq = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-        r = df.select(F.concat(F.lit("u"), "user_id").alias("ledger_id"), seq.alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("document_hash"), F.concat(F.lit("E"), "event_id").alias("doc_no"), *[F.lit(c).alias(c) for c in ("signer", "issuer", "level", "indication")])
-        return L.append_ledger(r, KEY)
+@query("x5_ledger_append_stream", f"{_X5} SELECT c.ledger_id, c.seq, document_hash, prev, mac FROM c JOIN recs r ON c.ledger_id = r.ledger_id AND c.seq = r.seq")
+def ledger_append_stream(spark, sf):
+    def prepare(df):
+        return df.select(F.concat(F.lit("u"), "user_id").alias("ledger_id"), "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("document_hash"), F.concat(F.lit("E"), "event_id").alias("doc_no"), *[F.lit(c).alias(c) for c in ("signer", "issuer", "level", "indication")])
 
-    return X.ledger_append_stream(events(spark, sf), write, "ledger-stream").select("ledger_id", "seq", "document_hash")
+    return X.ledger_append_stream(events(spark, sf), prepare, KEY, "event_id", "ledger-stream").select("ledger_id", "seq", "document_hash", "prev", "mac")
 
 
 @query("x6_presence", "SELECT user_id AS session_id, 'c' || (event_id % 3) AS client_id, arg_max(CASE WHEN event_type = 'error' THEN 'leave' ELSE 'join' END, struct_pack(t := ts, e := event_id)) AS kind FROM events GROUP BY ALL")

@@ -46,13 +46,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def numbered(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
     """df with `name`, the rows of each `by` numbered from 1 in the given order, exactly and without bringing a group to one task.
 
-    Rows are range-partitioned and numbered within their task, and what earlier tasks have of the group is added: one small row a task and group.
+    Rows are range-partitioned and sorted, and their place in their task is written with them; what earlier tasks have of the group is
+    added: one small row a task and group.
     """
-    placed = cut(df.repartitionByRange(F.col(by), *order).withColumn("__part", F.spark_partition_id()), "numbered")
-    w = W.partitionBy("__part", by).orderBy(*order)
-    before = placed.groupBy("__part", by).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    found = placed.withColumn("__at", F.row_number().over(w)).join(small(before.select(F.col("__part").alias("__p"), F.col(by).alias("__by"), "__before")), (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
-    return found.select(*df.columns, (F.col("__at") + F.col("__before")).cast("int").alias(name))
+    placed = cut(df.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))  # the upper half of such an id is the task, the lower the row's place in it
+    earlier = W.partitionBy("__by").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    groups = placed.groupBy(F.col("__part").alias("__p"), F.col(by).alias("__by")).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    groups = groups.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    found = placed.join(small(groups), (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return found.select(*df.columns, (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias(name))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +67,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"ledger=([^/]*)/[^/]*$", 1), F.lit("")), F.col("_metadata.file_name")), r"\.[^.]*$", "").alias("ledger_id"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
-    return numbered(lines, "ledger_id", [F.col("file"), F.col("at"), F.col("n")], "pos").select("ledger_id", "pos", "line")
+    return numbered(lines, "ledger_id", [F.col("file"), F.col("at"), F.col("n")], "pos").select("ledger_id", F.col("pos").cast("int").alias("pos"), "line")
 
 
 def read_audit_log(lines: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from attestry.operators.ledger import append_ledger, ledger_tails
 from attestry.sources import shared_path
 
 
-def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A stream of Parquet files, `files` a micro-batch. Without it all that is there makes one, so that results don't depend on how many files hold a table, nor in what order."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -98,16 +101,24 @@ def op_log_stream(ops: DataFrame, missing: str = "removeNode") -> DataFrame:
         step, "session_id long, event_id long, version long, accepted boolean", "version long, gone array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def ledger_append_stream(records: DataFrame, write, name: str) -> DataFrame:
-    """Micro-batches handed to write(df, batch_id) once: a batch is written under its id, so one that is sent again overwrites itself."""
+def ledger_append_stream(records: DataFrame, prepare, key: str, order: str, name: str) -> DataFrame:
+    """Each micro-batch, made into records by prepare(df), is appended to where its ledgers ended; all rows that were written.
+
+    What a batch wrote and the ends of all ledgers after it are tables under the batch's number: a batch that is sent again reads the
+    ends of the one before it and overwrites its own, so it is appended once.
+    """
     spark, path = records.sparkSession, shared_path(records.sparkSession, name)
+    rows = "ledger_id string, seq int, document_hash string, doc_no string, signer string, issuer string, level string, indication string, prev string, mac string"
 
     def save(df: DataFrame, batch: int) -> None:
-        write(df, batch).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        own = df.sparkSession
+        before = own.read.schema("ledger_id string, seq int, mac string").parquet(f"{path}/tails/batch={batch - 1}") if batch else None
+        append_ledger(prepare(df), key, order, before).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        ledger_tails(own.read.schema(rows).parquet(f"{path}/rows/batch={batch}"), before).write.mode("overwrite").parquet(f"{path}/tails/batch={batch}")
 
     q = records.writeStream.foreachBatch(save).option("checkpointLocation", shared_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.schema(rows).parquet(f"{path}/rows/*")
 
 
 def presence(events: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def _ledger(spark):
     r = [("L", i, hashlib.sha256(str(i).encode()).hexdigest(), f"D{i}", "s", "i", "B-B", "PASSED") for i in range(1, 5)]
     r.append(("L", 5, "not a digest", "D5", "s", "i", "B-B", "PASSED"))
     df = spark.createDataFrame(r, "ledger_id string, seq int, document_hash string, doc_no string, signer string, issuer string, level string, indication string")
-    return ledger.ledger_lines(ledger.append_ledger(df, KEY)).collect()
+    return ledger.ledger_lines(ledger.append_ledger(df, KEY, "seq")).collect()
 
 
 @pytest.mark.parametrize(("change", "key", "broken", "valid"), [(None, KEY, None, 4), ("edit", KEY, 1, 0), ("drop", KEY, 2, 1), ("garbage", KEY, 2, 1), (None, "another key of 16", 1, 0)])
