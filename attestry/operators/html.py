@@ -4,8 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestry.sources import cut
+
 #: Structural role by tag.
-ROLES = {**{f"h{k}": f"H{k}" for k in range(1, 7)}, "p": "P", "a": "Link", "img": "Figure", "figure": "Figure", "table": "Table", "tr": "TR", "td": "TD", "th": "TH", "ul": "L", "ol": "L", "li": "LI", "blockquote": "BlockQuote", "section": "Sect", "article": "Art", "div": "Div", "span": "Span", "nav": "Sect"}
+ROLES = {
+    "h1": "H1", "h2": "H2", "h3": "H3", "h4": "H4", "h5": "H5", "h6": "H6", "p": "P", "blockquote": "BlockQuote", "pre": "Code", "ul": "L", "ol": "L", "li": "LI", "dl": "L", "dt": "Lbl", "dd": "LBody",
+    "table": "Table", "thead": "THead", "tbody": "TBody", "tfoot": "TFoot", "tr": "TR", "th": "TH", "td": "TD", "caption": "Caption", "figure": "Figure", "figcaption": "Caption", "img": "Figure", "a": "Link",
+    "article": "Art", "section": "Sect", "aside": "Aside", "header": "Sect", "footer": "Sect", "main": "Sect", "nav": "Sect", "div": "Div", "span": "Span", "form": "Form",
+}
 
 
 def attribute(name: str, attrs: str = "attrs") -> Column:
@@ -34,12 +40,12 @@ def select_nodes(nodes: DataFrame, *parts: tuple[Column, str]) -> DataFrame:
     Ancestors are taken from the right, each step going to the nearest ancestor that matches, without trying others.
     """
     *rest, (last, combinator) = parts
-    at = nodes.filter(last).select("page_id", "node_id", "pre", "post", "parent_id")
+    at = nodes.filter(last).select("page_id", "node_id", "ancestors")
     for condition, before in reversed(rest):
-        up = nodes.filter(condition).select("page_id", F.col("node_id").alias("u_id"), F.col("pre").alias("u_pre"), F.col("post").alias("u_post"), F.col("parent_id").alias("u_parent"), F.col("depth").alias("u_depth"))
-        near = (F.col("parent_id") == F.col("u_id")) if combinator == ">" else (F.col("u_pre") < F.col("pre")) & (F.col("post") < F.col("u_post"))
-        met = at.join(up, "page_id").filter(near).groupBy("page_id", "node_id").agg(F.max_by(F.struct("u_pre", "u_post", "u_parent"), "u_depth").alias("u"))
-        at, combinator = met.select("page_id", "node_id", F.col("u.u_pre").alias("pre"), F.col("u.u_post").alias("post"), F.col("u.u_parent").alias("parent_id")), before
+        up = nodes.filter(condition).select("page_id", F.col("node_id").alias("up_id"), F.col("ancestors").alias("up_ancestors"), "depth")
+        asked = F.slice("ancestors", -1, 1) if combinator == ">" else F.col("ancestors")
+        met = at.filter(F.size("ancestors") > 0).select("page_id", "node_id", F.explode(asked).alias("up_id")).join(up, ["page_id", "up_id"])
+        at, combinator = met.groupBy("page_id", "node_id").agg(F.max_by("up_ancestors", "depth").alias("ancestors")), before
     return at.select("page_id", "node_id")
 
 
@@ -63,11 +69,11 @@ def effective_declarations(declared: DataFrame) -> DataFrame:
 
 
 def node_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(page_id, node_id, text): text of all descendants in order; script and style are left out."""
+    """(page_id, node_id, text): text of all descendants in order; script and style are left out. A text meets its ancestors among `of` by an equality join."""
     raw = nodes.filter("tag IN ('script', 'style')").select("page_id", F.col("node_id").alias("parent_id"))
-    words = nodes.filter("tag = '#text'").join(raw, ["page_id", "parent_id"], "left_anti").select("page_id", F.col("pre").alias("t_pre"), F.col("text").alias("t"))
-    met = of.select("page_id", "node_id", "pre", "post").join(words, "page_id").filter((F.col("t_pre") > F.col("pre")) & (F.col("t_pre") < F.col("post")))
-    return met.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_pre", "t"))), lambda s: s["t"]), "").alias("text"))
+    words = nodes.filter("tag = '#text'").join(raw, ["page_id", "parent_id"], "left_anti").select("page_id", "pre", "text", F.explode("ancestors").alias("node_id"))
+    met = words.join(of.select("page_id", "node_id"), ["page_id", "node_id"])
+    return met.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda s: s["text"]), "").alias("text"))
 
 
 def nested_outline(nodes: DataFrame) -> DataFrame:
@@ -106,14 +112,18 @@ def role_statistics(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("role", F.try_element_at(role, F.col("tag"))).filter("role IS NOT NULL").groupBy("page_id", "role").agg(F.count("*").alias("n"))
 
 
-def structure_checks(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """(page_id, node_id, rule, severity): a table without rows (error) or header cells (warning), at most `levels` deep."""
-    tables = nodes.filter("tag = 'table'").select("page_id", "node_id", F.col("pre").alias("a"), F.col("post").alias("z"), F.col("depth").alias("d"))
-    cells = nodes.filter("tag IN ('tr', 'th')").select("page_id", "tag", "pre", "depth")
-    met = tables.join(cells, "page_id", "left").withColumn("inside", (F.col("pre") > F.col("a")) & (F.col("pre") < F.col("z")) & (F.col("depth") - F.col("d") <= levels))
-    per = met.groupBy("page_id", "node_id").agg(F.bool_or(F.coalesce(F.col("inside") & (F.col("tag") == "tr"), F.lit(False))).alias("tr"), F.bool_or(F.coalesce(F.col("inside") & (F.col("tag") == "th"), F.lit(False))).alias("th"))
-    rules = F.array(F.when(~F.col("tr"), F.struct(F.lit("TABLE_WITHOUT_ROWS").alias("rule"), F.lit("error").alias("severity"))), F.when(~F.col("th"), F.struct(F.lit("TABLE_WITHOUT_HEADERS").alias("rule"), F.lit("warning").alias("severity"))))
-    return per.select("page_id", "node_id", F.inline(F.filter(rules, lambda r: r.isNotNull())))
+def structure_checks(nodes: DataFrame, levels: int = 9) -> DataFrame:
+    """(page_id, node_id, rule, severity): a table without rows (error) or header cells (warning), and a list item without label or body (warning), at most `levels` below."""
+    tops = nodes.filter("tag IN ('table', 'li')").select("page_id", "node_id", "tag")
+    parts = nodes.filter("tag IN ('tr', 'th', 'dt', 'dd')").select("page_id", F.col("tag").alias("part"), F.explode(F.slice("ancestors", F.greatest(F.lit(1), F.size("ancestors") - levels + 1), F.lit(levels))).alias("node_id"))
+    found = parts.join(tops.select("page_id", "node_id"), ["page_id", "node_id"]).groupBy("page_id", "node_id").agg(F.collect_set("part").alias("parts"))
+    has = lambda *tags: F.coalesce(F.arrays_overlap("parts", F.array(*map(F.lit, tags))), F.lit(False))
+    rule = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
+    table = F.col("tag") == "table"
+    rules = F.array(
+        rule(table & ~has("tr"), "TABLE_WITHOUT_ROWS", "error"), rule(table & ~has("th"), "TABLE_WITHOUT_HEADERS", "warning"), rule(~table & ~has("dt", "dd"), "ITEM_WITHOUT_BODY", "warning"),
+    )
+    return tops.join(found, ["page_id", "node_id"], "left").select("page_id", "node_id", F.inline(F.filter(rules, lambda r: r.isNotNull())))
 
 
 def decorative() -> Column:
@@ -121,22 +131,30 @@ def decorative() -> Column:
 
 
 def page_quality(nodes: DataFrame) -> DataFrame:
-    """(page_id, rule, severity, detail): language, title, headings, alternative texts, links, tables and header scopes."""
-    row = lambda df, rule, severity, detail: df.select("page_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
-    none = F.lit(None)
-    lang = nodes.groupBy("page_id").agg(F.bool_or((F.col("tag") == "html") & (F.coalesce(attribute("lang"), F.lit("")) != "")).alias("ok")).filter("NOT ok")
-    titles = node_text(nodes, nodes.filter("tag = 'title'")).filter("trim(text) <> ''").select("page_id").distinct()
-    untitled = nodes.select("page_id").distinct().join(titles, "page_id", "left_anti")
+    """(page_id, rule, severity, detail): language, title, headings, alternative texts, links, tables, lists and header scopes.
+
+    Nodes that no rule asks about are dropped and the rest is written once, so that pages are parsed once. Rules on a node itself are one pass over them, texts of
+    titles, links and headings one join, and the rules on a page one aggregate.
+    """
+    asked = nodes.filter("tag IN ('#document', '#text', 'script', 'style', 'html', 'title', 'img', 'a', 'th', 'table', 'tr', 'li', 'dt', 'dd') OR tag RLIKE '^h[1-6]$'")
+    x = cut(asked, "page-nodes")
+    said = lambda rule, severity, detail: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+    none, own = F.lit(None), F.col("node_id")
     alt = F.coalesce(attribute("aria-label"), attribute("alt"))
-    images = nodes.filter((F.col("tag") == "img") & ~decorative() & alt.isNull())
-    links = nodes.filter((F.col("tag") == "a") & attribute("href").isNotNull() & (F.coalesce(attribute("aria-label"), F.lit("")) == ""))
-    silent = links.join(node_text(nodes, links).filter("trim(text) <> ''"), ["page_id", "node_id"], "left_anti")
-    scope = nodes.filter((F.col("tag") == "th") & attribute("scope").isNull())
-    skips = heading_skips(nested_outline(nodes))
-    found = row(lang, "NO_LANGUAGE", "error", none).unionByName(row(untitled, "NO_TITLE", "error", none)).unionByName(row(images, "NO_ALTERNATIVE", "error", F.col("node_id")))
-    found = found.unionByName(row(silent, "SILENT_LINK", "warning", F.col("node_id"))).unionByName(row(scope, "NO_SCOPE", "warning", F.col("node_id")))
-    found = found.unionByName(skips.select("page_id", "rule", F.when(F.col("rule") == "HEADING_SKIP", "error").otherwise("warning").alias("severity"), F.col("pre").cast("string").alias("detail")))
-    return found.unionByName(structure_checks(nodes).select("page_id", "rule", "severity", F.col("node_id").cast("string").alias("detail")))
+    on_node = x.select("page_id", F.when((F.col("tag") == "img") & ~decorative() & alt.isNull(), said("NO_ALTERNATIVE", "error", own)).when((F.col("tag") == "th") & attribute("scope").isNull(), said("NO_SCOPE", "warning", own)).alias("s"))
+    link = (F.col("tag") == "a") & attribute("href").isNotNull() & (F.coalesce(attribute("aria-label"), F.lit("")) == "")
+    titled = x.filter((F.col("tag") == "title") | link | F.col("tag").rlike("^h[1-6]$")).select("page_id", "node_id", "pre", "tag")
+    texts = cut(titled.join(node_text(x, titled), ["page_id", "node_id"], "left").withColumn("title", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))), "page-texts")
+    silent = texts.filter("tag = 'a' AND title = ''").select("page_id", said("SILENT_LINK", "warning", own).alias("s"))
+    facts = x.select("page_id", ((F.col("tag") == "html") & (F.coalesce(attribute("lang"), F.lit("")) != "")).alias("lang"), F.lit(False).alias("title"))
+    facts = facts.unionByName(texts.filter("tag = 'title' AND title <> ''").select("page_id", F.lit(False).alias("lang"), F.lit(True).alias("title")))
+    pages = facts.groupBy("page_id").agg(F.bool_or("lang").alias("lang"), F.bool_or("title").alias("title"))
+    on_page = pages.select("page_id", F.explode(F.filter(F.array(F.when(~F.col("lang"), said("NO_LANGUAGE", "error", none)), F.when(~F.col("title"), said("NO_TITLE", "error", none))), lambda s: s.isNotNull())).alias("s"))
+    outline = texts.filter("tag RLIKE '^h[1-6]$' AND title <> ''").select("page_id", "pre", F.substring("tag", 2, 1).cast("int").alias("level"))
+    skips = heading_skips(outline).select("page_id", F.struct("rule", F.when(F.col("rule") == "HEADING_SKIP", "error").otherwise("warning").alias("severity"), F.col("pre").cast("string").alias("detail")).alias("s"))
+    parts = structure_checks(x).select("page_id", F.struct("rule", "severity", own.cast("string").alias("detail")).alias("s"))
+    every = on_node.filter("s IS NOT NULL").unionByName(silent).unionByName(on_page).unionByName(skips).unionByName(parts)
+    return every.select("page_id", "s.rule", "s.severity", "s.detail")
 
 
 def document_profile(nodes: DataFrame) -> DataFrame:

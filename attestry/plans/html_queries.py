@@ -101,19 +101,33 @@ def remote_references(spark, sf):
     return H.remote_references(html_nodes(p.withColumn("html", html)))
 
 
+_ROLES = "('h1', 'H1'), ('h2', 'H2'), ('h3', 'H3'), ('h4', 'H4'), ('h5', 'H5'), ('h6', 'H6'), ('p', 'P'), ('blockquote', 'BlockQuote'), ('pre', 'Code'), ('ul', 'L'), ('ol', 'L'), ('li', 'LI'), ('dl', 'L'), ('dt', 'Lbl'), ('dd', 'LBody'), ('table', 'Table'), ('thead', 'THead'), ('tbody', 'TBody'), ('tfoot', 'TFoot'), ('tr', 'TR'), ('th', 'TH'), ('td', 'TD'), ('caption', 'Caption'), ('figure', 'Figure'), ('figcaption', 'Caption'), ('img', 'Figure'), ('a', 'Link'), ('article', 'Art'), ('section', 'Sect'), ('aside', 'Aside'), ('header', 'Sect'), ('footer', 'Sect'), ('main', 'Sect'), ('nav', 'Sect'), ('div', 'Div'), ('span', 'Span'), ('form', 'Form')"
+#: Put behind each page, so that roles occur that the pages themselves don't have.
+_TAIL = "<dl><dt>a<dd>b</dl><table><caption>c</caption><thead><tr><th>d<tbody><tr><td>e</table><figure><img src=x><figcaption>f</figcaption></figure><aside>g</aside><pre>h</pre><form><span>i</span></form><hr>"
+
+
 @query("a13_role_statistics", f"""
-SELECT page_id, role, sum(n)::BIGINT AS n FROM (SELECT page_id, {COUNT('<p>')} AS n, 'P' AS role FROM pages UNION ALL SELECT page_id, {COUNT('<a ')}, 'Link' FROM pages UNION ALL SELECT page_id, {COUNT('<li>')}, 'LI' FROM pages UNION ALL SELECT page_id, {COUNT('<h1>')}, 'H1' FROM pages) WHERE n > 0 GROUP BY ALL""")
+SELECT page_id, role, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all({_BODY.replace('html', f"(html || '{_TAIL}')", 1)}, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) JOIN (VALUES {_ROLES}) AS r(tag, role) USING (tag) GROUP BY ALL""")
 def role_statistics(spark, sf):
-    return H.role_statistics(nodes(spark, sf)).filter("role IN ('P', 'Link', 'LI', 'H1')")
+    return H.role_statistics(html_nodes(view(spark, sf, "pages").withColumn("html", F.concat("html", F.lit(_TAIL)))))
+
 
+#: Structures with the rules that each breaks; list items of the pages themselves break theirs.
+_PARTS = [
+    ("<table></table>", ["TABLE_WITHOUT_ROWS", "TABLE_WITHOUT_HEADERS"]), ("<table><tr><td>x</td></tr></table>", ["TABLE_WITHOUT_HEADERS"]), ("<table><tr><th scope=col>x</th></tr></table>", []),
+    ("<table>" + "<div>" * 8 + "<tr></tr>" + "</div>" * 8 + "</table>", ["TABLE_WITHOUT_HEADERS"]), ("<table>" + "<div>" * 9 + "<tr></tr>" + "</div>" * 9 + "</table>", ["TABLE_WITHOUT_ROWS", "TABLE_WITHOUT_HEADERS"]),
+    ("<li><dl><dt>x</dl></li>", []), ("<li><b><dd>x</dd></b></li>", []), ("<li>x</li>", ["ITEM_WITHOUT_BODY"]), ("<table><tr><td><table><tr><th>x</table></table>", []),
+]
+_BROKEN = ", ".join(f"({n}, '{r}')" for n, (_, rules) in enumerate(_PARTS) for r in rules)
 
-@query("a20_structure_checks", """
-SELECT page_id, 'TABLE_WITHOUT_ROWS' AS rule, 'error' AS severity FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'TABLE_WITHOUT_HEADERS', 'warning' FROM pages WHERE page_id % 3 < 2""")
+
+@query("a20_structure_checks", f"""
+SELECT page_id, rule, CASE rule WHEN 'TABLE_WITHOUT_ROWS' THEN 'error' ELSE 'warning' END AS severity FROM (
+  SELECT page_id, rule FROM pages JOIN (VALUES {_BROKEN}) AS b(n, rule) ON page_id % {len(_PARTS)} = n UNION ALL SELECT page_id, 'ITEM_WITHOUT_BODY' FROM (SELECT page_id, unnest(range({COUNT('<li>')})) FROM pages))""")
 def structure_checks(spark, sf):
-    """Every page gets a table: without rows, without headers or whole, by what its text begins with."""
-    p = view(spark, sf, "pages")
-    t = F.when(F.col("page_id") % 3 == 0, "<table></table>").when(F.col("page_id") % 3 == 1, "<table><tr><td>x</td></tr></table>").otherwise("<table><tr><th scope=col>x</th></tr></table>")
-    return H.structure_checks(html_nodes(p.withColumn("html", F.concat(t, "html")))).select("page_id", "rule", "severity")
+    """Every page gets a structure in front, by its number."""
+    part = F.get(F.array(*[F.lit(t) for t, _ in _PARTS]), (F.col("page_id") % len(_PARTS)).cast("int"))
+    return H.structure_checks(html_nodes(view(spark, sf, "pages").withColumn("html", F.concat(part, "html")))).select("page_id", "rule", "severity")
 
 
 def faulty(spark, sf):
@@ -128,7 +142,8 @@ def faulty(spark, sf):
 _QUALITY = """
 SELECT page_id, 'NO_LANGUAGE' AS rule, 'error' AS severity FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'NO_TITLE', 'error' FROM pages WHERE page_id % 5 = 0
 UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'NO_ALTERNATIVE' WHEN 1 THEN 'SILENT_LINK' ELSE 'NO_SCOPE' END, CASE page_id % 3 WHEN 0 THEN 'error' ELSE 'warning' END FROM pages WHERE html LIKE '%</article>%'
-UNION ALL SELECT page_id, 'HEADING_SKIP', 'error' FROM pages WHERE page_id % 3 = 2 AND html LIKE '%</article>%'"""
+UNION ALL SELECT page_id, 'HEADING_SKIP', 'error' FROM pages WHERE page_id % 3 = 2 AND html LIKE '%</article>%'
+UNION ALL SELECT page_id, 'ITEM_WITHOUT_BODY', 'warning' FROM (SELECT page_id, unnest(range(""" + COUNT("<li>") + """)) FROM pages)"""
 
 
 @query("page_quality", _QUALITY)
@@ -142,6 +157,18 @@ def page_quality_rollup(spark, sf):
     return G.conformance_rollup(H.page_quality(faulty(spark, sf)).select(F.col("page_id").alias("document"), F.col("rule").alias("profile"), "severity"))
 
 
-@query("a11_document_profile", f"SELECT page_id, {COUNT('<[a-z]')} AS elements, {COUNT('<a ')} AS links FROM pages")
+#: texts between tags, entities undone; a script's text is one more
+_TEXTS = f"list_filter(string_split_regex(regexp_replace({_BODY}, '<style>.*?</style>', '<style></style>', 'gs'), '<[^>]*>'), lambda t: t <> '')"
+_PLAIN = "regexp_replace(array_to_string(texts, ''), '&(lt|gt|quot|amp|copy|middot|#x27);', '.', 'g')"
+
+
+@query("a11_document_profile", f"""
+SELECT page_id, len(tags) AS elements, len(texts) + len(scripts) AS texts, len(list_filter(tags, lambda t: t = 'a')) AS links, len(list_distinct(tags)) AS distinct_tags, length({_PLAIN}) + length(array_to_string(scripts, '')) AS letters
+FROM (SELECT page_id, regexp_extract_all({_BODY}, '<([a-z][a-z0-9]*)', 1) AS tags, {_TEXTS} AS texts, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS scripts FROM pages)""")
 def document_profile(spark, sf):
-    return H.document_profile(nodes(spark, sf)).select("page_id", "elements", "links")
+    return H.document_profile(nodes(spark, sf)).select("page_id", "elements", "texts", "links", "distinct_tags", "letters")
+
+
+@query("a11_document_depth")
+def document_depth(spark, sf):
+    return H.document_profile(nodes(spark, sf)).select("page_id", "depth")

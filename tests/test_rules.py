@@ -136,6 +136,22 @@ def test_html_scan():
     assert page.nodes(None)[0][5] == "#document" and all(n[2] < n[3] for n in got)
 
 
+def test_characters_that_are_none_stay():
+    assert page.decode("&#xD800; &#0; &#1114112; &#x110000; &#12ab; &#99999999999999; &#x41;&#66;&Amp;&nope;") == "&#xD800; &#0; &#1114112; &#x110000; &#12ab; &#99999999999999; AB&&nope;"
+    assert [n[7] for n in page.nodes("c < d << e<")[1:]] == ["c ", "<", " d ", "<", "<", " e", "<"]
+
+
+def test_depth_is_of_the_deepest_node(spark):
+    import duckdb
+
+    from attestry.plans.registry import QUERIES
+
+    want = {i: max(n[4] for n in page.nodes(h)) for i, h in duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()}
+    assert {r["page_id"]: r["depth"] for r in QUERIES["a11_document_depth"](spark, "/root/testdata/sf0.001").collect()} == want
+    got = page.nodes("<div><p>a<b>c</b></p></div>")
+    assert all(n[8] == ([*got[n[1]][8], n[1]] if n[1] is not None else []) for n in got)
+
+
 def test_unknown_stays_unknown(spark):
     x = spark.createDataFrame([("s", "c", False, None, None)], "sig_id string, cert_id string, is_root boolean, status string, chain_complete boolean")
     assert trust.revocation_complete(x).first()["complete"] is None
