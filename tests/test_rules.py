@@ -113,7 +113,9 @@ def test_paragraphs(spark, lines, paragraphs):
 def test_summary_of_a_paragraph(spark):
     df = spark.createDataFrame([(1, 0, k, 50.0, 200.0 - k, 100.0 + 15 * k, 10.0, "a", f"t{k}") for k in range(3)], "doc_id long, page int, ord long, x double, right double, baseline double, font_size double, style_key string, text string")
     r = layout.paragraph_summary(layout.group_paragraphs(df)).first()
-    assert (r["lines"], r["align"], r["line_height"], r["text"]) == (3, "left", 1.5, "t0 t1 t2")
+    assert (r["lines"], r["align"], r["line_height"], r["text"]) == (3, "justify", 1.5, "t0 t1 t2")  # equal edges but for a last line that is more than the tolerance shorter
+    even = df.withColumn("right", F.lit(200.0))
+    assert layout.paragraph_summary(layout.group_paragraphs(even)).first()["align"] == "left"
 
 
 def test_runs_are_held_against_their_first_piece(spark):
