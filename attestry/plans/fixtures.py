@@ -52,7 +52,10 @@ FROM {nation}
 UNION ALL
 SELECT n_nationkey * 2 + 1, 'CN=ca-' || n_nationkey, CAST(20 + n_nationkey AS STRING), TRUE, CASE WHEN n_nationkey % 5 = 1 THEN '99' WHEN n_nationkey % 5 = 2 THEN CAST(NULL AS STRING) ELSE '00' || CAST(10 + n_nationkey AS STRING) END,
   CAST('1996-01-01' AS TIMESTAMP), CAST('2001-01-01' AS TIMESTAMP), FALSE, FALSE, FALSE, FALSE, '', '', TRUE, ''
-FROM {nation}""",
+FROM {nation}
+UNION ALL
+SELECT 1000 + r_regionkey * 2, 'CN=root-' || r_regionkey, '30', FALSE, CAST(NULL AS STRING), CAST('1995-01-01' AS TIMESTAMP), CAST('2001-01-01' AS TIMESTAMP), FALSE, FALSE, FALSE, FALSE, '', '', TRUE, ''
+FROM {region} WHERE r_regionkey <> 2""",
     "fx_crl_entries": """
 SELECT c_nationkey * 2 AS crl_id, 'c' || lpad(CAST(c_custkey AS STRING), 10, '0') AS serial, CAST(c_custkey % 11 AS INT) AS reason,
   coalesce(first_order, CAST('1994-01-01' AS TIMESTAMP)) AS revocation_date,
@@ -62,7 +65,10 @@ FROM {customer} LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FRO
 WHERE c_acctbal < 0
 UNION ALL
 SELECT c_nationkey * 2 + 1, 'c' || lpad(CAST(c_custkey AS STRING), 10, '0'), CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 4 END, CAST('1996-03-01' AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS STRING)
-FROM {customer} WHERE c_custkey % 9 = 4""",
+FROM {customer} WHERE c_custkey % 9 = 4
+UNION ALL
+SELECT 1000 + n_regionkey * 2, '0a' || lpad(CAST(n_nationkey AS STRING), 4, '0'), CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 4 END, CAST('1996-05-01' AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS STRING)
+FROM {nation} WHERE n_nationkey % 7 = 6""",
     "fx_ocsp": """
 SELECT c_custkey AS response_id, CASE WHEN c_custkey % 2 = 0 THEN 'md5' ELSE 'sha256' END AS algorithm,
   CASE WHEN c_custkey % 2 = 0 THEN md5('CN=ca-' || c_nationkey) ELSE SHA256('CN=ca-' || c_nationkey) END AS issuer_name_hash,
@@ -123,11 +129,13 @@ UNION ALL SELECT 'C' || c_custkey, 2, 'R' || n_regionkey, 2 FROM {customer} JOIN
 SELECT 'C' || c_custkey AS chain_id, 1 AS depth, CASE WHEN c_nationkey % 2 = 0 THEN 'permitted' ELSE 'excluded' END AS type, 'dns' AS kind, CASE WHEN c_nationkey % 3 = 0 THEN '.seg' ELSE 'machinery.seg' END AS base FROM {customer} WHERE c_nationkey % 5 < 3
 UNION ALL SELECT 'C' || c_custkey, 2, 'permitted', 'email', CASE WHEN c_nationkey % 2 = 0 THEN 'corp.test' ELSE '.test' END FROM {customer} WHERE c_nationkey % 4 = 1
 UNION ALL SELECT 'C' || c_custkey, 2, 'excluded', 'uri', 'shop' || (c_custkey % 3) || '.test' FROM {customer} WHERE c_nationkey % 4 = 2
-UNION ALL SELECT 'C' || c_custkey, 1, 'permitted', 'dn', 'C=R/O=' || c_mktsegment FROM {customer} WHERE c_nationkey % 6 = 5""",
+UNION ALL SELECT 'C' || c_custkey, 1, 'permitted', 'dn', 'C=R/O=' || c_mktsegment FROM {customer} WHERE c_nationkey % 6 = 5
+UNION ALL SELECT 'C' || c_custkey, 2, CASE WHEN c_nationkey % 2 = 0 THEN 'permitted' ELSE 'excluded' END, 'ip', CASE c_nationkey % 4 WHEN 0 THEN '0a000000ff000000' WHEN 1 THEN '0a010000ffff0000' WHEN 2 THEN '20010db8000000000000000000000000ffffffff000000000000000000000000' ELSE '0a0000' END FROM {customer} WHERE c_nationkey % 3 = 0""",
     "fx_names": """
 SELECT 'C' || c_custkey AS chain_id, 0 AS depth, 'dns' AS kind, 'host' || (c_custkey % 7) || '.' || lower(c_mktsegment) || '.seg' AS name FROM {customer}
 UNION ALL SELECT 'C' || c_custkey, 0, 'email', 'user@' || CASE WHEN c_custkey % 2 = 0 THEN 'corp.test' ELSE 'mail.other' END FROM {customer}
 UNION ALL SELECT 'C' || c_custkey, 0, 'uri', 'https://u@shop' || (c_custkey % 5) || '.test:8443/x' FROM {customer}
+UNION ALL SELECT 'C' || c_custkey, 0, 'ip', CASE c_custkey % 4 WHEN 0 THEN '0a0000' || lpad(hex(CAST(c_custkey % 256 AS BIGINT)), 2, '0') WHEN 1 THEN '0a0100' || lpad(hex(CAST(c_custkey % 256 AS BIGINT)), 2, '0') WHEN 2 THEN '20010db80000000000000000000000' || lpad(hex(CAST(c_custkey % 256 AS BIGINT)), 2, '0') ELSE '0b000001' END FROM {customer}
 UNION ALL SELECT 'C' || c_custkey, 0, 'dn', 'C=R/O=' || CASE WHEN c_custkey % 3 = 0 THEN 'OTHER' ELSE c_mktsegment END || '/CN=' || c_name FROM {customer}""",
 }
 

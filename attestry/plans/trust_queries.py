@@ -6,6 +6,7 @@ from attestry.functions.scalars import normalise_digest
 from attestry.operators import trust as T
 from attestry.plans.fixtures import view
 from attestry.plans.registry import query
+from attestry.sources import cut, small
 
 AT = "1997-06-01"
 def _at():
@@ -27,7 +28,7 @@ def issuer_candidates(spark, sf):
     return T.issuer_candidates(certs, certs)
 
 
-@query("j2_build_chains", f"""
+_WALK = f"""
 WITH RECURSIVE ups AS (SELECT c.*, c.cert_id IN (SELECT cert_id FROM fx_anchors) AS anchor FROM fx_certs c WHERE is_ca OR subject = issuer),
 best AS (
   SELECT c.cert_id, u.cert_id AS up, row_number() OVER (PARTITION BY c.cert_id ORDER BY u.anchor DESC, u.cert_id) AS rn
@@ -36,12 +37,13 @@ best AS (
 walk(cert_id, tip, path) AS (
   SELECT cert_id, cert_id, cert_id FROM fx_certs WHERE cert_id LIKE 'C%'
   UNION ALL SELECT w.cert_id, b.up, w.path || '>' || b.up FROM walk w JOIN best b ON b.cert_id = w.tip AND b.rn = 1),
-ends AS (SELECT cert_id, arg_max(path, length(path)) AS path, arg_max(tip, length(path)) AS tip FROM walk GROUP BY cert_id)
-SELECT e.cert_id, e.path, c.subject = c.issuer AS complete FROM ends e JOIN fx_certs c ON e.tip = c.cert_id""")
+ends AS (SELECT cert_id, arg_max(path, length(path)) AS path, arg_max(tip, length(path)) AS tip FROM walk GROUP BY cert_id)"""
+
+
+@query("j2_build_chains", f"{_WALK} SELECT e.cert_id, e.path, c.subject = c.issuer AS complete FROM ends e JOIN fx_certs c ON e.tip = c.cert_id")
 def build_chains(spark, sf):
     certs = view(spark, sf, "fx_certs")
-    chains = T.build_chains(certs.filter("cert_id LIKE 'C%'"), certs, view(spark, sf, "fx_anchors"))
-    return chains.select("cert_id", F.array_join("path", ">").alias("path"), "complete")
+    return T.build_chains(certs.filter("cert_id LIKE 'C%'"), certs, view(spark, sf, "fx_anchors")).select("cert_id", F.array_join("path", ">").alias("path"), "complete")
 
 
 @query("j3_trusted_anchor", """
@@ -105,21 +107,25 @@ def ocsp_match(spark, sf):
     return ocsp_rows(spark, sf)
 
 
-EVIDENCE = f"""
-SELECT c.cert_id, coalesce(b.status, 'unknown') AS status, coalesce(b.source, 'none') AS source, b.code FROM fx_certs c LEFT JOIN (
+def _evidence(more: str) -> str:
+    return f"""
+SELECT c.cert_id, coalesce(b.status, 'unknown') AS status, coalesce(b.source, 'none') AS source, b.code{more} FROM fx_certs c LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY cert_id ORDER BY rank, tie) AS rn FROM (
-    SELECT cert_id, CASE WHEN partial AND status = 'good' THEN 'unknown' ELSE status END AS status, 'crl' AS source, code, CASE WHEN status = 'revoked' THEN 1 WHEN code IS NOT NULL THEN 6 WHEN partial THEN 5 ELSE 2 END AS rank, -crl_id AS tie FROM ({CRL('FALSE')})
-    UNION ALL SELECT cert_id, coalesce(status, 'unknown'), 'ocsp', code, 3, 0 FROM ({OCSP}))) b ON c.cert_id = b.cert_id AND b.rn = 1
+    SELECT cert_id, CASE WHEN partial AND status = 'good' THEN 'unknown' ELSE status END AS status, 'crl' AS source, code, CASE WHEN status = 'revoked' THEN 1 WHEN code IS NOT NULL THEN 6 WHEN partial THEN 5 ELSE 2 END AS rank, -crl_id AS tie, reason, revocation_date, invalidity_date FROM ({CRL('FALSE')})
+    UNION ALL SELECT cert_id, coalesce(status, 'unknown'), 'ocsp', code, 3, 0, NULL, NULL, NULL FROM ({OCSP}))) b ON c.cert_id = b.cert_id AND b.rn = 1
 WHERE c.subject <> c.issuer"""
 
 
+EVIDENCE = _evidence("")
+
+
 def evidence_rows(spark, sf):
     return T.revocation_evidence(view(spark, sf, "fx_certs"), crl_rows(spark, sf), ocsp_rows(spark, sf))
 
 
 @query("j7_revocation_evidence", EVIDENCE)
 def revocation_evidence(spark, sf):
-    return evidence_rows(spark, sf)
+    return evidence_rows(spark, sf).select("cert_id", "status", "source", "code")
 
 
 _REASON = "CASE reason WHEN 0 THEN 'unspecified' WHEN 1 THEN 'keyCompromise' WHEN 2 THEN 'cACompromise' WHEN 3 THEN 'affiliationChanged' WHEN 4 THEN 'superseded' WHEN 5 THEN 'cessationOfOperation' WHEN 6 THEN 'certificateHold' WHEN 8 THEN 'removeFromCRL' WHEN 9 THEN 'privilegeWithdrawn' WHEN 10 THEN 'aACompromise' END"
@@ -139,6 +145,7 @@ def poe_vs_revocation(spark, sf):
 _WITHIN = """CASE n.kind WHEN 'dns' THEN b = '' OR nm = b OR ends_with(nm, CASE WHEN starts_with(b, '.') THEN b ELSE '.' || b END)
   WHEN 'email' THEN b = '' OR CASE WHEN contains(b, '@') THEN nm = b WHEN starts_with(b, '.') THEN ends_with(nm, b) ELSE contains(nm, '@') AND regexp_extract(nm, '@([^@]*)$', 1) = b END
   WHEN 'uri' THEN coalesce(host <> '', FALSE) AND (b = '' OR host = b OR ends_with(host, CASE WHEN starts_with(b, '.') THEN b ELSE '.' || b END))
+  WHEN 'ip' THEN length(n.base) IN (16, 64) AND length(n.base) = 2 * length(n.name) AND list_bool_and(list_transform(range(0, length(n.name) // 2), lambda k: coalesce(TRY_CAST('0x' || substr(n.name, 2 * k + 1, 2) AS INT), 0) & coalesce(TRY_CAST('0x' || substr(n.base, length(n.name) + 2 * k + 1, 2) AS INT), 0) = coalesce(TRY_CAST('0x' || substr(n.base, 2 * k + 1, 2) AS INT), 0) & coalesce(TRY_CAST('0x' || substr(n.base, length(n.name) + 2 * k + 1, 2) AS INT), 0)))
   WHEN 'dn' THEN list_slice(string_split(n.name, '/'), 1, len(string_split(n.base, '/'))) = string_split(n.base, '/') ELSE FALSE END"""
 
 
@@ -236,18 +243,27 @@ def timestamp_verdict(spark, sf):
 
 
 def _verdict_rows(spark, sf):
-    """Signatures with all facts that rules ask for: one row each, by joins on the signature, its certificate and its chain."""
+    """Signatures with all facts that rules ask for. Chains are built once and written with their certificates; all facts of a chain come from that table, by its id."""
+    certs = cut(view(spark, sf, "fx_certs"), "certs")
+    chains = T.build_chains(certs.filter("cert_id LIKE 'C%'"), certs, view(spark, sf, "fx_anchors"))
+    st = cut(T.chain_steps(chains, certs), "chain-steps")
+    evidence = cut(evidence_rows(spark, sf), "evidence")
     stamps = T.timestamp_verdict(view(spark, sf, "fx_timestamps"))
-    proof = stamps.filter("verdict = 'VALID'").groupBy("sig_id").agg(F.min_by("gen_time", "ts_id").alias("proof"))
-    algorithms = T.algorithm_policy(steps(spark, sf).withColumnRenamed("chain_id", "sig_id")).select(F.col("sig_id").alias("cert_id"), (F.col("errors") > 0).alias("weak"))
-    path = path_rows(spark, sf).select(F.col("chain_id").alias("cert_id")).distinct().withColumn("path_bad", F.lit(True))
-    chain = steps(spark, sf).groupBy(F.col("chain_id").alias("cert_id")).agg(
+    proof = stamps.filter("verdict = 'VALID'").groupBy("sig_id").agg(F.min_by("gen_time", F.struct("ts_id", "gen_time")).alias("proof"))
+    algorithms = T.algorithm_policy(st.withColumnRenamed("chain_id", "sig_id")).select(F.col("sig_id").alias("cert_id"), (F.col("errors") > 0).alias("weak"))
+    path = T.path_rules(st.withColumn("self_issued", F.col("subject") == F.col("issuer"))).select(F.col("chain_id").alias("cert_id")).distinct().withColumn("path_bad", F.lit(True))
+    facts = st.groupBy(F.col("chain_id").alias("cert_id")).agg(
         F.max_by("cert_id", "depth").alias("root"), F.bool_or(F.col("sig_ok") == False).alias("chain_broken"), F.max("not_before").alias("nb"), F.min("not_after").alias("na"))  # fmt: skip  # noqa: E712
+    revoked = T.first_revoked(st, evidence).select(F.col("chain_id").alias("cert_id"), F.col("is_ca").alias("revoked_ca"), "reason", "revocation_date", "invalidity_date")
+    asked = st.join(evidence.select("cert_id", "status"), "cert_id", "left").select(F.col("chain_id").alias("sig_id"), "cert_id", T.self_signed(F.col("subject"), F.col("issuer")).alias("is_root"), "status", F.col("complete").alias("chain_complete"))
+    covered = T.revocation_complete(asked).select(F.col("sig_id").alias("cert_id"), F.col("complete").alias("covered"))
+    by_chain = facts
+    for other in (algorithms, path, revoked, covered):
+        by_chain = by_chain.join(other, "cert_id", "left")
     anchors = view(spark, sf, "fx_anchors").select(F.col("cert_id").alias("root"), F.lit(True).alias("trusted"))
-    crl = crl_rows(spark, sf).filter("status = 'revoked'").select("cert_id", "reason", "revocation_date", "invalidity_date", F.lit(True).alias("revoked"))
-    evidence = evidence_rows(spark, sf).select("cert_id", F.col("status").alias("evidence"))
+    by_chain = cut(by_chain.join(small(anchors), "root", "left"), "chain-facts")
     x = view(spark, sf, "fx_signatures").withColumnRenamed("digest", "sig_digest")
-    return x.join(proof, "sig_id", "left").join(chain, "cert_id", "left").join(anchors, "root", "left").join(algorithms, "cert_id", "left").join(path, "cert_id", "left").join(crl, "cert_id", "left").join(evidence, "cert_id", "left")
+    return x.join(proof, "sig_id", "left").join(by_chain, "cert_id", "left")
 
 
 def verdict_rows(spark, sf):
@@ -255,36 +271,41 @@ def verdict_rows(spark, sf):
     x = _verdict_rows(spark, sf)
     at = F.coalesce("proof", F.lit("2003-01-01").cast("timestamp"))
     broken = normalise_digest(c("sig_digest")).isin(*T.BROKEN)
+    lost = c("revoked_ca").isNotNull() & ~T.protected(c("proof"), c("revocation_date"), c("invalidity_date"), T.reason_name(c("reason")))
     return T.verdict(x, {
         1: (c("b0") != 0) | (c("b1") < 0) | (c("b2") < c("b0") + c("b1")) | (c("b2") + c("b3") > c("doc_length")) | (c("b0") + c("b1") != c("contents_start")) | (c("b2") != c("contents_end")),
         3: ~c("cms_ok"), 4: c("root").isNull(), 5: ~c("digest_ok"), 6: ~c("sig_ok"),
         7: ~c("attributes_ok") | (~c("has_signing_certificate") & c("sub_filter").like("ETSI.%")), 7.5: ~c("has_signing_certificate"),
         8: c("trusted").isNull(), 9: F.coalesce("chain_broken", F.lit(False)) | c("path_bad").isNotNull(), 10: c("weak") | broken,
-        12: c("proof").isNull() & ((at < c("nb")) | (at > c("na"))),
-        13: c("revoked").isNotNull() & ~T.protected(c("proof"), c("revocation_date"), c("invalidity_date"), T.reason_name(c("reason"))),
-        14: c("evidence") == "unknown", 15: (c("doc_length") > c("b2") + c("b3")) & c("content_changed").isNull(),
+        12: c("proof").isNull() & ((at < c("nb")) | (at > c("na"))), 13: lost & ~c("revoked_ca"), 13.5: lost & c("revoked_ca"),
+        14: ~c("covered"), 15: (c("doc_length") > c("b2") + c("b3")) & c("content_changed").isNull(),
         16: c("content_changed") & (c("doc_length") > c("b2") + c("b3")) & (F.coalesce("certification_p", F.lit(0)) != 1),
         16.5: c("content_changed") & (c("doc_length") > c("b2") + c("b3")) & (c("certification_p") == 1),
     }).filter("NOT is_doc_timestamp")
 
 
+_ON_CHAINS = lambda sql: sql.replace(f"({STEPS})", "st")
 VERDICTS = f"""
-SELECT x.sig_id, x.doc_id, CASE v WHEN 1 THEN 'FAILED' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'INDETERMINATE' WHEN 5 THEN 'FAILED' WHEN 6 THEN 'FAILED' WHEN 7 THEN 'FAILED' WHEN 7.5 THEN 'INDETERMINATE' WHEN 8 THEN 'INDETERMINATE' WHEN 9 THEN 'FAILED' WHEN 10 THEN 'INDETERMINATE' WHEN 12 THEN 'INDETERMINATE' WHEN 13 THEN 'FAILED'
+WITH ch AS MATERIALIZED (SELECT e.cert_id AS chain_id, string_split(e.path, '>') AS p, c.subject = c.issuer AS complete FROM (SELECT * FROM ({_WALK} SELECT * FROM ends)) e JOIN fx_certs c ON e.tip = c.cert_id),
+st AS MATERIALIZED (SELECT ch.chain_id, k AS depth, len(p) - 1 AS last, complete, c.* FROM (SELECT *, unnest(range(len(p))) AS k FROM ch) ch JOIN fx_certs c ON c.cert_id = p[k + 1]),
+ev AS MATERIALIZED ({_evidence(", b.reason, b.revocation_date, b.invalidity_date")})
+SELECT x.sig_id, x.doc_id, CASE v WHEN 1 THEN 'FAILED' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'INDETERMINATE' WHEN 5 THEN 'FAILED' WHEN 6 THEN 'FAILED' WHEN 7 THEN 'FAILED' WHEN 7.5 THEN 'INDETERMINATE' WHEN 8 THEN 'INDETERMINATE' WHEN 9 THEN 'FAILED' WHEN 10 THEN 'INDETERMINATE' WHEN 12 THEN 'INDETERMINATE' WHEN 13 THEN 'FAILED' WHEN 13.5 THEN 'FAILED'
     WHEN 14 THEN 'INDETERMINATE' WHEN 15 THEN 'INDETERMINATE' WHEN 16 THEN 'INDETERMINATE' WHEN 16.5 THEN 'FAILED' ELSE 'PASSED' END AS indication,
   CASE v WHEN 1 THEN 'FORMAT_FAILURE' WHEN 3 THEN 'FORMAT_FAILURE' WHEN 4 THEN 'NO_SIGNING_CERTIFICATE_FOUND' WHEN 5 THEN 'HASH_FAILURE' WHEN 6 THEN 'SIG_CRYPTO_FAILURE' WHEN 7 THEN 'SIG_CONSTRAINTS_FAILURE' WHEN 7.5 THEN 'SIG_CONSTRAINTS_FAILURE' WHEN 8 THEN 'NO_CERTIFICATE_CHAIN_FOUND' WHEN 9 THEN 'CHAIN_CONSTRAINTS_FAILURE'
-    WHEN 10 THEN 'CRYPTO_CONSTRAINTS_FAILURE_NO_POE' WHEN 12 THEN 'OUT_OF_BOUNDS_NO_POE' WHEN 13 THEN 'REVOKED_NO_POE' WHEN 14 THEN 'TRY_LATER' WHEN 15 THEN 'SIG_CONSTRAINTS_FAILURE' WHEN 16 THEN 'DOC_MODIFIED_AFTER_SIGNING' WHEN 16.5 THEN 'DOC_MODIFIED_AFTER_SIGNING' END AS sub_indication
+    WHEN 10 THEN 'CRYPTO_CONSTRAINTS_FAILURE_NO_POE' WHEN 12 THEN 'OUT_OF_BOUNDS_NO_POE' WHEN 13 THEN 'REVOKED_NO_POE' WHEN 13.5 THEN 'REVOKED_CA_NO_POE' WHEN 14 THEN 'TRY_LATER' WHEN 15 THEN 'SIG_CONSTRAINTS_FAILURE' WHEN 16 THEN 'DOC_MODIFIED_AFTER_SIGNING' WHEN 16.5 THEN 'DOC_MODIFIED_AFTER_SIGNING' END AS sub_indication
 FROM (SELECT y.*, CASE WHEN r1 THEN 1 WHEN NOT cms_ok THEN 3 WHEN root IS NULL THEN 4 WHEN NOT digest_ok THEN 5 WHEN NOT sig_ok THEN 6 WHEN NOT attributes_ok OR (NOT has_signing_certificate AND sub_filter LIKE 'ETSI.%') THEN 7
-    WHEN coalesce(chain_broken, FALSE) OR path_bad THEN 9 WHEN weak OR {FAMILY('sig_digest')} IN ('md5', 'sha1') THEN 10 WHEN revoked AND NOT safe THEN 13 WHEN evidence = 'unknown' THEN 14
+    WHEN coalesce(chain_broken, FALSE) OR path_bad THEN 9 WHEN weak OR {FAMILY('sig_digest')} IN ('md5', 'sha1') THEN 10 WHEN revoked AND NOT safe THEN CASE WHEN revoked_ca THEN 13.5 ELSE 13 END WHEN NOT covered THEN 14
     WHEN tail AND content_changed IS NULL THEN 15 WHEN tail AND content_changed AND coalesce(certification_p, 0) <> 1 THEN 16 WHEN tail AND content_changed THEN 16.5
     WHEN proof IS NULL AND (TIMESTAMP '2003-01-01' < nb OR TIMESTAMP '2003-01-01' > na) THEN 12 WHEN NOT trusted THEN 8 WHEN NOT has_signing_certificate THEN 7.5 ELSE 17 END AS v
-  FROM (SELECT s.* EXCLUDE (digest), s.digest AS sig_digest, t.proof, k.root, k.chain_broken, k.nb, k.na, k.root IN (SELECT cert_id FROM fx_anchors) AS trusted, coalesce(a.errors > 0, FALSE) AS weak, p.chain_id IS NOT NULL AS path_bad, r.cert_id IS NOT NULL AS revoked, e.status AS evidence,
+  FROM (SELECT s.* EXCLUDE (digest), s.digest AS sig_digest, t.proof, k.root, k.chain_broken, k.nb, k.na, k.root IN (SELECT cert_id FROM fx_anchors) AS trusted, coalesce(a.errors > 0, FALSE) AS weak, p.chain_id IS NOT NULL AS path_bad, r.chain_id IS NOT NULL AS revoked, r.is_ca AS revoked_ca, z.covered,
       s.b0 <> 0 OR s.b1 < 0 OR s.b2 < s.b0 + s.b1 OR s.b2 + s.b3 > s.doc_length OR s.b0 + s.b1 <> s.contents_start OR s.b2 <> s.contents_end AS r1, s.doc_length > s.b2 + s.b3 AS tail,
       coalesce(t.proof < coalesce(r.invalidity_date, r.revocation_date), FALSE) AND NOT coalesce(r.reason IN (1, 2, 10), FALSE) AS safe
     FROM fx_signatures s
-    LEFT JOIN (SELECT sig_id, arg_min(gen_time, ts_id) AS proof FROM ({STAMPS}) WHERE verdict = 'VALID' GROUP BY sig_id) t ON s.sig_id = t.sig_id
-    LEFT JOIN (SELECT chain_id, arg_max(cert_id, depth) AS root, bool_or(sig_ok = FALSE) AS chain_broken, max(not_before) AS nb, min(not_after) AS na FROM ({STEPS}) GROUP BY chain_id) k ON k.chain_id = s.cert_id
-    LEFT JOIN ({ALGORITHMS}) a ON a.sig_id = s.cert_id LEFT JOIN (SELECT DISTINCT chain_id FROM ({PATH})) p ON p.chain_id = s.cert_id
-    LEFT JOIN (SELECT * FROM ({CRL('FALSE')}) WHERE status = 'revoked') r ON r.cert_id = s.cert_id LEFT JOIN ({EVIDENCE}) e ON e.cert_id = s.cert_id) y) x WHERE NOT is_doc_timestamp"""
+    LEFT JOIN (SELECT sig_id, arg_min(gen_time, struct_pack(t := ts_id, g := gen_time)) AS proof FROM ({STAMPS}) WHERE verdict = 'VALID' GROUP BY sig_id) t ON s.sig_id = t.sig_id
+    LEFT JOIN (SELECT chain_id, arg_max(cert_id, depth) AS root, bool_or(sig_ok = FALSE) AS chain_broken, max(not_before) AS nb, min(not_after) AS na FROM st GROUP BY chain_id) k ON k.chain_id = s.cert_id
+    LEFT JOIN ({_ON_CHAINS(ALGORITHMS)}) a ON a.sig_id = s.cert_id LEFT JOIN (SELECT DISTINCT chain_id FROM ({_ON_CHAINS(PATH)})) p ON p.chain_id = s.cert_id
+    LEFT JOIN (SELECT chain_id, depth, is_ca, reason, revocation_date, invalidity_date FROM (SELECT st.chain_id, st.depth, st.is_ca, ev.*, row_number() OVER (PARTITION BY st.chain_id ORDER BY st.depth) AS rn FROM st JOIN ev ON st.cert_id = ev.cert_id WHERE ev.status = 'revoked') WHERE rn = 1) r ON r.chain_id = s.cert_id
+    LEFT JOIN (SELECT st.chain_id, CASE WHEN bool_and(complete) THEN count(*) FILTER (WHERE st.subject <> st.issuer AND coalesce(ev.status, 'none') <> 'good') = 0 END AS covered FROM st LEFT JOIN ev ON st.cert_id = ev.cert_id GROUP BY st.chain_id) z ON z.chain_id = s.cert_id) y) x WHERE NOT is_doc_timestamp"""
 
 
 @query("a1_verdict", VERDICTS)
