@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 from attestry.sources import cut
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Two revisions (doc_id, page, digest, box) to (doc_id, page_count_changed, content_changed, box_changed); pages beyond the shorter revision only change the count, and a null digest leaves content undecided."""
-    b, a = before.select("doc_id", "page", F.col("digest").alias("d0"), F.col("box").alias("x0")), after.select("doc_id", "page", F.col("digest").alias("d1"), F.col("box").alias("x1"))
-    both = b.join(a, ["doc_id", "page"]).groupBy("doc_id").agg(
-        F.bool_or(F.col("d0") != F.col("d1")).alias("some"), F.bool_or(F.col("d0").isNull() | F.col("d1").isNull()).alias("open"), F.bool_or(~F.col("x0").eqNullSafe(F.col("x1"))).alias("box_changed"))
-    n = b.groupBy("doc_id").agg(F.count("*").alias("n0")).join(a.groupBy("doc_id").agg(F.count("*").alias("n1")), "doc_id", "full_outer")
-    changed = F.when(F.coalesce("some", F.lit(False)), True).when(F.coalesce("open", F.lit(False)), None).otherwise(False)
-    return n.join(both, "doc_id", "left").select("doc_id", (F.coalesce("n0", F.lit(0)) != F.coalesce("n1", F.lit(0))).alias("page_count_changed"), changed.alias("content_changed"), F.coalesce("box_changed", F.lit(False)).alias("box_changed"))
+def snapshot_diff(before: DataFrame, after: DataFrame, actions_before: DataFrame, actions_after: DataFrame) -> DataFrame:
+    """Two revisions (doc_id, page, digest, box, objects) with their actions (doc_id, open_action, aa, names) to (doc_id, page_count_changed, content_changed, box_changed, objects_changed, actions_changed, changed).
+
+    Pages are compared by index; those beyond the shorter revision only change the count. A null digest is of a page that could not be read: it leaves content, and `changed` where
+    nothing else differs, undecided (null). Actions of a document that only one revision has count as absent in the other.
+    """
+    own = lambda df, k: df.select("doc_id", "page", *[F.col(c).alias(f"{c}{k}") for c in ("digest", "box", "objects")])
+    differs = lambda c: F.coalesce(F.bool_or(~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1"))), F.lit(False))
+    both = own(before, 0).join(own(after, 1), ["doc_id", "page"]).groupBy("doc_id").agg(
+        F.bool_or(F.col("digest0") != F.col("digest1")).alias("some"), F.bool_or(F.col("digest0").isNull() | F.col("digest1").isNull()).alias("open"), differs("box").alias("box_changed"), differs("objects").alias("objects_changed"))
+    count = lambda df, k: df.groupBy("doc_id").agg(F.count("*").alias(f"n{k}"))
+    n = count(before, 0).join(count(after, 1), "doc_id", "full_outer")
+    whole = lambda df, k: df.select("doc_id", F.struct("open_action", "aa", "names").alias(f"a{k}"))
+    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("open_action", "aa", "names")])
+    acts = whole(actions_before, 0).join(whole(actions_after, 1), "doc_id", "full_outer").select("doc_id", (~F.coalesce("a0", empty).eqNullSafe(F.coalesce("a1", empty))).alias("actions_changed"))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    x = n.join(both, "doc_id", "left").join(acts, "doc_id", "left").select(
+        "doc_id", (F.coalesce("n0", F.lit(0)) != F.coalesce("n1", F.lit(0))).alias("page_count_changed"), F.when(no("some"), True).when(no("open"), None).otherwise(False).alias("content_changed"),
+        no("box_changed").alias("box_changed"), no("objects_changed").alias("objects_changed"), no("actions_changed").alias("actions_changed"))
+    seen = F.col("page_count_changed") | F.col("box_changed") | F.col("objects_changed") | F.col("actions_changed")
+    return x.withColumn("changed", F.when(seen, True).otherwise(F.col("content_changed")))
 
 
 def missing_references(uses: DataFrame, known: DataFrame, on: str) -> DataFrame:
@@ -40,34 +53,45 @@ def best_variant(requests: DataFrame, variants: DataFrame) -> DataFrame:
     return requests.select("request_id").join(best, "request_id", "left")
 
 
-def field_inventory(fields: DataFrame, levels: int = 32) -> DataFrame:
-    """(field_id, name, kind, required, depth) of a forest (field_id, parent_id, part, kind, flags): dotted full names, and the nearest kind and flags that an ancestor gives.
+#: Bits of a field's flags.
+FIELD_FLAGS = {"read_only": 0, "required": 1, "multiline": 12, "password": 13, "radio": 15, "push_button": 16, "combo": 17}
+
+
+def field_inventory(fields: DataFrame, widgets: DataFrame, levels: int = 32) -> DataFrame:
+    """(field_id, name, kind, flags by name, depth, terminal, page) of a forest (field_id, parent_id, part, kind, flags): dotted full names, and the nearest kind and flags that an ancestor gives.
 
-    One join a level from the roots down; it stops at the first level without children.
+    Without any kind a field is a text field (Tx). page is that of the field's first widget (field_id, ord, page). One join a level from the roots down; it stops at the first
+    level without children, and at `levels` below a root.
     """
     row = lambda name, kind, flags, depth: ["field_id", name.alias("name"), kind.alias("kind"), flags.alias("flags"), F.lit(depth).alias("depth")]
-    tier = fields.filter("parent_id IS NULL").select(*row(F.col("part"), F.col("kind"), F.col("flags"), 0))
+    tier = fields.filter("parent_id IS NULL").select(*row(F.coalesce("part", F.lit("")), F.col("kind"), F.col("flags"), 0))
     out = tier
-    for depth in range(1, levels):
+    for depth in range(1, levels + 1):
         up = tier.select(F.col("field_id").alias("parent_id"), F.col("name").alias("p_name"), F.col("kind").alias("p_kind"), F.col("flags").alias("p_flags"))
-        tier = cut(fields.join(up, "parent_id").select(*row(F.concat_ws(".", "p_name", "part"), F.coalesce("kind", "p_kind"), F.coalesce("flags", "p_flags"), depth)), "field-tier")
+        tier = cut(fields.join(up, "parent_id").select(*row(F.concat_ws(".", F.nullif("p_name", F.lit("")), "part"), F.coalesce("kind", "p_kind"), F.coalesce("flags", "p_flags"), depth)), "field-tier")
         if tier.isEmpty():
             break
         out = out.unionByName(tier)
-    return out.select("field_id", "name", "kind", (F.coalesce("flags", F.lit(0)).bitwiseAND(2) != 0).alias("required"), "depth")
+    first = widgets.groupBy("field_id").agg(F.min_by("page", "ord").alias("page"))
+    parents = fields.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("field_id")).distinct().withColumn("inner", F.lit(True))
+    bits = [(F.shiftright(F.coalesce("flags", F.lit(0)), k).bitwiseAND(1) == 1).alias(c) for c, k in FIELD_FLAGS.items()]
+    return out.join(first, "field_id", "left").join(parents, "field_id", "left").select("field_id", "name", F.coalesce("kind", F.lit("Tx")).alias("kind"), *bits, "depth", F.col("inner").isNull().alias("terminal"), "page")
 
 
 def inherited_property(nodes: DataFrame, levels: int = 64) -> DataFrame:
-    """(node_id, value, distance): the value of the nearest ancestor, itself included, that has one."""
+    """(node_id, value, distance): the value of the nearest ancestor, itself included, that has one; null where none has, or none of the nearest `levels`."""
     up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("next"), F.col("value").alias("up_value"))
     live = nodes.select("node_id", F.col("parent_id").alias("at"), "value", F.lit(0).alias("distance"))
     done = None
     for distance in range(1, levels + 1):
         ready = live.filter("value IS NOT NULL OR at IS NULL").select("node_id", "value", "distance")
         done = ready if done is None else done.unionByName(ready)
-        live = cut(live.filter("value IS NULL AND at IS NOT NULL").join(up, "at").select("node_id", F.col("next").alias("at"), F.col("up_value").alias("value"), F.lit(distance).alias("distance")), "inherited")
+        live = live.filter("value IS NULL AND at IS NOT NULL").join(up, "at", "left").select("node_id", F.col("next").alias("at"), F.col("up_value").alias("value"), F.lit(distance).alias("distance"))
+        live = cut(live, "inherited")
         if live.isEmpty():
             break
+    else:
+        done = done.unionByName(live.select("node_id", "value", "distance"))
     return done.select("node_id", "value", F.when(F.col("value").isNotNull(), F.col("distance")).alias("distance"))
 
 

@@ -60,10 +60,19 @@ def latest_state(spark, sf):
     return E.latest_state(ops(spark, sf).withColumn("new_value", F.concat(F.lit("v"), "event_id"))).select("session_id", "target", "patches", "value", "last_version")
 
 
-@query("f13_patch_merge", f"SELECT session_id, target, field, arg_max('v' || event_id, version) AS value FROM (SELECT *, unnest(string_split(patch_keys, ',')) AS field FROM ({OPS})) GROUP BY ALL")
+@query("x7_scene_state")
+def scene_state(spark, sf):
+    return E.scene_state(ops(spark, sf).withColumn("parent", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("n"), F.col("event_id") % 5))))
+
+
+@query("f13_patch_merge", f"""
+WITH p AS (SELECT session_id, target, version, event_id, unnest(CASE event_id % 3 WHEN 0 THEN ['x', 'frame.w', 'frame.h'] WHEN 1 THEN ['fill', 'frame.w'] ELSE ['text'] END) AS field FROM ({OPS}))
+SELECT session_id, target, field, arg_max('v' || event_id, version) AS value FROM p GROUP BY ALL""")
 def patch_merge(spark, sf):
-    x = ops(spark, sf).select("session_id", "target", "version", F.explode(F.split("patch_keys", ",")).alias("field"), F.concat(F.lit("v"), "event_id").alias("value"))
-    return E.patch_merge(x)
+    """Patches that also carry an id, a type and children, which change nothing."""
+    v = F.concat(F.lit('"v'), "event_id", F.lit('"'))
+    shape = F.get(F.array(F.lit('{"x":V,"id":V,"frame":{"w":V,"h":V}}'), F.lit('{"fill":V,"type":V,"frame":{"w":V}}'), F.lit('{"text":V,"children":[V]}')), (F.col("event_id") % 3).cast("int"))
+    return E.patch_merge(E.patch_fields(ops(spark, sf).select("session_id", "target", "version", F.replace(shape, F.lit("V"), v).alias("patch"))))
 
 
 def hits(spark, sf):
@@ -113,7 +122,14 @@ def client_key(spark, sf):
     return e.select("event_id", C.client_key(token, F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string"))).alias("k"))
 
 
-@query("f12_stable_digest", "SELECT event_id, sha256('k=' || json_extract_string(props, '$.k') || chr(31) || 'type=' || event_type || chr(31) || 'user=\\N') AS digest FROM events")
+@query("f12_stable_digest", """
+SELECT event_id, sha256('k=' || json_extract_string(props, '$.k') || chr(31) || 'type=' || event_type || chr(31) || 'user=\\N') AS digest,
+  sha256('{"a":{"k":"' || json_extract_string(props, '$.k') || '","list":[1,{"y":null,"z":"ref"}]},"type":"' || event_type || '"}') AS nested FROM events""")
 def stable_digest(spark, sf):
-    m = F.create_map(F.lit("user"), F.lit(None).cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
-    return view(spark, sf, "events").select("event_id", C.stable_digest(m).alias("digest"))
+    """Of a map, and of nested JSON whose keys stand in one order or the other and whose references point anywhere."""
+    k = F.get_json_object("props", "$.k")
+    m = F.create_map(F.lit("user"), F.lit(None).cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), k)
+    ref = F.concat(F.lit('{"$ref":"'), "event_id", F.lit(' 0 R"}'))
+    one = F.concat(F.lit('{"type":"'), "event_type", F.lit('","a":{"list":[1,{"z":'), ref, F.lit(',"y":null}],"k":"'), k, F.lit('"}}'))
+    two = F.concat(F.lit('{ "a" : {"k":"'), k, F.lit('", "list":[1, {"y":null,"z":'), ref, F.lit('}]}, "type":"'), "event_type", F.lit('"}'))
+    return view(spark, sf, "events").select("event_id", C.stable_digest(m).alias("digest"), C.stable_json_digest(F.when(F.col("event_id") % 2 == 0, one).otherwise(two)).alias("nested"))

@@ -9,21 +9,34 @@ from attestry.plans.fixtures import view
 from attestry.plans.registry import query
 
 #: a page a line item: revision 1 is its state after an edit
-_REV = """SELECT doc_id, page, CASE WHEN p % 50 <> 7 THEN md5(p || '-0') END AS d0, CASE WHEN p % 50 <> 7 THEN md5(p || CASE WHEN s % 9 = 1 THEN '-1' ELSE '-0' END) END AS d1, q AS x0, CASE WHEN p % 31 = 2 THEN q + 1 ELSE q END AS x1, page = 1 OR p % 40 <> 3 AS kept
+_REV = """SELECT doc_id, page, CASE WHEN p % 50 <> 7 THEN md5(p || '-0') END AS d0, CASE WHEN p % 50 <> 7 THEN md5(p || CASE WHEN s % 9 = 1 THEN '-1' ELSE '-0' END) END AS d1, q AS x0, CASE WHEN p % 31 = 2 THEN q + 1 ELSE q END AS x1,
+    md5(s || '-o') AS o0, CASE WHEN p % 29 = 3 THEN CAST(NULL AS STRING) ELSE md5(s || '-o') END AS o1, page = 1 OR p % 40 <> 3 AS kept
   FROM (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber)"""
+_ACT = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'P' THEN CAST(NULL AS STRING) ELSE o_orderstatus END AS a0, CASE WHEN o_orderkey % 37 = 4 THEN 'js' WHEN o_orderstatus = 'P' THEN CAST(NULL AS STRING) ELSE o_orderstatus END AS a1,
+  CASE WHEN o_orderkey % 41 = 5 THEN 'n' END AS n1, o_orderkey % 43 <> 6 AS kept FROM {orders} WHERE o_orderkey % 5 <> 2"""
 
 
 def revisions(spark, sf):
     x = spark.sql(_REV, lineitem=view(spark, sf, "lineitem"))
-    return x.select("doc_id", "page", F.col("d0").alias("digest"), F.col("x0").alias("box")), x.filter("kept").select("doc_id", "page", F.col("d1").alias("digest"), F.col("x1").alias("box"))
+    of = lambda df, k: df.select("doc_id", "page", F.col(f"d{k}").alias("digest"), F.col(f"x{k}").alias("box"), F.col(f"o{k}").alias("objects"))
+    return of(x, 0), of(x.filter("kept"), 1)
+
+
+def actions(spark, sf):
+    x = spark.sql(_ACT, orders=view(spark, sf, "orders"))
+    none = F.lit(None).cast("string")
+    return x.select("doc_id", F.col("a0").alias("open_action"), none.alias("aa"), none.alias("names")), x.filter("kept").select("doc_id", F.col("a1").alias("open_action"), none.alias("aa"), F.col("n1").alias("names"))
 
 
 @query("j11_snapshot_diff", f"""
-WITH r AS ({_REV.replace('{lineitem}', 'lineitem')}) SELECT doc_id, count(*) <> count(*) FILTER (WHERE kept) AS page_count_changed,
+WITH r AS ({_REV.replace('{lineitem}', 'lineitem')}), a AS ({_ACT.replace('{orders}', 'orders')}),
+g AS (SELECT doc_id, count(*) <> count(*) FILTER (WHERE kept) AS page_count_changed,
   CASE WHEN coalesce(bool_or(d0 <> d1) FILTER (WHERE kept), FALSE) THEN TRUE WHEN coalesce(bool_or(d0 IS NULL OR d1 IS NULL) FILTER (WHERE kept), FALSE) THEN NULL ELSE FALSE END AS content_changed,
-  coalesce(bool_or(x0 IS DISTINCT FROM x1) FILTER (WHERE kept), FALSE) AS box_changed FROM r GROUP BY doc_id""")
+  coalesce(bool_or(x0 IS DISTINCT FROM x1) FILTER (WHERE kept), FALSE) AS box_changed, coalesce(bool_or(o0 IS DISTINCT FROM o1) FILTER (WHERE kept), FALSE) AS objects_changed FROM r GROUP BY doc_id),
+j AS (SELECT g.*, coalesce(CASE WHEN a.kept THEN a.a0 IS DISTINCT FROM a.a1 OR a.n1 IS NOT NULL ELSE a.a0 IS NOT NULL END, FALSE) AS actions_changed FROM g LEFT JOIN a ON g.doc_id = a.doc_id)
+SELECT *, CASE WHEN page_count_changed OR box_changed OR objects_changed OR actions_changed THEN TRUE ELSE content_changed END AS changed FROM j""")
 def snapshot_diff(spark, sf):
-    return G.snapshot_diff(*revisions(spark, sf))
+    return G.snapshot_diff(*revisions(spark, sf), *actions(spark, sf))
 
 
 @query("j13_missing_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
@@ -66,9 +79,9 @@ def missing_families(spark, sf):
     return G.missing_families(spark.sql(_REQ, orders=view(spark, sf, "orders")), spark.sql(_VAR, part=view(spark, sf, "part")))
 
 
-_FIELDS = """SELECT 'r' || r_regionkey AS field_id, CAST(NULL AS STRING) AS parent_id, r_name AS part, 'Tx' AS kind, 2 AS flags FROM {region}
-UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'Sig' END, CASE WHEN n_nationkey % 4 = 0 THEN 1 END FROM {nation}
-UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'f' || c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Btn' END, CASE WHEN c_custkey % 7 = 0 THEN 3 END FROM {customer}"""
+_FIELDS = """SELECT 'r' || r_regionkey AS field_id, CAST(NULL AS STRING) AS parent_id, r_name AS part, CASE WHEN r_regionkey > 1 THEN 'Tx' END AS kind, 2 AS flags FROM {region}
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'Sig' END, CASE WHEN n_nationkey % 4 = 0 THEN 1 + 4096 WHEN n_nationkey % 4 = 1 THEN 8192 + 32768 END FROM {nation}
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'f' || c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Btn' END, CASE WHEN c_custkey % 7 = 0 THEN 3 WHEN c_custkey % 7 = 1 THEN 65536 + 131072 END FROM {customer}"""
 
 
 def fields(spark, sf):
@@ -78,17 +91,22 @@ def fields(spark, sf):
 _F = _FIELDS.replace("{", "").replace("}", "")
 
 
+_WIDGETS = "SELECT 'c' || o_custkey AS field_id, o_orderkey AS ord, CAST(o_orderkey % 7 AS INT) AS page FROM {orders}"
+
+
 @query("j19_field_inventory", f"""
 WITH RECURSIVE f AS ({_F}), w(field_id, name, kind, flags, depth) AS (SELECT field_id, part, kind, flags, 0 FROM f WHERE parent_id IS NULL
-  UNION ALL SELECT f.field_id, w.name || '.' || f.part, coalesce(f.kind, w.kind), coalesce(f.flags, w.flags), w.depth + 1 FROM w JOIN f ON f.parent_id = w.field_id)
-SELECT field_id, name, kind, (coalesce(flags, 0) & 2) <> 0 AS required, depth FROM w""")
+  UNION ALL SELECT f.field_id, w.name || '.' || f.part, coalesce(f.kind, w.kind), coalesce(f.flags, w.flags), w.depth + 1 FROM w JOIN f ON f.parent_id = w.field_id),
+p AS (SELECT field_id, arg_min(page, ord) AS page FROM ({_WIDGETS.replace('{orders}', 'orders').replace('STRING', 'VARCHAR')}) GROUP BY field_id)
+SELECT w.field_id, name, coalesce(kind, 'Tx') AS kind, flags & 1 <> 0 AS read_only, flags & 2 <> 0 AS required, flags & 4096 <> 0 AS multiline, flags & 8192 <> 0 AS password, flags & 32768 <> 0 AS radio, flags & 65536 <> 0 AS push_button, flags & 131072 <> 0 AS combo, depth,
+  w.field_id NOT IN (SELECT parent_id FROM f WHERE parent_id IS NOT NULL) AS terminal, page FROM (SELECT * REPLACE (coalesce(flags, 0) AS flags) FROM w) w LEFT JOIN p ON w.field_id = p.field_id""")
 def field_inventory(spark, sf):
-    return G.field_inventory(fields(spark, sf))
+    return G.field_inventory(fields(spark, sf), spark.sql(_WIDGETS, orders=view(spark, sf, "orders")))
 
 
 @query("j20_inherited_property", f"""
 WITH RECURSIVE f AS ({_F}), w(node_id, tip, value, distance) AS (SELECT field_id, parent_id, kind, 0 FROM f UNION ALL SELECT w.node_id, f.parent_id, f.kind, w.distance + 1 FROM w JOIN f ON f.field_id = w.tip WHERE w.value IS NULL)
-SELECT node_id, value, distance FROM w WHERE value IS NOT NULL OR tip IS NULL""")
+SELECT node_id, value, CASE WHEN value IS NOT NULL THEN distance END AS distance FROM w WHERE value IS NOT NULL OR tip IS NULL""")
 def inherited_property(spark, sf):
     return G.inherited_property(fields(spark, sf).select(F.col("field_id").alias("node_id"), "parent_id", F.col("kind").alias("value")))
 
@@ -155,17 +173,27 @@ def character_inventory(spark, sf):
     return G.character_inventory(view(spark, sf, "documents"), "lang")
 
 
-@query("f11_text_transform")
+@query("f11_text_transform", """
+SELECT doc_id, replace(upper(translate(text, 'iı', 'İI')), 'ẞ', 'SS') AS upper, lower(translate(text, 'Iİ', 'ıi')) AS lower,
+  array_to_string(list_transform(regexp_extract_all(text, '\\s+|\\S+'), lambda w: replace(upper(translate(left(w, 1), 'iı', 'İI')), 'ẞ', 'SS') || substr(w, 2)), '') AS capital FROM documents""")
 def text_transform(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", C.turkish_upper(F.col("text")).alias("upper"), C.turkish_lower(F.col("text")).alias("lower"))
+    t = F.col("text")
+    return view(spark, sf, "documents").select("doc_id", C.turkish_upper(t).alias("upper"), C.turkish_lower(t).alias("lower"), C.turkish_capitalize(t).alias("capital"))
 
 
-@query("f4_asn1_time", """
-SELECT l_orderkey, l_linenumber, strftime(CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate ELSE date_trunc('day', l_shipdate) END, '%Y-%m-%d') AS day FROM lineitem""")
+#: instants from 1950 to 2110, written in turn as UTCTime, which has two digits of a year, as GeneralizedTime and with faults
+_TIMES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 4 AS k, TIMESTAMP '1950-01-01' + INTERVAL 1 DAY * (l_partkey * 37 % 58000) + INTERVAL 1 SECOND * (l_suppkey * 7919 % 86400) AS t FROM lineitem"
+
+
+@query("f4_asn1_time", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN k < 2 THEN CASE WHEN k = 0 THEN CASE WHEN year(t) % 100 < 50 THEN '20' ELSE '19' END || strftime(t, '%y') ELSE strftime(t, '%Y') END || strftime(t, '-%m-%d %H:%M:%S') END AS time FROM ({_TIMES})""")
 def asn1_time(spark, sf):
-    ts = F.col("l_shipdate").cast("timestamp")
-    text = F.when(F.col("l_linenumber") % 2 == 0, F.date_format(ts, "yyMMddHHmmss'Z'")).otherwise(F.date_format(ts, "yyyyMMddHHmmss'Z'"))
-    return view(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.date_format(C.asn1_time(text), "yyyy-MM-dd").alias("day"))
+    days, seconds = F.col("l_partkey") * 37 % 58000, F.col("l_suppkey") * 7919 % 86400
+    at = F.timestamp_seconds(F.lit(-631152000) + days * 86400 + seconds)
+    k = F.col("l_partkey") % 4
+    text = F.when(k == 0, F.date_format(at, "yyMMddHHmmss'Z'")).when(k == 1, F.date_format(at, "yyyyMMddHHmmss'Z'")).when(k == 2, F.date_format(at, "yyyyMMddHHmmss")).otherwise(F.concat(F.date_format(at, "yyyy"), F.lit("13451234Z")))
+    found = C.asn1_time(text)
+    return view(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format(found, "yyyy-MM-dd HH:mm:ss").alias("time"))
 
 
 @query("f5_f10_names", """
@@ -177,9 +205,15 @@ def names(spark, sf):
         C.uri_host(F.concat(F.lit("ldap://u:p@H"), k, F.lit(".test.:389/x"))).alias("host"), C.normalise_family(F.concat(F.lit("  "), "c_mktsegment", F.lit("   Sans "))).alias("family"))
 
 
-@query("f6_normalise_digest", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'sha1' WHEN o_orderpriority LIKE '2%' THEN 'sha512' ELSE 'sha3-256' END AS family FROM orders")
+_SPELLINGS = [
+    ("sha1WithRSAEncryption", "sha1"), ("RSA-SHA512", "sha512"), ("id-SHA3-256", "sha3-256"), ("ecdsa-with-SHA384", "sha384"), ("SHA224", "sha224"), ("sha256WithRSAEncryption", "sha256"), ("md5WithRSAEncryption", "md5"),
+    ("RIPEMD160", "ripemd160"), ("md2", "md2"), ("md4RSA", "md4"), ("sha3-512", "sha3-512"), ("whirlpool", None),
+]
+
+
+@query("f6_normalise_digest", f"WITH s(k, family) AS (VALUES {', '.join(f'({k}, {repr(f) if f else None or 'NULL'})' for k, (_, f) in enumerate(_SPELLINGS))}) SELECT o_orderkey, family FROM orders JOIN s ON o_orderkey % {len(_SPELLINGS)} = k")
 def normalise_digest(spark, sf):
-    spelling = F.when(F.col("o_orderpriority").startswith("1"), "sha1WithRSAEncryption").when(F.col("o_orderpriority").startswith("2"), "RSA-SHA512").otherwise("id-SHA3-256")
+    spelling = F.get(F.array(*[F.lit(n) for n, _ in _SPELLINGS]), (F.col("o_orderkey") % len(_SPELLINGS)).cast("int"))
     return view(spark, sf, "orders").select("o_orderkey", C.normalise_digest(spelling).alias("family"))
 
 

@@ -37,10 +37,22 @@ def single_use_token_stream(spark, sf):
     return X.drained(X.single_use_token_stream(e, 36_000_000))
 
 
+@query("x2_session_admission")
+def session_admission(spark, sf):
+    """Four services, few enough sessions and clients that their limits are met."""
+    kind = F.when(F.col("event_type") == "purchase", "create").when(F.col("event_type") == "click", "join").when(F.col("event_type") == "error", "leave").otherwise("touch")
+    e = events(spark, sf).select((F.col("user_id") % 4).alias("service"), "event_id", "ts", "ms", kind.alias("kind"), F.concat(F.lit("s"), F.col("user_id") % 40).alias("session"), F.concat(F.lit("c"), F.col("event_id") % 30).alias("client"))
+    return X.drained(X.session_admission_stream(e, sessions=2, clients=2, ttl_ms=86_400_000))
+
+
 @query("x4_op_log_stream")
 def op_log_stream(spark, sf):
+    """Requests of all operations of a session within an hour."""
     op = F.when(F.col("event_type") == "purchase", "addNode").when(F.col("event_type") == "error", "removeNode").otherwise("updateNode")
-    o = events(spark, sf).select(F.col("user_id").alias("session_id"), "event_id", "ms", op.alias("op"), F.concat(F.lit("n"), F.col("event_id") % 6).alias("target"))
+    keys = F.when(F.col("event_id") % 3 == 0, "x,y").when(F.col("event_id") % 3 == 1, "y,fill").otherwise("text")
+    o = events(spark, sf).select(
+        F.col("user_id").alias("session_id"), "event_id", "ts", (F.floor(F.col("ms") / 3_600_000) * 3_600_000).alias("ms"), F.floor(F.col("ms") / 3_600_000).alias("request"), F.concat(F.lit("c"), F.floor(F.col("ms") / 3_600_000) % 3).alias("client_id"),
+        (F.col("event_id") % 5).alias("base_version"), op.alias("op"), F.concat(F.lit("n"), F.col("event_id") % 6).alias("target"), keys.alias("patch_keys"))
     return X.drained(X.op_log_stream(o))
 
 
@@ -58,5 +70,5 @@ def ledger_append_stream(spark, sf):
 @query("x6_presence", "SELECT user_id AS session_id, 'c' || (event_id % 3) AS client_id, arg_max(CASE WHEN event_type = 'error' THEN 'leave' ELSE 'join' END, struct_pack(t := ts, e := event_id)) AS kind FROM events GROUP BY ALL")
 def presence(spark, sf):
     kind = F.when(F.col("event_type") == "error", "leave").otherwise("join")
-    e = events(spark, sf).select(F.col("user_id").alias("session_id"), F.concat(F.lit("c"), F.col("event_id") % 3).alias("client_id"), "ts", "event_id", kind.alias("kind"))
-    return X.drained(X.presence(e), "complete")
+    e = events(spark, sf).select(F.col("user_id").alias("session_id"), F.concat(F.lit("c"), F.col("event_id") % 3).alias("client_id"), "ts", "ms", "event_id", kind.alias("kind"))
+    return X.present(X.drained(X.presence(e)))

@@ -204,6 +204,11 @@ def path_rules(spark, sf):
     return path_rows(spark, sf)
 
 
+@query("w7_required_eku", "SELECT cert_id, eku = '' OR len(list_filter(string_split(eku, ','), lambda e: e IN ('1.3.6.1.5.5.7.3.36', '2.5.29.37.0'))) > 0 AS eku_ok FROM fx_certs")
+def required_eku(spark, sf):
+    return T.required_eku(view(spark, sf, "fx_certs"), ("1.3.6.1.5.5.7.3.36",)).select("cert_id", "eku_ok")
+
+
 _KNOWN_CERT = "'', '2.5.29.14', '2.5.29.15', '2.5.29.16', '2.5.29.17', '2.5.29.18', '2.5.29.19', '2.5.29.30', '2.5.29.31', '2.5.29.32', '2.5.29.33', '2.5.29.35', '2.5.29.36', '2.5.29.37', '2.5.29.46', '2.5.29.54', '1.3.6.1.5.5.7.1.1', '1.3.6.1.5.5.7.1.11', '1.3.6.1.5.5.7.1.3', '1.3.6.1.5.5.7.48.1.5'"
 _KNOWN_CRL = "'', '2.5.29.20', '2.5.29.27', '2.5.29.28', '2.5.29.35', '2.5.29.46', '2.5.29.55', '1.3.6.1.5.5.7.1.1'"
 _ODD = "SELECT {id} AS id, array_to_string(list_filter(string_split(critical, ','), lambda x: x NOT IN ({known})), ',') AS unknown FROM {table}"

@@ -1,5 +1,7 @@
 """The stateful operators as streams. Event time and a watermark bound the state; within the watermark results are those of the batch form."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from attestry.operators.ledger import append_ledger, ledger_tails
 from attestry.sources import shared_path
 
 
+#: Milliseconds of events are counted from here.
+_EPOCH = 1_704_067_200_000
+
+
 def read_events(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
     """A stream of Parquet files, `files` a micro-batch. Without it all that is there makes one, so that results don't depend on how many files hold a table, nor in what order."""
     reader = spark.readStream.schema(schema)
@@ -29,7 +35,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, idle_ms: int) -> DataFrame:
-    """Hits (key, hit_id, ts, ms) with allowed: the state of a key is its accepted times, `limit` at most, and goes after idle_ms of event time."""
+    """Hits (key, hit_id, ts, ms) with allowed: the state of a key is its accepted times, `limit` at most, and goes after idle_ms of event time, which is what keeps the number of keys within bounds."""
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -44,7 +50,7 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, idle_ms: int)
             if allowed[-1]:
                 kept.append(t)
         state.update((kept,))
-        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"key": rows["key"], "hit_id": rows["hit_id"], "ms": rows["ms"], "allowed": allowed})
 
     return hits.withWatermark("ts", "1 hour").groupBy("key").applyInPandasWithState(
@@ -52,11 +58,56 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, idle_ms: int)
 
 
 def session_ttl_stream(touches: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(session_id, start, end, touches): a session closes after `gap` without a touch."""
+    """(session_id, start, end, touches): a session closes after `gap` without a touch. In append mode state goes with the watermark; complete mode, for drained tables, keeps all."""
     g = touches.withWatermark("ts", "1 hour").groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("touches"))
     return g.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "touches")
 
 
+#: Open sessions of a service, clients of a session, milliseconds without a touch after which a session is gone, operations of a request.
+MOST_SESSIONS, MOST_CLIENTS, TTL_MS, MOST_OPS = 50, 16, 30 * 60_000, 500
+
+
+def session_admission_stream(events: DataFrame, sessions: int = MOST_SESSIONS, clients: int = MOST_CLIENTS, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Events (service, event_id, ts, ms, kind, session, client) with code: null, FULL, CROWDED or NO_SESSION.
+
+    create opens a session unless as many are open as may be; join adds a client unless as many are in it as may be; touch, join and leave need an open session. Sessions
+    without a touch for ttl_ms are gone before an event is judged. A join that is refused and a leave with clients left don't touch. A service's state is its open sessions, bounded by both
+    limits, and goes when it has had no event for ttl_ms.
+    """
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        live = {s: (t, set(c)) for s, t, c in json.loads(state.get[0])} if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        codes = []
+        for now, kind, s, c in zip(rows["ms"].tolist(), rows["kind"], rows["session"], rows["client"]):
+            live = {k: v for k, v in live.items() if now - v[0] < ttl_ms}
+            code = "NO_SESSION" if kind != "create" and s not in live else None
+            if kind == "create" and s not in live:
+                code = "FULL" if len(live) >= sessions else None
+                if not code:
+                    live[s] = (now, set())
+            elif kind == "join" and not code:
+                code = "CROWDED" if c not in live[s][1] and len(live[s][1]) >= clients else None
+                if not code:
+                    live[s][1].add(c)
+            elif kind == "leave" and not code:
+                live[s][1].discard(c)
+                if not live[s][1]:
+                    live[s] = (now, live[s][1])
+            elif kind == "touch" and not code:
+                live[s] = (now, live[s][1])
+            codes.append(code)
+        state.update((json.dumps([(s, t, sorted(c)) for s, (t, c) in live.items()]),))
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield pd.DataFrame({"service": key[0], "event_id": rows["event_id"], "code": codes})
+
+    return events.withWatermark("ts", "1 hour").groupBy("service").applyInPandasWithState(
+        step, "service long, event_id long, code string", "live string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def single_use_token_stream(events: DataFrame, ttl_ms: int = 120_000) -> DataFrame:
     """Takes (token, event_id) with taken: the first take within ttl of a put succeeds; later or expired ones are gone."""
 
@@ -74,31 +125,56 @@ def single_use_token_stream(events: DataFrame, ttl_ms: int = 120_000) -> DataFra
                 out.append((key[0], i, put is not None and t <= put + ttl_ms))
                 put = None
         state.update((put,))
-        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + ttl_ms + 1)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + ttl_ms + 1)
         yield pd.DataFrame(out, columns=["token", "event_id", "taken"])
 
     return events.withWatermark("ts", "1 hour").groupBy("token").applyInPandasWithState(
         step, "token long, event_id long, taken boolean", "put long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def op_log_stream(ops: DataFrame, missing: str = "removeNode") -> DataFrame:
-    """Operations (session_id, event_id, ms, op, target) with version and accepted: versions in commit order; an operation on a node that was removed is refused and gets none."""
+def op_log_stream(ops: DataFrame, log: int = 2000, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Operations (session_id, event_id, ts, ms, request, client_id, base_version, op, target, patch_keys) with code, version, overwrites (client and version).
+
+    A request's operations are taken together or not at all: DUPLICATE_ID where one adds a node that is there, MISSING where one is on a node that was removed, TOO_MANY beyond
+    MOST_OPS; otherwise they get versions in order. A node that no operation added or removed is there. Each is told the first operation of another client since its
+    base that it collides with: of the same node, unless both are updates without a key in common. It is applied all the same. The log is trimmed
+    to its last `log` operations, and a session's state goes after ttl_ms of event time without one.
+    """
+
+    def collides(op: str, keys: set, past: tuple) -> bool:
+        return op != "updateNode" or past[3] != "updateNode" or bool(keys & set(past[4]))
 
     def step(key, batches, state: GroupState):
-        version, gone = (state.get[0], set(state.get[1])) if state.exists else (0, set())
-        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        version, there, kept = json.loads(state.get[0]) if state.exists else (0, {}, [])
+        rows = pd.concat(list(batches)).sort_values(["ms", "request", "event_id"])
         out = []
-        for i, op, target in zip(rows["event_id"].tolist(), rows["op"].tolist(), rows["target"].tolist()):
-            ok = op == "addNode" or target not in gone
-            if ok:
-                version += 1
-                (gone.add if op == missing else gone.discard if op == "addNode" else lambda _: None)(target)
-            out.append((key[0], i, version if ok else None, ok))
-        state.update((version, sorted(gone)))
-        yield pd.DataFrame({"session_id": [o[0] for o in out], "event_id": [o[1] for o in out], "version": pd.array([o[2] for o in out], "Int64"), "accepted": [o[3] for o in out]})
-
-    return ops.groupBy("session_id").applyInPandasWithState(
-        step, "session_id long, event_id long, version long, accepted boolean", "version long, gone array<string>", "append", GroupStateTimeout.NoTimeout)
+        for _, request in rows.groupby("request", sort=False):
+            own = [(i, c, b, op, n, set(k.split(","))) for i, c, b, op, n, k in zip(*(request[x] for x in ("event_id", "client_id", "base_version", "op", "target", "patch_keys")))]
+            code, after = "TOO_MANY" if len(own) > MOST_OPS else None, dict(there)
+            for _, _, _, op, n, _ in own:
+                if not code and op == "addNode" and after.get(n) is True:
+                    code = "DUPLICATE_ID"
+                elif not code and op != "addNode" and after.get(n) is False:
+                    code = "MISSING"
+                after[n] = op != "removeNode" if op in ("addNode", "removeNode") else after.get(n)
+            found = [next(((p[1], p[0]) for p in kept if p[0] > b and p[1] != c and p[2] == n and collides(op, k, p)), (None, None)) for _, c, b, op, n, k in own]
+            for (i, c, _, op, n, k), (by, at) in zip(own, found):
+                if not code:
+                    version += 1
+                    kept.append((version, c, n, op, sorted(k)))
+                out.append((key[0], i, code, None if code else version, None if code else by, None if code else at))
+            if not code:
+                there, kept = {n: v for n, v in after.items() if v is not None}, kept[-log:]
+        state.update((json.dumps((version, there, kept)),))
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + ttl_ms)
+        cols = list(zip(*out))
+        yield pd.DataFrame({"session_id": cols[0], "event_id": cols[1], "code": cols[2], "version": pd.array(cols[3], "Int64"), "overwrites_by": cols[4], "overwrites_at": pd.array(cols[5], "Int64")})
+
+    return ops.withWatermark("ts", "1 hour").groupBy("session_id").applyInPandasWithState(
+        step, "session_id long, event_id long, code string, version long, overwrites_by string, overwrites_at long", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger_append_stream(records: DataFrame, prepare, key: str, order: str, name: str) -> DataFrame:
@@ -121,6 +197,28 @@ def ledger_append_stream(records: DataFrame, prepare, key: str, order: str, name
     return spark.read.schema(rows).parquet(f"{path}/rows/*")
 
 
-def presence(events: DataFrame) -> DataFrame:
-    """(session_id, client_id, kind): the last of join and leave of each client."""
-    return events.groupBy("session_id", "client_id").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"))
+def presence(events: DataFrame, idle_ms: int = TTL_MS) -> DataFrame:
+    """Changes (session_id, client_id, kind, ms, event_id) of who is there, from join and leave: those that are newer than what is known of a client.
+
+    What is known of a client goes after idle_ms of event time. The latest change of each client is its presence (`present`).
+    """
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = tuple(state.get) if state.exists else None
+        rows = pd.concat(list(batches))[["ms", "event_id", "kind"]]
+        ms, event, kind = max(rows.itertuples(index=False, name=None))
+        if known is None or (ms, event) > known:
+            state.update((ms, event))
+            yield pd.DataFrame({"session_id": [key[0]], "client_id": [key[1]], "kind": [kind], "ms": [ms], "event_id": [event]})
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + idle_ms)
+
+    return events.withWatermark("ts", "1 hour").groupBy("session_id", "client_id").applyInPandasWithState(
+        step, "session_id long, client_id string, kind string, ms long, event_id long", "ms long, event_id long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def present(changes: DataFrame) -> DataFrame:
+    """(session_id, client_id, kind) of the latest change of each client."""
+    return changes.groupBy("session_id", "client_id").agg(F.max_by("kind", F.struct("ms", "event_id")).alias("kind"))

@@ -154,6 +154,40 @@ def test_depth_is_of_the_deepest_node(spark):
     assert all(n[8] == ([*got[n[1]][8], n[1]] if n[1] is not None else []) for n in got)
 
 
+def test_files_are_known_by_their_bytes(spark, tmp_path):
+    from attestry import sources as S
+
+    (tmp_path / "a.txt").write_bytes(bytes.fromhex("89504E470D0A1A0A") + b"x")
+    (tmp_path / "b.png").write_bytes(b"%PDF-1.7")
+    (tmp_path / "c").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1]: (r["mime"], r["size"], r["sha256"] == hashlib.sha256((tmp_path / r["path"].rsplit("/", 1)[1]).read_bytes()).hexdigest(), r["id"][4:] == r["sha256"][:16]) for r in S.scan_assets(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("image/png", 9, True, True), "b.png": (None, 8, True, True), "c": (None, 0, True, True)}
+
+
+def test_ledgers_are_read_by_line(spark, tmp_path):
+    """Files of many splits, an empty one, and one without a last line end."""
+    from attestry import sources as S
+
+    want = {"a": [f"line {k} of a" for k in range(5000)], "b": ["x", "", "y"]}
+    for name, lines in want.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n" * (name == "a"))
+    (tmp_path / "c.jsonl").write_text("")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = S.read_ledger(spark, str(tmp_path)).orderBy("ledger_id", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r["ledger_id"], r["pos"], r["line"]) for r in got] == [(n, k, x) for n, lines in want.items() for k, x in enumerate(lines, 1)]
+
+
+def test_properties_beyond_the_last_level_are_null(spark):
+    from attestry.operators import generic
+
+    nodes = spark.createDataFrame([(k, k - 1 if k else None, "v" if k == 0 else None) for k in range(6)], "node_id int, parent_id int, value string")
+    assert rows(generic.inherited_property(nodes, levels=3).select("node_id", "value")) == [(0, "v"), (1, "v"), (2, "v"), (3, "v"), (4, None), (5, None)]
+
+
 def test_unknown_stays_unknown(spark):
     x = spark.createDataFrame([("s", "c", False, None, None)], "sig_id string, cert_id string, is_root boolean, status string, chain_complete boolean")
     assert trust.revocation_complete(x).first()["complete"] is None

@@ -30,20 +30,109 @@ def test_tokens_are_taken_once(spark, events):
     assert got == want and {True, False} == set(want.values())
 
 
-def test_versions_skip_refused_operations(spark, events):
-    gone, version, want = defaultdict(set), defaultdict(int), {}
-    for user, event, _, kind in events:
-        node = f"n{event % 6}"
-        ok = kind == "purchase" or node not in gone[user]
-        if ok:
-            version[user] += 1
-            if kind == "error":
-                gone[user].add(node)
-            elif kind == "purchase":
-                gone[user].discard(node)
-        want[event] = version[user] if ok else None
-    got = {r["event_id"]: r["version"] for r in QUERIES["x4_op_log_stream"](spark, SF).collect()}
-    assert got == want and None in want.values()
+def test_requests_are_taken_whole(spark, events):
+    """Operations of one session and hour stand or fall together."""
+    by, want = defaultdict(list), {}
+    for user, event, ms, kind in events:
+        by[user, ms // 3_600_000].append((event, {"purchase": "addNode", "error": "removeNode"}.get(kind, "updateNode"), f"n{event % 6}", {0: "x,y", 1: "y,fill", 2: "text"}[event % 3].split(",")))
+    state: dict = defaultdict(lambda: (0, {}, []))
+    for (user, hour), ops in sorted(by.items(), key=lambda x: x[0]):
+        version, alive, log = state[user]
+        trial, code = dict(alive), None
+        for _, op, node, _ in sorted(ops):
+            if op == "addNode":
+                code = code or ("DUPLICATE_ID" if trial.get(node) else None)
+                trial[node] = True
+            else:
+                code = code or ("MISSING" if trial.get(node) is False else None)
+                if op == "removeNode":
+                    trial[node] = False
+        new = []
+        for event, op, node, keys in sorted(ops):
+            hit = next(((c, v) for v, c, n, o, k in log if v > event % 5 and c != f"c{hour % 3}" and n == node and (op != "updateNode" or o != "updateNode" or set(k) & set(keys))), (None, None))
+            if code:
+                want[event] = (code, None, None, None)
+            else:
+                version += 1
+                new.append((version, f"c{hour % 3}", node, op, keys))
+                want[event] = (None, version, *hit)
+        if not code:
+            state[user] = (version, trial, log + new)
+    got = {r["event_id"]: (r["code"], r["version"], r["overwrites_by"], r["overwrites_at"]) for r in QUERIES["x4_op_log_stream"](spark, SF).collect()}
+    assert got == want and {c for c, *_ in want.values()} == {None, "MISSING", "DUPLICATE_ID"} and any(b for *_, b in want.values())
+
+
+def test_sessions_and_clients_have_limits(spark, events):
+    live, want = defaultdict(dict), {}
+    for user, event, now, kind in events:
+        room, s, c = live[user % 4], f"s{user % 40}", f"c{event % 30}"
+        for k in [k for k, (t, _) in room.items() if now - t >= 86_400_000]:
+            del room[k]
+        code = None
+        if kind == "purchase":
+            if s not in room:
+                code = "FULL" if len(room) >= 2 else None
+                if not code:
+                    room[s] = (now, set())
+        elif s not in room:
+            code = "NO_SESSION"
+        elif kind == "click":
+            if c not in room[s][1] and len(room[s][1]) >= 2:
+                code = "CROWDED"
+            else:
+                room[s][1].add(c)
+        elif kind == "error":
+            room[s][1].discard(c)
+            if not room[s][1]:
+                room[s] = (now, set())
+        else:
+            room[s] = (now, room[s][1])
+        want[event] = code
+    got = {r["event_id"]: r["code"] for r in QUERIES["x2_session_admission"](spark, SF).collect()}
+    assert got == want and {"FULL", "NO_SESSION", None} <= set(want.values())
+
+
+def test_scenes_are_replayed(spark):
+    from attestry.operators.edits import scene_state
+    from attestry.plans.edit_queries import ops
+
+    scenes: dict = defaultdict(dict)
+    for r in ops(spark, SF).orderBy("session_id", "version").collect():
+        nodes, n = scenes[r["session_id"]], r["target"]
+        if r["op"] == "addNode" and n not in nodes:
+            up = f"n{r['event_id'] % 5}" if r["event_id"] % 4 else None
+            nodes[n] = [up if up in nodes else None, r["version"], 0]
+        elif r["op"] == "removeNode" and n in nodes:
+            gone = {n}
+            while more := {k for k, v in nodes.items() if v[0] in gone} - gone:
+                gone |= more
+            for k in gone:
+                del nodes[k]
+        elif r["op"] == "updateNode" and n in nodes:
+            nodes[n][1:] = [r["version"], nodes[n][2] + 1]
+    want = {(s, n): tuple(v) for s, nodes in scenes.items() for n, v in nodes.items()}
+    got = {(r["session_id"], r["node_id"]): (r["parent"], r["version"], r["patches"]) for r in QUERIES["x7_scene_state"](spark, SF).collect()}
+    assert got == want and any(p for p, *_ in want.values())
+    assert scene_state(ops(spark, SF).limit(0).selectExpr("*", "target AS parent")).count() == 0
+
+
+def test_ledgers_go_on_across_micro_batches(spark, tmp_path):
+    """Files one by one, so that each makes a batch."""
+    from pyspark.sql import functions as F
+
+    from attestry.operators import ledger as L
+    from attestry.streaming import streams as X
+
+    rows = spark.range(40).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("event_id"))
+    for k in range(4):
+        rows.filter(F.floor(F.col("event_id") / 10) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = X.read_events(spark, str(tmp_path / "in"), rows.schema, files=1)
+    record = lambda df: df.select(F.col("user_id").cast("string").alias("ledger_id"), "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("document_hash"), F.lit("d").alias("doc_no"), *[F.lit("x").alias(c) for c in ("signer", "issuer", "level", "indication")])
+    key = "a key of 16 chars"
+    got = X.ledger_append_stream(stream, record, key, "event_id", "t")
+    assert got.count() == 40 and {r["n"] for r in got.groupBy("ledger_id").agg((F.max("seq") - F.count("*")).alias("n")).collect()} == {0}
+    status = L.ledger_status(L.verify_ledger(L.ledger_lines(got), key)).collect()
+    assert len(status) == 3 and all(r["broken_at"] is None for r in status)
 
 
 def test_reading_order_is_rows_from_the_top(spark):
