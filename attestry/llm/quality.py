@@ -1,112 +1,160 @@
 """Quality rules with n-gram perplexity (operator 9).
 
-Spark counts letter 4-grams of all documents by language; from these tables come modified Kneser-Ney probabilities of
-orders 4 to 1, kept as sorted arrays of n-gram hashes with log probability and log back-off weight. A document is
+Spark counts letter 5-grams of all documents by language; from these tables come modified Kneser-Ney probabilities of
+orders 5 to 1, kept as sorted arrays of n-gram hashes with log probability and log back-off weight. A document is
 rejected where its perplexity leaves its language's band, above or below, or where it breaks a base rule.
 
-Letters are folded to 64 symbols, so a language has at most 64**4 n-grams however large the corpus: that is the bound on
-what is broadcast at once. Languages are scored in rounds whose models keep within a bound together.
+A language's symbols are its own characters in lower case, the most frequent ALPHABET of them; digits are one symbol, runs
+of white space another, and all rarer characters a third. So the model grows with what a corpus holds. What is broadcast at once
+is bounded: languages are scored in rounds, and a language beyond the bound in parts. A part has all n-grams whose last
+symbol but one, and all contexts whose last symbol, is in its share of the alphabet, so that each position is scored by one part whole.
 """
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.llm.minhash import mix64
-from attestry.llm.shared import cut, small
+from attestry.llm.shared import cut, small, strings, tidy
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-#: Characters looked at together, and model entries (16 bytes each) that are broadcast in a round, unless one language has more.
+ORDER, BITS = 5, 12
+#: Symbols of a language: its most frequent characters by number, after the two that every language has.
+ALPHABET = (1 << BITS) - 2
+_START, _RARE = 0, 1
+#: Characters looked at together, and model entries (16 bytes each) that are broadcast in a round, unless one part has more.
 SEGMENT, ROUND_ENTRIES = 1 << 20, 8 << 20
 #: The band's half-width: interquartile ranges beyond the quartiles, and natural-log units over the root of the length for short texts.
 BAND_IQR, BAND_SHORT = 2.0, 3.0
-_START, _DIGIT, _BLANK, _MARK, _SIGN, _FIRST_OTHER = 0, 27, 28, 29, 30, 31
 #: Fixed values of the contract.
 SIGNS, BLANKS, WINDOW = "#*$%&|<>", " \t\n\v\f\r", 5
+_BLANK, _DIGIT = 32, 48
 
 
-@cache
-def _symbols() -> np.ndarray:
-    out = np.full(0x110000, _SIGN, np.uint8)
-    for cp in range(128, 0x110000):
-        if chr(cp).isalpha():
-            out[cp] = _FIRST_OTHER + cp % (SYMBOLS - _FIRST_OTHER)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("0") : ord("9") + 1] = _DIGIT
-    out[[ord(c) for c in ".,;:!?'\"()-"]] = _MARK
-    out[[ord(c) for c in " \t\n\v\f\r\xa0"]] = _BLANK
-    return out
+def characters(text: str | None) -> Iterator[np.ndarray]:
+    """Code points of a text in lower case, piece by piece; digits are 0, and a run of white space is one blank."""
+    low, before = (text or "").lower(), np.zeros(1, np.uint32)
+    for i in range(0, len(low), SEGMENT):
+        a = np.frombuffer(low[i : i + SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        a[((a >= 9) & (a <= 13)) | (a == 0xA0)] = _BLANK
+        a[(a >= 48) & (a <= 57)] = _DIGIT
+        a = a[(a != _BLANK) | (np.concatenate([before, a[:-1]]) != _BLANK)]
+        if len(a):
+            before = a[-1:]
+            yield a
 
 
-def grams(text: str | None) -> Iterator[np.ndarray]:
-    """Keys of the 4-grams that end at each symbol of a text, piece by piece; runs of blanks count as one."""
-    low, table, tail = (text or "").lower(), _symbols(), np.zeros(ORDER - 1, np.uint8)
-    for i in range(0, len(low), SEGMENT):
-        s = table[np.frombuffer(low[i : i + SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = s[(s != _BLANK) | (np.r_[tail[-1:], s[:-1]] != _BLANK)]
-        a = np.concatenate([tail, s]).astype(np.uint32)
-        if len(s):
-            yield a[:-3] << np.uint32(3 * BITS) | a[1:-2] << np.uint32(2 * BITS) | a[2:-1] << np.uint32(BITS) | a[3:]
-            tail = a[-(ORDER - 1) :].astype(np.uint8)
+class Alphabets:
+    """Symbols by language: from (language, code points by number)."""
+
+    def __init__(self, found: dict[str, np.ndarray]) -> None:
+        self.found = found
+        self.table = lru_cache(maxsize=8)(self._table)
+
+    def _table(self, lang: str) -> np.ndarray:
+        out = np.full(0x110000, _RARE, np.uint16)
+        own = self.found.get(lang, ())
+        out[own] = np.arange(_RARE + 1, _RARE + 1 + len(own))
+        return out
+
+    def __reduce__(self):
+        return Alphabets, (self.found,)
+
+    def size(self, lang: str) -> int:
+        """Symbols that may follow: the language's own and the rare one."""
+        return len(self.found.get(lang, ())) + 1
+
+    def grams(self, lang: str, text: str | None) -> Iterator[np.ndarray]:
+        """Keys of the 5-grams that end at each symbol of a text, piece by piece."""
+        tail = np.full(ORDER - 1, _START, np.int64)
+        for piece in characters(text):
+            a = np.concatenate([tail, self.table(lang)[piece].astype(np.int64)])
+            keys = a[: len(piece)].copy()
+            for j in range(1, ORDER):
+                keys = keys << BITS | a[j : len(piece) + j]
+            yield keys
+            tail = a[-(ORDER - 1) :]
+
+
+def mask(n: int) -> int:
+    return (1 << BITS * n) - 1
 
 
 def gram_hash(order: int, keys: np.ndarray) -> np.ndarray:
-    return mix64(keys.astype(np.uint64) | np.uint64(order << 32))
+    return mix64(keys.astype(np.uint64) | np.uint64(order << 60))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counter(keys_of):
     """Counts by language, summed over a task's whole input unless they grow past some millions."""
-    sums: dict = {}
-    held: dict = {}
-    size = 0
-
-    def fold() -> None:
-        for lang, parts in held.items():
-            k, c = np.unique(np.concatenate(parts), return_counts=True)
-            if lang in sums:
-                k, at = np.unique(np.concatenate([sums[lang][0], k]), return_inverse=True)
-                c = np.bincount(at, np.concatenate([sums[lang][1], c])).astype(np.int64)
-            sums[lang] = (k, c)
-        held.clear()
-
-    def out() -> Iterator[pd.DataFrame]:
-        for lang, (k, c) in sums.items():
-            yield pd.DataFrame({"lang": lang, "k": k.astype(np.int32), "c": c.astype(np.int64)})
-        sums.clear()
-
-    for pdf in batches:
-        for lang, text in zip(pdf["lang"].array, pdf["text"].array):
-            for keys in grams(text):
-                held.setdefault(lang, []).append(keys)
-                size += len(keys)
-                if size >= 4 << 20:
-                    fold()
-                    size = 0
-                    if sum(len(k) for k, _ in sums.values()) > 4 << 20:
-                        yield from out()
-    fold()
-    yield from out()
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, n, k, logp, backoff) from counts (lang, k, c) of 4-grams: interpolated modified Kneser-Ney.
-
-    Order 4 has the counts, lower orders the number of different symbols seen before an n-gram. Discounts come from a
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        held: dict = {}
+        size = 0
+
+        def fold() -> None:
+            for lang, parts in held.items():
+                k, c = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in sums:
+                    k, at = np.unique(np.concatenate([sums[lang][0], k]), return_inverse=True)
+                    c = np.bincount(at, np.concatenate([sums[lang][1], c])).astype(np.int64)
+                sums[lang] = (k, c)
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (k, c) in sums.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "k": pa.array(k.astype(np.int64), pa.int64()), "c": pa.array(c.astype(np.int64), pa.int64())})
+            sums.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
+                for keys in keys_of(lang, text):
+                    held.setdefault(lang, []).append(keys)
+                    size += len(keys)
+                    if size >= 2 << 20:
+                        fold()
+                        size = 0
+                        if sum(len(k) for k, _ in sums.values()) > 2 << 20:
+                            yield from out()
+        fold()
+        yield from out()
+
+    return tidy(run)
+
+
+def counted(rows: DataFrame, keys_of) -> DataFrame:
+    """(lang, k, c): how often each key stands in the texts of a language."""
+    return rows.filter("text IS NOT NULL").select("lang", "text").mapInArrow(_counter(keys_of), "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
+
+
+def alphabets(rows: DataFrame, most: int = ALPHABET) -> Alphabets:
+    """The `most` most frequent characters of each language, by code point among equals. The driver sees these alone."""
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("c"), "k"))
+    found: dict[str, list[int]] = {}
+    for lang, k in counted(rows, lambda _, text: characters(text)).withColumn("r", rank).filter(F.col("r") <= most).orderBy("lang", "r").select("lang", "k").collect():
+        found.setdefault(lang, []).append(k)
+    return Alphabets({lang: np.array(k, np.int64) for lang, k in found.items()})
+
+
+def kneser_ney(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(lang, n, k, logp, backoff) from counts (lang, k, c) of 5-grams and sizes (lang, v) of alphabets: interpolated modified Kneser-Ney.
+
+    Order 5 has the counts, lower orders the number of different symbols seen before an n-gram. Discounts come from a
     language's numbers of n-grams of count 1 to 4; order 1 is mixed with the uniform distribution over symbols. logp is null where an n-gram
     is only a context, backoff where it is none; n = 0 is the empty context.
     """
-    mask = lambda n: (1 << BITS * n) - 1
     level = cut(counts.select("lang", F.lit(ORDER).alias("n"), "k", "c"), "quality-grams")
     levels = [level]
     for n in range(ORDER - 1, 0, -1):
         levels.append(levels[-1].groupBy("lang", F.col("k").bitwiseAND(F.lit(mask(n))).alias("k")).agg(F.count("*").alias("c")).select("lang", F.lit(n).alias("n"), "k", "c"))
-    every = cut(levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3]), "quality-levels")
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    every = cut(every, "quality-levels")
     of = [F.count_if(F.col("c") == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)]
     y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
 
@@ -119,7 +167,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     held = every.join(small(cut(disc, "quality-discounts")), ["lang", "n"]).withColumns({"d": d, "h": F.shiftright("k", BITS)}).select("lang", "n", "k", "h", "c", "d")
     context = cut(held.groupBy("lang", "n", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("mass")).withColumn("gamma", F.col("mass") / F.col("total")), "quality-contexts")
     alpha = cut(held.join(context, ["lang", "n", "h"]).select("lang", "n", "k", ((F.col("c") - F.col("d")) / F.col("total")).alias("a"), "gamma"), "quality-alphas")
-    p = alpha.filter("n = 1").select("lang", "k", (F.col("a") + F.col("gamma") / SYMBOLS).alias("p"))
+    p = alpha.filter("n = 1").join(small(sizes), "lang").select("lang", "k", (F.col("a") + F.col("gamma") / F.col("v")).alias("p"))
     found = [p.withColumn("n", F.lit(1))]
     for n in range(2, ORDER + 1):
         lower = found[-1].select("lang", F.col("k").alias("s"), F.col("p").alias("q"))
@@ -133,14 +181,24 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return seen.select("lang", "n", "k", F.ln("p").alias("logp")).join(back, ["lang", "n", "k"], "full_outer")
 
 
+def pivot() -> Column:
+    """The symbol by which an entry is asked for in a position: its last but one where it is an n-gram, its last where it is a context; null for those that all parts need.
+
+    An entry that is both is in two parts.
+    """
+    last, before = F.col("k").bitwiseAND(F.lit(mask(1))), F.shiftright("k", BITS).bitwiseAND(F.lit(mask(1)))
+    return F.when(F.col("n") < 2, F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array(F.when(F.col("logp").isNotNull(), before).otherwise(last), F.when(F.col("backoff").isNotNull(), last).otherwise(before))))
+
+
 class Model:
-    """One language's n-grams: sorted hashes with log probabilities and log back-off weights."""
+    """N-grams of a language, or of a part of its alphabet: sorted hashes with log probabilities and log back-off weights."""
 
-    def __init__(self, n: np.ndarray, k: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
+    def __init__(self, size: int, parts: int, part: int, n: np.ndarray, k: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
+        self.parts, self.part = parts, part
         h = np.concatenate([gram_hash(j, k[n == j]) for j in range(1, ORDER + 1)])
         at = np.concatenate([np.flatnonzero(n == j) for j in range(1, ORDER + 1)])
         order = np.argsort(h)
-        self.unseen = float(np.nan_to_num(backoff[n == 0]).sum()) - np.log(SYMBOLS)  # of a symbol that the language never has
+        self.unseen = float(np.nan_to_num(backoff[n == 0]).sum()) - np.log(size)  # of a symbol that the language never has
         self.hashes, self.logp, self.backoff = h[order], logp[at][order].astype(np.float32), np.nan_to_num(backoff[at][order]).astype(np.float32)
 
     def _find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +207,21 @@ class Model:
         return at, self.hashes[at] == h
 
     def score(self, keys: np.ndarray) -> float:
-        """The sum of log probabilities of the last symbols of 4-grams."""
+        """The sum of log probabilities of the last symbols of 5-grams, those of this part."""
+        if self.parts > 1:
+            keys = keys[(keys >> BITS & mask(1)) % self.parts == self.part]
         keys, times = np.unique(keys, return_counts=True)
         total, rest = 0.0, np.zeros(len(keys))
         for n in range(ORDER, 0, -1):
-            own = keys & np.uint32((1 << BITS * n) - 1)
+            if not len(keys):
+                return total
+            own = keys & mask(n)
             at, hit = self._find(n, own)
             hit &= ~np.isnan(self.logp[at])
             total += float((times[hit] * (self.logp[at[hit]] + rest[hit])).sum())
             keys, times, rest, own = keys[~hit], times[~hit], rest[~hit], own[~hit]
-            if not len(keys):
-                return total
             if n > 1:
-                at, hit = self._find(n - 1, own >> np.uint32(BITS))
+                at, hit = self._find(n - 1, own >> BITS)
                 rest += np.where(hit, self.backoff[at], 0)
         return total + float((times * (rest + self.unseen)).sum())
 
@@ -193,25 +253,34 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SIGNS)), dup, repeat
 
 
-def _scorer(models):
+def _scorer(models, symbols):
+    """Adds what the round's models say of each row's text to its total."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {lang: Model(*m) for lang, m in models.value.items()}
+        own: dict[str, list[Model]] = {}
+        for (lang, *_), m in models.value.items():
+            own.setdefault(lang, []).append(Model(*m))
+        signs = symbols.value
         for batch in batches:
-            rows = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                n, total = 0, 0.0
-                for keys in grams(text):
-                    n += len(keys)
-                    total += own[lang].score(keys) if lang in own else 0.0
-                rows.append((*base_counts(text), n, round(-total / n, 4) if n else None))
-            cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.float64()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *cols], _SCORED)
+            totals = []
+            for lang, text, n, total in zip(batch.column("lang").to_pylist(), strings(batch.column("text")), batch.column("n_grams").to_pylist(), batch.column("total").to_pylist()):
+                for keys in signs.grams(lang, text) if n and lang in own else ():
+                    total += sum(m.score(keys) for m in own[lang])
+                totals.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.float64())], batch.schema.names)
 
-    return run
+    return tidy(run)
+
+
+def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(*base_counts(text), sum(map(len, characters(text))), 0.0) for text in strings(batch.column("text"))]
+        cols = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, [pa.int64()] * 6 + [pa.float64()])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["doc_id", "lang", "text", *_BASE, "n_grams", "total"])
 
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCORED = ["doc_id", "lang", *_BASE, "n_grams", "nll"]
+_SCORED = "doc_id long, lang string, text string, " + ", ".join(f"{c} long" for c in _BASE) + ", n_grams long, total double"
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -235,30 +304,16 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     Repeated rows each keep their row and count as often as they stand there; other columns are not read. No documents: no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counts = rows.filter("text IS NOT NULL").select("lang", "text").mapInPandas(_count, "lang string, k int, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
-    model = cut(kneser_ney(counts), "quality-model")
-    sizes = sorted(model.groupBy("lang").count().collect())
-    rounds: list[list[str]] = [[]]
-    held = 0
-    for name, n in sizes:
-        if rounds[-1] and held + n > ROUND_ENTRIES:
-            rounds.append([])
-            held = 0
-        rounds[-1].append(name)
-        held += n
-    scored = None
-    for names in rounds:
-        part = rows.filter(F.col("lang").isin(names)) if len(rounds) > 1 else rows
-        models = {}
-        for name in names:
-            t = model.filter(F.col("lang") == name).select("n", "k", "logp", "backoff").toArrow()
-            models[name] = tuple(t.column(c).to_numpy() for c in t.column_names)
-        found = part.mapInArrow(_scorer(rows.sparkSession.sparkContext.broadcast(models)), _SCHEMA)
-        scored = found if scored is None else scored.unionByName(found)
-    if len(rounds) > 1:
-        unread = rows.join(small(spark_names(rows, sizes)), "lang", "left_anti")
-        scored = scored.unionByName(unread.mapInArrow(_scorer(rows.sparkSession.sparkContext.broadcast({})), _SCHEMA))
-    scored = cut(scored, "quality-scored")
+    spark, found = docs.sparkSession, alphabets(rows)
+    symbols = spark.sparkContext.broadcast(found)
+    counts = counted(rows, lambda lang, text: symbols.value.grams(lang, text))
+    sizes = spark.createDataFrame([(name, found.size(name)) for name in found.found], "lang string, v int")
+    model = cut(kneser_ney(counts, sizes), "quality-model")
+    scored = rows.mapInArrow(tidy(_base), _SCORED)
+    for names in model_rounds(model, found):
+        scored = scored.mapInArrow(_scorer(spark.sparkContext.broadcast(names), symbols), _SCORED)
+    nll = F.round(-F.col("total") / F.when(F.col("n_grams") > 0, F.col("n_grams")), 4)
+    scored = cut(scored.select("doc_id", "lang", *_BASE, "n_grams", nll.alias("nll")), "quality-scored")
     slack = F.lit(BAND_SHORT) / F.sqrt(F.greatest("n_grams", F.lit(1)).cast("double"))
     inside = F.col("nll").between(F.col("low") - slack, F.col("high") + slack)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -268,8 +323,22 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     )
 
 
-_SCHEMA = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", n_grams long, nll double"
-
-
-def spark_names(rows: DataFrame, sizes: list) -> DataFrame:
-    return rows.sparkSession.createDataFrame([(r["lang"],) for r in sizes], "lang string")
+def model_rounds(model: DataFrame, found: Alphabets) -> Iterator[dict]:
+    """What is broadcast round by round: models by (language, parts, part), ROUND_ENTRIES entries together, unless one alone has more."""
+    todo = []
+    for name, n in sorted(model.groupBy("lang").count().collect()):
+        parts = -(-n // ROUND_ENTRIES)
+        todo += [(name, parts, part, n // parts) for part in range(parts)]
+    held, size = {}, 0
+    for name, parts, part, n in todo:
+        if held and size + n > ROUND_ENTRIES:
+            yield held
+            held, size = {}, 0
+        own = model.filter(F.col("lang") == name)
+        if parts > 1:
+            own = own.filter(F.exists(pivot(), lambda p: p.isNull() | (p % parts == part)))
+        t = own.select("n", "k", "logp", "backoff").toArrow()
+        held[name, parts, part] = (found.size(name), parts, part, *(t.column(c).to_numpy() for c in t.column_names))
+        size += n
+    if held:
+        yield held

@@ -60,7 +60,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     pairs = parts.filter(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("rows"))
     asked = (
         pairs.select("host", "path", "rows", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
-        .join(F.broadcast(shapes), F.col("labels") == F.col("r_labels"))
+        .join(small(shapes), F.col("labels") == F.col("r_labels"))
         .select("host", "path", "rows", F.expr("substring_index(host, '.', -labels)").alias("h"), F.explode(F.filter("r_cuts", lambda k: k <= F.char_length("path"))).alias("k"))
         .select("host", "path", "rows", digest(F.col("h"), F.substring(F.col("path"), F.lit(1), F.col("k"))).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX))

@@ -499,14 +499,15 @@ def test_base_counts_are_brute_force():
 
 def test_kneser_ney_is_the_formula(spark):
     text = prose(4, 400)
-    keys = np.concatenate(list(quality.grams(text)))
-    counts = Counter(keys.tolist())
-    df = spark.createDataFrame([("en", k, c) for k, c in counts.items()], "lang string, k int, c long")
-    t = quality.kneser_ney(df).toArrow()
-    model = quality.Model(*(t.column(c).to_numpy() for c in ("n", "k", "logp", "backoff")))
-    levels = {4: counts}
-    for n in (3, 2, 1):
-        levels[n] = Counter(k & (1 << 6 * n) - 1 for k in levels[n + 1])
+    found = quality.Alphabets({"en": np.array(sorted({ord(c) for c in text[:300]}), np.int64)})
+    keys = np.concatenate(list(found.grams("en", text)))
+    counts, size, bits = Counter(keys.tolist()), found.size("en"), quality.BITS
+    df = spark.createDataFrame([("en", k, c) for k, c in counts.items()], "lang string, k long, c long")
+    table = quality.kneser_ney(df, spark.createDataFrame([("en", size)], "lang string, v int")).cache()
+    model = quality.Model(*next(iter(next(quality.model_rounds(table, found)).values())))
+    levels = {5: counts}
+    for n in (4, 3, 2, 1):
+        levels[n] = Counter(k & quality.mask(n) for k in levels[n + 1])
     disc = {}
     for n, c in levels.items():
         m = Counter(c.values())
@@ -515,20 +516,37 @@ def test_kneser_ney_is_the_formula(spark):
 
     def p(n, k):
         if n == 0:
-            return 1 / 64
-        h = k >> 6
-        total = sum(c for g, c in levels[n].items() if g >> 6 == h)
+            return 1 / size
+        h = k >> bits
+        total = sum(c for g, c in levels[n].items() if g >> bits == h)
         if not total:
-            return p(n - 1, k & (1 << 6 * (n - 1)) - 1)
+            return p(n - 1, k & quality.mask(n - 1))
         d = lambda c: disc[n][min(c, 3) - 1]
-        gamma = sum(d(c) for g, c in levels[n].items() if g >> 6 == h) / total
+        gamma = sum(d(c) for g, c in levels[n].items() if g >> bits == h) / total
         c = levels[n].get(k, 0)
-        return (c - d(c) if c else 0) / total + gamma * p(n - 1, k & (1 << 6 * (n - 1)) - 1)
+        return (c - d(c) if c else 0) / total + gamma * p(n - 1, k & quality.mask(n - 1))
 
-    ask = [*list(counts)[:15], *(k ^ 5 for k in list(counts)[:15]), (63 << 18) | (62 << 12) | 1]
+    ask = [*list(counts)[:15], *(k ^ 5 for k in list(counts)[:15]), (63 << 2 * bits) | (62 << bits) | 1]
     for k in ask:
-        assert abs(model.score(np.array([k], np.uint32)) - np.log(p(4, k))) < 1e-4
-    assert abs(sum(p(4, (list(counts)[3] >> 6) << 6 | s) for s in range(64)) - 1) < 1e-9
+        assert abs(model.score(np.array([k])) - np.log(p(5, k))) < 1e-4
+    assert abs(sum(p(5, (list(counts)[3] >> bits) << bits | s) for s in range(1, size + 1)) - 1) < 1e-9
+
+
+def test_parts_of_a_model_score_as_the_whole(spark, monkeypatch):
+    text = prose(4, 400)
+    rows = spark.createDataFrame([("en", text), ("fr", text.upper() + "éè")], "lang string, text string")
+    found = quality.alphabets(rows, most=20)
+    assert found.found["en"].tolist() == [ord(c) for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))][:20]
+    table = quality.kneser_ney(quality.counted(rows, found.grams), spark.createDataFrame([(k, found.size(k)) for k in found.found], "lang string, v int")).cache()
+    asked = {lang: np.concatenate(list(found.grams(lang, prose(5, 200) + " Zürich 12"))) for lang in ("en", "fr")}
+    whole = {lang: quality.Model(*m).score(asked[lang]) for r in quality.model_rounds(table, found) for (lang, *_), m in r.items()}
+    monkeypatch.setattr(quality, "ROUND_ENTRIES", table.count() // 7)
+    rounds = list(quality.model_rounds(table, found))
+    parts = Counter()
+    for r in rounds:
+        for (lang, *_), m in r.items():
+            parts[lang] += quality.Model(*m).score(asked[lang])
+    assert len(rounds) > 3 and all(abs(parts[k] - whole[k]) < 1e-6 * abs(whole[k]) for k in whole)
 
 
 def test_quality_verdicts(spark, docs, empty):
@@ -559,10 +577,11 @@ def test_languages(spark, docs, empty):
 def test_pieces_of_a_text_make_the_same_triples(monkeypatch):
     text = prose(9, 500) + " 123 ..\n" + prose(10, 50)
     whole = Counter(np.concatenate(list(langid.triples(text))).tolist())
-    grams = Counter(np.concatenate(list(quality.grams(text))).tolist())
+    found = quality.Alphabets({"en": np.arange(97, 120)})
+    grams = Counter(np.concatenate(list(found.grams("en", text))).tolist())
     monkeypatch.setattr(langid, "SEGMENT", 7)
     monkeypatch.setattr(quality, "SEGMENT", 5)
     assert Counter(np.concatenate(list(langid.triples(text))).tolist()) == whole
-    assert Counter(np.concatenate(list(quality.grams(text))).tolist()) == grams
+    assert Counter(np.concatenate(list(found.grams("en", text))).tolist()) == grams
     a = langid.triple_vector(int(next(iter(whole))))
     assert set(a.tolist()) == {-1, 1}
