@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut, discard, strings, tidy
+from attestry.llm.shared import cut, discard, fresh, strings, tidy
 
 #: Bands have at most ROWS coordinates each, and fewer where that would take more than COORDS of them.
 WORDS, ROWS, COORDS = 5, 6, 320
@@ -293,9 +293,9 @@ def deduplicated(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_id:
     """docs with one row of each group: that of the smallest doc_id. Of rows that share a doc_id one stays; a null doc_id stays."""
     groups = near_duplicates(docs, percent, size, doc_id, text)
     seen = cut(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")), "dedup-kept")
-    mark = seen.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("rows").alias("__rows"))
-    held = docs.join(mark, docs[doc_id] == mark["__id"], "left").filter("coalesce(__kept, true)")
-    out = held.filter("coalesce(__rows, 1) = 1")
+    own, kept, rows = fresh(docs, "own_id", "is_kept", "own_rows")
+    held = docs.join(seen.toDF(own, kept, rows), docs[doc_id] == F.col(own), "left").filter(F.coalesce(kept, F.lit(True)))
+    out = held.filter(F.coalesce(rows, F.lit(1)) == 1)
     if not seen.filter("kept AND rows > 1").isEmpty():
-        out = out.unionByName(held.filter("__rows > 1").dropDuplicates([doc_id]))
+        out = out.unionByName(held.filter(F.col(rows) > 1).dropDuplicates([doc_id]))
     return out.select(*docs.columns)

@@ -245,6 +245,26 @@ def test_a_group_of_near_copies_that_hardly_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(150)} and 3 < len({find(i) for i in range(150)}) < 147
 
 
+def test_clashing_columns_stay(spark, docs):
+    """Every operator that returns its input's columns keeps those with names of its own making, and the others don't read them."""
+    names = ("own_id", "is_kept", "own_rows", "id", "rep", "component", "key", "learn", "pred", "score", "class", "own", "least", "lang_pred", "spans", "n_words", "perplexity", "k", "c", "d", "t", "total", "draws")
+    odd = docs.withColumns({n: F.lit(7) for n in names})
+    assert sorted(map(str, minhash.deduplicated(odd, 80).select(*docs.columns).collect())) == sorted(map(str, minhash.deduplicated(docs, 80).collect()))
+    assert minhash.deduplicated(odd, 80).columns == odd.columns
+    known = langid.known(odd, F.lit(True))
+    assert known.columns == odd.columns and {r["class"] for r in known.collect()} == {7}
+    found = langid.identify(odd, F.lit(True))
+    assert found.columns == [c for c in odd.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"] and found.first()["own"] == 7
+    bench = spark.createDataFrame([(1, prose(103, 40))], "item_id long, text string")
+    assert decontaminate.decontaminated(odd, bench).columns == odd.columns
+    assert decontaminate.contamination(odd, bench.withColumn("d", F.lit(1))).count() == decontaminate.contamination(docs, bench).count()
+    assert sorted(map(str, licenses.scan_licenses(odd).collect())) == sorted(map(str, licenses.scan_licenses(docs).collect()))
+    assert sorted(map(str, quality.judge_quality(odd).collect())) == sorted(map(str, quality.judge_quality(docs).collect()))
+    replaced = surrogates.replace_pii(odd, b"k")
+    assert replaced.columns == [*odd.columns, "pii"] and {r["draws"] for r in replaced.collect()} == {7}
+    assert token_ledger.counted(odd, "insert").count() == 2 * len(corpus()) == token_ledger.deleted(odd).count()
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicated(empty).columns == empty.columns
 

@@ -157,3 +157,35 @@ def test_pipeline(spark, docs):
     out = stages["token_ids"](spark, mixed, SF)
     assert out.count() == mixed.count()
     assert p.run(spark, SF).count() == out.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in all columns, empty and blank texts, repeated rows, a clashing column, and no rows at all. Each stage ends with what its docstring says."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
+    plain_text = "the cat and the other cat sat near the old house of the man who had been there before the rain came and the wind rose over the hills"
+    rows = [(i, f"{plain_text} {'one two three four five six seven'.split()[i % 7]} {i}", "en", "a", 1, 0.5) for i in range(40)]
+    rows += [rows[3], (None, plain_text, None, None, None, None), (50, None, "en", "a", None, None), (51, "", "en", None, 0, None), (52, " \n", None, "b", 0, None), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    item = "a benchmark question that no other text holds in any of its many parts"
+    docs = docs.union(spark.createDataFrame([(60, plain_text + " " + item, "en", "a", 9, 1.0)], schema))
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, sf = dict(p.STAGES), str(tmp_path)
+    known = stages["language_id"](spark, docs, sf)
+    assert known.columns == docs.columns and {r["doc_id"] for r in known.collect()} == {*range(40), None, 60}
+    once = stages["near_dedup"](spark, docs, sf)
+    ids = [r["doc_id"] for r in once.collect()]
+    assert once.columns == docs.columns and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and {50, 51, 52} <= set(ids) and ids.count(None) == 2
+    clean = stages["decontamination"](spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() == docs.count() - 1 and clean.filter("doc_id = 60").count() == 0
+    mixed = stages["mixing"](spark, docs, sf)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r[0] for r in rows} | {60}
+    out = stages["token_ids"](spark, docs, sf)
+    assert out.count() == docs.count() and out.filter("n_tokens = 1").count() == 3
+    none = docs.limit(0)
+    for name, stage in stages.items():
+        got = stage(spark, none, sf)
+        assert got.count() == 0 and (name == "token_ids" or got.columns == docs.columns)
+    assert none.select(F.col("text")).count() == 0
