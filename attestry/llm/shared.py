@@ -51,13 +51,13 @@ def tidy(run: Callable, *forget: Callable[[], None]) -> Callable:
 HOT = 1000
 
 
-def join_split(left: DataFrame, right: DataFrame, on: Column, rows: str, how: str = "inner") -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, on: Column, rows: str, how: str = "inner", most: int | None = None) -> DataFrame:
     """left joined (inner or left) with right, whose key is unique and whose column `rows` says how many rows of left have it.
 
-    A small right side is broadcast. Beyond that, only hot keys are, and the rows of all others are shuffled by a key of which each has few.
+    A right side of `most` rows (BROADCAST_ROWS) is broadcast. Beyond that, only hot keys are, and the rows of all others are shuffled by a key of which each has few.
     """
     n, total = right.agg(F.count("*"), F.sum(rows)).first()
-    if n <= BROADCAST_ROWS:
+    if n <= (most or BROADCAST_ROWS):
         return left.join(F.broadcast(right), on, how)
     is_hot = F.col(rows) * HOT > F.lit(total)
     hot, cold = F.broadcast(right.filter(is_hot)), right.filter(~is_hot)

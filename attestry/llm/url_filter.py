@@ -10,7 +10,7 @@ meet the rules by the first 8 hex digits of their SHA-256; the full digest confi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import ascii_lower, cut, fresh, join_split, small
+from attestry.llm.shared import HOT, ascii_lower, cut, fresh, join_split, small
 
 PREFIX = 8
 
@@ -72,7 +72,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .agg(F.max("rows").alias(b_rows), F.max(F.struct(F.char_length("r_rule").alias("n"), F.char_length("r_host").alias("h"), "r_block", "r_rule")).alias(b_best))
         .withColumnsRenamed({"host": b_host, "path": b_path}), "url-best"
     )
-    judged = join_split(parts, best, (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), b_rows, "left")
+    judged = join_split(parts, best, (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), b_rows, "left", HOT)  # pairs are as long as URLs, so few are broadcast
     return judged.select(
         *[F.col(c) for c in parts.columns], F.col(f"{b_best}.r_rule").alias("rule"),
         F.when(F.col(b_best).isNull(), default).when(F.col(f"{b_best}.r_block"), "block").otherwise("allow").alias("verdict"),
