@@ -210,16 +210,25 @@ class Model:
         """The sum of log probabilities of the last symbols of 5-grams, those of this part."""
         if self.parts > 1:
             keys = keys[(keys >> BITS & mask(1)) % self.parts == self.part]
-        keys, times = np.unique(keys, return_counts=True)
-        total, rest = 0.0, np.zeros(len(keys))
-        for n in range(ORDER, 0, -1):
-            if not len(keys):
-                return total
+        h = gram_hash(ORDER, keys)
+        asked, times = np.unique(h, return_counts=True)  # in the order of the table, through which the search so goes once
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        hit = (self.hashes[at] == asked) & ~np.isnan(self.logp[at])
+        total = float((times[hit] * self.logp[at[hit]]).sum())
+        lost = asked[~hit]
+        if not len(lost):
+            return total
+        keys, times = np.unique(keys[lost[np.minimum(np.searchsorted(lost, h), len(lost) - 1)] == h], return_counts=True)
+        at, hit = self._find(ORDER - 1, keys >> BITS)
+        rest = np.where(hit, self.backoff[at], 0).astype(np.float64)
+        for n in range(ORDER - 1, 0, -1):
             own = keys & mask(n)
             at, hit = self._find(n, own)
             hit &= ~np.isnan(self.logp[at])
             total += float((times[hit] * (self.logp[at[hit]] + rest[hit])).sum())
             keys, times, rest, own = keys[~hit], times[~hit], rest[~hit], own[~hit]
+            if not len(keys):
+                return total
             if n > 1:
                 at, hit = self._find(n - 1, own >> BITS)
                 rest += np.where(hit, self.backoff[at], 0)
@@ -253,8 +262,8 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SIGNS)), dup, repeat
 
 
-def _scorer(models, symbols):
-    """Adds what the round's models say of each row's text to its total."""
+def _scorer(models, symbols, first: bool):
+    """Adds what the round's models say of each row's text to its total; the first round also makes the counts of the base rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list[Model]] = {}
@@ -262,23 +271,20 @@ def _scorer(models, symbols):
             own.setdefault(lang, []).append(Model(*m))
         signs = symbols.value
         for batch in batches:
-            totals = []
-            for lang, text, n, total in zip(batch.column("lang").to_pylist(), strings(batch.column("text")), batch.column("n_grams").to_pylist(), batch.column("total").to_pylist()):
-                for keys in signs.grams(lang, text) if n and lang in own else ():
-                    total += sum(m.score(keys) for m in own[lang])
-                totals.append(total)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.float64())], batch.schema.names)
+            known, rows = [] if first else batch.column("total").to_pylist(), []
+            for k, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), strings(batch.column("text")))):
+                n, total = 0, 0.0 if first else known[k]
+                for keys in signs.grams(lang, text) if first or lang in own else ():
+                    n += len(keys)
+                    total += sum(m.score(keys) for m in own.get(lang, ()))
+                rows.append((*base_counts(text), n, total) if first else (total,))
+            kinds = [pa.int64()] * 6 * first + [pa.float64()]
+            cols = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 3 if first else -1], *cols], ["doc_id", "lang", "text", *_BASE, "n_grams", "total"])
 
     return tidy(run)
 
 
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(*base_counts(text), sum(map(len, characters(text))), 0.0) for text in strings(batch.column("text"))]
-        cols = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, [pa.int64()] * 6 + [pa.float64()])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["doc_id", "lang", "text", *_BASE, "n_grams", "total"])
-
-
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SCORED = "doc_id long, lang string, text string, " + ", ".join(f"{c} long" for c in _BASE) + ", n_grams long, total double"
 
@@ -309,9 +315,9 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     counts = counted(rows, lambda lang, text: symbols.value.grams(lang, text))
     sizes = spark.createDataFrame([(name, found.size(name)) for name in found.found], "lang string, v int")
     model = cut(kneser_ney(counts, sizes), "quality-model")
-    scored = rows.mapInArrow(tidy(_base), _SCORED)
-    for names in model_rounds(model, found):
-        scored = scored.mapInArrow(_scorer(spark.sparkContext.broadcast(names), symbols), _SCORED)
+    scored = rows
+    for k, names in enumerate(model_rounds(model, found)):
+        scored = scored.mapInArrow(_scorer(spark.sparkContext.broadcast(names), symbols, k == 0), _SCORED)
     nll = F.round(-F.col("total") / F.when(F.col("n_grams") > 0, F.col("n_grams")), 4)
     scored = cut(scored.select("doc_id", "lang", *_BASE, "n_grams", nll.alias("nll")), "quality-scored")
     slack = F.lit(BAND_SHORT) / F.sqrt(F.greatest("n_grams", F.lit(1)).cast("double"))
@@ -340,5 +346,5 @@ def model_rounds(model: DataFrame, found: Alphabets) -> Iterator[dict]:
         t = own.select("n", "k", "logp", "backoff").toArrow()
         held[name, parts, part] = (found.size(name), parts, part, *(t.column(c).to_numpy() for c in t.column_names))
         size += n
-    if held:
+    if held or not todo:
         yield held
