@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from attestry.llm.decontaminate import contamination
 from attestry.llm.langid import identify
 from attestry.llm.licenses import scan_licenses
+from attestry.llm.merkle_manifest import build_manifest, fold, leaf_digest, proof_digest, proofs
 from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
 from attestry.llm.quality import judge_quality
-from attestry.llm.shared import cut, shared_path, small
+from attestry.llm.shared import ascii_lower, cut, shared_path, small
 from attestry.llm.surrogates import replace_pii
 from attestry.llm.token_ledger import TOKENIZERS, TokenLedger, bpe_tokens, counted, deleted
 from attestry.llm.token_shards import read_documents, write_shards
 from attestry.llm.url_filter import judge_urls
+from attestry.llm.warc import plan_records, read_index, read_records, resolved, write_warc
 
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -106,6 +108,22 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, index = shared_path(spark, "warc"), shared_path(spark, "warc-index")
+    write_warc(plan_records(table(spark, sf_dir, "pages")), path, index)
+    records = cut(read_records(read_index(spark, index), path), "warc-records")
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(ascii_lower(F.col("text")))).alias("other"))
+    return proofs(build_manifest(leaves, "source", "doc_id")).withColumn("folded_root", fold(F.coalesce("other", "leaf"), F.col("steps"))).select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op2_token_rollup": op2_token_rollup,
@@ -118,6 +136,8 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_ngram_perplexity": op9_ngram_perplexity,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
+    "op11_warc_index": op11_warc_index,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES = {
@@ -163,5 +183,47 @@ best AS (
   FROM keys JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY host, path)
 SELECT page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+""",
+    "op11_warc_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+groups AS (SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN groups g ON p.html = g.html
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, lang, n_chars, text,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda x, b: xor(xor(x, b) // 2, (xor(x, b) % 2) * 3988292384)), 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM fields)),
+trees AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS tree FROM (SELECT DISTINCT source FROM documents)),
+leaves AS (
+  SELECT doc_id, leaf, other, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+  FROM hashed h JOIN trees t ON h.source IS NOT DISTINCT FROM t.source),
+inner_nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest, n FROM leaves
+  UNION ALL SELECT tree, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM inner_nodes WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+subroots AS (SELECT tree, digest AS subroot FROM inner_nodes WHERE n = 1),
+outer_nodes AS (
+  SELECT 0 AS level, tree - 1 AS idx, subroot AS digest, (SELECT count(*) FROM trees) AS n FROM subroots
+  UNION ALL SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM outer_nodes WHERE n > 1 GROUP BY level, idx // 16, n),
+met AS (
+  SELECT l.tree, l.idx, x.level AS height, x.digest, x.idx AS place, l.idx // (16 ** x.level)::BIGINT AS own
+  FROM leaves l JOIN inner_nodes x ON l.tree = x.tree AND x.n > 1 AND x.idx // 16 = l.idx // (16 ** (x.level + 1))::BIGINT
+  UNION ALL
+  SELECT l.tree, l.idx, 1000 + x.level, x.digest, x.idx, (l.tree - 1) // (16 ** x.level)::BIGINT
+  FROM leaves l JOIN outer_nodes x ON x.n > 1 AND x.idx // 16 = (l.tree - 1) // (16 ** (x.level + 1))::BIGINT),
+beside AS (
+  SELECT tree, idx, height, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < own), '') AS b, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > own), '') AS a
+  FROM met GROUP BY tree, idx, height),
+steps AS (SELECT tree, idx, list({'b': b, 'a': a} ORDER BY height) AS s FROM beside GROUP BY tree, idx),
+done AS (
+  SELECT l.doc_id, l.leaf, r.subroot, (SELECT digest FROM outer_nodes WHERE n = 1) AS root, coalesce(array_to_string(list_transform(s, lambda x: x.b || x.a), ''), '') AS beside_all,
+    coalesce(list_reduce(list_prepend({'b': other, 'a': ''}, s), lambda x, y: {'b': sha256(y.b || x.b || y.a), 'a': ''}).b, other) AS folded_root
+  FROM leaves l JOIN subroots r ON l.tree = r.tree LEFT JOIN steps s ON l.tree = s.tree AND l.idx = s.idx)
+SELECT doc_id, leaf, subroot, root, sha256(beside_all) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
 """,
 }
