@@ -10,6 +10,7 @@ from attestry.llm.licenses import scan_licenses
 from attestry.llm.merkle_manifest import build_manifest, fold, leaf_digest, proof_digest, proofs
 from attestry.llm.minhash import near_duplicates
 from attestry.llm.mixing import mix
+from attestry.llm.phrases import collocations
 from attestry.llm.quality import judge_quality
 from attestry.llm.shared import ascii_lower, cut, shared_path, small
 from attestry.llm.surrogates import replace_pii
@@ -124,6 +125,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op2_token_rollup": op2_token_rollup,
@@ -138,6 +143,7 @@ QUERIES = {
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
     "op11_warc_index": op11_warc_index,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES = {
@@ -225,5 +231,24 @@ done AS (
     coalesce(list_reduce(list_prepend({'b': other, 'a': ''}, s), lambda x, y: {'b': sha256(y.b || x.b || y.a), 'a': ''}).b, other) AS folded_root
   FROM leaves l JOIN subroots r ON l.tree = r.tree LEFT JOIN steps s ON l.tree = s.tree AND l.idx = s.idx)
 SELECT doc_id, leaf, subroot, root, sha256(beside_all) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
+""",
+    "op13_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+f AS MATERIALIZED (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM starts, (VALUES (1), (2), (3)) AS t(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+parts AS MATERIALIZED (SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2 FROM cand, (VALUES (1), (2)) AS t(k) WHERE k < m),
+lefts AS MATERIALIZED (SELECT c.*, x.f AS l FROM parts c JOIN f x ON x.lang || chr(10) || x.phrase = c.lang || chr(10) || p1),
+cuts AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.m, c.a, k, l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l::HUGEINT * y.f))::BIGINT AS score
+  FROM lefts c JOIN f y ON y.lang || chr(10) || y.phrase = c.lang || chr(10) || p2),
+scored AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM cand WHERE m = 3) c ON c.lang = s.lang AND s.phrase = c.p AND 100 * c.a >= 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored s WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = s.lang AND c.phrase = s.phrase))
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN sizes z ON r.lang = z.lang WHERE rank <= 2000
 """,
 }
