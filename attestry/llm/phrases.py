@@ -220,13 +220,13 @@ class _Subtree:
         self.third.append(place[z].astype(np.uint32))
         self.totals.append(np.frombuffer(zlib.decompress(totals), np.uint32))
 
-    def counts(self, least: int, is_split: Callable[[bytes], bool]) -> Iterator[tuple[list[bytes], list[int], np.ndarray, np.ndarray]]:
+    def counts(self, least: int, is_split: Callable[[bytes], bool], split_pairs: set[bytes]) -> Iterator[tuple[list[bytes], list[int], np.ndarray, np.ndarray]]:
         """Nodes depth by depth: phrases, their words, totals, and whether other groups have leaves below them too. Whole ones under `least` are left out."""
         upper, third, totals = np.concatenate(self.upper), np.concatenate(self.third), np.concatenate(self.totals).astype(np.int64)
         order = np.lexsort((third, upper))
         upper, third, totals = upper[order], third[order], totals[order]
         name = [b"", *(w for w in self.words if w != _MARK)]
-        split = np.array([False, *map(is_split, name[1:])])
+        in_parts = np.array([False, *map(is_split, name[1:])])
         first, second = upper >> 32, upper & 0xFFFFFFFF
         for depth, at, real in ((1, first, first > 0), (2, upper, second > 0), (3, None, third > 0)):
             change = np.r_[True, upper[1:] != upper[:-1]] if depth > 1 else np.r_[True, first[1:] != first[:-1]]
@@ -234,16 +234,27 @@ class _Subtree:
                 change |= np.r_[True, third[1:] != third[:-1]]
             node = np.flatnonzero(change)
             n = np.add.reduceat(totals, node)
-            keep = real[node] & ((n >= least) | split[first[node]])
-            node, n = node[keep], n[keep]
+            split = np.zeros(len(node), bool)
+            if depth == 1:
+                split = in_parts[first[node]]
+            elif depth == 2 and split_pairs:
+                split[:] = [b" ".join((name[a], name[b])) in split_pairs for a, b in zip(first[node].tolist(), second[node].tolist())]
+            keep = real[node] & ((n >= least) | split)
+            node, n, split = node[keep], n[keep], split[keep]
             ids = [c[node].tolist() for c in (first, second, third)[:depth]]
-            yield [b" ".join(name[i] for i in t) for t in zip(*ids)], [depth] * len(node), n, split[first[node]]
+            yield [b" ".join(name[i] for i in t) for t in zip(*ids)], [depth] * len(node), n, split
 
 
-def _subtrees(least: int, heavy: set[tuple[bytes, bytes]]) -> Callable:
+def _subtrees(least: int, heavy: set[tuple[bytes, bytes]], borders: list[tuple[bytes, bytes, bytes, int]]) -> Callable:
+    """Groups to nodes. A word is split if it is heavy, two words if their group has parts; longer phrases never are."""
+    split_pairs: dict[bytes, set[bytes]] = {}
+    for lang, w1, w2, parts in borders:
+        if parts > 1:
+            split_pairs.setdefault(lang, set()).add(w1 + b" " + w2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def nodes(lang: bytes, tree: _Subtree) -> Iterator[pa.RecordBatch]:
-            for phrases, words, n, split in tree.counts(least, lambda w: (lang, w) in heavy):
+            for phrases, words, n, split in tree.counts(least, lambda w: (lang, w) in heavy, split_pairs.get(lang, set())):
                 if phrases:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.binary()), "phrase": pa.array(phrases, pa.binary()), "words": pa.array(words, pa.int32()), "n": pa.array(n, pa.int64()), "split": pa.array(split, pa.bool_())})
 
@@ -278,7 +289,7 @@ def phrase_counts(docs: DataFrame, least: int, lang: str = "lang", text: str = "
     borders, heavy = vertical_partition(texts, words, budget, size)
     groups = texts.mapInArrow(_suffixes(size, borders), _BLOB)
     dealt = groups.repartition(max(tasks, len(borders)), "grp", "part").sortWithinPartitions("grp", "part", "lang")
-    nodes = cut(dealt.mapInArrow(_subtrees(least, heavy), "lang binary, phrase binary, words int, n long, split boolean"), "phrase-nodes")
+    nodes = cut(dealt.mapInArrow(_subtrees(least, heavy, borders), "lang binary, phrase binary, words int, n long, split boolean"), "phrase-nodes")
     nodes = nodes.withColumns({"lang": F.col("lang").cast("string"), "phrase": F.col("phrase").cast("string")})
     shared = nodes.filter("split").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return nodes.filter("NOT split").drop("split").unionByName(shared), sizes
