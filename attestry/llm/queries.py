@@ -22,8 +22,16 @@ from attestry.llm.warc import plan_records, read_index, read_records, resolved,
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: The setting that holds the key of surrogates, and the key of a session without it, as in tests.
-SURROGATE_KEY = "spark.attestry.surrogate.key", "not a secret"
+#: The setting that holds the key of surrogates.
+SURROGATE_KEY = "spark.attestry.surrogate.key"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The session's key. Without one, a local session or local cluster, as in tests, gets a known key, and any other an error."""
+    key = spark.conf.get(SURROGATE_KEY, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SURROGATE_KEY} to a secret")
+    return (key or "a key of tests").encode()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +102,7 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs, spark.conf.get(*SURROGATE_KEY).encode()).select("doc_id", "text", F.size(F.coalesce("pii", F.array())).cast("long").alias("n_entities"), F.col("pii.kind").alias("kinds"))
+    return replace_pii(docs, surrogate_key(spark)).select("doc_id", "text", F.size(F.coalesce("pii", F.array())).cast("long").alias("n_entities"), F.col("pii.kind").alias("kinds"))
 
 
 def op9_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,13 +111,17 @@ def test_op7(spark, docs):
 
 
 def test_op8(spark, docs):
-    from attestry.llm.surrogates import entities
-
+    """Patterns of this test's own: what they find is gone, equal finds became equal, and unlike finds unlike."""
     got = {r["doc_id"]: r for r in QUERIES["op8_surrogates"](spark, SF).collect()}
+    simple = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+\.[A-Za-z0-9.]*[A-Za-z0-9]|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", re.ASCII)
+    seen = {}
     for i, text, _ in docs:
-        found = entities(text)
-        assert got[i]["n_entities"] == len(found) and all(text[a:b] not in got[i]["text"] for a, b, *_ in found)
-        assert found or got[i]["text"] == text
+        old, new = simple.findall(text or ""), simple.findall(got[i]["text"] or "")
+        assert len(old) == len(new) and not set(old) & set(new) and got[i]["n_entities"] == len(got[i]["kinds"] or []) >= len(old)
+        for a, b in zip(old, new):
+            assert seen.setdefault(a.lower(), b.lower()) == b.lower()
+        assert got[i]["n_entities"] or got[i]["text"] == text
+    assert seen and len(set(seen.values())) == len(seen)
 
 
 def test_op9(spark, docs):
