@@ -60,9 +60,13 @@ def latest_state(spark, sf):
     return E.latest_state(ops(spark, sf).withColumn("new_value", F.concat(F.lit("v"), "event_id"))).select("session_id", "target", "patches", "value", "last_version")
 
 
+def scene_ops(spark, sf):
+    return ops(spark, sf).withColumn("parent", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("n"), F.col("event_id") % 5)))
+
+
 @query("x7_scene_state")
 def scene_state(spark, sf):
-    return E.scene_state(ops(spark, sf).withColumn("parent", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("n"), F.col("event_id") % 5))))
+    return E.scene_state(scene_ops(spark, sf))
 
 
 @query("f13_patch_merge", f"""

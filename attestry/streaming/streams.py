@@ -1,15 +1,19 @@
 """The stateful operators as streams. Event time and a watermark bound the state; within the watermark results are those of the batch form."""
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from attestry.operators.ledger import append_ledger, ledger_tails
-from attestry.sources import shared_path
+from attestry.sources import cut, shared_path
 
+#: Typed state with timers (transformWithState) is kept by RocksDB: on disk, so that state may be larger than memory.
+_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: Milliseconds of events are counted from here.
 _EPOCH = 1_704_067_200_000
@@ -21,40 +25,107 @@ def read_events(spark: SparkSession, path: str, schema, files: int | None = None
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def _run(stream: DataFrame, path: str, seen: str, mode: str = "append") -> None:
+    """Takes what input there is now, and ends; `seen` is where another run of the same stream goes on."""
+    spark = stream.sparkSession
+    had = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        if mode == "append":
+            q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", seen).outputMode("append").trigger(availableNow=True).start()
+        else:
+            save = lambda df, _: df.write.mode("overwrite").parquet(path)
+            q = stream.writeStream.foreachBatch(save).option("checkpointLocation", seen).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if had:
+            spark.conf.set(_STORE[0], had)
+        else:
+            spark.conf.unset(_STORE[0])
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that a stream gives for the input that is there now: it is written to a table in the shared folder and ended."""
-    spark = stream.sparkSession
-    path, seen = shared_path(spark, "stream-out"), shared_path(spark, "stream-checkpoint")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", seen).outputMode("append").trigger(availableNow=True).start()
-    else:
-        save = lambda df, _: df.write.mode("overwrite").parquet(path)
-        q = stream.writeStream.foreachBatch(save).option("checkpointLocation", seen).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    path, seen = shared_path(stream.sparkSession, "stream-out"), shared_path(stream.sparkSession, "stream-checkpoint")
+    _run(stream, path, seen, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def replayed(table: DataFrame, time: str, make: Callable[[DataFrame], DataFrame], arrivals: int = 5, name: str = "replay") -> DataFrame:
+    """A table as if it came in that many pieces, each with a span of `time` after the last: all rows that the stream make(source) gives.
+
+    Spans hold about as many rows each. A piece arrives as files beside those before it and is drained as micro-batches of its own, and then the query ends; the next one goes on from
+    its checkpoint. So state, watermarks and timers last over all pieces, and rows come in order of time between pieces, in any order within.
+    """
+    spark = table.sparkSession
+    source, path, seen = (shared_path(spark, f"{name}-{x}") for x in ("in", "out", "checkpoint"))
+    edges = table.select(F.col(time).cast("double").alias("t")).approxQuantile("t", [k / arrivals for k in range(1, arrivals)], 0.01) if arrivals > 1 else []
+    span = sum((F.when(F.col(time).cast("double") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    held = cut(table.withColumn("__span", span), f"{name}-spans")
+    for k in range(arrivals):
+        held.filter(F.col("__span") == k).drop("__span").write.mode("append").parquet(source)
+        stream = make(read_events(spark, source, table.schema))
+        _run(stream, path, seen)
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, idle_ms: int) -> DataFrame:
-    """Hits (key, hit_id, ts, ms) with allowed: the state of a key is its accepted times, `limit` at most, and goes after idle_ms of event time, which is what keeps the number of keys within bounds."""
+def _in_order(batches, *by: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order. The source's maxFilesPerTrigger or maxBytesPerTrigger bounds them."""
+    return pd.concat(list(batches)).sort_values(list(by))
 
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ms", "hit_id"])
-        allowed = []
-        for t in rows["ms"].tolist():
-            kept = [k for k in kept if k >= t - window_ms]
-            allowed.append(len(kept) < limit)
+
+class _RateLimit(StatefulProcessor):
+    """State of a key: its accepted times, at most `limit` of them. A timer drops them when the newest is idle_ms old."""
+
+    def __init__(self, limit: int, window_ms: int, idle_ms: int) -> None:
+        self.limit, self.window_ms, self.idle_ms = limit, window_ms, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "ms long")
+
+    def _alarm(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):
+        hits = _in_order(rows, "ms", "hit_id")
+        kept, allowed = [t for (t,) in self.kept.get()] if self.kept.exists() else [], []
+        for t in hits["ms"].tolist():
+            kept = [k for k in kept if k >= t - self.window_ms]
+            allowed.append(len(kept) < self.limit)
             if allowed[-1]:
                 kept.append(t)
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame({"key": rows["key"], "hit_id": rows["hit_id"], "ms": rows["ms"], "allowed": allowed})
+        if kept:
+            self.kept.put([(t,) for t in kept])
+        else:
+            self.kept.clear()
+        self._alarm(max(int(hits["ms"].max()) + _EPOCH, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield pd.DataFrame({"key": key[0], "hit_id": hits["hit_id"], "ms": hits["ms"], "allowed": pd.array(allowed, "boolean"), "evicted": False})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        n = sum(1 for _ in self.kept.get()) if self.kept.exists() else 0
+        self.kept.clear()
+        yield pd.DataFrame({"key": [key[0]], "hit_id": pd.array([None], "Int64"), "ms": pd.array([n], "Int64"), "allowed": pd.array([None], "boolean"), "evicted": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_events(hits: DataFrame, limit: int, window_ms: int, idle_ms: int, delay: str = "1 hour") -> DataFrame:
+    """Hits (key, hit_id, ts, ms) with allowed, and a row (evicted, hit_id null, ms the number of times dropped) for each key whose state went.
 
-    return hits.withWatermark("ts", "1 hour").groupBy("key").applyInPandasWithState(
-        step, "key long, hit_id long, ms long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    Keys without a hit for idle_ms of event time are swept by their own timers, which keeps the number of keys within those that are active. Hits
+    later than `delay` are dropped by the watermark, as in any stream.
+    """
+    keyed = hits.withWatermark("ts", delay).groupBy("key")
+    return keyed.transformWithStateInPandas(_RateLimit(limit, window_ms, idle_ms), "key long, hit_id long, ms long, allowed boolean, evicted boolean", "append", "EventTime")
+
+
+def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, idle_ms: int, delay: str = "1 hour") -> DataFrame:
+    """Hits (key, hit_id, ms) with allowed."""
+    return rate_limit_events(hits, limit, window_ms, idle_ms, delay).filter("NOT evicted").drop("evicted")
 
 
 def session_ttl_stream(touches: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -108,28 +179,144 @@ def session_admission_stream(events: DataFrame, sessions: int = MOST_SESSIONS, c
         step, "service long, event_id long, code string", "live string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def single_use_token_stream(events: DataFrame, ttl_ms: int = 120_000) -> DataFrame:
-    """Takes (token, event_id) with taken: the first take within ttl of a put succeeds; later or expired ones are gone."""
+class _Token(StatefulProcessor):
+    """State of a token: when it was put. Its timer takes it away when it is too old to be taken."""
 
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        put = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
-        out = []
-        for i, t, kind in zip(rows["event_id"].tolist(), rows["ms"].tolist(), rows["kind"].tolist()):
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.put = handle.getValueState("put", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        put = self.put.get()[0] if self.put.exists() else None
+        events, out = _in_order(rows, "ms", "event_id"), []
+        for i, t, kind in zip(events["event_id"].tolist(), events["ms"].tolist(), events["kind"].tolist()):
             if kind == "put":
                 put = t
             else:
-                out.append((key[0], i, put is not None and t <= put + ttl_ms))
+                out.append((key[0], i, put is not None and t <= put + self.ttl_ms))
                 put = None
-        state.update((put,))
-        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + ttl_ms + 1)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if put is None:
+            self.put.clear()
+        else:
+            self.put.update((put,))
+            self.handle.registerTimer(max(put + _EPOCH + self.ttl_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame(out, columns=["token", "event_id", "taken"])
 
-    return events.withWatermark("ts", "1 hour").groupBy("token").applyInPandasWithState(
-        step, "token long, event_id long, taken boolean", "put long", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.put.clear()
+        yield pd.DataFrame(columns=["token", "event_id", "taken"])
+
+    def close(self) -> None:
+        pass
+
+
+def single_use_token_stream(events: DataFrame, ttl_ms: int = 120_000, delay: str = "1 hour") -> DataFrame:
+    """Takes (token, event_id) with taken: the first take within ttl of a put succeeds; later or expired ones are gone."""
+    keyed = events.withWatermark("ts", delay).groupBy("token")
+    return keyed.transformWithStateInPandas(_Token(ttl_ms), "token long, event_id long, taken boolean", "append", "EventTime")
+
+
+class _Scene(StatefulProcessor):
+    """State of a session: its nodes, each with the siblings beside it, and the first child of each node that has any. An operation reads the nodes that it touches; a removal, those that hang on the node."""
+
+    def init(self, handle) -> None:
+        self.nodes = handle.getMapState("nodes", "node string", "parent string, version long, patches long, before string, after string")
+        self.first = handle.getMapState("first", "parent string", "child string")
+
+    def _get(self, node: str) -> list:
+        return list(self.nodes.getValue((node,)))
+
+    def _set(self, node: str, **change) -> None:
+        value = dict(zip(("parent", "version", "patches", "before", "after"), self._get(node))) | change
+        self.nodes.updateValue((node,), (value["parent"], value["version"], value["patches"], value["before"], value["after"]))
+
+    def _add(self, node: str, parent: str | None, version: int) -> None:
+        after = None
+        if parent is not None:
+            after = self.first.getValue((parent,))[0] if self.first.containsKey((parent,)) else None
+            if after is not None:
+                self._set(after, before=node)
+            self.first.updateValue((parent,), (node,))
+        self.nodes.updateValue((node,), (parent, version, 0, None, after))
+
+    def _remove(self, node: str) -> list[str]:
+        parent, _, _, before, after = self._get(node)
+        if after is not None:
+            self._set(after, before=before)
+        if before is not None:
+            self._set(before, after=after)
+        elif after is not None and parent is not None:
+            self.first.updateValue((parent,), (after,))
+        elif parent is not None:
+            self.first.removeKey((parent,))
+        gone, todo = [], [node]
+        while todo:
+            n = todo.pop()
+            child = self.first.getValue((n,))[0] if self.first.containsKey((n,)) else None
+            if child is not None:
+                self.first.removeKey((n,))
+            while child is not None:
+                todo.append(child)
+                child = self._get(child)[4]
+            gone.append(n)
+        for n in gone:
+            self.nodes.removeKey((n,))
+        return gone
+
+    def handleInputRows(self, key, rows, timerValues):
+        ops, out = _in_order(rows, "version"), []
+        for version, op, target, parent in zip(ops["version"].tolist(), ops["op"].tolist(), ops["target"].tolist(), ops["parent"].tolist()):
+            there = self.nodes.containsKey((target,))
+            if op == "addNode" and not there:
+                up = parent if isinstance(parent, str) and self.nodes.containsKey((parent,)) else None
+                self._add(target, up, version)
+                out.append((target, version, "set", up, version, 0))
+            elif op == "removeNode" and there:
+                out += [(n, version, "gone", None, None, None) for n in self._remove(target)]
+            elif op == "updateNode" and there:
+                up, _, patches, *_ = self._get(target)
+                self._set(target, version=version, patches=patches + 1)
+                out.append((target, version, "set", up, version, patches + 1))
+        cols = list(zip(*out)) or [()] * 6
+        yield pd.DataFrame({
+            "session_id": pd.array([key[0]] * len(out), "Int64"), "node_id": pd.Series(cols[0], dtype="object"), "at_version": pd.array(cols[1], "Int64"), "change": pd.Series(cols[2], dtype="object"),
+            "parent": pd.Series(cols[3], dtype="object"), "version": pd.array(cols[4], "Int64"), "patches": pd.array(cols[5], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def scene_stream(ops: DataFrame) -> DataFrame:
+    """Changes (session_id, node_id, at_version, change, parent, version, patches) that operations (session_id, version, op, target, parent) make: a node set, or gone with all that hung on it.
+
+    The rules are those of edits.scene_state. Operations of a session come in order of version over micro-batches; within one they are put in order. The
+    state has no time limit: a scene stays until its nodes are removed.
+    """
+    schema = "session_id long, node_id string, at_version long, change string, parent string, version long, patches long"
+    return ops.groupBy("session_id").transformWithStateInPandas(_Scene(), schema, "append", "None")
+
+
+def scene_nodes(changes: DataFrame) -> DataFrame:
+    """(session_id, node_id, parent, version, patches) of the nodes that changes of scene_stream leave."""
+    last = changes.groupBy("session_id", "node_id").agg(F.max_by(F.struct("change", "parent", "version", "patches"), "at_version").alias("c"))
+    return last.filter("c.change = 'set'").select("session_id", "node_id", "c.parent", "c.version", "c.patches")
+
+
+def fan_out_stream(commits: DataFrame, stays: DataFrame, longest: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """(session_id, version, receiver) of each commit (session_id, version, client_id, ts) and each other client that is there at its time: stays (session_id, client_id, since, until) of `longest` at most.
+
+    A stream-stream join by session, bounded in time from both sides: a stay can meet commits from `since` on and for `longest` after it, so state of both goes
+    with the watermarks.
+    """
+    c = commits.withWatermark("ts", delay).select("session_id", "version", F.col("client_id").alias("sender"), "ts")
+    p = stays.withWatermark("since", delay).select(F.col("session_id").alias("p_session"), F.col("client_id").alias("receiver"), "since", "until")
+    within = (F.col("ts") >= F.col("since")) & (F.col("ts") < F.col("until")) & (F.col("ts") <= F.col("since") + F.expr(f"INTERVAL {longest}"))
+    return c.join(p, (F.col("session_id") == F.col("p_session")) & within & (F.col("sender") != F.col("receiver"))).select("session_id", "version", "receiver")
 
 
 def op_log_stream(ops: DataFrame, log: int = 2000, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -138,7 +325,7 @@ def op_log_stream(ops: DataFrame, log: int = 2000, ttl_ms: int = TTL_MS) -> Data
     A request's operations are taken together or not at all: DUPLICATE_ID where one adds a node that is there, MISSING where one is on a node that was removed, TOO_MANY beyond
     MOST_OPS; otherwise they get versions in order. A node that no operation added or removed is there. Each is told the first operation of another client since its
     base that it collides with: of the same node, unless both are updates without a key in common. It is applied all the same. The log is trimmed
-    to its last `log` operations, and a session's state goes after ttl_ms of event time without one.
+    to its last `log` operations. A session without an operation for longer than ttl_ms is gone: the next one begins it anew, whether its state has been evicted by then or not.
     """
 
     def collides(op: str, keys: set, past: tuple) -> bool:
@@ -148,10 +335,14 @@ def op_log_stream(ops: DataFrame, log: int = 2000, ttl_ms: int = TTL_MS) -> Data
         if state.hasTimedOut:
             state.remove()
             return
-        version, there, kept = json.loads(state.get[0]) if state.exists else (0, {}, [])
+        version, there, kept, last = json.loads(state.get[0]) if state.exists else (0, {}, [], None)
         rows = pd.concat(list(batches)).sort_values(["ms", "request", "event_id"])
         out = []
         for _, request in rows.groupby("request", sort=False):
+            now = int(request["ms"].iloc[0])
+            if last is not None and now > last + ttl_ms:
+                version, there, kept = 0, {}, []
+            last = now
             own = [(i, c, b, op, n, set(k.split(","))) for i, c, b, op, n, k in zip(*(request[x] for x in ("event_id", "client_id", "base_version", "op", "target", "patch_keys")))]
             code, after = "TOO_MANY" if len(own) > MOST_OPS else None, dict(there)
             for _, _, _, op, n, _ in own:
@@ -168,7 +359,7 @@ def op_log_stream(ops: DataFrame, log: int = 2000, ttl_ms: int = TTL_MS) -> Data
                 out.append((key[0], i, code, None if code else version, None if code else by, None if code else at))
             if not code:
                 there, kept = {n: v for n, v in after.items() if v is not None}, kept[-log:]
-        state.update((json.dumps((version, there, kept)),))
+        state.update((json.dumps((version, there, kept, last)),))
         state.setTimeoutTimestamp(max(int(rows["ms"].max()) + _EPOCH, state.getCurrentWatermarkMs()) + ttl_ms)
         cols = list(zip(*out))
         yield pd.DataFrame({"session_id": cols[0], "event_id": cols[1], "code": cols[2], "version": pd.array(cols[3], "Int64"), "overwrites_by": cols[4], "overwrites_at": pd.array(cols[5], "Int64")})
@@ -180,8 +371,9 @@ def op_log_stream(ops: DataFrame, log: int = 2000, ttl_ms: int = TTL_MS) -> Data
 def ledger_append_stream(records: DataFrame, prepare, key: str, order: str, name: str) -> DataFrame:
     """Each micro-batch, made into records by prepare(df), is appended to where its ledgers ended; all rows that were written.
 
-    What a batch wrote and the ends of all ledgers after it are tables under the batch's number: a batch that is sent again reads the
-    ends of the one before it and overwrites its own, so it is appended once.
+    A ledger takes a document hash once: records whose hash it has already, in this batch or any before, are passed over, the smallest `order` staying. Hashes are kept
+    as tables beside the rows and met by an anti-join on (ledger, hash), so no state is held in memory. What a batch wrote and the ends of all ledgers
+    after it are tables under the batch's number: a batch that is sent again reads the ends and hashes of those before it and overwrites its own, so it is appended once.
     """
     spark, path = records.sparkSession, shared_path(records.sparkSession, name)
     rows = "ledger_id string, seq int, document_hash string, doc_no string, signer string, issuer string, level string, indication string, prev string, mac string"
@@ -189,7 +381,13 @@ def ledger_append_stream(records: DataFrame, prepare, key: str, order: str, name
     def save(df: DataFrame, batch: int) -> None:
         own = df.sparkSession
         before = own.read.schema("ledger_id string, seq int, mac string").parquet(f"{path}/tails/batch={batch - 1}") if batch else None
-        append_ledger(prepare(df), key, order, before).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        fresh = prepare(df)
+        if batch:
+            had = own.read.schema(rows + ", batch int").option("basePath", f"{path}/rows").parquet(f"{path}/rows").filter(F.col("batch") < batch)
+            fresh = fresh.join(had.select("ledger_id", "document_hash"), ["ledger_id", "document_hash"], "left_anti")
+        columns = fresh.columns
+        first = fresh.groupBy("ledger_id", "document_hash").agg(F.min_by(F.struct(*columns), order).alias("r")).select("r.*")
+        append_ledger(first, key, order, before).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
         ledger_tails(own.read.schema(rows).parquet(f"{path}/rows/batch={batch}"), before).write.mode("overwrite").parquet(f"{path}/tails/batch={batch}")
 
     q = records.writeStream.foreachBatch(save).option("checkpointLocation", shared_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()

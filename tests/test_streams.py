@@ -36,7 +36,11 @@ def test_requests_are_taken_whole(spark, events):
     for user, event, ms, kind in events:
         by[user, ms // 3_600_000].append((event, {"purchase": "addNode", "error": "removeNode"}.get(kind, "updateNode"), f"n{event % 6}", {0: "x,y", 1: "y,fill", 2: "text"}[event % 3].split(",")))
     state: dict = defaultdict(lambda: (0, {}, []))
+    before: dict = {}
     for (user, hour), ops in sorted(by.items(), key=lambda x: x[0]):
+        if hour - before.get(user, hour) > 12:  # gone
+            state.pop(user, None)
+        before[user] = hour
         version, alive, log = state[user]
         trial, code = dict(alive), None
         for _, op, node, _ in sorted(ops):
@@ -143,3 +147,70 @@ def test_reading_order_is_rows_from_the_top(spark):
     assert [r["node_id"] for r in got] == [4, 2, 1, 3, 5] and not any(r["guessed"] for r in got)
     open_ = [n for n in nodes if n[4] is None]
     assert all(r["guessed"] for r in reading_order(spark.createDataFrame(open_, "page_id long, node_id long, x double, y double, explicit int")).collect())
+
+
+def test_keys_of_the_limiter_are_swept(spark):
+    """Five pieces; the state of a key that stays away is evicted by its timer, and hits are judged as in the batch form."""
+    from datetime import datetime, timedelta, timezone
+
+    from pyspark.sql import functions as F
+
+    from attestry.operators.edits import sliding_rate_limit
+    from attestry.streaming import streams as X
+
+    hits = [(1 if k < 20 else 2 + k % 2, k, k * 600_000) for k in range(100)]
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(k, i, ms, start + timedelta(milliseconds=ms)) for k, i, ms in hits], "key long, hit_id long, ms long, ts timestamp")
+    got = X.replayed(df, "ts", lambda s: X.rate_limit_events(s, 2, 1_500_000, 3_000_000, "10 minutes")).collect()
+    want = {r["hit_id"]: r["allowed"] for r in sliding_rate_limit(df.select("key", "hit_id", "ms"), 2, 1_500_000).collect()}
+    assert {r["hit_id"]: r["allowed"] for r in got if not r["evicted"]} == want and {True, False} == set(want.values())
+    assert [r["key"] for r in got if r["evicted"]] == [1]
+    late = X.replayed(df.withColumn("ts", F.col("ts")), "ts", lambda s: X.rate_limit_stream(s, 2, 1_500_000, 3_000_000, "10 minutes"), arrivals=1).collect()
+    assert {r["hit_id"]: r["allowed"] for r in late} == want
+
+
+def test_limits_over_pieces_are_those_of_the_batch_form(spark):
+    from attestry.plans.stream_queries import LIMIT, WINDOW, events
+    from attestry.operators.edits import sliding_rate_limit
+    from pyspark.sql import functions as F
+
+    want = {r["hit_id"]: r["allowed"] for r in sliding_rate_limit(events(spark, SF).select(F.col("user_id").alias("key"), F.col("event_id").alias("hit_id"), "ms"), LIMIT, WINDOW).collect()}
+    assert {r["hit_id"]: r["allowed"] for r in QUERIES["x1_rate_limit_stream"](spark, SF).collect()} == want
+
+
+def test_scene_stream_is_the_batch_scene(spark):
+    key = lambda r: (r["session_id"], r["node_id"], r["parent"], r["version"], r["patches"])
+    assert sorted(map(key, QUERIES["x7_scene_stream"](spark, SF).collect()), key=str) == sorted(map(key, QUERIES["x7_scene_state"](spark, SF).collect()), key=str)
+
+
+def test_scenes_after_each_piece(spark):
+    """Subtrees that were built in one piece go in another; children in the middle, at the front and at the end of their parent's list."""
+    from attestry.operators.edits import scene_state
+    from attestry.streaming import streams as X
+
+    log = [("addNode", "a", None), ("addNode", "b", "a"), ("addNode", "c", "a"), ("addNode", "d", "a"), ("addNode", "e", "c"), ("updateNode", "e", None), ("removeNode", "c", None), ("addNode", "c", "d"), ("removeNode", "d", None),
+           ("addNode", "d", "b"), ("removeNode", "b", None), ("addNode", "f", "a"), ("addNode", "g", "a"), ("removeNode", "g", None), ("removeNode", "f", None), ("addNode", "h", "a"), ("updateNode", "zz", None), ("removeNode", "a", None), ("addNode", "a", "h")]
+    rows = [(7, v, op, n, p) for v, (op, n, p) in enumerate(log, 1)]
+    schema = "session_id long, version long, op string, target string, parent string"
+    key = lambda r: (r["node_id"], r["parent"], r["version"], r["patches"])
+    for stop in (7, 11, 14, 19):
+        df = spark.createDataFrame(rows[:stop], schema)
+        got = X.scene_nodes(X.replayed(df, "version", X.scene_stream, arrivals=4)).collect()
+        assert sorted(map(key, got)) == sorted(map(key, scene_state(df).collect())), stop
+
+
+def test_a_hash_that_comes_again_is_not_appended_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from attestry.operators import ledger as L
+    from attestry.streaming import streams as X
+
+    rows = spark.range(30).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("event_id"))
+    for _ in range(2):  # the same file twice
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows.filter("event_id < 5").union(rows.filter("event_id < 5")).withColumn("event_id", F.col("event_id") + 100).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = X.read_events(spark, str(tmp_path / "in"), rows.schema, files=1)
+    record = lambda df: df.select(F.col("user_id").cast("string").alias("ledger_id"), "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("document_hash"), F.lit("d").alias("doc_no"), *[F.lit("x").alias(c) for c in ("signer", "issuer", "level", "indication")])
+    got = X.ledger_append_stream(stream, record, "a key of 16 chars", "event_id", "twice")
+    assert got.count() == 35 and got.select("ledger_id", "document_hash").distinct().count() == 35
+    assert all(r["broken_at"] is None for r in L.ledger_status(L.verify_ledger(L.ledger_lines(got), "a key of 16 chars")).collect())
