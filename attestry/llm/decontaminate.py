@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.shared import cut, strings, tidy
+
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.1
-#: Characters of items that are broadcast at once; a larger benchmark is searched in as many rounds as it takes.
-BLOCK_CHARS = 16 << 20
-#: Items of fewer characters must stand in a text as they are, and between word borders.
-LEAST_ITEM = 32
+#: Characters of items that are broadcast at once; a larger benchmark is searched in as many rounds as it takes. A worker's automaton takes some 90 bytes a character (345 MB measured).
+BLOCK_CHARS = 4 << 20
 
 
 def normal(text: str | None) -> str:
@@ -26,8 +26,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, rate: float = ERROR_RATE) -> int:
-    """Edits allowed: a share of the length; none in short items."""
-    return min(int(rate * len(item)), len(item) - 1) if len(item) >= LEAST_ITEM else 0
+    """Edits allowed: a share of the length, rounded down."""
+    return max(0, min(int(rate * len(item)), len(item) - 1))
 
 
 def split(item: str, k: int) -> list[tuple[int, str]]:
@@ -119,7 +119,7 @@ class Matcher:
                         there = text[at + a : at + b + edits] if a > offset else text[max(0, at + a - edits) : max(0, at + b)]
                         if not any(part in there for part in parts):
                             continue
-                    elif len(s) < LEAST_ITEM and not bordered(text, at, end + 1):
+                    elif not bordered(text, at, end + 1):
                         continue
                     windows.setdefault(n, []).append((max(0, at - k), min(len(text), at + len(s) + k)))
         for n, spans in windows.items():
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """(doc_id, item_id, distance, match_end, item_chars): a row for each document and benchmark item that it holds within the budget.
 
     Texts are compared in lower case with white space as single blanks; match_end counts characters of that form. Items
-    that are null or blank match nothing, and those shorter than LEAST_ITEM only themselves, between word borders; items of equal text are reported for each
+    that are null or blank match nothing, and those too short for an edit only themselves, between word borders; items of equal text are reported for each
     item_id. Null and empty documents hold nothing; repeated rows are each reported. No documents or no items: no rows.
 
     Documents are only read: no shuffle. The benchmark is broadcast in blocks of BLOCK_CHARS characters at most (one item alone may be
@@ -161,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     for b in range(blocks):
         rows = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
         block = docs.sparkSession.sparkContext.broadcast([(r["i"], s) for r in rows.distinct().toLocalIterator() if (s := normal(r["t"]))])
-        found = texts.mapInArrow(_searcher(block, rate), "doc_id long, item_id long, distance int, match_end long, item_chars int")
+        found = texts.mapInArrow(tidy(_searcher(block, rate)), "doc_id long, item_id long, distance int, match_end long, item_chars int")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -173,7 +173,7 @@ def _searcher(block, rate: float):
         for batch in batches:
             rows = [
                 (d, item, distance, end, size[item])
-                for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist()) if t
+                for d, t in zip(batch.column("d").to_pylist(), strings(batch.column("t"))) if t
                 for item, distance, _, end in matcher.search(normal(t))
             ]
             cols = list(zip(*rows)) or [[]] * 5
@@ -184,7 +184,10 @@ def _searcher(block, rate: float):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item. Each row is judged on its own text where it stands, so nothing is shuffled; a null text stays."""
+    """docs without those that hold a benchmark item. Each row is judged on its own text where it stands, so nothing is shuffled; a null text stays.
+
+    Of a benchmark of several blocks each searches what the one before it left; that is written, so that no task holds the automata of several blocks.
+    """
     items = benchmark.select(F.col("text").alias("t")).filter("t IS NOT NULL")
     total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     blocks = 1 + total // BLOCK_CHARS
@@ -192,7 +195,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
     for b in range(blocks):
         rows = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
         block = docs.sparkSession.sparkContext.broadcast([(n, s) for n, r in enumerate(rows.distinct().toLocalIterator()) if (s := normal(r["t"]))])
-        docs = docs.mapInArrow(_keeper(block, rate, at), docs.schema)
+        docs = docs.mapInArrow(tidy(_keeper(block, rate, at)), docs.schema)
+        if b + 1 < blocks:
+            docs = cut(docs, "clean-so-far")
     return docs
 
 
@@ -200,6 +205,6 @@ def _keeper(block, rate: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block.value, rate)
         for batch in batches:
-            yield batch.filter(pa.array([not t or next(matcher.search(normal(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not t or next(matcher.search(normal(t)), None) is None for t in strings(batch.column(at))], pa.bool_()))
 
     return run

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut, discard, fresh, strings, tidy
+from attestry.llm.shared import cut, discard, fresh, join_split, strings, tidy
 
 #: Bands have at most ROWS coordinates each, and fewer where that would take more than COORDS of them.
 WORDS, ROWS, COORDS = 5, 6, 320
@@ -157,6 +157,12 @@ def _rows(ids: pa.Array, todo: list, rows: int, bands: int) -> pa.RecordBatch:
         ["id", "fp", "n", "bands", "head", "odd"])
 
 
+#: Ids of texts that are broadcast, 8 bytes each.
+ASKED = 500_000
+#: Members of a bucket that meet the others of it in one task.
+LOT = 512
+
+
 def _confirm(percent: int, size: int):
     """Rows sorted so that a leader comes before those that are held against it; a leader's set is kept until the next one."""
 
@@ -181,12 +187,18 @@ def _confirm(percent: int, size: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass. Texts move once to their id, and once to each leader; a leader's followers are dealt to tasks in lots."""
+    """The pairs (a, b) whose full sets pass. Texts that are asked for move once to their id, and once to each leader; a leader's followers are dealt to tasks in lots.
+
+    Where ASKED ids or fewer are asked for, they are broadcast, and other texts don't move at all.
+    """
     lots = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / FOLLOWERS)).cast("int").alias("lots"))
     leaders = lots.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("salt"), F.lit(False).alias("follows"))
     followers = pairs.join(cut(lots.filter("lots > 1"), "dedup-lots"), "a", "left").select(
         F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.coalesce("lots", F.lit(1))).cast("int").alias("salt"), F.lit(True).alias("follows"))
     needs = cut(leaders.unionByName(followers), "dedup-needs")
+    ids = needs.select("id").distinct()
+    if ids.limit(ASKED + 1).count() <= ASKED:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     return (
         texts.join(needs.hint("merge"), "id").select("a", "salt", "follows", "id", "text")
         .repartition("a", "salt").sortWithinPartitions("a", "salt", "follows")
@@ -250,8 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     feats = cut(texts.mapInArrow(_features(size, percent), "id long, fp binary, n long, bands array<long>, head array<long>, odd array<long>"), "dedup-features")
     full = feats.filter("n > 0 AND id IS NOT NULL")
-    reps = cut(full.groupBy("fp").agg(F.min("id").alias("rep")), "dedup-copies")
-    texts_once = full.join(reps, "fp").filter("id = rep").dropDuplicates(["id", "fp"])
+    reps = cut(full.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "dedup-copies")
+    first_of = reps.select(F.col("rep").alias("id"), "fp")
+    texts_once = full.join(first_of, ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"])  # by id too, so that a text with many copies is no hot key
     rows = texts_once.select("id", F.explode("bands").alias("key"))
     heads = cut(rows.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("key", "head"), "dedup-buckets")
     shared = cut(rows.join(heads, "key"), "dedup-members")  # members of buckets of more than one text
@@ -270,10 +283,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = cut(counts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"), "dedup-mixed")
     rest = cut(members.join(mixed, "key").join(sizes, "id"), "dedup-rest")
-    x = rest.filter("comp <> main").select("key", F.struct("id", "comp", "n", "head", "odd").alias("x"))
-    y = rest.select("key", F.struct("id", "comp", "main", "n", "head", "odd").alias("y"))
+    lots = rest.groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    dealt = cut(rest.join(lots, "key"), "dedup-dealt")
+    x = dealt.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.struct("id", "comp", "n", "head", "odd").alias("x"))
+    y = dealt.select("key", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), F.struct("id", "comp", "main", "n", "head", "odd").alias("y"))
     across = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("x.comp") != F.col("y.comp")) & across & _may_link("x", "y", percent))
+    met = x.join(y, (x["key"] == y["key"]) & (x["lot"] == y["lot"]) & (F.col("x.comp") != F.col("y.comp")) & across & _may_link("x", "y", percent))
     second = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = cut(second, "dedup-pairs")
     if not second.isEmpty():
@@ -281,12 +296,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
         if not more.isEmpty():
             comps = cut(components(links.union(more)), "dedup-components")
 
-    found = F.coalesce("component", "rep", "id")
-    return (
-        feats.join(reps, "fp", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), found).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    goes_to = cut(reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("g_fp"), "copies", F.coalesce("component", "rep").alias("component")), "dedup-goes-to")
+    linked = F.coalesce(F.col("n") > 0, F.lit(False)) & F.col("id").isNotNull()
+    met = join_split(feats.filter(linked).select("id", "fp", "n"), goes_to, F.col("fp") == F.col("g_fp"), "copies", "left")
+    alone = feats.filter(~linked).select("id", "n", F.col("id").alias("component"))  # empty texts are one fingerprint, and so take part in no join
+    out = met.select("id", "n", F.coalesce("component", "id").alias("component")).unionByName(alone)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

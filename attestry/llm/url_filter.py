@@ -37,10 +37,15 @@ def prepared(rules: DataFrame) -> DataFrame:
             "r_digest": digest(F.col("r_host"), F.col("r_path")), "r_rule": F.concat("r_host", "r_path"),
             "r_labels": F.size(F.split("r_host", r"\.")), "r_cut": F.char_length("r_path"),
         })
-        .withColumn("r_prefix", F.substring("r_digest", 1, PREFIX))
+        .withColumn("r_prefix", short(F.col("r_digest")))
     )
 
 
+def short(digest: Column) -> Column:
+    """The first PREFIX hex digits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, PREFIX), 16, 10).cast("long")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict added (columns of these names are replaced).
 
@@ -63,11 +68,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .join(small(shapes), F.col("labels") == F.col("r_labels"))
         .select("host", "path", "rows", F.expr("substring_index(host, '.', -labels)").alias("h"), F.explode(F.filter("r_cuts", lambda k: k <= F.char_length("path"))).alias("k"))
         .select("host", "path", "rows", digest(F.col("h"), F.substring(F.col("path"), F.lit(1), F.col("k"))).alias("digest"))
-        .withColumn("prefix", F.substring("digest", 1, PREFIX))
+        .withColumn("prefix", short(F.col("digest")))
     )
+    listed = known.groupBy("r_prefix").agg(F.collect_list(F.struct("r_digest", "r_rule", "r_host", "r_block")).alias("r_listed"))  # the rules that share a prefix: few, by chance
     b_host, b_path, b_rows, b_best = fresh(parts, "b_host", "b_path", "b_rows", "b_best")
     best = cut(
-        asked.join(small(known), (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
+        asked.join(small(listed), F.col("prefix") == F.col("r_prefix"))
+        .select("host", "path", "rows", F.inline(F.filter("r_listed", lambda r: r["r_digest"] == F.col("digest"))))
         .groupBy("host", "path")
         .agg(F.max("rows").alias(b_rows), F.max(F.struct(F.char_length("r_rule").alias("n"), F.char_length("r_host").alias("h"), "r_block", "r_rule")).alias(b_best))
         .withColumnsRenamed({"host": b_host, "path": b_path}), "url-best"

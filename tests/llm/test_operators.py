@@ -312,7 +312,7 @@ def test_matches_are_brute_force(spark, docs, empty):
         t = decontaminate.normal(text)
         for k, item in items:
             s = decontaminate.normal(item)
-            if len(s) >= decontaminate.LEAST_ITEM and t:
+            if decontaminate.budget(s) and t:
                 d = distance(s, t) if len(t) < 5000 else min(distance(s, t[a : a + 3000]) for a in range(0, 4000, 2000))
                 if d <= decontaminate.budget(s):
                     want.add((i, k, d))
