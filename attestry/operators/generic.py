@@ -1,6 +1,8 @@
 """Comparisons, inventories, inheritance and rollups over any evidence tables."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,42 +59,53 @@ def best_variant(requests: DataFrame, variants: DataFrame) -> DataFrame:
 FIELD_FLAGS = {"read_only": 0, "required": 1, "multiline": 12, "password": 13, "radio": 15, "push_button": 16, "combo": 17}
 
 
-def field_inventory(fields: DataFrame, widgets: DataFrame, levels: int = 32) -> DataFrame:
-    """(field_id, name, kind, flags by name, depth, terminal, page) of a forest (field_id, parent_id, part, kind, flags): dotted full names, and the nearest kind and flags that an ancestor gives.
+def climbed(nodes: DataFrame, merge: Callable[[str, str], list[Column]], wants: Column) -> DataFrame:
+    """Nodes (node_id, up, length, and what merge keeps) whose pointers `up` are followed as far as `wants` says, by pointer doubling: rounds grow as the logarithm of the depth.
 
-    Without any kind a field is a text field (Tx). page is that of the field's first widget (field_id, ord, page). One join a level from the roots down; it stops at the first
-    level without children, and at `levels` below a root.
+    In a round, every node that still wants more and has a pointer takes what the node it points at has gathered, by merge(own prefix, other prefix), and that
+    node's pointer. Adds `cyclic`: a node still wants more after as many rounds as any path without a cycle can need. Pointers to nodes that aren't there end a path. node_id is
+    unique.
     """
-    row = lambda name, kind, flags, depth: ["field_id", name.alias("name"), kind.alias("kind"), flags.alias("flags"), F.lit(depth).alias("depth")]
-    tier = fields.filter("parent_id IS NULL").select(*row(F.coalesce("part", F.lit("")), F.col("kind"), F.col("flags"), 0))
-    out = tier
-    for depth in range(1, levels + 1):
-        up = tier.select(F.col("field_id").alias("parent_id"), F.col("name").alias("p_name"), F.col("kind").alias("p_kind"), F.col("flags").alias("p_flags"))
-        tier = cut(fields.join(up, "parent_id").select(*row(F.concat_ws(".", F.nullif("p_name", F.lit("")), "part"), F.coalesce("kind", "p_kind"), F.coalesce("flags", "p_flags"), depth)), "field-tier")
-        if tier.isEmpty():
+    node = cut(nodes, "climbed")
+    for _ in range(node.count().bit_length() + 1):
+        live = wants & F.col("up").isNotNull()
+        if node.filter(live).isEmpty():
             break
-        out = out.unionByName(tier)
+        others = node.select(*[F.col(c).alias(f"o_{c}") for c in node.columns])
+        asked = node.filter(live).join(others, F.col("up") == F.col("o_node_id"), "left")
+        step = asked.select("node_id", F.col("o_up").alias("up"), (F.col("length") + F.coalesce("o_length", F.lit(0))).alias("length"), *merge("", "o_"))
+        node = cut(node.filter(~F.coalesce(live, F.lit(False))).unionByName(step), "climbed")
+    return node.withColumn("cyclic", F.coalesce(wants & F.col("up").isNotNull(), F.lit(False)))
+
+
+def field_inventory(fields: DataFrame, widgets: DataFrame, levels: int = 32) -> DataFrame:
+    """(field_id, name, kind, flags by name, depth, deep, cyclic, terminal, page) of a forest (field_id, parent_id, part, kind, flags): dotted full names, and the nearest kind and flags that an ancestor gives.
+
+    Without any kind a field is a text field (Tx). page is that of the field's first widget (field_id, ord, page). Fields more than `levels` below a root are `deep`, which readers may not
+    follow; they are given like any other. A field whose parents run in a circle is cyclic and has no name, kind, flags or depth; one whose parent isn't there counts as a root.
+    """
+    start = fields.select(F.col("field_id").alias("node_id"), F.col("parent_id").alias("up"), F.lit(0).alias("length"), F.array_compact(F.array("part")).alias("parts"), "kind", "flags")
+    known = start.select(F.col("node_id").alias("k"))
+    start = start.join(known, F.col("up") == F.col("k"), "left").withColumns({"up": F.col("k"), "length": F.col("k").isNotNull().cast("int")}).drop("k")
+    merge = lambda own, other: [F.concat(f"{other}parts", f"{own}parts").alias("parts"), F.coalesce(f"{own}kind", f"{other}kind").alias("kind"), F.coalesce(f"{own}flags", f"{other}flags").alias("flags")]
+    named = climbed(start, merge, F.lit(True))
+    name = F.aggregate("parts", F.lit(""), lambda n, p: F.when(n == "", p).otherwise(F.concat(n, F.lit("."), p)))
+    sound = lambda c: F.when(~F.col("cyclic"), c)
+    out = named.select(F.col("node_id").alias("field_id"), sound(name).alias("name"), sound(F.coalesce("kind", F.lit("Tx"))).alias("kind"), sound(F.coalesce("flags", F.lit(0))).alias("flags"), sound(F.col("length")).alias("depth"), "cyclic")
     first = widgets.groupBy("field_id").agg(F.min_by("page", "ord").alias("page"))
     parents = fields.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("field_id")).distinct().withColumn("inner", F.lit(True))
-    bits = [(F.shiftright(F.coalesce("flags", F.lit(0)), k).bitwiseAND(1) == 1).alias(c) for c, k in FIELD_FLAGS.items()]
-    return out.join(first, "field_id", "left").join(parents, "field_id", "left").select("field_id", "name", F.coalesce("kind", F.lit("Tx")).alias("kind"), *bits, "depth", F.col("inner").isNull().alias("terminal"), "page")
-
-
-def inherited_property(nodes: DataFrame, levels: int = 64) -> DataFrame:
-    """(node_id, value, distance): the value of the nearest ancestor, itself included, that has one; null where none has, or none of the nearest `levels`."""
-    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("next"), F.col("value").alias("up_value"))
-    live = nodes.select("node_id", F.col("parent_id").alias("at"), "value", F.lit(0).alias("distance"))
-    done = None
-    for distance in range(1, levels + 1):
-        ready = live.filter("value IS NOT NULL OR at IS NULL").select("node_id", "value", "distance")
-        done = ready if done is None else done.unionByName(ready)
-        live = live.filter("value IS NULL AND at IS NOT NULL").join(up, "at", "left").select("node_id", F.col("next").alias("at"), F.col("up_value").alias("value"), F.lit(distance).alias("distance"))
-        live = cut(live, "inherited")
-        if live.isEmpty():
-            break
-    else:
-        done = done.unionByName(live.select("node_id", "value", "distance"))
-    return done.select("node_id", "value", F.when(F.col("value").isNotNull(), F.col("distance")).alias("distance"))
+    bits = [(F.shiftright("flags", k).bitwiseAND(1) == 1).alias(c) for c, k in FIELD_FLAGS.items()]
+    met = out.join(first, "field_id", "left").join(parents, "field_id", "left")
+    return met.select("field_id", "name", "kind", *bits, "depth", (F.col("depth") > levels).alias("deep"), "cyclic", F.col("inner").isNull().alias("terminal"), "page")
+
+
+def inherited_property(nodes: DataFrame) -> DataFrame:
+    """(node_id, value, distance, cyclic) of nodes (node_id, parent_id, value): the value of the nearest ancestor, itself included, that has one; null where none has. A node without a value whose ancestors run in a circle is cyclic."""
+    start = nodes.select("node_id", F.col("parent_id").alias("up"), F.lit(0).alias("length"), "value", F.lit(0).alias("distance"))
+    start = start.withColumn("length", F.col("up").isNotNull().cast("int"))
+    merge = lambda own, other: [F.col(f"{other}value").alias("value"), (F.col(f"{own}length") + F.coalesce(f"{other}distance", F.lit(0))).alias("distance")]
+    found = climbed(start, merge, F.col("value").isNull())
+    return found.select("node_id", "value", F.when(F.col("value").isNotNull(), F.col("distance")).alias("distance"), "cyclic")
 
 
 def latest_revision_wins(changes: DataFrame) -> DataFrame:

@@ -120,6 +120,13 @@ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN (event_id % 256) || '.' || (eve
 SELECT event_id, CASE CAST(event_id % 12 AS INT) WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN 'fe80::' || (event_id % 1000) WHEN 3 THEN 'fc00:1::' || (event_id % 1000) WHEN 4 THEN 'ff02::1'
   WHEN 5 THEN '::ffff:10.0.0.' || (event_id % 256) WHEN 6 THEN '::ffff:8.8.8.' || (event_id % 256) WHEN 7 THEN '2002:0a00:' || (event_id % 1000) || '::1' WHEN 8 THEN '64:ff9b::192.168.0.' || (event_id % 256)
   WHEN 9 THEN '2001:4860:4860::' || (event_id % 1000) WHEN 10 THEN '1:2:3:4:5:6:7:8:9' ELSE '2606:4700:0:0:0:0:0:' || (event_id % 1000) END AS address FROM {events}""",
+    "fx_blocks": """
+SELECT (c_custkey * 37 % 256) || '.' || (c_custkey * 11 % 256) || '.' || (c_custkey * 5 % 256) || '.' || (c_custkey % 256) || '/' || (4 + c_custkey % 29) AS cidr FROM {customer}
+UNION ALL SELECT '2001:' || (c_custkey % 1000) || ':' || (c_custkey % 10) || '::/' || (16 + c_custkey % 40) FROM {customer} WHERE c_custkey % 3 = 0""",
+    "fx_patterns": """
+SELECT CASE WHEN page_id % 5 = 1 THEN '*.' ELSE '' END || upper(regexp_extract(url, '://([^/?#:@]+)', 1)) AS pattern, 'deny' AS list FROM {pages} WHERE page_id % 17 = 3
+UNION ALL SELECT '*.' || regexp_extract(url, '://[^/?#:@]*?([^/?#:@.]+[.][^/?#:@.]+)', 1), 'allow' FROM {pages} WHERE page_id % 5 < 3
+UNION ALL SELECT '*.c' || c_custkey || '.test', CASE WHEN c_custkey % 2 = 0 THEN 'allow' ELSE 'deny' END FROM {customer}""",
     "fx_ops": """
 SELECT user_id AS session_id, event_id, ts, 'client-' || (event_id % 5) AS client_id, CAST(floor(value) AS BIGINT) % 7 AS lag_versions,
   CASE event_type WHEN 'click' THEN 'updateNode' WHEN 'view' THEN 'updateNode' WHEN 'purchase' THEN 'addNode' WHEN 'error' THEN 'removeNode' ELSE 'setMeta' END AS op,

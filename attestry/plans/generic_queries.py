@@ -98,7 +98,7 @@ _WIDGETS = "SELECT 'c' || o_custkey AS field_id, o_orderkey AS ord, CAST(o_order
 WITH RECURSIVE f AS ({_F}), w(field_id, name, kind, flags, depth) AS (SELECT field_id, part, kind, flags, 0 FROM f WHERE parent_id IS NULL
   UNION ALL SELECT f.field_id, w.name || '.' || f.part, coalesce(f.kind, w.kind), coalesce(f.flags, w.flags), w.depth + 1 FROM w JOIN f ON f.parent_id = w.field_id),
 p AS (SELECT field_id, arg_min(page, ord) AS page FROM ({_WIDGETS.replace('{orders}', 'orders').replace('STRING', 'VARCHAR')}) GROUP BY field_id)
-SELECT w.field_id, name, coalesce(kind, 'Tx') AS kind, flags & 1 <> 0 AS read_only, flags & 2 <> 0 AS required, flags & 4096 <> 0 AS multiline, flags & 8192 <> 0 AS password, flags & 32768 <> 0 AS radio, flags & 65536 <> 0 AS push_button, flags & 131072 <> 0 AS combo, depth,
+SELECT w.field_id, name, coalesce(kind, 'Tx') AS kind, flags & 1 <> 0 AS read_only, flags & 2 <> 0 AS required, flags & 4096 <> 0 AS multiline, flags & 8192 <> 0 AS password, flags & 32768 <> 0 AS radio, flags & 65536 <> 0 AS push_button, flags & 131072 <> 0 AS combo, depth, depth > 32 AS deep, FALSE AS cyclic,
   w.field_id NOT IN (SELECT parent_id FROM f WHERE parent_id IS NOT NULL) AS terminal, page FROM (SELECT * REPLACE (coalesce(flags, 0) AS flags) FROM w) w LEFT JOIN p ON w.field_id = p.field_id""")
 def field_inventory(spark, sf):
     return G.field_inventory(fields(spark, sf), spark.sql(_WIDGETS, orders=view(spark, sf, "orders")))
@@ -106,7 +106,7 @@ def field_inventory(spark, sf):
 
 @query("j20_inherited_property", f"""
 WITH RECURSIVE f AS ({_F}), w(node_id, tip, value, distance) AS (SELECT field_id, parent_id, kind, 0 FROM f UNION ALL SELECT w.node_id, f.parent_id, f.kind, w.distance + 1 FROM w JOIN f ON f.field_id = w.tip WHERE w.value IS NULL)
-SELECT node_id, value, CASE WHEN value IS NOT NULL THEN distance END AS distance FROM w WHERE value IS NOT NULL OR tip IS NULL""")
+SELECT node_id, value, CASE WHEN value IS NOT NULL THEN distance END AS distance, FALSE AS cyclic FROM w WHERE value IS NOT NULL OR tip IS NULL""")
 def inherited_property(spark, sf):
     return G.inherited_property(fields(spark, sf).select(F.col("field_id").alias("node_id"), "parent_id", F.col("kind").alias("value")))
 

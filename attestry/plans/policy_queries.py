@@ -43,6 +43,32 @@ def url_policy(spark, sf):
     return urls.select("page_id", "url", P.url_policy(F.col("url"), allow=[*ALLOW, *_LISTED], deny=DENY).alias("code"))
 
 
+@query("p1_url_policy_by_lists", f"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority FROM pages),
+h AS (SELECT *, lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')) AS host FROM u),
+p AS (SELECT DISTINCT lower(pattern) AS pattern, list FROM fx_patterns),
+m AS (SELECT host, bool_or(list = 'allow') AS allowed, bool_or(list = 'deny') AS denied FROM (SELECT DISTINCT host FROM h) h JOIN p ON host = pattern OR (starts_with(pattern, '*.') AND (host = substr(pattern, 3) OR ends_with(host, substr(pattern, 2)))) GROUP BY host)
+SELECT page_id, url, CASE WHEN scheme = '' OR (scheme IN ('http', 'https') AND h.host = '') THEN 'BAD_URL' WHEN scheme NOT IN ('http', 'https') THEN 'SCHEME' WHEN contains(authority, '@') THEN 'CREDENTIALS' WHEN denied THEN 'HOST_DENIED'
+  WHEN NOT coalesce(allowed, FALSE) THEN 'HOST_NOT_ALLOWED' WHEN CASE WHEN {V4_OK('h.host')} THEN {_BLOCK(V4('h.host'))} ELSE FALSE END THEN 'BLOCKED_ADDRESS' END AS code FROM h LEFT JOIN m ON h.host = m.host""")
+def url_policy_by_lists(spark, sf):
+    return P.url_policy_by_lists(view(spark, sf, "pages").select("page_id", "url"), view(spark, sf, "fx_patterns"))
+
+
+_HEX_BITS = lambda h: f"array_to_string(list_transform(string_split({h}, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '')"
+
+
+@query("p4_longest_prefix", f"""
+WITH a AS (SELECT event_id, address, CASE WHEN {V4_OK('address')} THEN format('{{:08x}}', {V4('address')}) END AS h FROM fx_addresses
+  UNION ALL SELECT event_id, address, array_to_string(list_transform(string_split(address, ':'), lambda g: lpad(g, 4, '0')), '') FROM (SELECT event_id, '2001:' || (event_id % 1000) || ':' || (event_id % 10) || ':' || (event_id % 7) || ':0:0:0:' || (event_id % 100) AS address FROM events)),
+b AS (SELECT cidr, split_part(cidr, '/', 2)::INT AS n, CASE WHEN contains(cidr, ':') THEN rpad(array_to_string(list_transform(string_split(split_part(cidr, '::', 1), ':'), lambda g: lpad(g, 4, '0')), ''), 32, '0') ELSE format('{{:08x}}', {V4("split_part(cidr, '/', 1)")}) END AS h FROM fx_blocks),
+x AS (SELECT address, {_HEX_BITS('h')} AS bits FROM (SELECT DISTINCT address, h FROM a WHERE h IS NOT NULL)), y AS (SELECT cidr, n, length(h) AS size, substr({_HEX_BITS('h')}, 1, n) AS prefix FROM b),
+m AS (SELECT address, cidr FROM (SELECT address, cidr, row_number() OVER (PARTITION BY address ORDER BY n DESC, cidr) AS rn FROM x JOIN y ON length(bits) = 4 * size AND starts_with(bits, prefix)) WHERE rn = 1)
+SELECT event_id, a.address, cidr FROM a LEFT JOIN m ON a.address = m.address""")
+def longest_prefix(spark, sf):
+    six = view(spark, sf, "events").select("event_id", F.concat(F.lit("2001:"), F.col("event_id") % 1000, F.lit(":"), F.col("event_id") % 10, F.lit(":"), F.col("event_id") % 7, F.lit(":0:0:0:"), F.col("event_id") % 100).alias("address"))
+    return P.longest_prefix(view(spark, sf, "fx_addresses").select("event_id", "address").unionByName(six), view(spark, sf, "fx_blocks"))
+
+
 @query("p2_host_matches", """
 WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages), p(pattern) AS (VALUES ('*.example.com'), ('*.EXAMPLE.org'), ('example.net'), ('spam-farm.example.org'))
 SELECT host, pattern, CASE WHEN starts_with(pattern, '*.') THEN host = lower(substr(pattern, 3)) OR ends_with(host, lower(substr(pattern, 2))) ELSE host = lower(pattern) END AS matches FROM h, p""")
@@ -139,11 +165,13 @@ _SEGMENTS = """SELECT sig_id, 0 AS k, b0 AS start, b1 AS size, doc_length AS len
 
 @query("p12_byte_range_issues", f"""
 WITH s AS (SELECT *, lag(start + size) OVER (PARTITION BY sig_id ORDER BY k) AS before FROM ({_SEGMENTS}))
-SELECT DISTINCT sig_id, issue FROM (SELECT sig_id, unnest([CASE WHEN start < 0 OR size < 0 THEN 'NEGATIVE' END, CASE WHEN start + size > length THEN 'PAST_END' END, CASE WHEN start < before THEN 'OVERLAP' END, CASE WHEN before IS NOT NULL AND (before > contents_start OR start < contents_end) THEN 'GAP' END]) AS issue FROM s) WHERE issue IS NOT NULL""")
+SELECT DISTINCT sig_id, issue FROM (SELECT sig_id, unnest([CASE WHEN start < 0 OR size < 0 THEN 'NEGATIVE' END, CASE WHEN start + size > length THEN 'PAST_END' END, CASE WHEN start < before THEN 'OVERLAP' END, CASE WHEN before IS NOT NULL AND (before > contents_start OR start < contents_end) THEN 'GAP' END]) AS issue FROM s) WHERE issue IS NOT NULL
+UNION ALL SELECT sig_id, 'ODD_COUNT' FROM fx_signatures WHERE sig_id % 89 = 6 AND b0 IS NOT NULL""")
 def byte_range_issues(spark, sf):
-    s = view(spark, sf, "fx_signatures")
-    seg = lambda k, a, n: F.struct(F.lit(k).alias("k"), F.col(a).cast("long").alias("start"), F.col(n).cast("long").alias("size"))
-    return P.byte_range_issues(s.select("sig_id", F.inline(F.array(seg(0, "b0", "b1"), seg(1, "b2", "b3"))), F.col("doc_length").alias("length"), "contents_start", "contents_end"))
+    """Some ranges have a fifth number."""
+    numbers = F.array(*[F.col(b).cast("long") for b in ("b0", "b1", "b2", "b3")])
+    extra = F.when(F.col("sig_id") % 89 == 6, F.concat(numbers, F.array(F.lit(7).cast("long")))).otherwise(numbers)
+    return P.byte_range_issues(view(spark, sf, "fx_signatures").select("sig_id", extra.alias("numbers"), F.col("doc_length").alias("length"), "contents_start", "contents_end"))
 
 
 @query("p17_paper_size", """

@@ -71,9 +71,9 @@ def test_denied_hits_are_not_recorded(spark):
 
 
 def test_path_length_counts_from_two_below(spark):
-    step = lambda chain, depth, path_len: (chain, depth, depth > 0, depth > 0, path_len, False, True)
+    step = lambda chain, depth, path_len: (chain, depth, depth > 0, depth > 0, path_len, False, True, False)
     data = [step("a", 0, None), step("a", 1, None), step("a", 2, 0), step("b", 0, None), step("b", 1, 0)]
-    df = spark.createDataFrame(data, "chain_id string, depth int, is_ca boolean, key_cert_sign boolean, path_len int, self_issued boolean, digital_signature boolean")
+    df = spark.createDataFrame(data, "chain_id string, depth int, is_ca boolean, key_cert_sign boolean, path_len int, self_issued boolean, digital_signature boolean, content_commitment boolean")
     assert rows(trust.path_rules(df)) == [("a", 2, "path_length")]
 
 
@@ -180,11 +180,47 @@ def test_ledgers_are_read_by_line(spark, tmp_path):
     assert [(r["ledger_id"], r["pos"], r["line"]) for r in got] == [(n, k, x) for n, lines in want.items() for k, x in enumerate(lines, 1)]
 
 
-def test_properties_beyond_the_last_level_are_null(spark):
+def test_properties_are_inherited_over_any_depth(spark):
+    """A chain of 10 000 nodes whose root has the value, a circle without one, a circle below which hangs a node, and a parent that isn't there."""
     from attestry.operators import generic
 
-    nodes = spark.createDataFrame([(k, k - 1 if k else None, "v" if k == 0 else None) for k in range(6)], "node_id int, parent_id int, value string")
-    assert rows(generic.inherited_property(nodes, levels=3).select("node_id", "value")) == [(0, "v"), (1, "v"), (2, "v"), (3, "v"), (4, None), (5, None)]
+    chain = [(k, k - 1 if k else None, "v" if k == 0 else None) for k in range(10_000)]
+    odd = [(20_000, 20_001, None), (20_001, 20_000, None), (20_002, 20_001, None), (30_000, 30_001, "w"), (30_001, 30_000, None), (40_000, 99_999, None), (50_000, 50_000, None)]
+    got = {r["node_id"]: (r["value"], r["distance"], r["cyclic"]) for r in generic.inherited_property(spark.createDataFrame(chain + odd, "node_id int, parent_id int, value string")).collect()}
+    assert len(got) == len(chain) + len(odd) and all(got[k] == ("v", k, False) for k, *_ in chain)
+    assert [got[k] for k, *_ in odd] == [(None, None, True)] * 3 + [("w", 0, False), ("w", 1, False), (None, None, False), (None, None, True)]
+
+
+def test_fields_of_any_depth_are_listed(spark):
+    from attestry.operators import generic
+
+    deep = [(k, k - 1 if k else None, f"p{k}" if k % 3 else None, "Btn" if k == 2 else None, 1 if k == 0 else None) for k in range(100)]
+    odd = [(200, 201, "a", None, None), (201, 200, "b", None, None), (300, None, "", None, None), (301, 300, "", None, None), (302, 301, "x", None, None), (303, 302, "", None, None), (304, 303, "y", None, None)]
+    df = spark.createDataFrame(deep + odd, "field_id int, parent_id int, part string, kind string, flags int")
+    got = {r["field_id"]: r for r in generic.field_inventory(df, spark.createDataFrame([(5, 2, 7), (5, 1, 8)], "field_id int, ord int, page int")).collect()}
+    for k, *_ in deep:
+        name = ".".join(f"p{j}" for j in range(k + 1) if j % 3)
+        assert (got[k]["name"], got[k]["kind"], got[k]["read_only"], got[k]["depth"], got[k]["deep"], got[k]["cyclic"]) == (name, "Btn" if k >= 2 else "Tx", True, k, k > 32, False)
+    assert got[5]["page"] == 8 and got[99]["terminal"] and not got[98]["terminal"] and got[200]["cyclic"] and got[200]["name"] is None
+    assert [got[k]["name"] for k in (300, 301, 302, 303, 304)] == ["", "", "x", "x.", "x..y"]
+
+
+def test_ranges_of_any_number_of_values(spark):
+    from attestry.operators import policy
+
+    cases = [([0, 10, 20, 5], set()), ([0, 10, 20, 5, 7], {"ODD_COUNT"}), ([], {"ODD_COUNT"}), (None, {"NOT_NUMBERS"}), ([0, None], {"NOT_NUMBERS"}), ([0, 10, 5, 5], {"OVERLAP", "GAP"}), ([0, 10, 20, 50], {"PAST_END"}), ([-1, 10, 20, 5], {"NEGATIVE"}), ([0, 10, 20, 2, 22, 3], {"GAP"})]
+    df = spark.createDataFrame([(i, n, 25, 10, 20) for i, (n, _) in enumerate(cases)], "sig_id int, numbers array<bigint>, length int, contents_start int, contents_end int")
+    got = {}
+    for r in policy.byte_range_issues(df).collect():
+        got.setdefault(r["sig_id"], set()).add(r["issue"])
+    assert [got.get(i, set()) for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_paths_without_constraints_or_with_commitments(spark):
+    """An issuer without basic constraints may not issue; a leaf that may commit to content may sign."""
+    schema = "chain_id string, depth int, is_ca boolean, key_cert_sign boolean, path_len int, self_issued boolean, digital_signature boolean, content_commitment boolean"
+    steps = [("a", 0, False, False, None, False, False, True), ("a", 1, None, None, None, False, True, False), ("a", 2, True, True, None, True, True, False), ("b", 0, False, False, None, False, False, False), ("b", 1, True, None, None, True, None, None), ("c", 0, False, None, None, False, None, None), ("c", 1, True, True, None, True, True, True)]
+    assert rows(trust.path_rules(spark.createDataFrame(steps, schema))) == [("a", 1, "not_a_ca"), ("b", 0, "leaf_key_usage")]
 
 
 def test_unknown_stays_unknown(spark):
