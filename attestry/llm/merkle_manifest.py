@@ -30,11 +30,11 @@ def fold(digest: Column, steps: Column) -> Column:
 class Manifest:
     """runs: (tree, level, index, children) - up to ARITY nodes each, whose digest is node (tree, level, index). Tree 0 stands over the subroots of trees 1 and up.
 
-    leaves: (tree, index, lone, docs) - the leaves run by run, in order. root is None for an empty table.
+    runs is None if no tree has a second level. leaves: (tree, index, lone, docs) - the leaves run by run, in order. root is None for an empty table.
     """
 
     runs: DataFrame | None
-    leaves: DataFrame | None
+    leaves: DataFrame
     root: str | None
 
 
@@ -74,8 +74,6 @@ def build_manifest(rows: DataFrame, by: str, order: str, arity: int = ARITY) ->
     placed = numbered(flat, "by", [F.col("order").asc_nulls_first(), F.col("leaf").asc()], "place")
     sizes = cut(placed.groupBy("by").agg(F.max("place").alias("n")).withColumn("all", F.lit(1)), "merkle-sizes")
     trees = cut(numbered(sizes, "all", [F.col("by").asc_nulls_first()], "tree").select(F.col("by").alias("t_by"), "n", "tree"), "merkle-trees")
-    if trees.isEmpty():
-        return Manifest(None, None, None)
     known = placed.join(small(trees), F.col("by").eqNullSafe(F.col("t_by"))).select("tree", (F.col("place") - 1).alias("index"), "n", "doc")
     run = F.expr(f"index DIV {arity}")
     leaves = known.groupBy("tree", run.alias("run"), "n").agg(F.array_sort(F.collect_list(F.struct("index", "doc"))).alias("d"))
@@ -89,7 +87,8 @@ def build_manifest(rows: DataFrame, by: str, order: str, arity: int = ARITY) ->
     for r in [*runs, *upper]:
         part = r.select("tree", "level", "index", "name", "children")
         every = part if every is None else every.unionByName(part)
-    return Manifest(every, leaves, top.first()["digest"])
+    root = top.first()
+    return Manifest(every, leaves, root and root["digest"])
 
 
 def _jumped(manifest: Manifest) -> DataFrame:
@@ -132,7 +131,7 @@ def proofs(manifest: Manifest) -> DataFrame:
     each = runs.select("*", own.alias("own"), F.posexplode("docs").alias("at", "doc"))
     beside = F.struct(F.array_join(F.slice("own", 1, F.col("at")), "").alias("before"), F.array_join(F.slice("own", F.col("at") + 2, F.size("own")), "").alias("after"), F.lit(False).alias("top"))
     steps = F.when(F.col("lone"), F.col("steps")).otherwise(F.concat(F.array(beside), F.col("steps")))
-    return each.select("doc.*", "subroot", F.lit(manifest.root).alias("root"), steps.alias("steps"))
+    return each.select("doc.*", "subroot", F.lit(manifest.root).cast("string").alias("root"), steps.alias("steps"))
 
 
 def proof_digest(steps: Column) -> Column:

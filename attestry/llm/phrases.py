@@ -32,11 +32,11 @@ _UPPER, _LOWER, _MARK = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 _TABLE = bytes.maketrans(_UPPER + PIECE_ENDS + WORD_GAPS, _LOWER + _MARK * len(PIECE_ENDS) + b"  ")
 
 
-def tokens(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a UTF-8 text, and the byte 0xff (no UTF-8 has it) where a piece ends; some SEGMENT bytes at a time, cut between words."""
+def tokens(text: bytes, segment: int = SEGMENT) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, and the byte 0xff (no UTF-8 has it) where a piece ends; some `segment` bytes at a time, cut between words."""
     text, start = text.translate(_TABLE), 0
     while start < len(text):
-        end = min((x for x in (text.find(b" ", start + SEGMENT), text.find(_MARK, start + SEGMENT)) if x >= 0), default=len(text))
+        end = min((x for x in (text.find(b" ", start + segment), text.find(_MARK, start + segment)) if x >= 0), default=len(text))
         yield text[start:end].replace(_MARK, b" \xff ").split()
         start = end
 

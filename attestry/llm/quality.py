@@ -317,6 +317,8 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     model = cut(kneser_ney(counts, sizes), "quality-model")
     scored = rows
     for k, names in enumerate(model_rounds(model, found)):
+        if k:  # chained rounds would each keep a worker with its part of the models
+            scored = cut(scored, "quality-round")
         scored = scored.mapInArrow(_scorer(spark.sparkContext.broadcast(names), symbols, k == 0), _SCORED)
     nll = F.round(-F.col("total") / F.when(F.col("n_grams") > 0, F.col("n_grams")), 4)
     scored = cut(scored.select("doc_id", "lang", *_BASE, "n_grams", nll.alias("nll")), "quality-scored")
