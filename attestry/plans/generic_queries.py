@@ -122,7 +122,7 @@ def top_n_fields(spark, sf):
     return G.top_n_fields(view(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"))).select("doc_id", "ord")
 
 
-@query("t6_locale_sort")
+@query("t6_locale_sort", "SELECT DISTINCT p_name FROM part")
 def locale_sort(spark, sf):
     return G.locale_sort(view(spark, sf, "part").select("p_name").distinct(), "p_name")
 

@@ -232,3 +232,55 @@ def test_conflicts_need_a_common_key(spark):
     op = lambda v, base, client, keys, kind="updateNode": Row(session_id=1, version=v, base_version=base, client_id=client, op=kind, target="n", patch_keys=keys)
     df = spark.createDataFrame([op(1, 0, "a", "x"), op(2, 0, "b", "y"), op(3, 0, "b", "x,z"), op(4, 3, "a", "z"), op(5, 0, "a", "q", "removeNode")])
     assert rows(edits.op_conflicts(df)) == [(1, 3, 1), (1, 5, 2)]
+
+
+def test_names_in_turkish_order(spark):
+    from attestry.operators import generic
+
+    want = ["cam", "çam", "gaz", "ğ", "ısı", "iz", "oya", "öz", "sal", "şal", "uç", "üç"]
+    df = spark.createDataFrame([(w,) for w in reversed(want)], "name string")
+    assert [r["name"] for r in generic.locale_sort(df, "name").collect()] == want
+
+
+def test_text_of_nodes(spark):
+    """Descendants at any depth and in order; script and style left out; nodes inside one another each have their own text."""
+    from attestry.operators import html
+
+    tree = [(1, None, "body", None), (2, 1, "p", None), (3, 2, "#text", "a "), (4, 2, "b", None), (5, 4, "#text", "bold"), (6, 1, "script", None), (7, 6, "#text", "x()"), (8, 1, "style", None), (9, 8, "#text", "y{}"), (10, 1, "#text", " end"), (11, 1, "i", None)]
+    up = {n: p for n, p, *_ in tree}
+
+    def above(n):
+        return [] if up[n] is None else [up[n], *above(up[n])]
+
+    df = spark.createDataFrame([(7, n, p, tag, text, n, above(n)) for n, p, tag, text in tree], "page_id long, node_id long, parent_id long, tag string, text string, pre long, ancestors array<bigint>")
+    assert {(r["node_id"], r["text"]) for r in html.node_text(df, df.filter("tag IN ('body', 'p', 'i')")).collect()} == {(1, "a bold end"), (2, "a bold")}
+
+
+def test_lists_and_blocks_are_met_by_equality(spark):
+    """Thousands of patterns and blocks: the plan has no join by interval or condition, and results are those of one at a time."""
+    import ipaddress
+
+    from attestry.operators import policy
+
+    blocks = [f"{k % 223 + 1}.{k * 7 % 256}.{k * 13 % 256}.0/{8 + k % 17}" for k in range(5000)] + [f"2001:db8:{k:x}::/{32 + k % 17}" for k in range(500)] + ["0.0.0.0/0", "nonsense", "1.2.3.4/99"]
+    addresses = [f"{k % 250}.{k * 7 % 256}.{k * 5 % 256}.{k % 256}" for k in range(400)] + [f"2001:db8:{k:x}::1" for k in range(0, 800, 7)] + ["::1", "no", None]
+    found = policy.longest_prefix(spark.createDataFrame([(a,) for a in addresses], "address string"), spark.createDataFrame([(b,) for b in blocks], "cidr string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    nets = [(ipaddress.ip_network(b, strict=False), b) for b in blocks[:-2]]
+    for r in found.collect():
+        try:
+            a = ipaddress.ip_address(r["address"])
+        except ValueError:
+            assert r["cidr"] is None
+            continue
+        fits = [(-n.prefixlen, b) for n, b in nets if n.version == a.version and a in n]
+        assert r["cidr"] == (min(fits)[1] if fits else None), r
+
+    patterns = [(f"*.p{k}.test", ("allow", "deny")[k % 2]) for k in range(3000)] + [("h7.p4.test", "deny"), ("*.TEST2", "allow"), (None, "deny"), ("x.y", "other")]
+    urls = [(f"http://h{k}.p{k % 6}.test/",) for k in range(60)] + [("http://p1.test/",), ("http://a.b.test2",), ("http://test2/",), ("http://x.y/",), ("ftp://p2.test/",)]
+    lists = spark.createDataFrame(patterns, "pattern string, list string")
+    got = {r["url"]: r["code"] for r in policy.url_policy_by_lists(spark.createDataFrame(urls, "url string"), lists).collect()}
+    few = [p for p in patterns if p[0] and p[0].lower() in {f"*.p{k}.test" for k in range(6)} | {"h7.p4.test", "*.test2"}]
+    one = spark.createDataFrame(urls, "url string").select("url", policy.url_policy(F.col("url"), [p for p, x in few if x == "allow"], [p for p, x in few if x == "deny"]).alias("code"))
+    assert got == {r["url"]: r["code"] for r in one.collect()} and {"HOST_DENIED", "HOST_NOT_ALLOWED", "SCHEME", None} <= set(got.values())
