@@ -282,15 +282,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_i
     members = cut(shared.select("key", "id").join(info, "id"), "dedup-members")
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = cut(counts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"), "dedup-mixed")
-    rest = cut(members.join(mixed, "key").join(sizes, "id"), "dedup-rest")
+    rest = cut(members.join(mixed, "key"), "dedup-rest")
     lots = rest.groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
-    dealt = cut(rest.join(lots, "key"), "dedup-dealt")
+    dealt = cut(rest.join(lots, "key").join(sizes, "id"), "dedup-dealt")
     x = dealt.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.struct("id", "comp", "n", "head", "odd").alias("x"))
     y = dealt.select("key", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), F.struct("id", "comp", "main", "n", "head", "odd").alias("y"))
     across = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
     met = x.join(y, (x["key"] == y["key"]) & (x["lot"] == y["lot"]) & (F.col("x.comp") != F.col("y.comp")) & across & _may_link("x", "y", percent))
     second = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = cut(second, "dedup-pairs")
+    discard(heads, shared, sizes, members, mixed, rest, dealt)
     if not second.isEmpty():
         more = cut(confirmed(second, texts, percent, size), "dedup-links")
         if not more.isEmpty():
