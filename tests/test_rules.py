@@ -284,3 +284,22 @@ def test_lists_and_blocks_are_met_by_equality(spark):
     few = [p for p in patterns if p[0] and p[0].lower() in {f"*.p{k}.test" for k in range(6)} | {"h7.p4.test", "*.test2"}]
     one = spark.createDataFrame(urls, "url string").select("url", policy.url_policy(F.col("url"), [p for p, x in few if x == "allow"], [p for p, x in few if x == "deny"]).alias("code"))
     assert got == {r["url"]: r["code"] for r in one.collect()} and {"HOST_DENIED", "HOST_NOT_ALLOWED", "SCHEME", None} <= set(got.values())
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    """Page-wide boxes among small ones, points, negative places, and sizes from 0.001 to 100 000."""
+    import random
+
+    r = random.Random(4)
+    boxes = [(k % 2, k, r.uniform(-500, 500), r.uniform(-500, 500), s, s * r.uniform(0.1, 3)) for k, s in enumerate([r.choice([0.0, 0.001, 1.0, 7.0, 64.0, 300.0, 1e5]) for _ in range(400)])]
+    boxes += [(0, 900, -1000.0, -1000.0, 2000.0, 2000.0), (0, 901, 10.0, 10.0, 10.0, 10.0), (0, 902, 20.0, 10.0, 10.0, 10.0), (0, 903, 15.0, 15.0, 10.0, 10.0), (1, 904, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "page_id long, id long, x double, y double, width double, height double")
+    want = set()
+    for p, i, x, y, w, h in boxes:
+        for p2, j, x2, y2, w2, h2 in boxes:
+            if p == p2 and i < j and None not in (x, x2) and x < x2 + w2 and x2 < x + w and y < y2 + h2 and y2 < y + h:
+                want.add((p, i, j))
+    for cell in (1.0, 60.0):
+        got = [(q["page_id"], q["a"], q["b"]) for q in layout.overlap_pairs(df, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert layout.overlap_pairs(df.limit(0)).count() == 0
