@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut, discard, fresh, join_split, strings, tidy
+from attestry.llm.shared import cut, discard, fresh, join_split, small, strings, tidy
 
 #: Bands have at most ROWS coordinates each, and fewer where that would take more than COORDS of them.
 WORDS, ROWS, COORDS = 5, 6, 320
@@ -310,7 +310,8 @@ def deduplicated(docs: DataFrame, percent: int = 80, size: int = WORDS, doc_id:
     groups = near_duplicates(docs, percent, size, doc_id, text)
     seen = cut(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")), "dedup-kept")
     own, kept, rows = fresh(docs, "own_id", "is_kept", "own_rows")
-    held = docs.join(seen.toDF(own, kept, rows), docs[doc_id] == F.col(own), "left").filter(F.coalesce(kept, F.lit(True)))
+    odd = small(seen.filter("NOT kept OR rows > 1"), ASKED)  # all other rows stay, and where these are few no text moves
+    held = docs.join(odd.toDF(own, kept, rows), docs[doc_id] == F.col(own), "left").filter(F.coalesce(kept, F.lit(True)))
     out = held.filter(F.coalesce(rows, F.lit(1)) == 1)
     if not seen.filter("kept AND rows > 1").isEmpty():
         out = out.unionByName(held.filter(F.col(rows) > 1).dropDuplicates([doc_id]))
