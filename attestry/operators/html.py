@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestry.operators.structure import structural_join
 from attestry.sources import cut
 
 #: Structural role by tag.
@@ -40,13 +41,18 @@ def select_nodes(nodes: DataFrame, *parts: tuple[Column, str]) -> DataFrame:
     Ancestors are taken from the right, each step going to the nearest ancestor that matches, without trying others.
     """
     *rest, (last, combinator) = parts
-    at = nodes.filter(last).select("page_id", "node_id", "ancestors")
+    place = ["page_id", "node_id", "parent_id", "pre", "depth"]
+    at = nodes.filter(last).select(*place, F.col("node_id").alias("found"))
     for condition, before in reversed(rest):
-        up = nodes.filter(condition).select("page_id", F.col("node_id").alias("up_id"), F.col("ancestors").alias("up_ancestors"), "depth")
-        asked = F.slice("ancestors", -1, 1) if combinator == ">" else F.col("ancestors")
-        met = at.filter(F.size("ancestors") > 0).select("page_id", "node_id", F.explode(asked).alias("up_id")).join(up, ["page_id", "up_id"])
-        at, combinator = met.groupBy("page_id", "node_id").agg(F.max_by("up_ancestors", "depth").alias("ancestors")), before
-    return at.select("page_id", "node_id")
+        up = nodes.filter(condition)
+        if combinator == ">":
+            met = at.select("page_id", F.col("parent_id").alias("node_id"), "found").join(up.select(*place), ["page_id", "node_id"])
+        else:
+            outer = up.select("page_id", "pre", "post", "depth", F.struct("node_id", "parent_id", "pre", "depth").alias("up_id"))
+            near = structural_join(at.select("page_id", "pre", "depth", "found"), outer, nearest=True).filter("up_id IS NOT NULL")
+            met = near.select("page_id", "found", "up_id.*")
+        at, combinator = met.select(*place, "found"), before
+    return at.select("page_id", F.col("found").alias("node_id"))
 
 
 def sibling_position(nodes: DataFrame) -> DataFrame:
@@ -69,10 +75,10 @@ def effective_declarations(declared: DataFrame) -> DataFrame:
 
 
 def node_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(page_id, node_id, text): text of all descendants in order; script and style are left out. A text meets its ancestors among `of` by an equality join."""
+    """(page_id, node_id, text): text of all descendants in order; script and style are left out."""
     raw = nodes.filter("tag IN ('script', 'style')").select("page_id", F.col("node_id").alias("parent_id"))
-    words = nodes.filter("tag = '#text'").join(raw, ["page_id", "parent_id"], "left_anti").select("page_id", "pre", "text", F.explode("ancestors").alias("node_id"))
-    met = words.join(of.select("page_id", "node_id"), ["page_id", "node_id"])
+    words = nodes.filter("tag = '#text'").join(raw, ["page_id", "parent_id"], "left_anti").select("page_id", "pre", "depth", "text")
+    met = structural_join(words, of.select("page_id", "pre", "post", "depth", F.col("node_id").alias("up_id"))).withColumnRenamed("up_id", "node_id")
     return met.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda s: s["text"]), "").alias("text"))
 
 
@@ -114,9 +120,10 @@ def role_statistics(nodes: DataFrame) -> DataFrame:
 
 def structure_checks(nodes: DataFrame, levels: int = 9) -> DataFrame:
     """(page_id, node_id, rule, severity): a table without rows (error) or header cells (warning), and a list item without label or body (warning), at most `levels` below."""
-    tops = nodes.filter("tag IN ('table', 'li')").select("page_id", "node_id", "tag")
-    parts = nodes.filter("tag IN ('tr', 'th', 'dt', 'dd')").select("page_id", F.col("tag").alias("part"), F.explode(F.slice("ancestors", F.greatest(F.lit(1), F.size("ancestors") - levels + 1), F.lit(levels))).alias("node_id"))
-    found = parts.join(tops.select("page_id", "node_id"), ["page_id", "node_id"]).groupBy("page_id", "node_id").agg(F.collect_set("part").alias("parts"))
+    tops = nodes.filter("tag IN ('table', 'li')").select("page_id", "node_id", "tag", "pre", "post", "depth")
+    parts = nodes.filter("tag IN ('tr', 'th', 'dt', 'dd')").select("page_id", "pre", "depth", F.col("tag").alias("part"))
+    inside = structural_join(parts, tops.select("page_id", "pre", "post", "depth", F.col("node_id").alias("up_id")), levels=levels)
+    found = inside.groupBy("page_id", F.col("up_id").alias("node_id")).agg(F.collect_set("part").alias("parts"))
     has = lambda *tags: F.coalesce(F.arrays_overlap("parts", F.array(*map(F.lit, tags))), F.lit(False))
     rule = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
     table = F.col("tag") == "table"
@@ -143,8 +150,8 @@ def page_quality(nodes: DataFrame) -> DataFrame:
     alt = F.coalesce(attribute("aria-label"), attribute("alt"))
     on_node = x.select("page_id", F.when((F.col("tag") == "img") & ~decorative() & alt.isNull(), said("NO_ALTERNATIVE", "error", own)).when((F.col("tag") == "th") & attribute("scope").isNull(), said("NO_SCOPE", "warning", own)).alias("s"))
     link = (F.col("tag") == "a") & attribute("href").isNotNull() & (F.coalesce(attribute("aria-label"), F.lit("")) == "")
-    titled = x.filter((F.col("tag") == "title") | link | F.col("tag").rlike("^h[1-6]$")).select("page_id", "node_id", "pre", "tag")
-    texts = cut(titled.join(node_text(x, titled), ["page_id", "node_id"], "left").withColumn("title", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))), "page-texts")
+    titled = x.filter((F.col("tag") == "title") | link | F.col("tag").rlike("^h[1-6]$")).select("page_id", "node_id", "pre", "post", "depth", "tag")
+    texts = cut(titled.drop("post", "depth").join(node_text(x, titled), ["page_id", "node_id"], "left").withColumn("title", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))), "page-texts")
     silent = texts.filter("tag = 'a' AND title = ''").select("page_id", said("SILENT_LINK", "warning", own).alias("s"))
     facts = x.select("page_id", ((F.col("tag") == "html") & (F.coalesce(attribute("lang"), F.lit("")) != "")).alias("lang"), F.lit(False).alias("title"))
     facts = facts.unionByName(texts.filter("tag = 'title' AND title <> ''").select("page_id", F.lit(False).alias("lang"), F.lit(True).alias("title")))

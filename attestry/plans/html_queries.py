@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import generic as G
 from attestry.operators import html as H
+from attestry.operators import styles
 from attestry.plans.fixtures import view
 from attestry.plans.registry import query
 from attestry.sources.html import html_nodes
@@ -62,6 +63,27 @@ def effective_declarations(spark, sf):
     return H.effective_declarations(spark.sql(_DECL, lineitem=view(spark, sf, "lineitem")))
 
 
+#: (rule_id, selector, origin, ord, property, value, important); each part adds a rule of its own that fits nothing.
+_SHEET = [
+    (1, "li > a", 1, 1, "color", "list", False), (2, "nav a", 1, 2, "color", "nav", False), (2, "nav a", 1, 2, "font-weight", "bold", False), (3, 'ul li > a[href^="/t"]', 1, 0, "color", "t", False), (4, ".ad", 0, 0, "display", "block", True),
+    (5, "body > div.ad:not(#x)", 1, 3, "display", "none", False), (6, "body > footer", 1, 4, "font-size", "small", False), (7, "div footer", 2, 0, "font-size", "none", False), (8, "nav li:nth-child(odd) > a", 1, 5, "margin", "odd", False), (9, "html head > meta[charset|=utf]", 1, 6, "display", "none", False),
+]
+_STYLED = [
+    ("color", "t", COUNT('<li><a href=.[/]t')), ("color", "nav", f"{COUNT('<li><a ')} - {COUNT('<li><a href=.[/]t')}"), ("font-weight", "bold", COUNT("<li><a ")), ("margin", "odd", f"({COUNT('<li><a ')} + 1) // 2"),
+    ("display", "block", COUNT("<div class=.ad.")), ("display", "none", COUNT("<meta charset=.utf-8")), ("font-size", "small", COUNT("<footer>")),
+]
+
+
+@query("t3_cascaded_styles", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{p}' AS property, '{v}' AS value, {n} AS n FROM pages" for p, v, n in _STYLED) + ") WHERE n > 0")
+def cascaded_styles(spark, sf):
+    """How many nodes of each page get which value, from a style sheet of some rules and one more a part."""
+    sheet = spark.createDataFrame(_SHEET, "rule_id long, selector string, origin int, ord long, property string, value string, important boolean")
+    more = view(spark, sf, "part").selectExpr("p_partkey + 100 AS rule_id", "concat('nav li > a.p', p_partkey, ' > #q', p_size) AS selector", "1 AS origin", "p_partkey AS ord", "'color' AS property", "p_brand AS value", "true AS important")
+    every = sheet.unionByName(more.select(F.col("rule_id").cast("long"), "selector", "origin", F.col("ord").cast("long"), "property", "value", "important"))
+    found = styles.cascaded_styles(nodes(spark, sf), every.select("rule_id", "selector", "origin", "ord").distinct(), every.select("rule_id", "property", "value", "important"))
+    return found.groupBy("page_id", "property", "value").agg(F.count("*").alias("n"))
+
+
 _H1 = "trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 

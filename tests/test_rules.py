@@ -245,14 +245,9 @@ def test_names_in_turkish_order(spark):
 def test_text_of_nodes(spark):
     """Descendants at any depth and in order; script and style left out; nodes inside one another each have their own text."""
     from attestry.operators import html
+    from attestry.sources.html import html_nodes
 
-    tree = [(1, None, "body", None), (2, 1, "p", None), (3, 2, "#text", "a "), (4, 2, "b", None), (5, 4, "#text", "bold"), (6, 1, "script", None), (7, 6, "#text", "x()"), (8, 1, "style", None), (9, 8, "#text", "y{}"), (10, 1, "#text", " end"), (11, 1, "i", None)]
-    up = {n: p for n, p, *_ in tree}
-
-    def above(n):
-        return [] if up[n] is None else [up[n], *above(up[n])]
-
-    df = spark.createDataFrame([(7, n, p, tag, text, n, above(n)) for n, p, tag, text in tree], "page_id long, node_id long, parent_id long, tag string, text string, pre long, ancestors array<bigint>")
+    df = html_nodes(spark.createDataFrame([(7, "<body><p>a <b>bold</b></p><script>x()</script><style>y{}</style> end<i></i>")], "page_id long, html string"))
     assert {(r["node_id"], r["text"]) for r in html.node_text(df, df.filter("tag IN ('body', 'p', 'i')")).collect()} == {(1, "a bold end"), (2, "a bold")}
 
 
