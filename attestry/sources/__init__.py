@@ -43,6 +43,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key is hot if it holds more than one in HOT of all rows, so at most HOT are; rows of a hot key are dealt over SPREAD tasks.
+HOT, SPREAD = 1000, 32
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: tuple[str, str], fits: Column, deal: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right where left's column on[0] equals right's on[1] and `fits` holds, however many rows of left have one value there.
+
+    A right side of BROADCAST_ROWS is broadcast. Beyond that, left's rows of hot values are dealt by `deal` (a column of left) over SPREAD tasks, each of which gets right's
+    rows of that value; all others are shuffled by value. Columns of both sides have different names. Nulls meet nothing.
+    """
+    name, other = on
+    same = F.col(name) == F.col(other)
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), same & fits, how)
+    hot = F.broadcast(cut(left.groupBy(F.col(name).alias("__hot")).agg(F.count("*").alias("__n")).filter(F.col("__n") * HOT > left.count()).select("__hot"), "hot"))
+    dealt = left.join(hot, F.col(name) == F.col("__hot"), "left_semi").withColumn("__l", F.pmod(F.xxhash64(deal), F.lit(SPREAD)).cast("int"))
+    copied = right.join(hot, F.col(other) == F.col("__hot"), "left_semi").withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = dealt.join(copied, same & (F.col("__l") == F.col("__r")) & fits, how).drop("__l", "__r")
+    return met.unionByName(left.join(hot, F.col(name) == F.col("__hot"), "left_anti").join(right, same & fits, how))
+
+
 def numbered(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
     """df with `name`, the rows of each `by` numbered from 1 in the given order, exactly and without bringing a group to one task.
 

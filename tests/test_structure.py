@@ -130,3 +130,22 @@ def test_deep_pages_stay_linear(spark):
     assert html.node_text(table, table.filter("depth = 1")).first()["text"] == "x"
     assert html.select_nodes(table, (html.matches_simple("div"), ""), (html.matches_simple("div"), " ")).count() == 19_999
     table.unpersist()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_an_issuer_of_very_many_is_dealt_out(spark, monkeypatch, how):
+    """One name in a third of all rows, nulls in another, several candidates a name: the same rows with and without dealing."""
+    from pyspark.sql import functions as F
+
+    from attestry import sources
+
+    left = [(i, "CA" if i % 3 == 0 else None if i % 3 == 1 else f"n{i % 50}", i % 2) for i in range(3000)]
+    right = [(f"u{k}", name, k % 2) for k, name in enumerate(["CA", "CA", "CA", *[f"n{i}" for i in range(0, 60, 2)], None])]
+    a, b = spark.createDataFrame(left, "id long, name string, x int"), spark.createDataFrame(right, "u_id string, u_name string, u_x int")
+    want = [(i, u) for i, n, x in left for u, m, y in right if n is not None and n == m and x == y]
+    want += [(i, "") for i in {r[0] for r in left} - {w[0] for w in want}] if how == "left" else []
+    monkeypatch.setattr(sources, "HOT", 10)
+    for rows in (1000, 3):
+        monkeypatch.setattr(sources, "BROADCAST_ROWS", rows)
+        got = sources.join_hot(a, b, ("name", "u_name"), F.col("x") == F.col("u_x"), "id", how)
+        assert sorted((r["id"], r["u_id"] or "") for r in got.collect()) == sorted(want)
