@@ -26,26 +26,58 @@ ORDER, BITS = 5, 12
 #: Symbols of a language: its most frequent characters by number, after the two that every language has.
 ALPHABET = (1 << BITS) - 2
 _START, _RARE = 0, 1
-#: Characters looked at together, and model entries (16 bytes each) that are broadcast in a round, unless one part has more.
-SEGMENT, ROUND_ENTRIES = 1 << 20, 8 << 20
+#: Characters of texts looked at together (a longer text: its pieces), and model entries (16 bytes each) that are broadcast in a round, unless one part has more.
+SEGMENT, ROUND_ENTRIES = 1 << 18, 8 << 20
 #: The band's half-width: interquartile ranges beyond the quartiles, and natural-log units over the root of the length for short texts.
 BAND_IQR, BAND_SHORT = 2.0, 3.0
 #: Fixed values of the contract.
-SIGNS, BLANKS, WINDOW = "#*$%&|<>", " \t\n\v\f\r", 5
+SIGNS, BLANKS, WINDOW = b"#*$%&|<>", b" \t\n\v\f\r", 5
 _BLANK, _DIGIT = 32, 48
-
-
-def characters(text: str | None) -> Iterator[np.ndarray]:
-    """Code points of a text in lower case, piece by piece; digits are 0, and a run of white space is one blank."""
-    low, before = (text or "").lower(), np.zeros(1, np.uint32)
-    for i in range(0, len(low), SEGMENT):
-        a = np.frombuffer(low[i : i + SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+#: Kinds of bytes of UTF-8: white space, signs, those of a character after its first; and for hashes of words, an odd number and one for each byte.
+_WHITE, _SIGN, _LATER = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(BLANKS)], _KINDS[list(SIGNS)], _KINDS[128:192] = _WHITE, _SIGN, _LATER
+_ODD, _BYTES = 0x9E3779B97F4A7C15, mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+def characters(*texts: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of texts in lower case, and which text each is from; digits are 0, and a run of white space is one blank. One text comes piece by piece, several come as one piece."""
+    low, before = [(t or "").lower() for t in texts], np.zeros(1, np.uint32)
+    sizes, whole = [len(t) for t in low], "".join(low)
+    step = SEGMENT if len(texts) == 1 else max(len(whole), 1)
+    for i in range(0, len(whole), step):
+        a = np.frombuffer(whole[i : i + step].encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        of = np.repeat(np.arange(len(texts)), sizes) if len(texts) > 1 else np.zeros(len(a), np.int64)
         a[((a >= 9) & (a <= 13)) | (a == 0xA0)] = _BLANK
         a[(a >= 48) & (a <= 57)] = _DIGIT
-        a = a[(a != _BLANK) | (np.concatenate([before, a[:-1]]) != _BLANK)]
+        one = (a != _BLANK) | (np.concatenate([before, a[:-1]]) != _BLANK)
+        one[borders(of)] = True
+        a, of = a[one], of[one]
         if len(a):
             before = a[-1:]
-            yield a
+            yield a, of
+
+
+def borders(of: np.ndarray) -> np.ndarray:
+    """Where a text begins that is not the first."""
+    return np.flatnonzero(of[1:] != of[:-1]) + 1
+
+
+def together(langs: list[str], texts: Iterator[str | None]) -> Iterator[tuple[str, list[int], list[str | None]]]:
+    """(language, places, texts) of rows of one language that have SEGMENT characters together, unless one alone has more."""
+    held: dict[str, tuple[list[int], list[str | None]]] = {}
+    sizes: dict[str, int] = {}
+    for k, (lang, text) in enumerate(zip(langs, texts)):
+        n = len(text or "")
+        if lang in held and sizes[lang] + n > SEGMENT:
+            yield lang, *held.pop(lang)
+        if lang not in held:
+            held[lang], sizes[lang] = ([], []), 0
+        held[lang][0].append(k)
+        held[lang][1].append(text)
+        sizes[lang] += n
+    for lang, (places, own) in held.items():
+        yield lang, places, own
 
 
 class Alphabets:
@@ -68,17 +100,25 @@ class Alphabets:
         """Symbols that may follow: the language's own and the rare one."""
         return len(self.found.get(lang, ())) + 1
 
-    def grams(self, lang: str, text: str | None) -> Iterator[np.ndarray]:
-        """Keys of the 5-grams that end at each symbol of a text, piece by piece."""
+    def grams_of(self, lang: str, *texts: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of the 5-grams that end at each symbol of texts of a language, and which text each is from, in the pieces of characters()."""
         tail = np.full(ORDER - 1, _START, np.int64)
-        for piece in characters(text):
+        for piece, of in characters(*texts):
             a = np.concatenate([tail, self.table(lang)[piece].astype(np.int64)])
             keys = a[: len(piece)].copy()
             for j in range(1, ORDER):
-                keys = keys << BITS | a[j : len(piece) + j]
-            yield keys
+                keys <<= BITS
+                keys |= a[j : len(piece) + j]
+            for j in range(ORDER - 1):  # a text's first symbols have START before them, which is 0
+                at = borders(of) + j
+                keys[at[at < len(keys)]] &= mask(j + 1)
+            yield keys, of
             tail = a[-(ORDER - 1) :]
 
+    def grams(self, lang: str, *texts: str | None) -> Iterator[np.ndarray]:
+        """The keys alone."""
+        return (keys for keys, _ in self.grams_of(lang, *texts))
+
 
 def mask(n: int) -> int:
     return (1 << BITS * n) - 1
@@ -111,8 +151,8 @@ def _counter(keys_of):
             sums.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
-                for keys in keys_of(lang, text):
+            for lang, _, texts in together(batch.column("lang").to_pylist(), strings(batch.column("text"))):
+                for keys in keys_of(lang, *texts):
                     held.setdefault(lang, []).append(keys)
                     size += len(keys)
                     if size >= 2 << 20:
@@ -135,7 +175,7 @@ def alphabets(rows: DataFrame, most: int = ALPHABET) -> Alphabets:
     """The `most` most frequent characters of each language, by code point among equals. The driver sees these alone."""
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("c"), "k"))
     found: dict[str, list[int]] = {}
-    for lang, k in counted(rows, lambda _, text: characters(text)).withColumn("r", rank).filter(F.col("r") <= most).orderBy("lang", "r").select("lang", "k").collect():
+    for lang, k in counted(rows, lambda _, *texts: (a for a, _ in characters(*texts))).withColumn("r", rank).filter(F.col("r") <= most).orderBy("lang", "r").select("lang", "k").collect():
         found.setdefault(lang, []).append(k)
     return Alphabets({lang: np.array(k, np.int64) for lang, k in found.items()})
 
@@ -191,75 +231,162 @@ def pivot() -> Column:
 
 
 class Model:
-    """N-grams of a language, or of a part of its alphabet: sorted hashes with log probabilities and log back-off weights."""
+    """N-grams of a language, or of a part of its alphabet: sorted hashes with log probabilities and log back-off weights.
+
+    Hashes are even over their range, so a table by their first bits says where a search begins, a step or two before its end.
+    """
 
-    def __init__(self, size: int, parts: int, part: int, n: np.ndarray, k: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
-        self.parts, self.part = parts, part
-        h = np.concatenate([gram_hash(j, k[n == j]) for j in range(1, ORDER + 1)])
-        at = np.concatenate([np.flatnonzero(n == j) for j in range(1, ORDER + 1)])
-        order = np.argsort(h)
-        self.unseen = float(np.nan_to_num(backoff[n == 0]).sum()) - np.log(size)  # of a symbol that the language never has
-        self.hashes, self.logp, self.backoff = h[order], logp[at][order].astype(np.float32), np.nan_to_num(backoff[at][order]).astype(np.float32)
+    def __init__(self, size: int, parts: int, part: int, hashes: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
+        self.parts, self.part, self.hashes, self.logp, self.backoff = parts, part, hashes, logp, backoff
+        empty = hashes[:1] == gram_hash(0, np.zeros(1, np.int64))  # of the empty context, which is the smallest hash
+        self.unseen = float(backoff[:1][empty].sum()) - np.log(size)  # of a symbol that the language never has
+        bits = len(hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.uint32)
+        for i in range(0, len(hashes), SEGMENT):
+            at, n = np.unique(hashes[i : i + SEGMENT] >> self.shift, return_counts=True)
+            self.first[at.astype(np.int64) + 1] += n.astype(np.uint32)
+        np.cumsum(self.first, out=self.first)
 
     def _find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = gram_hash(order, keys)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
+        at = np.minimum(self.first[(h >> self.shift).astype(np.int64)], len(self.hashes) - 1)
+        got = self.hashes[at]
+        late = np.flatnonzero(got < h)
+        while len(late):
+            late = late[at[late] < len(self.hashes) - 1]
+            at[late] += 1
+            got[late] = self.hashes[at[late]]
+            late = late[got[late] < h[late]]
+        return at, got == h
+
+    def each(self, keys: np.ndarray) -> np.ndarray:
+        """Log probabilities of the last symbols of 5-grams; 0 for those of other parts."""
+        out = np.zeros(len(keys))
+        todo = np.flatnonzero((keys >> BITS & mask(1)) % self.parts == self.part) if self.parts > 1 else np.arange(len(keys))
+        keys, rest = keys[todo], np.zeros(len(todo))
+        for n in range(ORDER, 0, -1):
+            at, hit = self._find(n, keys & mask(n))
+            logp = self.logp[at]
+            hit &= ~np.isnan(logp)
+            out[todo[hit]] = logp[hit] + rest[hit]
+            todo, keys, rest = todo[~hit], keys[~hit], rest[~hit]
+            if not len(todo):
+                return out
+            if n > 1:
+                at, hit = self._find(n - 1, keys >> BITS & mask(n - 1))
+                rest += np.where(hit, self.backoff[at], 0)
+        out[todo] = rest + self.unseen
+        return out
 
     def score(self, keys: np.ndarray) -> float:
         """The sum of log probabilities of the last symbols of 5-grams, those of this part."""
-        if self.parts > 1:
-            keys = keys[(keys >> BITS & mask(1)) % self.parts == self.part]
-        h = gram_hash(ORDER, keys)
-        asked, times = np.unique(h, return_counts=True)  # in the order of the table, through which the search so goes once
-        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
-        hit = (self.hashes[at] == asked) & ~np.isnan(self.logp[at])
-        total = float((times[hit] * self.logp[at[hit]]).sum())
-        lost = asked[~hit]
-        if not len(lost):
-            return total
-        keys, times = np.unique(keys[lost[np.minimum(np.searchsorted(lost, h), len(lost) - 1)] == h], return_counts=True)
-        at, hit = self._find(ORDER - 1, keys >> BITS)
-        rest = np.where(hit, self.backoff[at], 0).astype(np.float64)
-        for n in range(ORDER - 1, 0, -1):
-            own = keys & mask(n)
-            at, hit = self._find(n, own)
-            hit &= ~np.isnan(self.logp[at])
-            total += float((times[hit] * (self.logp[at[hit]] + rest[hit])).sum())
-            keys, times, rest, own = keys[~hit], times[~hit], rest[~hit], own[~hit]
-            if not len(keys):
-                return total
-            if n > 1:
-                at, hit = self._find(n - 1, own >> BITS)
-                rest += np.where(hit, self.backoff[at], 0)
-        return total + float((times * (rest + self.unseen)).sum())
+        return float(self.each(keys).sum())
+
+
+def repeated_words(words: list[bytes]) -> int:
+    """Words that stand in a window of WINDOW words that is found twice or more, the first included."""
+    if len(words) < WINDOW:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    n = len(ids) - WINDOW + 1
+    h = ids[:n].copy()
+    for j in range(1, WINDOW):
+        h = mix64(h) + ids[j : n + j]
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    marks = np.zeros(len(ids) + 1, np.int64)
+    twice = np.flatnonzero(times[at] > 1)
+    marks[twice] += 1
+    np.subtract.at(marks, twice + WINDOW, 1)
+    return int((np.cumsum(marks) > 0).sum())
+
+
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    lines = text.split(b"\n")
+    if len(set(lines)) == len(lines):
+        return 0
+    lines = [x for x in lines if x.strip(BLANKS)]
+    return len(lines) - len(set(lines))
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text; words are runs of anything but ASCII white space."""
-    text = text or ""
-    words = text.encode().split()
-    seen: set[str] = set()
-    dup = 0
-    for line in text.split("\n"):
-        if line.strip(BLANKS):
-            dup += line in seen
-            seen.add(line)
-    repeat = 0
-    if len(words) >= WINDOW:
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-        n = len(ids) - WINDOW + 1
-        h = ids[:n].copy()
-        for j in range(1, WINDOW):
-            h = mix64(h) + ids[j : n + j]
-        _, at, times = np.unique(h, return_inverse=True, return_counts=True)
-        marks = np.zeros(len(ids) + 1, np.int64)
-        twice = np.flatnonzero(times[at] > 1)
-        marks[twice] += 1
-        np.subtract.at(marks, twice + WINDOW, 1)
-        repeat = int((np.cumsum(marks) > 0).sum())
-    return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SIGNS)), dup, repeat
+    return tuple(int(c[0]) for c in base_counts_of([(text or "").encode()]))
+
+
+def base_counts_of(texts: list[bytes]) -> list[np.ndarray]:
+    """base_counts() of texts in UTF-8, a column each. Hashes say which texts may have a window twice; only these are counted word by word, by the words themselves."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    kind, has = _KINDS[data], np.flatnonzero(sizes)
+
+    def by_text(marks: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(texts), np.int64)
+        if len(has):
+            out[has] = np.add.reduceat(marks, (ends - sizes)[has], dtype=np.int64)
+        return out
+
+    inside = kind != _WHITE
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    new = (ends - sizes)[has]
+    begins[new] = inside[new]
+    n_words = by_text(begins)
+    starts = np.flatnonzero(begins)
+    of = np.repeat(np.arange(len(texts)), n_words)
+    repeat, dup = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for k in twice(data, inside, starts, of) if len(data) <= SEGMENT else range(len(texts)):
+        repeat[k] = repeated_words(texts[k].split())
+    for k in np.flatnonzero(by_text(data == 10)):
+        dup[k] = repeated_lines(texts[k])
+    return [n_words, by_text(inside & (kind != _LATER)), by_text(kind == _SIGN), dup, repeat]
+
+
+def twice(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, of: np.ndarray) -> list[int]:
+    """Texts in which two windows of words have the same hash; all that have a window twice are among them.
+
+    A word's hash is the sum of its bytes, each times an odd number to the power of its place, from differences of running sums over all texts.
+    """
+    n = len(starts) - WINDOW + 1
+    if n < 1:
+        return []
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(np.where(inside, _BYTES[data], 0) * _powers(_ODD, SEGMENT)[: len(data)], out=sums[1:])
+    # white space adds nothing, so a word's sum reaches to the next word's start; the inverse power takes its place out of it
+    words = mix64(np.diff(sums[np.append(starts, len(data))]) * _powers(pow(_ODD, -1, 1 << 64), SEGMENT)[starts])
+    h = words[:n].copy()
+    for j in range(1, WINDOW):
+        h *= np.uint64(_ODD)
+        h += words[j : n + j]
+    within = of[:n] == of[WINDOW - 1 :]
+    bits = np.uint64(int(of[-1]).bit_length())
+    h = np.sort(mix64(h[within]) >> bits << bits | of[:n][within].astype(np.uint64))
+    return np.unique(h[1:][h[1:] == h[:-1]] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64).tolist()
+
+
+@lru_cache(maxsize=2)
+def _powers(x: int, n: int) -> np.ndarray:
+    """x to the powers 0 to n - 1, modulo 2 to the 64."""
+    out = np.full(n, x, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def counts_in(column: pa.Array) -> list[np.ndarray]:
+    """base_counts() of an Arrow column of texts, some of SEGMENT bytes together at a time, unless one alone has more."""
+    found, held, size = [], [], 0
+    for text in strings(column.cast(pa.binary())):
+        text = text or b""
+        if held and size + len(text) > SEGMENT:
+            found.append(base_counts_of(held))
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    found.append(base_counts_of(held))
+    return [np.concatenate(c) for c in zip(*found)]
 
 
 def _scorer(models, symbols, first: bool):
@@ -271,16 +398,15 @@ def _scorer(models, symbols, first: bool):
             own.setdefault(lang, []).append(Model(*m))
         signs = symbols.value
         for batch in batches:
-            known, rows = [] if first else batch.column("total").to_pylist(), []
-            for k, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), strings(batch.column("text")))):
-                n, total = 0, 0.0 if first else known[k]
-                for keys in signs.grams(lang, text) if first or lang in own else ():
-                    n += len(keys)
-                    total += sum(m.score(keys) for m in own.get(lang, ()))
-                rows.append((*base_counts(text), n, total) if first else (total,))
-            kinds = [pa.int64()] * 6 * first + [pa.float64()]
-            cols = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 3 if first else -1], *cols], ["doc_id", "lang", "text", *_BASE, "n_grams", "total"])
+            n = np.zeros(batch.num_rows, np.int64)
+            total = np.zeros(batch.num_rows) if first else batch.column("total").to_numpy().copy()
+            for lang, places, texts in together(batch.column("lang").to_pylist(), strings(batch.column("text"))):
+                for keys, of in signs.grams_of(lang, *texts) if first or lang in own else ():
+                    n[places] += np.bincount(of, minlength=len(texts))
+                    for m in own.get(lang, ()):
+                        total[places] += np.bincount(of, m.each(keys), len(texts))
+            made = [*counts_in(batch.column("text")), n, total] if first else [total]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 3 if first else -1], *map(pa.array, made)], ["doc_id", "lang", "text", *_BASE, "n_grams", "total"])
 
     return tidy(run)
 
@@ -312,7 +438,7 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     spark, found = docs.sparkSession, alphabets(rows)
     symbols = spark.sparkContext.broadcast(found)
-    counts = counted(rows, lambda lang, text: symbols.value.grams(lang, text))
+    counts = counted(rows, lambda lang, *texts: symbols.value.grams(lang, *texts))
     sizes = spark.createDataFrame([(name, found.size(name)) for name in found.found], "lang string, v int")
     model = cut(kneser_ney(counts, sizes), "quality-model")
     scored = rows
@@ -331,8 +457,16 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     )
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams by hash. Its first bit is turned, so that signed numbers sort as unsigned ones."""
+    for batch in batches:
+        n, k = batch.column("n").to_numpy(), batch.column("k").to_numpy()
+        h = mix64(k.astype(np.uint64) | n.astype(np.uint64) << np.uint64(60)) ^ np.uint64(1 << 63)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("logp"), batch.column("backoff")], ["h", "logp", "backoff"])
+
+
 def model_rounds(model: DataFrame, found: Alphabets) -> Iterator[dict]:
-    """What is broadcast round by round: models by (language, parts, part), ROUND_ENTRIES entries together, unless one alone has more."""
+    """What is broadcast round by round: models by (language, parts, part), ROUND_ENTRIES entries together, unless one alone has more. Spark sorts them, once."""
     todo = []
     for name, n in sorted(model.groupBy("lang").count().collect()):
         parts = -(-n // ROUND_ENTRIES)
@@ -345,8 +479,9 @@ def model_rounds(model: DataFrame, found: Alphabets) -> Iterator[dict]:
         own = model.filter(F.col("lang") == name)
         if parts > 1:
             own = own.filter(F.exists(pivot(), lambda p: p.isNull() | (p % parts == part)))
-        t = own.select("n", "k", "logp", "backoff").toArrow()
-        held[name, parts, part] = (found.size(name), parts, part, *(t.column(c).to_numpy() for c in t.column_names))
+        own = own.select("n", "k", F.col("logp").cast("float").alias("logp"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
+        t = own.mapInArrow(_hashed, "h long, logp float, backoff float").orderBy("h").toArrow()
+        held[name, parts, part] = (found.size(name), parts, part, t.column("h").to_numpy().view(np.uint64) ^ np.uint64(1 << 63), t.column("logp").to_numpy(), t.column("backoff").to_numpy())
         size += n
     if held or not todo:
         yield held
