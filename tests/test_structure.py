@@ -132,6 +132,18 @@ def test_deep_pages_stay_linear(spark):
     table.unpersist()
 
 
+def test_ancestors_of_a_page_in_hand(spark):
+    """One page's nodes come with all that is around them; the table has the same nodes without."""
+    r = random.Random(5)
+    for text in [None, "", "x", *(page(r, 60) for _ in range(20))]:
+        for n in nodes(text):
+            above = [m for m in nodes(text) if m[2] < n[2] and m[3] > n[3]]
+            assert n[8] == [m[0] for m in sorted(above, key=lambda m: m[2])] and len(n[8]) == n[4]
+    text = page(r, 60)
+    got = html_nodes(spark.createDataFrame([(1, text)], "page_id long, html string")).orderBy("node_id").collect()
+    assert [list(x[1:]) for x in got] == [n[:8] for n in nodes(text)]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_an_issuer_of_very_many_is_dealt_out(spark, monkeypatch, how):
     """One name in a third of all rows, nulls in another, several candidates a name: the same rows with and without dealing."""
