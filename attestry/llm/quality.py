@@ -35,8 +35,7 @@ SIGNS, BLANKS, WINDOW = b"#*$%&|<>", b" \t\n\v\f\r", 5
 _BLANK, _DIGIT = 32, 48
 #: Kinds of bytes of UTF-8: white space, signs, those of a character after its first; and for hashes of words, an odd number and one for each byte.
 _WHITE, _SIGN, _LATER = 1, 2, 3
-_KINDS = np.zeros(256, np.uint8)
-_KINDS[list(BLANKS)], _KINDS[list(SIGNS)], _KINDS[128:192] = _WHITE, _SIGN, _LATER
+_KINDS = bytes(_WHITE if b in BLANKS else _SIGN if b in SIGNS else _LATER if 128 <= b < 192 else 0 for b in range(256))
 _ODD, _BYTES = 0x9E3779B97F4A7C15, mix64(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -320,8 +319,8 @@ def base_counts_of(texts: list[bytes]) -> list[np.ndarray]:
     """base_counts() of texts in UTF-8, a column each. Hashes say which texts may have a window twice; only these are counted word by word, by the words themselves."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    kind, has = _KINDS[data], np.flatnonzero(sizes)
+    whole, has = b"".join(texts), np.flatnonzero(sizes)
+    data, kind = np.frombuffer(whole, np.uint8), np.frombuffer(whole.translate(_KINDS), np.uint8)
 
     def by_text(marks: np.ndarray) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
