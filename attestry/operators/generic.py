@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestry.sources import cut
+from attestry.sources import cut, small
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, actions_before: DataFrame, actions_after: DataFrame) -> DataFrame:
@@ -49,10 +49,26 @@ def metadata_consistency(info: DataFrame, xmp: DataFrame) -> DataFrame:
 
 
 def best_variant(requests: DataFrame, variants: DataFrame) -> DataFrame:
-    """(request_id, ordinal): of a family's variants the one nearest in style (another style costs 300 where italic is wanted, else 200) and weight; the first registered wins ties, null for an unknown family."""
-    cost = F.when(F.col("style") == F.col("want_style"), 0).when(F.col("want_style") == "italic", 300).otherwise(200) + F.abs(F.col("weight") - F.col("want_weight"))
-    best = requests.join(variants, "family").groupBy("request_id").agg(F.min_by("ordinal", F.struct(cost.alias("c"), F.col("ordinal"))).alias("ordinal"))
-    return requests.select("request_id").join(best, "request_id", "left")
+    """(request_id, ordinal): of a family's variants the one nearest in style (another style costs 300 where italic is wanted, else 200) and weight; the first registered wins ties, null for an unknown family.
+
+    Equal wishes are looked up once. A wish meets four variants: the nearest that are not heavier and not lighter, of its style and of any, which windows in order of weight find;
+    so nothing is held against a whole family. Where a weight is missing the first registered is taken after all that can be compared.
+    """
+    shelves = lambda style: F.explode(F.array(F.col(style), F.lit(None).cast("string"))).alias("shelf")
+    kept = variants.filter("family IS NOT NULL").select("family", shelves("style"), "weight", "ordinal").groupBy("family", "shelf", "weight").agg(F.min("ordinal").alias("ordinal"))
+    wishes = requests.filter("family IS NOT NULL").select("family", "want_weight", "want_style").distinct()
+    asked = wishes.select("family", shelves("want_style"), F.col("want_weight").alias("weight"), "want_style", F.lit(True).alias("asks"))
+    shelf = W.partitionBy("family", "shelf")
+    near = lambda order: F.last(F.when(F.col("asks").isNull() & F.col("weight").isNotNull(), F.struct("weight", "ordinal")), ignorenulls=True).over(shelf.orderBy(order))
+    met = kept.unionByName(asked, allowMissingColumns=True).withColumns({"light": near(F.asc("weight")), "heavy": near(F.desc("weight")), "first": F.min("ordinal").over(shelf)}).filter("asks")
+    other = F.when(F.col("shelf").isNotNull(), 0).when(F.col("want_style") == "italic", 300).otherwise(200)
+    cost = lambda v: F.abs(F.col(f"{v}.weight") - F.col("weight")) + other
+    priced = lambda v: F.when(cost(v).isNotNull(), F.struct(F.lit(0).alias("open"), cost(v).alias("c"), F.col(f"{v}.ordinal").alias("ordinal")))
+    unpriced = F.when(F.col("shelf").isNull() & F.col("first").isNotNull(), F.struct(F.lit(1).alias("open"), F.lit(None).cast(met.select(cost("light")).schema[0].dataType).alias("c"), F.col("first").alias("ordinal")))
+    found = met.groupBy("family", F.col("weight").alias("w"), F.col("want_style").alias("s")).agg(F.min(F.least(priced("light"), priced("heavy"), unpriced)).alias("best")).withColumnRenamed("family", "f")
+    same = (F.col("family") == F.col("f")) & F.col("want_weight").eqNullSafe(F.col("w")) & F.col("want_style").eqNullSafe(F.col("s"))
+    best = requests.join(small(cut(found, "best-variants")), same, "left").groupBy("request_id").agg(F.min("best").alias("best"))
+    return best.select("request_id", F.col("best.ordinal").alias("ordinal"))
 
 
 #: Bits of a field's flags.
