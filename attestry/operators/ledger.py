@@ -182,7 +182,7 @@ def inclusion_proofs(leaves: DataFrame) -> DataFrame:
 
 
 def verify_inclusion(proofs: DataFrame, root: Column) -> DataFrame:
-    """Adds included: the path folded from leaf, leaf_index and size gives the root."""
+    """Adds included: the path folded from leaf, leaf_index and size gives the root. An index outside the log is never included."""
     start = F.struct(F.col("leaf").alias("r"), F.col("leaf_index").alias("fn"), (F.col("size") - 1).alias("sn"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -194,7 +194,7 @@ def verify_inclusion(proofs: DataFrame, root: Column) -> DataFrame:
         return F.struct(F.when(acc["sn"] == 0, F.lit("")).when(left, node_hash(p, acc["r"])).otherwise(node_hash(acc["r"], p)).alias("r"), shift(acc["fn"]).alias("fn"), shift(acc["sn"]).alias("sn"))
 
     end = F.aggregate("path", start, step)
-    return proofs.withColumn("e", end).select(*proofs.columns, ((F.col("e.r") == root) & (F.col("e.sn") == 0)).alias("included"))
+    return proofs.withColumn("e", end).select(*proofs.columns, ((F.col("e.r") == root) & (F.col("e.sn") == 0) & F.col("leaf_index").between(0, F.col("size") - 1)).alias("included"))
 
 
 def entry_range(entries: DataFrame, start: int, end: int) -> DataFrame:

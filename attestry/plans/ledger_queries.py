@@ -119,12 +119,16 @@ def inclusion_proof(spark, sf):
 
 @query("a16_verify_inclusion", f"SELECT leaf_index, leaf_index % 5 = 0 AS included FROM ({_LEAVES})")
 def verify_inclusion(spark, sf):
-    """Of every five proofs one is whole; one has another leaf, one another index, one another first sibling, one a size too small by half."""
+    """Of every five proofs one is whole; one has another leaf, one another index, one another first sibling, one a size too small by half.
+
+    The other index is the neighbour's, unless the neighbour is an equal leaf, which is included there by the same proof: then it is one behind the log.
+    """
     x = S.cut(leaves(spark, sf), "leaves")
     root = L.merkle_root(x).first()["root"]
     k = F.col("leaf_index") % 5
+    other = F.when(F.get("path", F.lit(0)) == F.col("leaf"), F.col("leaf_index") + F.col("size")).otherwise(F.col("leaf_index").bitwiseXOR(F.lit(1)))
     spoiled = L.inclusion_proofs(x).withColumn("n", F.col("leaf_index")).withColumns({
-        "leaf": F.when(k == 1, F.sha2("leaf", 256)).otherwise(F.col("leaf")), "leaf_index": F.when(k == 2, F.col("leaf_index").bitwiseXOR(F.lit(1))).otherwise(F.col("leaf_index")),
+        "leaf": F.when(k == 1, F.sha2("leaf", 256)).otherwise(F.col("leaf")), "leaf_index": F.when(k == 2, other).otherwise(F.col("leaf_index")),
         "path": F.when(k == 3, F.concat(F.array(F.sha2(F.lit("other"), 256)), F.slice("path", 2, 99))).otherwise(F.col("path")), "size": F.when(k == 4, F.floor(F.col("size") / 2)).otherwise(F.col("size")),
     })
     return L.verify_inclusion(spoiled, F.lit(root)).select(F.col("n").alias("leaf_index"), "included")
