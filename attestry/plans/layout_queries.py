@@ -18,7 +18,7 @@ def boxes(spark, sf):
 def lines(spark, sf):
     """Lines of an order's items; items that repeat a line number are told apart by their text."""
     x = view(spark, sf, "fx_lines")
-    cast = {c: F.col(c).cast("double") for c in ("x", "baseline", "font_size")} | {"right": F.col("line_end").cast("double"), "ord": F.col("ord") * 1000000 + F.substring("text", 2, 9).cast("long")}
+    cast = {c: F.col(c).cast("double") for c in ("x", "baseline", "font_size")} | {"right": F.col("line_end").cast("double"), "ord": F.col("ord") * 1000000 + F.expr("substr(text, 2)").cast("long")}
     return x.withColumns(cast)
 
 
@@ -72,7 +72,7 @@ SELECT doc_id, page, run, string_agg(CASE WHEN blank THEN ' ' ELSE '' END || tex
 def merge_runs(spark, sf):
     """Words of a line: items of one order at steps of some thirty points, a few of them lower or larger."""
     x = view(spark, sf, "fx_lines")
-    k = F.substring("text", 2, 9).cast("long")
+    k = F.expr("substr(text, 2)").cast("long")
     base = F.when(F.col("style_key") == "b", 104.0).when(k % 5 == 0, 101.5).otherwise(100.0)
     items = x.select("doc_id", "page", (F.col("ord") * 1000000 + k).alias("ord"), (F.col("ord") * 30 + k % 4 * 4).cast("double").alias("x"), (F.col("ord") * 30 + 25.0).cast("double").alias("right"), base.alias("baseline"), F.col("font_size").cast("double").alias("font_size"), "text")
     return L.merge_runs(items)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import ledger
+from attestry.operators import layout, ledger
 from attestry.plans.registry import ORACLES, QUERIES
 
 
@@ -30,3 +30,18 @@ def test_equal_neighbours_do_not_prove_another_index(spark, tmp_path, n):
 def test_an_index_behind_the_log_is_not_included(spark):
     proof = spark.createDataFrame([(i, "aa", 1, []) for i in (0, 1, 2, -1)], "leaf_index long, leaf string, size long, path array<string>")
     assert {r["leaf_index"]: r["included"] for r in ledger.verify_inclusion(proof, F.lit("aa")).collect()} == {0: True, 1: False, 2: False, -1: False}
+
+
+def test_runs_of_parts_with_long_keys(spark, tmp_path):
+    """Part keys of ten digits and more are read whole."""
+    keys = "SELECT i // 6 AS l_orderkey, 98765432100 + i * 13 % 101 AS l_partkey, i // 3 % 2 AS l_suppkey, (1 + i % 6)::INT AS l_linenumber FROM range(300) t(i)"
+    got, want = against_sql(spark, tmp_path, "w2_merge_runs", lineitem=keys)
+    assert got == want and len(got) > 100
+
+
+def test_runs_do_not_depend_on_the_order_of_equal_places(spark):
+    """Two pieces of one ord: the left one comes first, however they arrive."""
+    pieces = [(1, 0, 5, 0.0, 10.0, 100.0, 11.0, "a"), (1, 0, 5, 10.0, 20.0, 100.0, 11.0, "b"), (1, 0, 6, 20.0, 30.0, 100.0, 11.0, "c")]
+    for some in (pieces, pieces[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, page int, ord long, x double, right double, baseline double, font_size double, text string").coalesce(1)
+        assert [tuple(r) for r in layout.merge_runs(df).collect()] == [(1, 0, 1, "abc", 0.0, 30.0)]
