@@ -53,3 +53,17 @@ def test_a_client_that_stays_away_is_forgotten(spark, tmp_path):
         df.write.mode("append").parquet(str(tmp_path / "in"))
     got = X.drained(X.presence(X.read_events(spark, str(tmp_path / "in"), df.schema, files=1)))
     assert rows(got.select("session_id", "event_id", "kind")) == [(1, 1, "join"), (2, 2, "join"), (2, 4, "leave"), (3, 6, "join")]
+
+
+def test_logs_of_many_sessions_are_few_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "GROUPS", 3, raising=False)
+    text = {"client_id": "c", "op": "updateNode", "target": "n", "patch_keys": "x"}
+    o = spark.range(500).select(F.col("id").alias("session_id"), F.col("id").alias("event_id"), F.timestamp_millis(F.lit(X._EPOCH) + F.col("id")).alias("ts"), F.col("id").alias("ms"), F.col("id").alias("request"), F.lit(0).cast("long").alias("base_version"), *[F.lit(v).alias(k) for k, v in text.items()])
+    o.write.parquet(str(tmp_path / "in"))
+    assert 0 < states(spark, X.op_log_stream(X.read_events(spark, str(tmp_path / "in"), o.schema)), tmp_path / "seen") <= 3
+
+
+def test_logs_are_the_same_in_one_group(spark, monkeypatch):
+    want = rows(QUERIES["x4_op_log_stream"](spark, SF))
+    monkeypatch.setattr(X, "GROUPS", 1, raising=False)
+    assert rows(QUERIES["x4_op_log_stream"](spark, SF)) == want
